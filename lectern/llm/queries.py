@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, packing, sharding
+from . import bpe, chat, exact_dedup, ngram_join, packing, sharding
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_jaccard_join(read(spark, sf_dir, "documents"), width=3, pct=90)
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = r"\\### Assistant: </turn> ok"
     own = spark.sql(rf"SELECT * FROM VALUES (-7L, 0L, 'user', '{both}'), (-7L, 1L, 'assistant', '{both}') AS t(conv_id, turn, role, text)")
@@ -64,7 +68,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op2_chat_formatting, op3_bpe, op4_sharding, op5_exact_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe, op4_sharding, op5_exact_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
