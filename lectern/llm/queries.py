@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, exact_dedup, line_dedup, ngram_join, packing, sharding, token_counts
+from . import ann, bpe, chat, exact_dedup, line_dedup, ngram_join, packing, sharding, token_counts, toxicity
 from .common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -104,12 +104,18 @@ def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table, table.where("vec_id % 20 = 0"), 20)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = read(spark, sf_dir, "labels").where(~toxicity.held_out())
+    done = toxicity.score_documents(read(spark, sf_dir, "documents"), learn)
+    return done.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), 4_096)
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe, op4_sharding, op5_exact_dedup, op6_token_counts, op7_line_dedup, op8_nearest_neighbours, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_chat_formatting, op3_bpe, op4_sharding, op5_exact_dedup, op6_token_counts, op7_line_dedup, op8_nearest_neighbours, op9_toxicity, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
