@@ -1,518 +1,14 @@
-"""All registered queries and their SQL oracles, named by the operator they apply."""
+"""All registered queries and their SQL oracles."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
-from pyspark.sql import functions as F
-
-from ..functions import stats as S
-from ..functions import text as T
-from ..operators import coding, derived, extract, gates, populations, reliability, resolve
-from ..sources import files
-from . import model as M
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str, base: str = ""):
-    """Register a query with its SQL; ``base`` are the table definitions that the SQL stands on."""
-
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        _SQL[name] = f"WITH {base}\n{sql}" if base else sql
-        return f
-
-    return add
+from . import notes, validation  # noqa: F401  they register their queries
+from .registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def c(name: str):
-    return F.col(name)
-
-
-# --- scalar functions -------------------------------------------------------------------------------------------
-
-SCALARS: dict[str, tuple[Query, str, Callable, str, str]] = {}
-
-
-def scalar(name: str, table: Callable[[SparkSession, str], DataFrame], key: str, make: Callable[[], object], sql: str, source: str, base: str = "") -> None:
-    query(name, f"SELECT {key}, {sql} AS out FROM {source}", base)(lambda spark, sf: table(spark, sf).select(key, make().alias("out")))
-
-
-def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return M.table(spark, sf, "documents")
-
-
-def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    return M.table(spark, sf, "lineitem").withColumn("line_id", F.concat_ws("-", "l_orderkey", "l_linenumber"))
-
-
-LINES = "(SELECT *, concat_ws('-', l_orderkey, l_linenumber) AS line_id FROM lineitem)"
-MESSY = "replace(replace(text, chr(10), chr(13) || chr(10)), '.', '.' || chr(9) || ' ')"
-
-
-def _messy():
-    return F.replace(F.replace(c("text"), F.lit("\n"), F.lit("\r\n")), F.lit("."), F.lit(".\t "))
-
-
-scalar("p01_newlines", _docs, "doc_id", lambda: T.newlines(_messy()), f"regexp_replace({MESSY}, '\\r\\n?', chr(10), 'g')", "documents")
-scalar("p02_normalized_text", _docs, "doc_id", lambda: T.normalized(_messy()), f"regexp_replace(regexp_replace({MESSY}, '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g')", "documents")
-scalar("p03_fingerprint", _docs, "doc_id", lambda: T.fingerprint(c("text")), "sha256(text)", "documents")
-scalar("p04_record_id", _docs, "doc_id", lambda: T.record_id(F.concat(F.lit("a\\./b//"), c("source"), F.lit("\\"), c("doc_id"))), "substr(sha256('a/b/' || source || '/' || doc_id), 1, 16)", "documents")
-scalar("p05_date_in_name", M.raw_notes, "doc_id", lambda: T.date_in(c("raw_path"), M.DATES), "CASE doc_id % 3 WHEN 0 THEN '' ELSE '2024-' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') || '-' || lpad(CAST(1 + doc_id % 28 AS VARCHAR), 2, '0') END", "documents")
-scalar("p06_source_in_path", M.raw_notes, "doc_id", lambda: T.source_in(F.concat(F.lit("x/y/"), c("raw_path")), M.ROOT), "split_part(raw_path, '/', 2)", "raw_notes", M.RAW_SQL)
-
-
-@query("p07_eligible_notes", "SELECT doc_id, source FROM documents WHERE lang <> 'en'")
-def p07(spark, sf):
-    path = F.concat(F.when(c("lang") == "en", F.lit("Root/")).otherwise(F.concat(F.lit("Root/"), c("source"), F.lit("/"))), c("doc_id"), F.lit(".md"))
-    return _docs(spark, sf).select("doc_id", T.source_in(path, M.ROOT).alias("source")).where("source <> ''")
-
-
-@query("p08_words_and_chars", "SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS words, length(text) AS chars FROM documents")
-def p08(spark, sf):
-    return _docs(spark, sf).select("doc_id", T.words(c("text")).alias("words"), T.chars(c("text")).alias("chars"))
-
-
-@query("p09_combined_text", "SELECT note_id, combined_text_sha256, markdown_present, ocr_present, text_source_count FROM corpus", M.CORPUS_SQL)
-def p09(spark, sf):
-    return M.corpus(spark, sf).select("note_id", "combined_text_sha256", "markdown_present", "ocr_present", "text_source_count")
-
-
-scalar("p10_source_or_none", _docs, "doc_id", lambda: T.source_or_none(F.when(c("lang") == "en", F.lit("  ")).otherwise(c("source"))), "CASE lang WHEN 'en' THEN '(no_source)' ELSE source END", "documents")
-scalar("p11_amount", _lines, "line_id", lambda: T.amount(F.concat(F.lit("0"), F.replace(c("l_extendedprice").cast("decimal(12,2)").cast("string"), F.lit("."), F.lit(",000.")))),
-       "CASE WHEN x <= 10000000 THEN regexp_replace(CAST(CAST(x AS DECIMAL(18,8)) AS VARCHAR), '\\.?0+$', '') END", f"(SELECT line_id, CAST(replace(CAST(CAST(l_extendedprice AS DECIMAL(12,2)) AS VARCHAR), '.', '000.') AS DECIMAL(18,2)) AS x FROM {LINES})")
-scalar("p12_currency", _lines, "line_id", lambda: T.currency(F.when(c("l_returnflag") == "A", " usd "), F.when(c("l_linestatus") == "O", "bitcoin"), extract.COIN_NAMES),
-       "CASE WHEN l_returnflag = 'A' THEN 'USD' WHEN l_linestatus = 'O' THEN 'BTC' ELSE 'unspecified' END", LINES)
-scalar("p13_config_fingerprint", _docs, "doc_id", lambda: T.config_fingerprint(F.create_map(F.lit("source"), c("source"), F.lit("lang"), c("lang"))), "sha256('{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}')", "documents")
-scalar("p14_cache_key", _docs, "doc_id", lambda: T.cache_key(F.sha2("text", 256), F.sha2("source", 256)), "sha256(sha256(text) || ':' || sha256(source))", "documents")
-
-
-@query("p15_ratio_and_percent", "SELECT doc_id, round_even(CAST(k AS DOUBLE) / n, 6) AS ratio, CASE n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * k / n, 3) END AS pct FROM (SELECT doc_id, doc_id % 7 AS k, n_chars AS n FROM documents)")
-def p15(spark, sf):
-    k = c("doc_id") % 7
-    return _docs(spark, sf).select("doc_id", S.ratio(k, c("n_chars")).alias("ratio"), S.percent(k, c("n_chars")).alias("pct"))
-
-
-scalar("p16_nullable_ratio", _docs, "doc_id", lambda: S.share(c("n_chars"), c("doc_id") % 3), "CAST(n_chars AS DOUBLE) / nullif(doc_id % 3, 0)", "documents")
-scalar("p17_whole_term", _docs, "doc_id", lambda: T.term_count(c("text"), "the"), "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x = 'the'))", "documents")
-scalar("p18_snippet", _docs, "doc_id", lambda: T.snippet(F.concat(F.lit("see http://a.b "), c("text")), F.lit(200), F.lit(204)),
-       "left(replace(trim(regexp_replace(substr('see http://a.b ' || text, 31, 344), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 520)", "documents")
-scalar("p19_intensity_band", _docs, "doc_id", lambda: T.band(c("doc_id") % 7, c("doc_id") % 3, c("doc_id") % 2),
-       "CASE WHEN doc_id % 7 >= 5 AND doc_id % 3 >= 2 AND doc_id % 2 >= 1 THEN 'high' WHEN doc_id % 7 >= 2 OR doc_id % 3 >= 2 THEN 'medium' WHEN doc_id % 7 >= 1 THEN 'low' ELSE 'none' END", "documents")
-
-
-@query("p20_image_reference", """SELECT page_id AS ref_id, CASE page_id % 7 WHEN 0 THEN 'shot ' || b || '.png' WHEN 1 THEN '../dir' || d || '/shot ' || b || '.png' WHEN 2 THEN 'dir' || d || '/shot ' || b || '.png' WHEN 3 THEN 'https://example.org/a.png'
-  WHEN 4 THEN 'C:/x.png' WHEN 5 THEN '../../outside.png' ELSE 'gone ' || b || '.png' END AS path, CASE page_id % 7 WHEN 3 THEN 'external' WHEN 4 THEN 'unsafe' ELSE 'local' END AS status FROM (SELECT page_id, page_id % 13 AS d, page_id % 97 AS b FROM pages)""")
-def p20(spark, sf):
-    return M.path_refs(spark, sf).select("ref_id", T.image_reference(c("ref"), ascii_only=True).alias("r")).select("ref_id", "r.path", "r.status")
-
-
-scalar("p21_safe_path", lambda s, f: M.table(s, f, "pages"), "page_id",
-       lambda: T.safe_path(F.when(c("page_id") % 5 == 0, F.concat(F.lit("a/../../b"), c("page_id"))).when(c("page_id") % 5 == 1, F.concat(F.lit("a/./b/../c"), c("page_id"))).when(c("page_id") % 5 == 2, F.concat(F.lit("/a"), c("page_id"))).when(c("page_id") % 5 == 3, F.lit("C:/a")).otherwise(F.concat(F.lit("a//b\\c"), c("page_id")))),
-       "CASE page_id % 5 WHEN 1 THEN 'a/c' || page_id WHEN 4 THEN 'a/b/c' || page_id END", "pages")
-scalar("p22_decision", _docs, "doc_id", lambda: T.decision(F.when(c("doc_id") % 4 == 0, " PRESENT ").when(c("doc_id") % 4 == 1, "maybe").when(c("doc_id") % 4 == 2, "").otherwise("not_applicable")), "CASE doc_id % 4 WHEN 0 THEN 'present' WHEN 2 THEN '' WHEN 3 THEN 'not_applicable' END", "documents")
-scalar("p23_machine_flag", _docs, "doc_id", lambda: T.machine_flag(F.when(c("doc_id") % 4 == 0, " Yes").when(c("doc_id") % 4 == 1, "0").when(c("doc_id") % 4 == 2, "2").otherwise("TRUE")), "CASE doc_id % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 3 THEN true END", "documents")
-scalar("p24_weight", _docs, "doc_id", lambda: T.weight(F.when(c("doc_id") % 6 == 0, "0").when(c("doc_id") % 6 == 1, "nan").when(c("doc_id") % 6 == 2, "inf").when(c("doc_id") % 6 == 3, "x").when(c("doc_id") % 6 == 4, "-1").otherwise(F.concat(c("doc_id"), F.lit(".5")))), "CASE doc_id % 6 WHEN 5 THEN doc_id + 0.5::DOUBLE END", "documents")
-
-
-@query("p25_final_decision", "SELECT record_id, CASE WHEN decision_1 = decision_2 THEN decision_1 ELSE '' END AS agreed, final FROM records", M.SHEETS_SQL)
-def p25(spark, sf):
-    return M.records(spark, sf).select("record_id", T.final_decision(c("decision_1"), c("decision_2")).alias("agreed"), "final")
-
-
-# --- generators -------------------------------------------------------------------------------------------------
-
-@query("e01_image_references", "SELECT 'p' || page_id AS note_id, unnest([1, 2]) AS ref_index, unnest(['a b' || page_id || '.png', 'dir/c' || page_id || '.png']) AS ref FROM pages")
-def e01(spark, sf):
-    text = F.concat(F.lit("x ![[a b"), c("page_id"), F.lit(".png|200]] and\n![alt](dir/c"), c("page_id"), F.lit(".png) [no](d.png) ![e](f.jpg)"))
-    return extract.image_references(M.table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("note_id"), text.alias("text")))
-
-
-@query("e02_keyword_counts", "SELECT note_id, source, keyword, n AS count, CAST(n > 0 AS INTEGER) AS present FROM (SELECT note_id, source, 'licence' AS keyword, len(regexp_extract_all(lower(text), 'licen[sc]e')) AS n FROM notes UNION ALL SELECT note_id, source, 'address', len(regexp_extract_all(lower(text), '[a-z0-9.]+@[a-z0-9.]+')) FROM notes)", M.NOTES_SQL)
-def e02(spark, sf):
-    return extract.keyword_counts(M.notes(spark, sf), M.KEYWORDS)
-
-
-ENTITIES = M.NOTES_SQL + """, toks AS (SELECT note_id, source, text, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS w FROM notes), entities AS (
-  SELECT * FROM (SELECT note_id, source, 'article' AS entity_type, unnest(['the', 'der', 'la']) AS entity, unnest([len(list_filter(w, lambda x: x = 'the')), len(list_filter(w, lambda x: x = 'der')), len(list_filter(w, lambda x: x = 'la'))]) AS count FROM toks
-    UNION ALL SELECT note_id, source, 'phrase', 'apache license', len(regexp_extract_all(lower(text), '\\bapache license\\b')) FROM toks) WHERE count > 0)"""
-
-
-@query("e03_entity_mentions", "SELECT * FROM entities", ENTITIES)
-def e03(spark, sf):
-    return extract.entity_mentions(M.notes(spark, sf), M.TERMS)
-
-
-@query("e04_price_mentions", "SELECT note_id, source, currency, amount FROM mentions", M.PRICES_SQL)
-def e04(spark, sf):
-    return extract.price_mentions(M.priced(spark, sf)).select("note_id", "source", "currency", "amount")
-
-
-@query("e05_match_spans", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+ing')) AS n, CAST(list_sum(list_transform(regexp_extract_all(lower(text), '[a-z]+ing'), lambda x: length(x))) AS BIGINT) AS matched_chars FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z]+ing')) > 0")
-def e05(spark, sf):
-    rows = extract.spans(_docs(spark, sf).select("doc_id", F.lower("text").alias("text")), "[a-z]+ing")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(c("end") - c("start")).alias("matched_chars"))
-
-
-CODED_COLUMNS = "note_id, source, code, label, objective, present, hit_count, pattern_count, rule_match_intensity, markdown_present, ocr_present"
-
-
-@query("e06_codebook_coding", f"SELECT {CODED_COLUMNS} FROM coding", M.CODED_SQL)
-def e06(spark, sf):
-    return M.coded(spark, sf).select(*CODED_COLUMNS.split(", "))
-
-
-@query("e06_indicator_coding", f"SELECT {CODED_COLUMNS} FROM indicating", M.INDICATED_SQL)
-def e06i(spark, sf):
-    return M.coded(spark, sf, "indicator").select(*CODED_COLUMNS.split(", "))
-
-
-@query("e07_evidence_snippets", "SELECT code, CAST(sum(least(hit_count, 3)) AS BIGINT) AS snippet_n, count(*) AS note_n FROM coding WHERE present = 1 GROUP BY code", M.CODED_SQL)
-def e07(spark, sf):
-    return coding.evidence(M.corpus(spark, sf), M.codes(spark, "typology")).groupBy("code").agg(F.count("*").alias("snippet_n"), F.count_distinct("note_id").alias("note_n"))
-
-
-CELLS_SQL = M.SHEETS_SQL + ", cells AS (SELECT target_type || '/' || code AS target, decision_1 AS c1, decision_2 AS c2, count(*) AS n FROM records WHERE decision_1 <> '' AND decision_2 <> '' GROUP BY ALL)"
-
-
-@query("e08_pairs_of_cells", "SELECT target_type || '/' || code AS target, decision_1 AS c1, decision_2 AS c2, row_number() OVER (PARTITION BY target_type, code, decision_1, decision_2) AS pair FROM records WHERE decision_1 <> '' AND decision_2 <> ''", M.SHEETS_SQL)
-def e08(spark, sf):
-    return extract.pairs_of_cells(reliability.cells(M.records(spark, sf)))
-
-
-@query("e09_code_pairs", "SELECT * FROM pairs", M.PRESENCE_SQL)
-def e09(spark, sf):
-    return extract.unordered_pairs(M.present(spark, sf))
-
-
-# --- joins ------------------------------------------------------------------------------------------------------
-
-@query("j01_by_basename", """SELECT page_id AS ref_id, lower(b) AS basename, coalesce(n, 0) AS candidates, CASE WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 THEN p END AS path, CASE WHEN n = 1 THEN s END AS sha256
-FROM (SELECT page_id, 'shot ' || page_id % 120 || '.png' AS b FROM pages) LEFT JOIN (SELECT basename, count(*) AS n, min(path) AS p, min(sha256) AS s FROM inventory GROUP BY basename) ON basename = b""", M.INVENTORY_SQL)
-def j01(spark, sf):
-    refs = M.table(spark, sf, "pages").select(c("page_id").alias("ref_id"), F.concat(F.lit("shot "), c("page_id") % 120, F.lit(".png")).alias("basename"))
-    return resolve.by_basename(refs, M.inventory(spark, sf))
-
-
-@query("j02_by_path", """SELECT ref_id, note_dir, ref, CASE k WHEN 3 THEN 'external' WHEN 4 THEN 'unsafe' WHEN 5 THEN 'unsafe' ELSE CASE coalesce(hits, 0) WHEN 0 THEN 'missing' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END END AS status,
-  CASE WHEN hits = 1 THEN how ELSE '' END AS method, CASE WHEN hits = 1 THEN p END AS path, CASE WHEN hits = 1 THEN s END AS sha256, coalesce(hits, 0) AS candidates
-FROM refs LEFT JOIN (SELECT ref_id, count(DISTINCT path) AS hits, string_agg(DISTINCT method, '+' ORDER BY method) AS how, min(path) AS p, min(sha256) AS s FROM tries JOIN inventory ON path = candidate GROUP BY ref_id) USING (ref_id)""", M.INVENTORY_SQL + """,
-refs AS (SELECT page_id AS ref_id, page_id % 7 AS k, 'dir' || page_id % 13 AS note_dir, 'shot ' || page_id % 97 || '.png' AS b, CASE page_id % 7 WHEN 0 THEN '<shot%20' || page_id % 97 || '.png>' WHEN 1 THEN '../dir' || page_id % 13 || '/shot%20' || page_id % 97 || '.png'
-  WHEN 2 THEN 'dir' || page_id % 13 || chr(92) || 'shot ' || page_id % 97 || '.png' WHEN 3 THEN 'https://example.org/a.png' WHEN 4 THEN 'C:/x.png' WHEN 5 THEN '../../outside.png' ELSE 'gone ' || page_id % 97 || '.png' END AS ref FROM pages),
-tries AS (SELECT ref_id, 'note_relative' AS method, CASE k WHEN 2 THEN note_dir || '/' || note_dir || '/' || b ELSE note_dir || '/' || b END AS candidate FROM refs WHERE k IN (0, 1, 2)
-  UNION ALL SELECT ref_id, 'root_relative', CASE k WHEN 0 THEN b ELSE note_dir || '/' || b END FROM refs WHERE k IN (0, 2))""")
-def j02(spark, sf):
-    return resolve.by_path(M.path_refs(spark, sf), M.inventory(spark, sf))
-
-
-@query("j03_provenance", "SELECT page_id AS ref_id, CASE page_id % 4 WHEN 1 THEN 'resolved_without_hash' WHEN 2 THEN 'image_not_in_inventory' WHEN 3 THEN 'hash_changed' END AS violation FROM pages WHERE page_id % 4 > 0")
-def j03(spark, sf):
-    k = c("page_id") % 4
-    own = M.table(spark, sf, "pages").select("page_id", F.concat(F.lit("p/"), c("page_id")).alias("path"), F.sha2("url", 256).alias("sha256"))
-    refs = own.select(c("page_id").alias("ref_id"), F.lit("resolved").alias("status"), F.when(k == 2, F.concat(F.lit("gone/"), "path")).otherwise(c("path")).alias("path"), F.when(k == 1, "").when(k == 3, F.sha2("path", 256)).otherwise(c("sha256")).alias("sha256"))
-    return resolve.provenance_violations(refs, own)
-
-
-def _cache(spark, sf):
-    """Results by turn: every third turn has a stale key, every fifth an error."""
-    talk = M.table(spark, sf, "conversations")
-    img, conf = F.sha2("text", 256), F.sha2(F.lit("config"), 256)
-    stale = c("turn") % 3 == 2
-    status = F.when(c("turn") % 5 == 4, "error").when(c("role") == "system", "empty").otherwise("ok")
-    ordinal = F.struct("conv_id", "turn")
-    return talk.select(img.alias("image_sha256"), conf.alias("ocr_config_sha256"), F.when(stale, img).otherwise(T.cache_key(img, conf)).alias("ocr_cache_key"), status.alias("ocr_status"), F.concat(F.lit("read: "), "text").alias("ocr_text"), ordinal.alias("ordinal"))
-
-
-def _images(spark, sf):
-    return M.table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.sha2("text", 256).alias("sha256"))
-
-
-CACHE_SQL = """usable AS (SELECT sha256(text) AS sha, max_by(CASE role WHEN 'system' THEN 'empty' ELSE 'ok' END, (conv_id, turn)) AS ocr_status, max_by('read: ' || text, (conv_id, turn)) AS ocr_text FROM conversations WHERE turn % 3 <> 2 AND turn % 5 <> 4 GROUP BY sha256(text)),
-images AS (SELECT conv_id || '/' || turn AS path, sha256(text) AS sha256 FROM conversations)"""
-
-
-@query("j04_cache_reuse", "SELECT path, sha256, ocr_status, ocr_text, CAST(ocr_status IS NOT NULL AS INTEGER) AS cache_reused FROM images LEFT JOIN usable ON sha = sha256", CACHE_SQL)
-def j04(spark, sf):
-    return resolve.reuse(_images(spark, sf), _cache(spark, sf), F.sha2(F.lit("config"), 256)).drop("ocr_cache_key")
-
-
-@query("j05_missing_from_cache", "SELECT path, sha256 FROM images WHERE sha256 NOT IN (SELECT sha FROM usable)", CACHE_SQL)
-def j05(spark, sf):
-    return resolve.missing_from_cache(_images(spark, sf), _cache(spark, sf), F.sha2(F.lit("config"), 256))
-
-
-@query("j06_attached_text", "SELECT i.path, coalesce(CASE WHEN turn > 1 THEN CASE role WHEN 'system' THEN 'empty' ELSE 'ok' END END, 'not_local_or_not_processed') AS ocr_status, coalesce(CASE WHEN turn > 1 THEN text END, '') AS ocr_text FROM (SELECT conv_id || '/' || turn AS path, turn, role, text FROM conversations) i")
-def j06(spark, sf):
-    done = M.table(spark, sf, "conversations").where("turn > 1").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.when(c("role") == "system", "empty").otherwise("ok").alias("ocr_status"), c("text").alias("ocr_text"))
-    return resolve.attach_text(_images(spark, sf).select("path"), done)
-
-
-@query("j07_note_text", "SELECT note_id, coalesce(ocr_text, '') AS ocr_text FROM notes LEFT JOIN note_ocr USING (note_id)", M.CORPUS_SQL)
-def j07(spark, sf):
-    own = M.notes(spark, sf)
-    ocr = resolve.text_per_note(own, M.joined_refs(spark, sf)).select("note_id", "ocr_text")
-    # half of the sheet still goes by the legacy id
-    ids = own.select("note_id", "legacy_note_id", "doc_id")
-    sheet = ocr.join(ids, "note_id").select(F.when(c("doc_id") % 2 == 0, c("note_id")).otherwise(c("legacy_note_id")).alias("note_id"), "ocr_text")
-    return resolve.note_text(ids, sheet).select("note_id", "ocr_text")
-
-
-SUMMARY_SQL = "SELECT code, label, objective, count(*) AS note_count, CAST(sum(hit_count) AS BIGINT) AS hit_count, count(*) FILTER (rule_match_intensity = 'high') AS high_intensity_notes, count(*) FILTER (rule_match_intensity = 'medium') AS medium_intensity_notes, count(*) FILTER (rule_match_intensity = 'low') AS low_intensity_notes FROM coding WHERE present = 1 GROUP BY ALL"
-
-
-@query("j08_findings", f"SELECT s.*, row_number() OVER (ORDER BY note_count DESC, code) AS rank, CASE code WHEN 'T2_mail' THEN 'mail is personal' ELSE 'no narrative' END AS narrative FROM ({SUMMARY_SQL}) s", M.CODED_SQL)
-def j08(spark, sf):
-    narrative = M.codebook(spark).where("code = 'T2_mail'").select("code", F.lit("mail is personal").alias("narrative"))
-    return coding.findings(coding.summary(M.coded(spark, sf)), narrative, "no narrative")
-
-
-@query("j09_validation_records", "SELECT record_id, target_type, code, model_present, weight, decision_1, decision_2, final FROM records", M.SHEETS_SQL)
-def j09(spark, sf):
-    return M.records(spark, sf)
-
-
-def _linked(spark):
-    return spark.createDataFrame(M.LINKED, "code_a string, code_b string")
-
-
-LINKED_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.LINKED)
-
-
-@query("j10_code_grid", f"SELECT a.code AS code_a, b.code AS code_b FROM codes a CROSS JOIN (SELECT DISTINCT code FROM ipresence) b WHERE (a.code, b.code) NOT IN ({LINKED_SQL})", M.PRESENCE_SQL)
-def j10(spark, sf):
-    a = M.present(spark, sf).select(c("code").alias("code_a")).distinct()
-    b = M.present(spark, sf, "indicator").select(c("code").alias("code_b")).distinct()
-    return a.join(F.broadcast(b)).join(F.broadcast(_linked(spark)), ["code_a", "code_b"], "left_anti")
-
-
-@query("j11_orphans", "SELECT note_id FROM notes WHERE word_count < 100", M.NOTES_SQL)
-def j11(spark, sf):
-    own = M.notes(spark, sf)
-    return gates.orphans(own.select("note_id"), own.where("word_count >= 100"))
-
-
-RELIABILITY_SQL = CELLS_SQL + ", gaps AS (SELECT target, CAST(sum(n) AS BIGINT) AS pair_n, CAST(sum(n) FILTER (c1 <> c2) AS BIGINT) AS disagreement_n FROM cells GROUP BY target)"
-
-
-@query("j12_adjudication_gaps", "SELECT target, CASE WHEN target = 'typology/C0' THEN 'no_adjudication' ELSE 'counts_differ' END AS violation FROM gaps WHERE target = 'typology/C0' OR (target = 'typology/C1' AND disagreement_n <> disagreement_n + 1)", RELIABILITY_SQL)
-def j12(spark, sf):
-    table = reliability.reliability_by_target(M.records(spark, sf), 200).select("target", "disagreement_n")
-    given = table.where("target <> 'typology/C0'").select("target", (c("disagreement_n") + F.when(c("target") == "typology/C1", 1).otherwise(0)).alias("adjudicated_n"))
-    return reliability.adjudication_gaps(table, given)
-
-
-@query("j14_labels", "SELECT note_id, code, label FROM coding WHERE present = 1", M.CODED_SQL)
-def j14(spark, sf):
-    labels = M.codebook(spark).select("code", "label").distinct()
-    return M.coded(spark, sf).where("present = 1").select("note_id", "code").join(F.broadcast(labels), "code")
-
-
-# --- aggregations -----------------------------------------------------------------------------------------------
-
-REF_COUNTS = ", ref_counts AS (SELECT note_id, count(*) AS image_ref_count FROM joined_refs GROUP BY note_id)"
-
-
-@query("a01_source_summary", "SELECT source, count(*) AS note_count, count(nullif(collection_date, '')) AS dated_note_count, coalesce(min(nullif(collection_date, '')), '') AS first_date, coalesce(max(nullif(collection_date, '')), '') AS last_date, CAST(sum(word_count) AS BIGINT) AS word_count, CAST(sum(coalesce(image_ref_count, 0)) AS BIGINT) AS image_ref_count FROM notes LEFT JOIN ref_counts USING (note_id) GROUP BY source", M.REFS_SQL + REF_COUNTS)
-def a01(spark, sf):
-    n = M.joined_refs(spark, sf).groupBy("note_id").agg(F.count("*").alias("image_ref_count"))
-    return populations.source_summary(M.notes(spark, sf).join(n, "note_id", "left").fillna(0, ["image_ref_count"]))
-
-
-@query("a02_keyword_by_source", "SELECT source, keyword, CAST(sum(CAST(n > 0 AS INTEGER)) AS BIGINT) AS files_with_hit, CAST(sum(n) AS BIGINT) AS hit_count FROM (SELECT source, 'licence' AS keyword, len(regexp_extract_all(lower(text), 'licen[sc]e')) AS n FROM notes UNION ALL SELECT source, 'address', len(regexp_extract_all(lower(text), '[a-z0-9.]+@[a-z0-9.]+')) FROM notes) GROUP BY ALL", M.NOTES_SQL)
-def a02(spark, sf):
-    return coding.keyword_by_source(extract.keyword_counts(M.notes(spark, sf), M.KEYWORDS))
-
-
-@query("a03_entity_by_source", "SELECT source, entity_type, entity, count(*) AS note_count, CAST(sum(count) AS BIGINT) AS hit_count FROM entities GROUP BY ALL", ENTITIES)
-def a03(spark, sf):
-    return coding.entity_by_source(extract.entity_mentions(M.notes(spark, sf), M.TERMS))
-
-
-@query("a04_corpus_summary", """SELECT (SELECT count(*) FROM notes) AS note_count, (SELECT count(DISTINCT source) FROM notes) AS source_count, (SELECT count(*) FROM pages WHERE page_id % 7 = 0) AS existing_ref_count, (SELECT count(*) FROM pages WHERE page_id % 7 = 6) AS missing_ref_count,
-  (SELECT count(*) FROM mentions) AS price_mention_count, (SELECT string_agg(currency || ':' || n || ':' || low || ':' || high, ';' ORDER BY currency) FROM (SELECT currency, count(*) AS n, min(CAST(amount AS DECIMAL(18,8))) AS low, max(CAST(amount AS DECIMAL(18,8))) AS high FROM mentions GROUP BY currency)) AS by_currency""", M.NOTES_SQL + ", " + M.PRICES_SQL)
-def a04(spark, sf):
-    k = c("page_id") % 7
-    refs = M.table(spark, sf, "pages").select(F.when(k == 0, "resolved").when(k == 6, "missing").otherwise("external").alias("status"))
-    return populations.corpus_summary(M.notes(spark, sf), refs, extract.price_mentions(M.priced(spark, sf)))
-
-
-@query("a05_reference_status", "SELECT status, count(*) AS ref_count, count(DISTINCT path) AS distinct_images FROM (SELECT CASE role WHEN 'system' THEN 'missing' ELSE 'resolved' END AS status, CASE WHEN role <> 'system' THEN sha256(text) END AS path FROM conversations) GROUP BY status")
-def a05(spark, sf):
-    system = c("role") == "system"
-    refs = M.table(spark, sf, "conversations").select(F.when(system, "missing").otherwise("resolved").alias("status"), F.when(~system, F.sha2("text", 256)).alias("path"))
-    return resolve.status_counts(refs)
-
-
-@query("a06_text_per_note", """SELECT n.note_id, n.source, coalesce(r, 0) AS ocr_ref_count, coalesce(o, 0) AS ocr_ok_count, coalesce(u, 0) AS unique_image_count, coalesce(k, 0) AS unique_ok_count, coalesce(r - u, 0) AS duplicate_ref_count, coalesce(w, 0) AS ocr_word_count, coalesce(h, 0) AS ocr_char_count, coalesce(ocr_text, '') AS ocr_text
-FROM notes n LEFT JOIN (SELECT note_id, count(*) AS r, count(*) FILTER (ocr_status = 'ok') AS o, count(DISTINCT sha256) AS u, count(DISTINCT sha256) FILTER (ocr_status = 'ok') AS k FROM joined_refs GROUP BY note_id) USING (note_id)
-LEFT JOIN (SELECT note_id, CAST(sum(w) AS BIGINT) AS w, CAST(sum(h) AS BIGINT) AS h FROM (SELECT note_id, sha256, max(ocr_word_count) AS w, max(ocr_char_count) AS h FROM joined_refs WHERE ocr_status = 'ok' GROUP BY ALL) GROUP BY note_id) USING (note_id) LEFT JOIN note_ocr USING (note_id)""", M.CORPUS_SQL)
-def a06(spark, sf):
-    return resolve.text_per_note(M.notes(spark, sf), M.joined_refs(spark, sf))
-
-
-@query("a07_ocr_coverage", "SELECT source, count(*) AS ref_count, count(*) FILTER (ocr_status = 'ok') AS ok_count, count(*) FILTER (ocr_status = 'empty') AS empty_count, CAST(sum(ocr_word_count) AS BIGINT) AS ocr_word_count FROM joined_refs GROUP BY source", M.REFS_SQL)
-def a07(spark, sf):
-    return resolve.coverage_by_source(M.joined_refs(spark, sf), ["ok", "empty"])
-
-
-@query("a08_typology_summary", SUMMARY_SQL, M.CODED_SQL)
-def a08(spark, sf):
-    return coding.summary(M.coded(spark, sf))
-
-
-BY_SOURCE = "SELECT source, code, label, count(*) AS note_count, CAST(sum(hit_count) AS BIGINT) AS hit_count FROM {} WHERE present = 1 GROUP BY ALL"
-
-
-@query("a09_typology_by_source", BY_SOURCE.format("coding"), M.CODED_SQL)
-def a09(spark, sf):
-    return coding.summary_by_source(M.coded(spark, sf))
-
-
-@query("a10_by_objective", "SELECT objective, count(*) AS note_code_rows, CAST(sum(hit_count) AS BIGINT) AS hit_count FROM coding WHERE present = 1 AND code <> 'T9_quality' GROUP BY objective", M.CODED_SQL)
-def a10(spark, sf):
-    return coding.summary_by_objective(M.coded(spark, sf), M.QUALITY)
-
-
-@query("a11_indicator_by_source", BY_SOURCE.format("indicating"), M.INDICATED_SQL)
-def a11(spark, sf):
-    return coding.summary_by_source(M.coded(spark, sf, "indicator"))
-
-
-ROLLUP_SQL = f"SELECT code, label, count(*) AS source_count, CAST(sum(note_count) AS BIGINT) AS note_count, CAST(sum(hit_count) AS BIGINT) AS hit_count FROM ({BY_SOURCE.format('indicating')}) GROUP BY ALL"
-
-
-@query("a12_indicator_rollup", ROLLUP_SQL, M.INDICATED_SQL)
-def a12(spark, sf):
-    return coding.rollup(coding.summary_by_source(M.coded(spark, sf, "indicator")))
-
-
-@query("a13_populations", "SELECT population, note_id, source FROM members", M.PRESENCE_SQL)
-def a13(spark, sf):
-    return M.members(spark, sf)
-
-
-AUDIT = "CAST(sum(n) AS BIGINT) AS record_count, count(*) AS distinct_text_count, count(*) FILTER (n > 1) AS duplicate_group_count, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS records_in_duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS excess_record_count, max(n) AS largest_group_size, CAST(sum(z) AS BIGINT) AS zero_word_record_count FROM (SELECT count(*) AS n, count(*) FILTER (combined_word_count = 0) AS z FROM corpus GROUP BY combined_text_sha256)"
-
-
-@query("a14_duplicate_audit", f"SELECT {AUDIT}", M.CORPUS_SQL)
-def a14(spark, sf):
-    return populations.duplicate_audit(M.corpus(spark, sf))
-
-
-@query("a15_presence", "SELECT population, code, label, note_id, source FROM presence", M.PRESENCE_SQL)
-def a15(spark, sf):
-    return M.present(spark, sf)
-
-
-COUNTED = """, grid AS (SELECT population, code, label, denominator_n, (SELECT count(*) FROM presence p WHERE p.population = s.population AND p.code = l.code) AS k FROM sizes s CROSS JOIN labels_of l),
-ranks AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY k DESC, code) AS rank, CASE denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * k / denominator_n, 3) END AS pct FROM grid)"""
-
-
-@query("a16_duplicate_sensitivity", """SELECT a.code, a.label, a.k AS full_n, a.pct AS full_pct, a.rank AS full_rank, b.k AS unique_n, b.pct AS unique_pct, b.rank AS unique_rank, a.k - b.k AS excess_n,
-  CASE a.k WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * (a.k - b.k) / a.k, 3) END AS reduction_pct, round_even(b.pct - a.pct, 3) AS pct_difference, b.rank - a.rank AS rank_change
-FROM ranks a JOIN ranks b USING (code) WHERE a.population = 'full_corpus' AND b.population = 'text_unique'""", M.PRESENCE_SQL + COUNTED)
-def a16(spark, sf):
-    return derived.sensitivity(M.present(spark, sf), M.members(spark, sf))
-
-
-def _cells_sql(keys: str) -> str:
-    """2 x 2 cells from note sets, told by note: x has one row a note of each group and pair."""
-    return f"""SELECT {keys}, denominator_n, code_a_present_n, code_b_present_n, n11_both_present, code_a_present_n - n11_both_present AS n10_a_only, code_b_present_n - n11_both_present AS n01_b_only,
-  denominator_n - code_a_present_n - code_b_present_n + n11_both_present AS n00_neither,
-  CASE code_a_present_n + code_b_present_n - n11_both_present WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / (code_a_present_n + code_b_present_n - n11_both_present), 6) END AS jaccard,
-  CASE WHEN code_a_present_n = 0 OR code_b_present_n = 0 THEN 0 ELSE round_even(n11_both_present / (CAST(code_a_present_n AS DOUBLE) * code_b_present_n / denominator_n), 6) END AS lift FROM joint"""
-
-
-FLAGS = """, per_note AS MATERIALIZED (SELECT m.population, m.source, m.note_id, coalesce(list(code) FILTER (code IS NOT NULL), []) AS own FROM members m LEFT JOIN presence p ON p.population = m.population AND p.note_id = m.note_id GROUP BY ALL)"""
-JOINT = "count(*) AS denominator_n, count(*) FILTER (list_contains(own, code_a)) AS code_a_present_n, count(*) FILTER (list_contains(own, code_b)) AS code_b_present_n, count(*) FILTER (list_contains(own, code_a) AND list_contains(own, code_b)) AS n11_both_present"
-WHOLE = f", joint AS (SELECT population, code_a, code_b, {JOINT} FROM per_note CROSS JOIN pairs GROUP BY ALL)"
-SOURCED = f""", joint AS (SELECT g.population, g.source, g.code_a, g.code_b, coalesce(denominator_n, 0) AS denominator_n, coalesce(code_a_present_n, 0) AS code_a_present_n, coalesce(code_b_present_n, 0) AS code_b_present_n, coalesce(n11_both_present, 0) AS n11_both_present
-  FROM (SELECT population, source, code_a, code_b FROM sizes CROSS JOIN sources CROSS JOIN pairs) g LEFT JOIN (SELECT population, source, code_a, code_b, {JOINT} FROM per_note CROSS JOIN pairs GROUP BY ALL) USING (population, source, code_a, code_b))"""
-LEFT_OUT = f", joint AS (SELECT population, s.source AS removed_source, code_a, code_b, {JOINT} FROM per_note n CROSS JOIN pairs JOIN sources s ON s.source <> n.source GROUP BY ALL)"
-PAIR = "population, code_a, code_b"
-
-
-@query("a17_cooccurrence", _cells_sql(PAIR), M.PRESENCE_SQL + FLAGS + WHOLE)
-def a17(spark, sf):
-    return derived.cooccurrence(M.present(spark, sf), M.members(spark, sf))
-
-
-@query("a18_cooccurrence_by_source", _cells_sql("population, source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + SOURCED)
-def a18(spark, sf):
-    return derived.cooccurrence_by_source(M.present(spark, sf), M.members(spark, sf))
-
-
-def _left_out(spark, sf):
-    p, m = M.present(spark, sf), M.members(spark, sf)
-    return derived.leave_source_out(derived.cooccurrence(p, m), derived.cooccurrence_by_source(p, m))
-
-
-@query("a19_leave_source_out", _cells_sql("population, removed_source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + LEFT_OUT)
-def a19(spark, sf):
-    return _left_out(spark, sf).drop("full_jaccard", "full_lift", "jaccard_difference", "lift_difference")
-
-
-@query("j13_difference_to_full", f"SELECT population, removed_source, code_a, code_b, round_even(a.jaccard - b.jaccard, 6) AS jaccard_difference, round_even(a.lift - b.lift, 6) AS lift_difference FROM out_cells a JOIN whole_cells b USING ({PAIR})",
-       M.PRESENCE_SQL + FLAGS + LEFT_OUT + f", out_cells AS ({_cells_sql('population, removed_source, code_a, code_b')})" + WHOLE.replace("joint AS", "joint2 AS") + f", whole_cells AS ({_cells_sql(PAIR).replace('FROM joint', 'FROM joint2')})")
-def j13(spark, sf):
-    return _left_out(spark, sf).select("population", "removed_source", "code_a", "code_b", "jaccard_difference", "lift_difference")
-
-
-@query("a20_source_normalized", """SELECT g.*, CASE source_record_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * positive_records_n / source_record_n, 3) END AS rate_pct, CASE all_positive_n WHEN 0 THEN 0 ELSE round_even(CAST(positive_records_n AS DOUBLE) / all_positive_n, 6) END AS share_of_all_positive FROM (
-  SELECT z.population, source, code, label, coalesce(source_record_n, 0) AS source_record_n, coalesce(markdown_only_n, 0) AS markdown_only_n, coalesce(ocr_only_n, 0) AS ocr_only_n, coalesce(both_n, 0) AS both_n, coalesce(neither_n, 0) AS neither_n, coalesce(positive_records_n, 0) AS positive_records_n, coalesce(all_positive_n, 0) AS all_positive_n
-  FROM sizes z CROSS JOIN sources CROSS JOIN labels_of
-  LEFT JOIN (SELECT population, m.source, count(*) AS source_record_n, count(*) FILTER (markdown_present = 1 AND ocr_present = 0) AS markdown_only_n, count(*) FILTER (markdown_present = 0 AND ocr_present = 1) AS ocr_only_n, count(*) FILTER (markdown_present = 1 AND ocr_present = 1) AS both_n, count(*) FILTER (markdown_present = 0 AND ocr_present = 0) AS neither_n FROM members m JOIN corpus USING (note_id) GROUP BY ALL) USING (population, source)
-  LEFT JOIN (SELECT population, source, code, count(*) AS positive_records_n FROM presence GROUP BY ALL) USING (population, source, code) LEFT JOIN (SELECT population, code, count(*) AS all_positive_n FROM presence GROUP BY ALL) USING (population, code)) g""", M.PRESENCE_SQL)
-def a20(spark, sf):
-    return derived.source_normalized(M.present(spark, sf), M.members(spark, sf), M.corpus(spark, sf))
-
-
-CROSS = f""", joint AS (SELECT z.population, a.code AS code_a, b.code AS code_b, denominator_n, (SELECT count(*) FROM presence p WHERE p.population = z.population AND p.code = a.code) AS code_a_present_n, (SELECT count(*) FROM ipresence p WHERE p.population = z.population AND p.code = b.code) AS code_b_present_n,
-  (SELECT count(*) FROM presence p JOIN ipresence q ON p.population = q.population AND p.note_id = q.note_id WHERE p.population = z.population AND p.code = a.code AND q.code = b.code) AS n11_both_present
-  FROM sizes z CROSS JOIN codes a CROSS JOIN (SELECT DISTINCT code FROM ipresence) b WHERE (a.code, b.code) NOT IN ({LINKED_SQL}))"""
-
-
-@query("a21_crosswalk", f"SELECT x.*, CASE code_a_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_a_present_n, 6) END AS share_of_a, CASE code_b_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_b_present_n, 6) END AS share_of_b FROM ({_cells_sql(PAIR)}) x", M.PRESENCE_SQL + CROSS)
-def a21(spark, sf):
-    return derived.crosswalk(M.present(spark, sf), M.present(spark, sf, "indicator"), M.members(spark, sf), _linked(spark))
-
-
-GROUP_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.GROUPS)
-
-
-@query("a22_group_union", f"""SELECT population, g AS "group", denominator_n, coalesce(record_n, 0) AS record_n, CASE denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * coalesce(record_n, 0) / denominator_n, 3) END AS record_pct
-FROM sizes CROSS JOIN (SELECT DISTINCT g FROM (VALUES {GROUP_SQL}) v(code, g)) LEFT JOIN (SELECT population, g, count(DISTINCT note_id) AS record_n FROM presence JOIN (VALUES {GROUP_SQL}) v(code, g) USING (code) GROUP BY ALL) USING (population, g)""", M.PRESENCE_SQL)
-def a22(spark, sf):
-    return derived.group_union(M.present(spark, sf), M.members(spark, sf), spark.createDataFrame(M.GROUPS, "code string, group string"))
-
-
-@query("a23_concentration", """SELECT population, code, denominator_n, coalesce(t, 0) AS positive_records_n, coalesce(s, 0) AS source_groups_with_positive_records_n, coalesce(top_source, '') AS top_source, coalesce(t1, 0) AS top_source_positive_records_n, coalesce(hhi, 0) AS source_hhi,
-  CASE WHEN t > 0 THEN round_even(CAST(t1 AS DOUBLE) / t, 6) ELSE 0 END AS top_source_share, CASE WHEN t > 0 THEN round_even(CAST(t3 AS DOUBLE) / t, 6) ELSE 0 END AS top_three_source_share, row_number() OVER (PARTITION BY population ORDER BY coalesce(t, 0) DESC, code) AS rank_by_record_count
-FROM sizes CROSS JOIN codes LEFT JOIN (SELECT population, code, CAST(sum(k) AS BIGINT) AS t, count(*) AS s, max(source) FILTER (r = 1) AS top_source, max(k) FILTER (r = 1) AS t1, CAST(sum(k) FILTER (r <= 3) AS BIGINT) AS t3, round_even(sum((CAST(k AS DOUBLE) / n) * (CAST(k AS DOUBLE) / n)), 6) AS hhi
-  FROM (SELECT *, row_number() OVER (PARTITION BY population, code ORDER BY k DESC, source) AS r, sum(k) OVER (PARTITION BY population, code) AS n FROM (SELECT population, code, source, count(*) AS k FROM presence GROUP BY ALL)) GROUP BY ALL) USING (population, code)""", M.PRESENCE_SQL)
-def a23(spark, sf):
-    return derived.concentration(M.present(spark, sf), M.members(spark, sf))
-
-
-@query("a24_leave_source_out_ranks", """SELECT r.population, removed_source, r.code, full_rank, r.denominator_n, record_n, CASE r.denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * record_n / r.denominator_n, 3) END AS record_pct, r.rank, r.rank - full_rank AS rank_change FROM (
-  SELECT *, row_number() OVER (PARTITION BY population, removed_source ORDER BY record_n DESC, code) AS rank FROM (SELECT population, s.source AS removed_source, code, count(*) AS denominator_n, count(*) FILTER (list_contains(own, code)) AS record_n FROM per_note n CROSS JOIN codes JOIN sources s ON s.source <> n.source GROUP BY ALL)) r
-  JOIN (SELECT population, code, rank AS full_rank FROM ranks) USING (population, code)""", M.PRESENCE_SQL + COUNTED + FLAGS)
-def a24(spark, sf):
-    return derived.leave_source_out_ranks(M.present(spark, sf), M.members(spark, sf))
-
-
-@query("a25_screening_audit", f"SELECT * FROM (SELECT {AUDIT}) CROSS JOIN (SELECT count(*) FILTER (markdown_present = 1) AS markdown_record_count, count(*) FILTER (ocr_present = 1) AS ocr_record_count, count(*) FILTER (markdown_present = 1 AND ocr_present = 1) AS both_record_count, count(*) FILTER (markdown_present = 0 AND ocr_present = 0) AS neither_record_count FROM corpus)", M.CORPUS_SQL)
-def a25(spark, sf):
-    return populations.screening_audit(M.corpus(spark, sf))
+    return dict(SQL)
