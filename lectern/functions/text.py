@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A word character as Unicode has it; \w and \b of Java are ASCII unless told otherwise.
 WORD = r"[\p{L}\p{N}_]"
@@ -31,7 +32,7 @@ def fingerprint(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 

@@ -66,7 +66,7 @@ def read_strict(spark: SparkSession, path: str, required: Iterable[str], label:
         raise Contract(f"{label}: no column {missing}")
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(header))] + [T.StructField("__bad", T.StringType())])
     table = spark.read.schema(schema).csv(path, header=True, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="__bad", enforceSchema=True)
-    if table.where("__bad IS NOT NULL").limit(1).count():
+    if table.where("__bad IS NOT NULL").limit(1).collect():
         raise Contract(f"{label}: rows have other numbers of cells than the header")
     if not table.limit(1).count():
         raise Contract(f"{label}: no rows")
