@@ -40,7 +40,9 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
     A-Z are lower-cased; words lie between ASCII white space.  A text of fewer
     words is one shingle; one without words, or null, has none.
     """
-    lower = pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), ""))
+    # a copy that starts at 0: pyarrow's ascii_lower reads a slice of large strings at wrong places
+    own = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    lower = pc.ascii_lower(own)
     parts = pc.ascii_split_whitespace(lower)
     words = parts.flatten()
     owner = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
