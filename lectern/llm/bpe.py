@@ -14,6 +14,7 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from .common import pick, ship
 
 #: Words, and pairs of tokens, that a Python worker remembers at most; it forgets all of them at once.
-WORDS, PAIRS = 500_000, 600_000
+WORDS, PAIRS = 800_000, 600_000
 #: Bytes of output that a worker gathers before it hands them on.
 BATCH = 8 << 20
 #: Control characters at which str.split() splits although they are not white space to the tokenizer.
@@ -178,11 +179,15 @@ class WordBPE(Encoder):
                     return True
         return False
 
+    def as_symbols(self, word: str) -> str:
+        if not (word.isascii() and word.isprintable()):
+            table = self.bytes
+            word = "".join([table[b] for b in word.encode("utf-8")])
+        return word[:-1] + chr(0xE000 + ord(word[-1]))
+
     def encode_word(self, word: str) -> list[int]:
         """The ids of one word (lower case, no white space) by the program over its prefixes."""
-        table = self.bytes
-        s = "".join([table[b] for b in word.encode("utf-8")])
-        s = s[:-1] + chr(0xE000 + ord(s[-1]))
+        s = self.as_symbols(word)
         last: list[int] = [-1] * len(s)
         size = [0] * len(s)
         pairs = self.pairs
@@ -213,8 +218,18 @@ class WordBPE(Encoder):
         return out
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        words = self.pattern.findall
-        return [np.array([i for w in words(c) for i in self.encode_word(w)], dtype="<u4").tobytes() for c in chunks]
+        known, words = self.known, self.pattern.findall
+        own: dict[str, bytes] = {}
+
+        def word(w: str) -> bytes:
+            ids = known.get(w) or own.get(w)
+            if ids is None:
+                ids = self.encode_word(w)
+                ids = own[w] = pack(f"<{len(ids)}I", *ids)
+            return ids
+
+        # most chunks are a word, or a word and one mark, which need no pattern: isalpha() is \p{L} throughout
+        return [word(c) if c.isalpha() else word(c[:-1]) + word(c[-1]) if c[:-1].isalpha() and c[-1] != "'" and not c[-1].isnumeric() else b"".join(map(word, words(c))) for c in chunks]
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.token_at[np.frombuffer(ids, dtype="<u4")].tolist())

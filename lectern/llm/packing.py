@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder
+from .bpe import PAIRS, WordBPE
 from .common import cut, pick, ship
 from .sharding import numbered
 
@@ -115,38 +115,64 @@ def best_fit(histogram: dict[int, int], capacity: int) -> list[Run]:
     return runs
 
 
-class LibraryEncoder(Encoder):
-    """Ids by the tokenizers library, chunk by chunk; chunks seen before are remembered."""
+class LongestFirst(WordBPE):
+    """The same ids as the tokenizers library gives, found by trying the longest token first.
 
-    def __init__(self, path: str) -> None:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
-        super().__init__({t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()})
-        self.tokenizer.encode_special_tokens = True  # the base class has taken them out
+    A token stays if it is compatible with the one before it; if none that
+    starts here does, the one before is shortened, and a place that once led
+    nowhere is not entered again.  Most words need one look a token, which is
+    cheaper than merging them or filling a table over all prefixes.
+    """
 
-    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for i in range(0, len(chunks), 1_000):
-            out += [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(chunks[i : i + 1_000], add_special_tokens=False)]
-        return out
+    def encode_word(self, word: str) -> list[int]:
+        ids, longest, pairs = self.ids, self.automaton.longest_prefix, self.pairs
+        s = self.as_symbols(word)
+        n, at, out, starts, dead = len(s), 0, [], [], set()
+        size = longest(s)
+        while True:
+            token = None
+            while size:
+                end = at + size
+                token = ids.get(s[at:end])
+                if token is not None and end not in dead:
+                    if not out:
+                        break
+                    key = out[-1] << 20 | token
+                    fits = pairs.get(key)
+                    if fits is None:
+                        if len(pairs) >= PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = not self._clash(out[-1], token)
+                    if fits:
+                        break
+                token = None
+                size -= 1
+            if token is not None:
+                out.append(token)
+                starts.append(at)
+                at = end
+                if at == n:
+                    return out
+                size = longest(s[at:])
+            elif out:
+                dead.add(at)
+                size = at - starts[-1] - 1
+                at = starts.pop()
+                out.pop()
+            else:
+                raise ValueError(f"no encoding of {word!r}")
 
 
 @lru_cache(maxsize=2)
-def library_encoder(path: str) -> LibraryEncoder:
-    return LibraryEncoder(path)
+def word_encoder(path: str) -> LongestFirst:
+    return LongestFirst(path)
 
 
 def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = END_ID) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = library_encoder(path), np.uint32(end_id).tobytes()
+        encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
             keys, pieces, starts, lengths, sums = [], [], [], [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
