@@ -253,8 +253,14 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
 
 def _best(found: DataFrame, k: int) -> DataFrame:
     """The k best of (query_id, found) over all lists; a vector that several hold counts once."""
-    each = found.select("query_id", F.explode("found").alias("f")).groupBy("query_id", F.col("f.vec_id").alias("vec_id")).agg(F.min("f.s").alias("s"))
-    best = each.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("s", "vec_id"))), 1, k).alias("best"))
+    every = F.array_sort(F.flatten(F.collect_list("found")))  # k entries for each list that the query read
+
+    def add(kept, x):
+        full = (F.size(kept) >= k) | F.exists(kept, lambda y: y["vec_id"] == x["vec_id"])
+        return F.when(full, kept).otherwise(F.concat(kept, F.array(x)))
+
+    merged = found.groupBy("query_id").agg(every.alias("every"))
+    best = merged.select("query_id", F.aggregate("every", F.slice("every", 1, 0), add).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
