@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, ship, small
+from .common import cut, pick, release, ship, small
 from .components import components
 from .shingles import as_lists, shingle_sets, signature, sliced
 
@@ -118,6 +118,7 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     sizes = cut(_sizes(docs, width, pct, False))
     known = docs.where("doc_id IS NOT NULL")
     chosen = cut(_candidates(known, width, pct))
+    release(docs.sparkSession)
     hint = F.broadcast if small(chosen, broadcast_ids) else (lambda x: x)
     whole = _whole_sets(known.join(hint(chosen), "doc_id", "left_semi"), width)
     # one row for each different set; its smallest doc_id stands for all copies
@@ -129,8 +130,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     grams = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
     held = grams.join(often, "h").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    held = held.withColumn("m", F.size("shared").cast("long")).where(F.lit(100) * F.col("m") >= F.lit(pct) * F.col("n"))
-    held = cut(held)
+    held = cut(held.withColumn("m", F.size("shared").cast("long")).where(F.lit(100) * F.col("m") >= F.lit(pct) * F.col("n")))
+    del grams, often, sets, whole, first
+    release(docs.sparkSession)
     slim = held.select("doc_id", "n", F.transform("shared", lambda x: x["h"]).alias("hashes"))
 
     # third bound: blocks of the first n - needed + 1 n-grams, of which n - m occur nowhere else
