@@ -26,10 +26,12 @@ from .shingles import sliced
 #: Labelled rows of each class that are fitted on at most, chosen by a hash of their id.
 EXAMPLES = 4_096
 #: Terms at most, and what a term must reach: documents, and chi-square between classes.
-TERMS, LEAST_DOCS, LEAST_CHI2 = 768, 5, 45.0
+TERMS, LEAST_DOCS, LEAST_CHI2 = 512, 5, 45.0
 #: Lengths of the word beginnings that are terms beside whole words.
 STEMS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
+#: Blocks that are scored at once, and documents of equal terms and counts that a worker remembers.
+AT_ONCE, SEEN = 8, 50_000
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,20 +86,31 @@ class BlockMaxIndex:
         return x / np.sqrt((x * x).sum())
 
     def nearest(self, terms: list[int], counts: list[int], skip: int | None = None) -> list[tuple[float, int]]:
-        """The NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place."""
+        """The NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place.
+
+        Blocks come in order of what their largest weights allow, some at a
+        time; once the next one cannot reach the last neighbour, none can.
+        """
         x = self.vector(terms, counts)
         bound = x @ self.most[terms]
         order = np.argsort(-bound, kind="stable")
-        found: list[tuple[float, int]] = []
-        for b in order.tolist():
-            if bound[b] <= 0 or len(found) == NEIGHBOURS and bound[b] < -found[-1][0] - 1e-12:
+        best, place = np.empty(0), np.empty(0, dtype=np.int64)
+        low = 0.0
+        for i in range(0, len(order), AT_ONCE):
+            some = order[i : i + AT_ONCE]
+            if bound[some[0]] <= 0 or bound[some[0]] < low - 1e-9:
                 break
-            at = slice(b * BLOCK, (b + 1) * BLOCK)
-            cosine = x @ self.weights[terms, at]
-            low = -found[-1][0] if len(found) == NEIGHBOURS else 0.0
-            new = [(-c, b * BLOCK + int(j)) for j in np.flatnonzero((cosine > 0) & (cosine >= low - 1e-12)) for c in (float(round(cosine[j], 12)),)]
-            found = sorted(found + [f for f in new if f[1] != skip])[:NEIGHBOURS]
-        return [(-c, j) for c, j in found]
+            at = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
+            cosine = np.round(x @ self.weights[np.ix_(terms, at)], 12)
+            ok = (cosine > 0) & (cosine >= low) & (at != (-1 if skip is None else skip))
+            best, place = np.concatenate([best, cosine[ok]]), np.concatenate([place, at[ok]])
+            if len(best) > NEIGHBOURS:
+                first = np.lexsort((place, -best))[:NEIGHBOURS]
+                best, place = best[first], place[first]
+            if len(best) == NEIGHBOURS:
+                low = float(best.min())
+        first = np.lexsort((place, -best))
+        return list(zip(best[first].tolist(), place[first].tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Each of NEIGHBOURS votes for its label with its cosine, and with what is left to 1 for the share of blank texts.
@@ -182,6 +195,19 @@ def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
     return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
 
 
+def document_frequencies(vectors: DataFrame, terms: int) -> DataFrame:
+    """t, n: how many documents have each term; each task sends its sums alone."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(terms, dtype=np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)[:terms]
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], ["t", "n"])
+
+    return vectors.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
     """doc_id, score, evidence of every row of ``docs``.
 
@@ -201,7 +227,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
     texts = pick(docs, "doc_id", "text")
     names = telling_terms(texts.join(F.broadcast(sample), "doc_id"), terms)
     vectors = cut(term_vectors(texts, names))
-    counts = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}  # ``terms`` rows at most
+    counts = {r["t"]: r["n"] for r in document_frequencies(vectors, len(names)).collect()}  # ``terms`` rows at most
     idf = np.log((vectors.count() + 1) / (np.array([counts.get(i, 0) for i in range(len(names))], dtype=np.float64) + 1)) + 1
     own = {r.doc_id: (r.doc_id, list(r.terms), list(r.counts), r.toxic) for r in vectors.join(F.broadcast(sample), "doc_id").collect()}
     held = sorted(own.values())
@@ -211,9 +237,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES
     shared = spark.sparkContext.broadcast(index)  # terms * 2 * examples weights at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = shared.value
+        index, seen = shared.value, {}
         for b in batches:
-            done = [index.score(t, c) for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            done = []
+            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                key = (*t, -1, *c)
+                if key not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen[key] = index.score(t, c)
+                done.append(seen[key])
             evidence = pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in done], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in done], pa.float64()), evidence], ["doc_id", "score", "evidence"])
 
