@@ -32,12 +32,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     n_chars is the new text's where a text has changed.
     """
-    done = lines.line_dedup(docs).where("doc_id IS NOT NULL AND size(removed) > 0").select("doc_id", F.col("text").alias("new_text")).dropDuplicates(["doc_id"])
-    joined = docs.join(done, "doc_id", "left").where(~F.coalesce(F.trim(F.regexp_replace("new_text", "[\\t-\\r ]+", " ")) == "", F.lit(False)))
-    changed = {"text": F.coalesce("new_text", "text")}
+    done = lines.line_dedup(docs)
+    changed = F.size("removed") > 0
+    blank = F.trim(F.regexp_replace("text", "[\\t-\\r ]+", " ")) == ""
+    done = done.where(~(changed & blank))
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("new_text").isNotNull(), F.length("new_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
-    return joined.withColumns(changed).select(docs.columns)
+        done = done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return done.select(docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
