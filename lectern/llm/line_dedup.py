@@ -1,13 +1,13 @@
 """Line dedup: aligned common blocks go from the later of two documents.
 
 A line ends at a newline or after a sentence, so a passage is found wherever
-it stands.  Documents that overlap are found through line hashes that few or
-many documents share, but each line is paired with one document only: the
-first (smallest doc_id) that has it.  So a line costs one row however often it
-occurs, and no two later documents are ever paired with each other over it.
-Each pair is aligned by patience diff: lines that are unique in both are
-anchors, the longest run of anchors that keeps its order in both stays, and
-blocks grow from the anchors over equal neighbours.
+it stands.  A block is a stretch of lines that two documents have in common.
+Aligning each document with all earlier ones, and what is left again until no
+block has enough words, takes the lines of all such stretches.  These are the
+lines of the least stretches that have the words, so hashes of these are
+matched in place of pairs of documents: no pair has to be chosen, none is
+missed, and copies or repeats cost no more than other lines.  ``patience``
+aligns one pair in order; the operator does not need it.
 """
 
 from __future__ import annotations
@@ -25,12 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pick, release, ship
-from .shingles import sliced
+from .shingles import MIX, mixed, sliced
 
 #: A common block goes only if it has as many words in all.
 BLOCK_WORDS = 10
 #: Between any two places of a text where this matches, there is one line.
 BORDER = re.compile(r"(?<=\n)|(?<=[.!?])(?=[ \t])")
+#: Odd bases of the two rolling hashes; 3 mod 8, so that places far apart differ in nearly all bits.
+BASES = (np.uint64(0x9E3779B97F4A7C13), np.uint64(0xD1B54A32D192ED03))
 SPACE = "\t\n\x0b\x0c\r "
 
 
@@ -99,70 +101,98 @@ def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     return out
 
 
-def line_hashes(docs: DataFrame) -> DataFrame:
-    """doc_id, h1 and h2: 96 bits of each line of a text, in order; 0 and 0 for a line of white space."""
+def windows_of(owns: list[list[str]], block_words: int) -> tuple[np.ndarray, ...]:
+    """text, start, end, h1 and h2 of all least blocks of the texts' plain lines; start and end count over all texts.
+
+    A least block is a stretch of lines that has ``block_words`` words and
+    would have fewer without its last line, or without its first one.  It is
+    found from each line on, and from each line back, so a stretch in common
+    that has the words is covered by least blocks in common.
+    """
+    flat = [x for own in owns for x in own]
+    sizes = np.array([len(own) for own in owns], dtype=np.int64)
+    text = np.repeat(np.arange(len(owns)), sizes)
+    ends = np.cumsum(sizes)
+    words = np.concatenate([[0], np.cumsum(np.array([len(x.split()) for x in flat], dtype=np.int64))])
+    n = len(flat)
+    at = np.arange(n)
+    # from each line on
+    to = np.searchsorted(words, words[:-1] + block_words, side="left")
+    on = to <= ends[text] if n else np.zeros(0, bool)
+    # from each line back, where it is not one of those
+    since = np.searchsorted(words, words[1:] - block_words, side="right") - 1
+    back = since >= (ends - sizes)[text] if n else np.zeros(0, bool)
+    back &= ~(on[since] & (to[since] == at + 1)) if n else back
+    start, end = np.concatenate([at[on], since[back]]), np.concatenate([to[on], at[back] + 1])
+    both = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, flat)), dtype="<u8").reshape(-1, 2)
+    out = []
+    with np.errstate(over="ignore"):
+        for k, base in enumerate(BASES):
+            up = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, base, np.uint64))])
+            down = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, pow(int(base), -1, 1 << 64), np.uint64))])
+            total = np.concatenate([[np.uint64(0)], np.cumsum(both[:, k] * up[:n], dtype=np.uint64)])
+            out.append(mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * MIX[0]))
+    return text[start] if n else start, start, end, out[0].view(np.int64), (out[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def window_hashes(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc_id, h1 and h2: 96 bits of each different least block of a text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                digests, sizes = [], []
-                for text in part.column(1).to_pylist():
-                    own = [plain(x) for x in lines_of(text or "")]
-                    digests += [xxhash.xxh3_128_digest(x) if x else bytes(16) for x in own]
-                    sizes.append(len(own))
-                both = np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
-                h1 = pa.ListArray.from_arrays(offsets, pa.array(both[:, 0].copy()))
-                h2 = pa.ListArray.from_arrays(offsets, pa.array((both[:, 1] >> 32).astype(np.int32)))
-                yield pa.RecordBatch.from_arrays([part.column(0), h1, h2], ["doc_id", "h1", "h2"])
+                owns = [[plain(x) for x in lines_of(t or "")] for t in part.column(1).to_pylist()]
+                text, _, _, h1, h2 = windows_of(owns, block_words)
+                order = np.lexsort((h2, h1, text))
+                text, h1, h2 = text[order], h1[order], h2[order]
+                new = np.ones(len(text), bool)
+                new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+                offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(owns)))]).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(h1[new])), pa.ListArray.from_arrays(offsets, pa.array(h2[new]))], ["doc_id", "h1", "h2"])
 
     return docs.mapInArrow(run, "doc_id long, h1 array<long>, h2 array<int>")
 
 
-def shared_lines(docs: DataFrame) -> DataFrame:
-    """doc_id and matches (at, first_doc, first_at): each of its lines that an earlier document has.
+def shared_windows(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc_id and matches: h1 of its least blocks that any earlier document has.
 
-    At most one row for each place of a line; of the places of a line in the
-    first document the first one counts.
+    Whether an earlier document has a block is known from the smallest doc_id
+    that has it, so a block costs one row a document however often it occurs.
     """
-    hashes = cut(line_hashes(docs))
-    lines = hashes.select("doc_id", F.posexplode(F.arrays_zip("h1", "h2")).alias("at", "h")).select("doc_id", "at", "h.h1", "h.h2").where("h1 <> 0 OR h2 <> 0")
-    first = lines.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id < last")
-    first = first.select("h1", "h2", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
-    found = lines.join(first, ["h1", "h2"]).where("doc_id > first_doc")
-    return found.groupBy("doc_id").agg(F.collect_list(F.struct("at", "first_doc", "first_at")).alias("matches"))
-
-
-def cut_out(lines: list[str], matches: list[tuple[int, int, int]], block_words: int = BLOCK_WORDS) -> list[int]:
-    """The places of the lines that go: those of blocks in common with earlier documents."""
-    by_doc = defaultdict(list)
-    for at, doc, there in matches:
-        by_doc[doc].append((at, there))
-    gone: set[int] = set()
-    for pairs in by_doc.values():
-        # what a block can have at most is what all its lines have
-        if sum(len(lines[at].split()) for at, _ in pairs) >= block_words:
-            for block in blocks(pairs):
-                if sum(len(lines[i].split()) for i in block) >= block_words:
-                    gone.update(block)
-    return sorted(gone)
+    hashes = cut(window_hashes(docs, block_words))
+    rows = hashes.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("h1", "h2", "first_doc")
+    found = rows.join(first, ["h1", "h2"]).where("doc_id > first_doc")
+    return found.groupBy("doc_id").agg(F.collect_list("h1").alias("matches"))
+
+
+def cut_out(lines: list[str], matches: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
+    """The places of the lines that go: those of least blocks that earlier documents have."""
+    _, start, end, h1, _ = windows_of([[plain(x) for x in lines]], block_words)
+    hit = np.isin(h1, matches)
+    change = np.zeros(len(lines) + 1, dtype=np.int64)
+    np.add.at(change, start[hit], 1)
+    np.add.at(change, end[hit], -1)
+    return np.flatnonzero(np.cumsum(change)[:-1] > 0).tolist()
 
 
 def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, text (what stays), n_lines, removed (places of the lines that went), and the other columns, for every row.
 
-    doc_id orders documents; the first one with a line keeps it, as does every
-    document for lines it repeats itself.  Rows that share a doc_id are not
-    held against each other, but all against earlier ones.  Null texts stay
-    null, empty ones empty; a row without doc_id is left as it is.  A block
-    goes only if it has ``block_words`` words.  Columns of ``docs`` that bear a
+    A line goes if it lies in a stretch of lines, ``block_words`` words or more
+    in all, that stands in any document of smaller doc_id as well, whatever
+    that one keeps of it; white space around lines does not count, blank lines
+    do.  So the first document with a stretch keeps it, as does every document
+    for what it repeats itself.  Rows that share a doc_id are not held against
+    each other, but all against earlier ones.  Null texts stay null, empty ones
+    empty; a row without doc_id is left as it is.  Columns of ``docs`` that bear a
     result's name are replaced by the result.
     """
     ship(docs.sparkSession)
     extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "removed", "matches")]
     docs = pick(docs, "doc_id", "text", *extra)
     rows = docs.where("doc_id IS NOT NULL")
-    found = cut(shared_lines(rows.select("doc_id", "text").where("text <> ''")))
+    found = cut(shared_windows(rows.select("doc_id", "text").where("text <> ''"), block_words))
     release(docs.sparkSession)
     both = rows.join(found, "doc_id", "left").unionByName(docs.where("doc_id IS NULL").withColumn("matches", F.lit(None).cast(found.schema["matches"].dataType)))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:]]
@@ -171,12 +201,12 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
         for batch in batches:
             for part in sliced(batch):
                 found = part.column(2)
-                at, doc, there = (x.to_pylist() for x in found.flatten().flatten())
+                keys = found.flatten().to_numpy(zero_copy_only=False)
                 sizes = pc.fill_null(pc.list_value_length(found), 0).to_pylist()
                 texts, counts, gone, start = [], [], [], 0
                 for text, n in zip(part.column(1).to_pylist(), sizes, strict=True):
                     lines, end = lines_of(text or ""), start + n
-                    places = cut_out(lines, list(zip(at[start:end], doc[start:end], there[start:end], strict=True)), block_words) if n else []
+                    places = cut_out(lines, keys[start:end], block_words) if n else []
                     drop, start = set(places), end
                     texts.append("".join([x for i, x in enumerate(lines) if i not in drop]) if places else text)
                     counts.append(len(lines))

@@ -98,3 +98,50 @@ def test_patience_by_hand():
 def test_lines_join_to_the_text():
     for text in ["", "\n\n", "a. b! c?\nd", " . . ", "x.y\n z"]:
         assert "".join(L.lines_of(text)) == text
+
+
+def every_block(docs, words=L.BLOCK_WORDS):
+    """Each document against all earlier ones: lines of all common stretches that have the words."""
+    held, places, out = [], defaultdict(list), {}
+    for doc, text in sorted(x for x in docs if x[1] is not None):
+        own = [x.strip("\t\n\x0b\x0c\r ") for x in L.lines_of(text)]
+        gone = set()
+        for i, line in enumerate(own):
+            for k, j in places[line]:
+                there = held[k]
+                if i and j and own[i - 1] == there[j - 1]:
+                    continue
+                n = 0
+                while i + n < len(own) and j + n < len(there) and own[i + n] == there[j + n]:
+                    n += 1
+                if sum(len(x.split()) for x in own[i : i + n]) >= words:
+                    gone.update(range(i, i + n))
+        for j, line in enumerate(own):
+            places[line].append((len(held), j))
+        held.append(own)
+        out[doc] = sorted(gone)
+    return out
+
+
+def check_all(rows, docs):
+    want, text = every_block(docs), dict(docs)
+    assert len(rows) == len(docs)
+    for r in rows:
+        own = L.lines_of(text[r.doc_id] or "")
+        assert list(r.removed) == want.get(r.doc_id, []), r.doc_id
+        assert (r.text or "") == "".join(x for i, x in enumerate(own) if i not in set(r.removed))
+
+
+def test_every_earlier_document_over_the_table(spark, sf_dir):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    check_all(L.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), docs)
+
+
+def test_short_lines_with_other_first_owners(spark):
+    rng = random.Random(6)
+    lines = [f"l{i} is short." if i % 5 else "" for i in range(40)]
+    docs = [(i, "\n".join([*rng.sample(lines, 12), f"own {i}"])) for i in range(30)]
+    docs += [(40, "\n".join(lines)), (41, "\n".join(lines)), (42, "\n".join(lines[20:] + lines[:20]))]
+    rows = L.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    check_all(rows, docs)
+    assert {r.text for r in rows if r.doc_id > 40} == {""}
