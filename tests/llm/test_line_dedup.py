@@ -145,3 +145,14 @@ def test_short_lines_with_other_first_owners(spark):
     rows = L.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     check_all(rows, docs)
     assert {r.text for r in rows if r.doc_id > 40} == {""}
+
+
+def test_passages_held_twice(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join(rng.choice("abcdefgh") * rng.randint(1, 6) + str(rng.randint(0, 9)) for _ in range(n)) + "."
+    passage = " ".join(say(4) for _ in range(8))
+    docs = [(0, f"{say(12)} {passage}"), (7, f"{passage} {passage}"), (8, f"{passage} {say(12)} {passage}"), (9, f"{passage} {passage} {passage}\n{say(20)}")]
+    rows = {r.doc_id: r for r in L.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    check_all(list(rows.values()), docs)
+    assert rows[7].text == "" and rows[7].removed == list(range(16))
+    assert len(rows[8].removed) == 16 and len(rows[9].removed) == 24
