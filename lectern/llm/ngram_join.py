@@ -16,8 +16,10 @@ follow from it:
 
 Copies are one class.  In a block every member is first held against its most
 central member alone; only members that are then still in different components
-are paired, so a block of near copies costs about one product a member and no
-link between components is lost.
+are paired.  That gives the components.  All links lie within one, so each
+component's incidence matrix is then multiplied with its transpose, in blocks
+of CHUNK by CHUNK classes whose overlap counts are accumulated over stretches of
+n-grams.  Every pair of different texts gets its exact overlap there.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick, release, ship, small
@@ -35,6 +37,8 @@ from .shingles import as_lists, shingle_sets, signature, sliced
 
 #: Document ids (8 bytes each) up to which candidates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: Classes on a side of one block of a component's product, and n-grams that are multiplied at once.
+CHUNK, COLUMNS = 256, 4_096
 
 
 def needed(n: int, pct: int) -> int:
@@ -101,18 +105,76 @@ def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
     return both.where(F.lit(100) * F.col("overlap") >= F.lit(pct) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
 
 
-def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``.
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many hashes each set on the left has in common with each one on the right."""
+    codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1].reshape(-1)
+    sizes = [len(x) for x in (*left, *right)]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(codes, kind="stable")
+    codes, owner = codes[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float64)
+    top = int(codes[-1]) + 1 if len(codes) else 0
+    for low in range(0, top, COLUMNS):
+        some = slice(*np.searchsorted(codes, [low, low + COLUMNS]))
+        x = np.zeros((len(sizes), min(COLUMNS, top - low)), np.float32)
+        x[owner[some], codes[some] - low] = 1
+        out += x[: len(left)] @ x[len(left) :].T
+    return out.astype(np.int64)
+
+
+def _products(members: DataFrame, pct: int, pairs: bool, chunk: int) -> DataFrame:
+    """Links within components: (a, a_v, a_n, b, b_v, b_n, overlap) of each one, or (doc_id, v, links) sums of a block's rows."""
+    many = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    dealt = members.join(many, "component").withColumn("own", F.pmod(F.xxhash64("doc_id", "v"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "v", "n", "rows", "hashes")
+    dealt = dealt.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
+
+    def block(rows: list[tuple]) -> tuple:
+        """Places of linked members in ``rows``, each pair once, and their overlaps."""
+        one = [i for i, r in enumerate(rows) if r[3] == r[1]]
+        two = one if rows[0][1] == rows[0][2] else [i for i, r in enumerate(rows) if r[3] == r[2]]
+        if not one or not two:
+            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
+        n = np.array([r[6] for r in rows])
+        common = overlaps([rows[i][8] for i in one], [rows[i][8] for i in two])
+        ok = 100 * common >= pct * (n[one][:, None] + n[two][None, :] - common)
+        x, y = np.nonzero(np.triu(ok, 1) if one is two else ok)
+        return np.array(one)[x], np.array(two)[y], common[x, y]
+
+    def told(rows: list[tuple]) -> pa.RecordBatch | None:
+        x, y, common = block(rows)
+        if not len(x):
+            return None
+        ids, v, n, weight = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        if pairs:
+            return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (ids[x], v[x], n[x], ids[y], v[y], n[y], common)], ["a", "a_v", "a_n", "b", "b_v", "b_n", "overlap"])
+        links = np.zeros(len(rows), np.int64)
+        np.add.at(links, x, weight[y])
+        np.add.at(links, y, weight[x])
+        own = links > 0
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (ids[own], v[own], links[own])], ["doc_id", "v", "links"])
 
-    A set is a text's distinct ``width``-word shingles (A-Z lower-cased, ASCII
-    white space between words); with fewer words the whole text is its one
-    shingle; an empty or null text has none and links with nothing.  Two
-    documents link when 100 * overlap >= pct * union; component_id is the
-    smallest doc_id that links reach.  Rows that share a doc_id are one
-    document with the links of any.  A row without doc_id has its size and a
-    null component and links nothing.  No row is dropped; an empty table gives
-    none.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for batch in batches:
+            offsets = batch.column(8).offsets.to_numpy()
+            values = batch.column(8).values.to_numpy(zero_copy_only=False)
+            plain = [batch.column(k).to_pylist() for k in range(8)]
+            for i, row in enumerate(zip(*plain, strict=True)):
+                if rows and rows[0][:3] != row[:3]:
+                    if (done := told(rows)) is not None:
+                        yield done
+                    rows = []
+                rows.append((*row, values[offsets[i] : offsets[i + 1]]))
+        if rows and (done := told(rows)) is not None:
+            yield done
+
+    return dealt.mapInArrow(run, "a long, a_v long, a_n long, b long, b_v long, b_n long, overlap long" if pairs else "doc_id long, v long, links long")
+
+
+def _components(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Sizes of all rows; candidates' classes (n, s1, s2, doc_id, v, rows); those with links, with their sets; components of their doc_ids."""
     docs = pick(docs, "doc_id", "text")
     ship(docs.sparkSession)
     sizes = cut(_sizes(docs, width, pct, False))
@@ -123,17 +185,20 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     whole = _whole_sets(known.join(hint(chosen), "doc_id", "left_semi"), width)
     # one row for each different set; its smallest doc_id stands for all copies
     whole = cut(whole)
-    first = whole.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"))
-    sets = whole.join(first, ["n", "s1", "s2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
+    first = whole.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
+    # v tells the different sets of one doc_id apart
+    first = cut(first.withColumn("v", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "s1", "s2"))))
+    release(docs.sparkSession)
+    sets = whole.join(first.drop("rows"), ["n", "s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "v"])
 
     # second bound: n-grams that occur in another candidate
-    grams = sets.select("doc_id", "n", F.explode("hashes").alias("h"))
+    grams = sets.select("doc_id", "v", "n", F.explode("hashes").alias("h"))
     often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = grams.join(often, "h").groupBy("doc_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
+    held = grams.join(often, "h").groupBy("doc_id", "v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
     held = cut(held.withColumn("m", F.size("shared").cast("long")).where(F.lit(100) * F.col("m") >= F.lit(pct) * F.col("n")))
-    del grams, often, sets, whole, first
+    del grams, often, sets, whole
     release(docs.sparkSession)
-    slim = held.select("doc_id", "n", F.transform("shared", lambda x: x["h"]).alias("hashes"))
+    slim = held.select("doc_id", "v", "n", F.transform("shared", lambda x: x["h"]).alias("hashes"))
 
     # third bound: blocks of the first n - needed + 1 n-grams, of which n - m occur nowhere else
     prefix = F.col("n") - F.ceil(F.col("n") * pct / 100 - 1e-9) + 1 - (F.col("n") - F.col("m"))
@@ -164,7 +229,46 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     if not small(more, 0):
         found = components(links.unionByName(more))
 
-    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("component", "rep").alias("component"))
+    members = slim.join(found.withColumnRenamed("node", "doc_id"), "doc_id").join(first.select("doc_id", "v", "rows"), ["doc_id", "v"])
+    return sizes, first, members, found
+
+
+def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts, and who has these texts.
+
+    Pairs (a, b, a_class, b_class, a_n, b_n, overlap) of classes, each once; a
+    and b are their smallest doc_ids.  Membership (doc_id, class, n_shingles),
+    class null for a row that has no link to a different text.
+    """
+    ship(docs.sparkSession)
+    sizes, first, members, _ = _components(docs, width, pct, broadcast_ids)
+    name = lambda d, v: F.concat_ws("/", d, v)
+    pairs = cut(_products(members, pct, True, chunk).select("a", "b", name("a", "a_v").alias("a_class"), name("b", "b_v").alias("b_class"), "a_n", "b_n", "overlap"))
+    linked = pairs.select(F.col("a_class").alias("class")).unionByName(pairs.select(F.col("b_class").alias("class"))).distinct()
+    named = first.withColumn("class", name("doc_id", "v")).join(linked, "class").select("n", "s1", "s2", "class")
+    return pairs, sizes.where("doc_id IS NOT NULL").join(named, ["n", "s1", "s2"], "left").select("doc_id", "class", F.col("n").alias("n_shingles"))
+
+
+def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> DataFrame:
+    """doc_id, n_shingles, n_links, component_id for every row of ``docs``.
+
+    A set is a text's distinct ``width``-word shingles (A-Z lower-cased, ASCII
+    white space between words); with fewer words the whole text is its one
+    shingle; an empty or null text has none and links with nothing.  Two
+    documents link when 100 * overlap >= pct * union; n_links is how many other
+    rows with a doc_id a row's text links with, copies included, and
+    component_id the smallest doc_id that links reach.  Rows that share a doc_id are one
+    document with the links of any.  A row without doc_id has its size and a
+    null component and links nothing.  No row is dropped; an empty table gives
+    none.
+    """
+    ship(docs.sparkSession)
+    sizes, first, members, found = _components(docs, width, pct, broadcast_ids)
+    links = _products(members, pct, False, chunk).groupBy("doc_id", "v").agg(F.sum("links").alias("links"))
+    linked = first.join(links, ["doc_id", "v"]).select("n", "s1", "s2", "links")
+    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
+    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(linked, ["n", "s1", "s2"], "left")
+    named = named.select("n", "s1", "s2", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
     rows = sizes.join(named, ["n", "s1", "s2"], "left")
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    known = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))

@@ -69,3 +69,32 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert {d: x for d, x in got.items() if d is not None} == plain(docs, 3, 90)
     assert got[None] == (1, None)
     assert ngram_join.ngram_jaccard_join(no_docs).count() == 0
+
+
+def test_every_link_of_near_copies(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    docs = []
+    for size in (70, 6, 2):
+        base = rng.choices(words, k=80)
+        for _ in range(size):
+            own = list(base)
+            for _ in range(rng.randint(0, 4)):
+                own[rng.randrange(len(own))] = rng.choice(words)
+            docs.append(own)
+    docs += docs[:9] + [rng.choices(words, k=50)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(docs)] + [(3, " ".join(docs[75])), (200, ""), (None, " ".join(docs[0]))]
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(len(t.split()) - 2)} for _, t in rows]
+    links = {(i, j): len(s & t) for i, s in enumerate(sets) for j, t in enumerate(sets) if i < j and s and t and None not in (rows[i][0], rows[j][0]) and 100 * len(s & t) >= 80 * len(s | t)}
+    want = sorted((str(d), sum(i in p for p in links)) for i, (d, _) in enumerate(rows))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    different = {(frozenset(sets[i]), frozenset(sets[j])) for i, j in links if sets[i] != sets[j]}
+    different = {frozenset(p) for p in different}
+    for chunk in (256, 16):
+        got = ngram_join.ngram_jaccard_join(frame, 3, 80, chunk=chunk).collect()
+        assert sorted((str(r.doc_id), r.n_links) for r in got) == want
+        pairs, members = ngram_join.ngram_pairs(frame, 3, 80, chunk=chunk)
+        pairs, members = pairs.collect(), members.collect()
+        assert len(pairs) == len({frozenset((r.a_class, r.b_class)) for r in pairs}) == len(different) > 200
+        assert sorted(r.overlap for r in pairs) == sorted(len(frozenset.intersection(*p)) for p in different)
+        assert len(members) == len(rows) - 1
