@@ -100,7 +100,7 @@ class Lists:
         return np.concatenate(rows), np.concatenate(lists)
 
     def search(self, q: np.ndarray, least: int) -> list[int]:
-        """Lists within the ratio of the nearest one's distance, found along the graph; more until they hold ``least`` vectors."""
+        """Lists within the ratio of the nearest one's distance, found along the graph; more until they hold ``least`` ids."""
         q = np.append(q, 0.0)
 
         def far(ids: np.ndarray) -> np.ndarray:
@@ -138,9 +138,10 @@ def as_matrix(column: list[bytes] | pd.Series) -> np.ndarray:
 
 
 def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[int, list[int], list[float]]]:
-    """For each query the k best of these vectors other than itself; equal scores by id.
+    """For each query the k best ids of these vectors other than itself; equal scores by id.
 
-    Equal vectors are scored once, with their k + 1 smallest ids.  Products
+    Equal vectors are scored once, with their k + 1 smallest different ids; an
+    id of several vectors counts once, with its best one.  Products
     choose among distinct vectors with room to spare; what they choose is then
     scored row by row, so equal vectors get equal scores.
     """
@@ -150,15 +151,22 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
     kind = kind.reshape(-1)
     members: list[list[int]] = [[] for _ in kinds]
     for i, c in zip(ids.tolist(), kind.tolist(), strict=True):
-        if len(members[c]) <= k:
+        if len(members[c]) <= k and members[c][-1:] != [i]:
             members[c].append(i)
+    # so many of the best vectors have k + 1 ids at least, however many vectors one id has
+    most = int(np.unique(np.unique(np.stack([ids, kind]), axis=1)[0], return_counts=True)[1].max(initial=1))
     rough = q @ kinds.T
-    spare = min(len(kinds), k + 16)
+    spare = min(len(kinds), (k + 1) * most + 16)
     for row, qid, own in zip(rough, query_ids.tolist(), q, strict=True):
         chosen = np.argpartition(-row, spare - 1)[:spare]
         exact = (kinds[chosen] * own).sum(axis=1)
-        found = sorted((-s, i) for s, c in zip(exact.tolist(), chosen.tolist(), strict=True) for i in members[c] if i != qid)[:k]
-        yield qid, [i for _, i in found], [-s for s, _ in found]
+        found = sorted((-s, i) for s, c in zip(exact.tolist(), chosen.tolist(), strict=True) for i in members[c] if i != qid)
+        best: dict[int, float] = {}
+        for s, i in found:
+            if len(best) == k:
+                break
+            best.setdefault(i, -s)
+        yield qid, list(best), list(best.values())
 
 
 def vectors(table: DataFrame, key: str, column: str) -> DataFrame:
@@ -193,8 +201,8 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
     """
     spark = table.sparkSession
     ship(spark)
-    base = cut(vectors(table, key, column))
-    asked = cut(vectors(queries, key, column))
+    base = cut(vectors(table, key, column).dropDuplicates(["vec_id", "v"]))
+    asked = cut(vectors(queries, key, column).dropDuplicates(["vec_id", "v"]))
     out = "query_id long, rank int, vec_id long, score double"
     n = base.count()
     if not n or not asked.limit(1).count():
@@ -221,17 +229,22 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_i
                 yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["list", "vec_id", "v"])
 
     posted = cut(base.mapInArrow(assign, "list int, vec_id long, v binary"))
-    lists.sizes = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
+    rows = {r["list"]: r["n"] for r in posted.groupBy("list").agg(F.count("*").alias("n")).collect()}  # MOST_LISTS rows at most
+    homes = cut(posted.select("list", "vec_id").distinct())
+    lists.sizes = {r["list"]: r["n"] for r in homes.groupBy("list").agg(F.count("*").alias("n")).collect()}
+    # lists that hold 2 * k ids for each list that one id may be in hold 2 * k different ones
+    spread = homes.groupBy("vec_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
+    least = 2 * k * max(COPIES, spread)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                hits = [lists.search(q, 4 * k) for q in as_matrix(b.column(1).to_pylist())]
+                hits = [lists.search(q, least) for q in as_matrix(b.column(1).to_pylist())]
                 rows = np.repeat(np.arange(len(b)), [len(h) for h in hits])
                 yield pa.RecordBatch.from_arrays([pa.array([x for h in hits for x in h], pa.int32()), b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows))], ["list", "query_id", "q"])
 
     probes = cut(asked.mapInArrow(walk, "list int, query_id long, q binary"))
-    chunks = spark.createDataFrame([(i, -(-c // CHUNK)) for i, c in sorted(lists.sizes.items())], "list int, parts int")
+    chunks = spark.createDataFrame([(i, -(-c // CHUNK)) for i, c in sorted(rows.items())], "list int, parts int")
     counts = probes.groupBy("list").agg(F.count("*").alias("n"))
     plan = cut(chunks.join(counts, "list").select("list", "parts", F.ceil(F.col("n") / QUERY_CHUNK).cast("int").alias("query_parts")))
     plan = F.broadcast(plan)  # MOST_LISTS rows at most

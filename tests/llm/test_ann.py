@@ -61,3 +61,34 @@ def test_odd_vectors(spark):
     got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(table, table, 5).collect())
     assert got == [(0, 1, 8, 1.0), (0, 2, 9, 0.5), (8, 1, 0, 1.0), (8, 2, 9, 0.5), (9, 1, 0, 0.5), (9, 2, 8, 0.5)]
     assert ann.nearest(table.limit(0), table, 5).count() == 0 == ann.nearest(table, table.limit(0), 5).count()
+
+
+def best_ids(rows, asked, k):
+    ids, x = np.array([i for i, _ in rows]), np.array([v for _, v in rows], dtype=np.float64)
+    out = {}
+    for i, q in asked:
+        best = out.setdefault(i, {})
+        for j, s in zip(ids.tolist(), (x * np.array(q, dtype=np.float64)).sum(axis=1).tolist()):
+            if j != i:
+                best[j] = max(s, best.get(j, s))
+    return {i: sorted((-s, j) for j, s in best.items())[:k] for i, best in out.items()}
+
+
+def test_repeated_rows_leave_room_for_other_ids():
+    rng = np.random.default_rng(3)
+    own = [(i, rng.normal(size=6)) for i in range(60)] + [(100 + i, np.full(6, 2.0)) for i in range(30)]
+    for rows in (own * 2, own * 25, own + own[60:61] * 21, own + [(7, v + rng.normal(size=6) / 9) for _, v in own for _ in range(25)]):
+        asked = [r for r in own if r[0] % 9 == 0]
+        got = {q: list(zip(scores, ids)) for q, ids, scores in ann.nearest_in(np.array([i for i, _ in rows]), np.stack([v for _, v in rows]), np.array([i for i, _ in asked]), np.stack([v for _, v in asked]), 20)}
+        want = best_ids(rows, asked, 20)
+        assert {q: [i for _, i in x] for q, x in got.items()} == {q: [i for _, i in x] for q, x in want.items()}
+
+
+def test_tables_of_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 100)
+    rng = np.random.default_rng(5)
+    own = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 6)))]
+    for times in (2, 25):
+        table = spark.createDataFrame(own * times, "vec_id long, embedding array<double>").repartition(3)
+        got = ann.nearest(table, table.where("vec_id % 9 = 0"), 20).collect()
+        assert recall(got, best_ids(own, [r for r in own if r[0] % 9 == 0], 20), 20) >= 0.9
