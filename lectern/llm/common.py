@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
-import time
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +12,13 @@ from pyspark.sql import functions as F
 ROOT = str(Path(__file__).resolve().parents[2])
 
 
+#: Bytes of a batch that goes to a Python worker: several of these are held at once, on both sides.
+BATCH = "8m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
+    """Let Python workers import this package from where the driver has it, and take batches of bounded size."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
@@ -27,32 +30,29 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+
+    A folder of this machine serves only where Spark runs on this machine alone.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="lectern-")
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and go on from there.
 
-    The folder is the one that the cluster names in spark.checkpoint.dir; a
-    temporary one is made only where that setting is missing (tests).
+    Spark removes the files once nothing refers to them, where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that nothing refers to any more.
-
-    It does so when the driver's garbage is collected, which a driver with
-    little to do of its own may put off while files pile up on the executors.
-    What a first round lets go of is found by a second one.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name before any other spelling.
 

@@ -1,25 +1,25 @@
 """N-gram Jaccard join: which documents' shingle sets are linked, and through whom.
 
-The document by n-gram incidence matrix is multiplied with its transpose in
-blocks of one n-gram each, but only where a product can reach the threshold.
-With sizes n and m, 100 * overlap >= pct * union needs an overlap of at least
-pct / (100 + pct) * (n + m), so at least pct % of either size; three bounds
-follow from it:
-
-* any two linked sets share at least min(k, k') of their smallest
-  size - needed + k hashes.  A first pass emits only these, and a document of
-  which too few occur elsewhere is done;
-* of a document's n-grams pct % must occur in other candidates;
-* ordered from rare to frequent, linked sets share one of their first
-  size - needed + 1 n-grams, and the places of the first shared one bound the
-  overlap of the pair.
-
-Copies are one class.  In a block every member is first held against its most
-central member alone; only members that are then still in different components
-are paired.  That gives the components.  All links lie within one, so each
-component's incidence matrix is then multiplied with its transpose, in blocks
-of CHUNK by CHUNK classes whose overlap counts are accumulated over stretches of
-n-grams.  Every pair of different texts gets its exact overlap there.
+The incidence matrix of different texts by n-grams is multiplied with its
+transpose in blocks.  With sizes n and m, 100 * overlap >= pct * union needs an
+overlap of pct % of either size at least (``needed``).  All n-grams have one
+order, from rare to frequent, and of two linked texts
+
+* the first size - needed + 1 n-grams (the core) have one in common,
+* the first size - needed + 1 + e have min(e, e') + 1 in common.
+
+So a first, slim product counts over these heads alone how many n-grams each
+text shares with any other, and discards texts below the bound.  What is left
+is dealt into blocks: of the texts with an n-gram in their cores the most
+central one is its leader, and a leader's block is everyone whose core has one
+of its n-grams.  Each linked pair meets in a block, whoever leads it.  A block
+is multiplied tile by tile, CHUNK by CHUNK texts, its overlap counts
+accumulated over stretches of n-grams; pairs below the bound are discarded,
+and a pair that meets in several blocks counts in the one of smallest leader.
+Components follow from a spanning forest of each tile.
+
+How often an n-gram occurs is known from a sketch of BUCKETS counts.  It only
+orders n-grams, so the result doesn't depend on its precision.
 """
 
 from __future__ import annotations
@@ -28,17 +28,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, release, ship, small
+from .common import cut, pick, ship, small
 from .components import components
 from .shingles import as_lists, shingle_sets, signature, sliced
 
 #: Document ids (8 bytes each) up to which candidates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: Classes on a side of one block of a component's product, and n-grams that are multiplied at once.
-CHUNK, COLUMNS = 256, 4_096
+#: Texts on a side of a tile, and n-grams that are multiplied at once.
+CHUNK, COLUMNS = 512, 4_096
+#: Counts in the sketch of n-gram frequencies, and how many of them are in a row of it.
+BUCKETS, ROW = 1 << 16, 1 << 12
+#: Per thousand of a set, how many n-grams a head has beyond the core.
+SPARE = 30
+LOW = np.uint64((1 << 56) - 1)
+SHIFT = np.uint64(56)
 
 
 def needed(n: int, pct: int) -> int:
@@ -46,114 +52,205 @@ def needed(n: int, pct: int) -> int:
     return -(-pct * n // 100)
 
 
-def margin(n: int) -> int:
-    """k of the first bound: how many hashes beyond the prefix are looked at."""
-    return -(-n // 10)
+def core(n: int, pct: int) -> int:
+    """How many of its first n-grams hold one that a set of ``n`` shares with any set it links to."""
+    return n - needed(n, pct) + 1
+
+
+def spare(n: int) -> int:
+    return SPARE * n // 1_000
 
 
 def least_shared(n: int, pct: int) -> int:
-    """Of its first hashes, how many a set of ``n`` shares with any set it links to."""
-    return max(1, min(margin(n), margin(needed(n, pct))))
+    """Of the n-grams in its head, how many a set of ``n`` shares with any set it links to."""
+    return min(spare(needed(n, pct)) + 1, needed(n, pct))
+
+
+def bucket(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(48)).astype(np.int64)
+
 
+def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, node (64 bits of the set) of each row; and (at, counts) of each task's sketch, in rows of their own."""
+    names = ["doc_id", "n", "node", "at", "counts"]
 
-def _sizes(docs: DataFrame, width: int, pct: int, heads: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
         for batch in batches:
             for part in sliced(batch):
                 sets = shingle_sets(part.column(1), width)
-                marks = [signature(s) for s in sets]
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64())]
-                names = ["doc_id", "n", "s1", "s2"]
-                if heads:
-                    columns.append(as_lists([s[: len(s) - needed(len(s), pct) + margin(len(s))] for s in sets]))
-                    columns.append(pa.array([least_shared(len(s), pct) for s in sets], pa.int64()))
-                    names += ["head", "least"]
+                total += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
+        if total.any():
+            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS + 1, ROW), pa.int32()), pa.array(total))
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(rows)), pa.int32()), rows], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long" + ", head array<long>, least long" * heads)
+    return docs.mapInArrow(run, "doc_id long, n long, node long, at int, counts array<long>")
 
 
-def _whole_sets(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in sliced(batch):
-                sets = shingle_sets(part.column(1), width)
-                marks = [signature(s) for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([a for a, _ in marks], pa.int64()), pa.array([b for _, b in marks], pa.int64()), as_lists(sets)], ["doc_id", "n", "s1", "s2", "hashes"])
+def frequency_classes(sketch: DataFrame) -> np.ndarray:
+    """For each bucket a number below 256 that grows with the logarithm of its count; BUCKETS rows come to the driver."""
+    rows = sketch.where("at IS NOT NULL").select((F.col("at") * ROW).alias("first"), F.posexplode("counts").alias("k", "n"))
+    rows = rows.groupBy((F.col("first") + F.col("k")).alias("bucket")).agg(F.sum("n").alias("n")).where("n > 0").toPandas()
+    counts = np.zeros(BUCKETS)
+    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
+    return np.minimum(255, 8 * np.log2(1 + counts / max(counts.mean(), 1))).astype(np.uint64)
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, hashes array<long>")
 
+def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """N-grams renamed so that rare ones come first: the class of their bucket over 56 bits of their hash."""
+    return (classes[bucket(hashes)] << SHIFT) | (hashes & LOW)
 
-def _candidates(docs: DataFrame, width: int, pct: int) -> DataFrame:
-    """doc_id of the documents that pass the first bound."""
-    rows = _sizes(docs, width, pct, True).where("n > 0").select("doc_id", "s1", "least", F.explode("head").alias("h"))
-    # shared by two different sets: copies of one set are no reason to look at it
-    shared = rows.groupBy("h").agg(F.min("s1").alias("a"), F.max("s1").alias("b")).where("a < b").select("h")
-    hits = rows.join(shared, "h").groupBy("doc_id", "s1", "least").agg(F.count("*").alias("found"))
-    return hits.where("found >= least").select("doc_id").distinct()
 
+def heads(docs: DataFrame, width: int, pct: int, classes: np.ndarray) -> DataFrame:
+    """(g, node, n, core): the n-grams of each row's head, and whether they lie in its core."""
+    shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS numbers
 
-def _pair_needed(n: str, m: str, pct: int) -> Column:
-    return F.ceil((F.col(n) + F.col(m)) * F.lit(pct) / F.lit(100 + pct) - 1e-9)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                sets = [s for s in shingle_sets(part.column(1), width) if len(s)]
+                if not sets:
+                    continue
+                tops, inner = [], []
+                for s in sets:
+                    grams, k = ordered(s, shared.value), core(len(s), pct)
+                    size = min(len(s), k + spare(len(s)))
+                    top = np.sort(np.partition(grams, size - 1)[:size])
+                    tops.append(top)
+                    inner.append(np.arange(size) < k)
+                sizes = [len(t) for t in tops]
+                columns = [np.concatenate(tops).view(np.int64), np.repeat([signature(s)[0] for s in sets], sizes), np.repeat([len(s) for s in sets], sizes), np.concatenate(inner)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "node", "n", "core"])
+
+    return docs.mapInArrow(run, "g long, node long, n long, core boolean")
+
+
+def shared_only(rows: DataFrame) -> DataFrame:
+    """The rows of ``heads`` whose n-gram occurs in different texts, once for each text.
+
+    Rows come sorted by n-gram and text.  Of an n-gram only its first row
+    waits for a second text, so one that many rows have takes no memory.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the last row, not given out yet if its n-gram has shown one text so far
+        waits = False
+        for batch in batches:
+            if not len(batch):
+                continue
+            both = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            g, node = both.column(0).to_numpy(), both.column(1).to_numpy()
+            same = np.r_[False, g[1:] == g[:-1]]
+            new = ~(same & np.r_[False, node[1:] == node[:-1]])  # the first row of a text under an n-gram
+            start = np.flatnonzero(~same)
+            of = np.cumsum(~same) - 1
+            texts = np.add.reduceat(new, start)
+            if held is not None and not waits:
+                texts[0] += 1
+            give = new & (texts[of] > 1)
+            if held is not None and not waits:
+                give[0] = False
+            waits = bool(texts[-1] <= 1)
+            # what waits is its n-gram's only text: all its rows are the same
+            held = both.slice(len(both) - 1)
+            yield both.filter(pa.array(give))
+
+    return rows.repartition("g").sortWithinPartitions("g", "node").mapInArrow(run, rows.schema)
+
+
+def _sets(docs: DataFrame, width: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch):
+                sets = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([signature(s)[0] for s in sets], pa.int64()), as_lists(sets)], ["rep", "node", "hashes"])
 
-def _linked(pairs: DataFrame, sets: DataFrame, pct: int) -> DataFrame:
-    """Of the pairs (a, b) those whose exact overlap links them."""
-    one = sets.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("hashes").alias("ha"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("hashes").alias("hb"))
-    both = pairs.join(one, "a").join(two, "b").withColumn("overlap", F.size(F.array_intersect("ha", "hb")).cast("long"))
-    return both.where(F.lit(100) * F.col("overlap") >= F.lit(pct) * (F.col("na") + F.col("nb") - F.col("overlap"))).select("a", "b")
+    return docs.mapInArrow(run, "rep long, node long, hashes array<long>")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many hashes each set on the left has in common with each one on the right."""
-    codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1].reshape(-1)
+    """How many numbers each set on the left has in common with each one on the right."""
     sizes = [len(x) for x in (*left, *right)]
+    out = np.zeros((len(left), len(right)), np.float64)
+    if not sum(sizes):
+        return out.astype(np.int64)
+    codes = np.unique(np.concatenate([*left, *right]), return_inverse=True)[1].reshape(-1)
     owner = np.repeat(np.arange(len(sizes)), sizes)
+    # a column of one side alone adds nothing
+    top = int(codes.max()) + 1
+    ours, theirs = np.zeros(top, bool), np.zeros(top, bool)
+    ours[codes[owner < len(left)]] = True
+    theirs[codes[owner >= len(left)]] = True
+    both = ours & theirs
+    kept = both[codes]
+    codes, owner = (np.cumsum(both) - 1)[codes[kept]], owner[kept]
     order = np.argsort(codes, kind="stable")
     codes, owner = codes[order], owner[order]
-    out = np.zeros((len(left), len(right)), np.float64)
-    top = int(codes[-1]) + 1 if len(codes) else 0
-    for low in range(0, top, COLUMNS):
+    for low in range(0, int(both.sum()), COLUMNS):
         some = slice(*np.searchsorted(codes, [low, low + COLUMNS]))
-        x = np.zeros((len(sizes), min(COLUMNS, top - low)), np.float32)
+        x = np.zeros((len(sizes), min(COLUMNS, int(both.sum()) - low)), np.float32)
         x[owner[some], codes[some] - low] = 1
         out += x[: len(left)] @ x[len(left) :].T
     return out.astype(np.int64)
 
 
-def _products(members: DataFrame, pct: int, pairs: bool, chunk: int) -> DataFrame:
-    """Links within components: (a, a_v, a_n, b, b_v, b_n, overlap) of each one, or (doc_id, v, links) sums of a block's rows."""
-    many = members.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = members.join(many, "component").withColumn("own", F.pmod(F.xxhash64("doc_id", "v"), "parts").cast("int"))
+def roots(linked: np.ndarray) -> np.ndarray:
+    """The smallest place in the component of each row of a symmetric matrix."""
+    label = np.arange(len(linked))
+    while True:
+        best = np.minimum(label, np.where(linked, label[None, :], len(label)).min(axis=1, initial=len(label)))
+        best = best[best]
+        if (best == label).all():
+            return label
+        label = best
+
+
+def _tiles(members: DataFrame, pct: int, pairs: bool, chunk: int) -> DataFrame:
+    """Links in blocks (leader, node, n, rows, homes, hashes), each one counted once.
+
+    (a, a_n, b, b_n, overlap) of each, or (node, links, root): how many rows a
+    text links to within a tile, and a text that it is connected with there.
+    """
+    many = members.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    dealt = members.join(many, "leader").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("component", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "v", "n", "rows", "hashes")
-    dealt = dealt.repartition("component", "p", "q").sortWithinPartitions("component", "p", "q")
-
-    def block(rows: list[tuple]) -> tuple:
-        """Places of linked members in ``rows``, each pair once, and their overlaps."""
-        one = [i for i, r in enumerate(rows) if r[3] == r[1]]
-        two = one if rows[0][1] == rows[0][2] else [i for i, r in enumerate(rows) if r[3] == r[2]]
-        if not one or not two:
-            return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-        n = np.array([r[6] for r in rows])
-        common = overlaps([rows[i][8] for i in one], [rows[i][8] for i in two])
-        ok = 100 * common >= pct * (n[one][:, None] + n[two][None, :] - common)
-        x, y = np.nonzero(np.triu(ok, 1) if one is two else ok)
-        return np.array(one)[x], np.array(two)[y], common[x, y]
+    dealt = dealt.select("leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "rows", "homes", "hashes")
+    dealt = dealt.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
 
     def told(rows: list[tuple]) -> pa.RecordBatch | None:
-        x, y, common = block(rows)
-        if not len(x):
+        leader, p, q = rows[0][:3]
+        one = [i for i, r in enumerate(rows) if r[3] == p]
+        two = one if p == q else [i for i, r in enumerate(rows) if r[3] == q]
+        n = np.array([r[5] for r in rows])
+        if not one or not two or 100 * min(n[one].max(), n[two].max()) < pct * max(n[one].min(), n[two].min()):
             return None
-        ids, v, n, weight = (np.array([r[k] for r in rows]) for k in (4, 5, 6, 7))
+        common = overlaps([rows[i][8] for i in one], [rows[i][8] for i in two])
+        ok = 100 * common >= pct * (n[one][:, None] + n[two][None, :] - common)
+        if one is two:
+            ok = np.triu(ok, 1)
+        if not ok.any():
+            return None
+        nodes = np.array([r[4] for r in rows])
+        # a pair that also meets under a smaller leader counts there
+        lesser = [[x for x in r[7] if x < leader] for r in rows]
+        home = ok & (overlaps([np.array(lesser[i], np.int64) for i in one], [np.array(lesser[i], np.int64) for i in two]) == 0)
+        x, y = np.nonzero(home)
+        at_x, at_y = np.array(one)[x], np.array(two)[y]
         if pairs:
-            return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (ids[x], v[x], n[x], ids[y], v[y], n[y], common)], ["a", "a_v", "a_n", "b", "b_v", "b_n", "overlap"])
-        links = np.zeros(len(rows), np.int64)
-        np.add.at(links, x, weight[y])
-        np.add.at(links, y, weight[x])
-        own = links > 0
-        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (ids[own], v[own], links[own])], ["doc_id", "v", "links"])
+            columns = (nodes[at_x], n[at_x], nodes[at_y], n[at_y], common[x, y])
+            return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in columns], ["a", "a_n", "b", "b_n", "overlap"])
+        links, weight = np.zeros(len(rows), np.int64), np.array([r[6] for r in rows])
+        np.add.at(links, at_x, weight[at_y])
+        np.add.at(links, at_y, weight[at_x])
+        linked = np.zeros((len(rows), len(rows)), bool)
+        linked[np.ix_(one, two)] |= ok
+        linked |= linked.T
+        some = np.flatnonzero(linked.any(axis=1))
+        top = roots(linked)
+        return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (nodes[some], links[some], nodes[top[some]])], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
@@ -166,71 +263,49 @@ def _products(members: DataFrame, pct: int, pairs: bool, chunk: int) -> DataFram
                     if (done := told(rows)) is not None:
                         yield done
                     rows = []
-                rows.append((*row, values[offsets[i] : offsets[i + 1]]))
+                # a copy, so that a batch is let go of once it is read
+                rows.append((*row, values[offsets[i] : offsets[i + 1]].copy()))
         if rows and (done := told(rows)) is not None:
             yield done
 
-    return dealt.mapInArrow(run, "a long, a_v long, a_n long, b long, b_v long, b_n long, overlap long" if pairs else "doc_id long, v long, links long")
+    return dealt.mapInArrow(run, "a long, a_n long, b long, b_n long, overlap long" if pairs else "node long, links long, root long")
+
+
+def _least(n: str, pct: int) -> Column:
+    """``least_shared`` of a column."""
+    need = F.ceil(F.col(n) * pct / 100 - 1e-9)
+    return F.least(F.floor(need * SPARE / 1_000 + 1e-9) + 1, need)
 
 
-def _components(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Sizes of all rows; candidates' classes (n, s1, s2, doc_id, v, rows); those with links, with their sets; components of their doc_ids."""
+def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sizes of all rows; texts (node, n, rep, rows); and what ``_tiles`` takes."""
     docs = pick(docs, "doc_id", "text")
     ship(docs.sparkSession)
-    sizes = cut(_sizes(docs, width, pct, False))
+    both = cut(sizes_and_sketch(docs, width))
+    sizes = both.where("at IS NULL").select("doc_id", "n", "node")
+    texts = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     known = docs.where("doc_id IS NOT NULL")
-    chosen = cut(_candidates(known, width, pct))
-    release(docs.sparkSession)
-    hint = F.broadcast if small(chosen, broadcast_ids) else (lambda x: x)
-    whole = _whole_sets(known.join(hint(chosen), "doc_id", "left_semi"), width)
-    # one row for each different set; its smallest doc_id stands for all copies
-    whole = cut(whole)
-    first = whole.groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("rows"))
-    # v tells the different sets of one doc_id apart
-    first = cut(first.withColumn("v", F.row_number().over(Window.partitionBy("doc_id").orderBy("n", "s1", "s2"))))
-    release(docs.sparkSession)
-    sets = whole.join(first.drop("rows"), ["n", "s1", "s2", "doc_id"]).dropDuplicates(["doc_id", "v"])
-
-    # second bound: n-grams that occur in another candidate
-    grams = sets.select("doc_id", "v", "n", F.explode("hashes").alias("h"))
-    often = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
-    held = grams.join(often, "h").groupBy("doc_id", "v", "n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("shared"))
-    held = cut(held.withColumn("m", F.size("shared").cast("long")).where(F.lit(100) * F.col("m") >= F.lit(pct) * F.col("n")))
-    del grams, often, sets, whole
-    release(docs.sparkSession)
-    slim = held.select("doc_id", "v", "n", F.transform("shared", lambda x: x["h"]).alias("hashes"))
-
-    # third bound: blocks of the first n - needed + 1 n-grams, of which n - m occur nowhere else
-    prefix = F.col("n") - F.ceil(F.col("n") * pct / 100 - 1e-9) + 1 - (F.col("n") - F.col("m"))
-    blocks = held.select("doc_id", "n", "m", F.posexplode(F.slice("shared", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int"))).alias("k", "x"))
-    blocks = cut(blocks.select(F.col("x.h").alias("h"), "doc_id", "n", (F.col("n") - F.col("m") + F.col("k")).alias("at"), (F.col("m") / F.col("n")).alias("central")))
-
-    centre = blocks.groupBy("h").agg(F.max(F.struct("central", (-F.col("doc_id")).alias("last"), "n")).alias("top"), F.count("*").alias("many")).where("many > 1")
-    centre = centre.select("h", (-F.col("top.last")).alias("leader"), F.col("top.n").alias("leader_n"))
-    star = blocks.join(centre, "h").where("doc_id <> leader").where(F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * pct)
-    star = star.select(F.least("doc_id", "leader").alias("a"), F.greatest("doc_id", "leader").alias("b")).distinct()
-    star = cut(star)
-    links = cut(_linked(star, slim, pct))
-    found = components(links)
-
-    # whoever shares a block but no component is paired after all
-    placed = cut(blocks.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")))
-    mixed = placed.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("h")
-    rest = placed.join(mixed, "h", "left_semi").select("h", "doc_id", "n", "at", "component")
-    other = rest.select("h", *[F.col(c).alias(f"{c}_2") for c in ("doc_id", "n", "at", "component")])
-    fits = (
-        (F.col("doc_id") < F.col("doc_id_2")) & (F.col("component") != F.col("component_2"))
-        & (F.least("n", "n_2") * 100 >= F.greatest("n", "n_2") * pct)
-        & (F.least(F.col("n") - F.col("at"), F.col("n_2") - F.col("at_2")) >= _pair_needed("n", "n_2", pct))
-    )
-    rest = rest.join(other, (rest["h"] == other["h"]) & fits).select(F.col("doc_id").alias("a"), F.col("doc_id_2").alias("b")).distinct()
-    rest = rest.join(star, ["a", "b"], "left_anti")
-    more = cut(_linked(rest, slim, pct))
-    if not small(more, 0):
-        found = components(links.unionByName(more))
 
-    members = slim.join(found.withColumnRenamed("node", "doc_id"), "doc_id").join(first.select("doc_id", "v", "rows"), ["doc_id", "v"])
-    return sizes, first, members, found
+    # the slim product: n-grams of heads that different texts have, counted by text
+    shared = cut(shared_only(heads(known, width, pct, frequency_classes(both))))
+    found = shared.groupBy("node", "n").agg(F.count("*").alias("found")).where(F.col("found") >= _least("n", pct))
+    left = shared.join(found.select("node"), "node")
+    # once more among those that are left, which gives how central each of them is
+    twice = left.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("g")
+    left = cut(left.join(twice, "g"))
+    found = left.groupBy("node", "n").agg(F.count("*").alias("found")).where(F.col("found") >= _least("n", pct))
+    found = cut(found.select("node", (F.col("found") / F.col("n")).alias("central")))
+    cores = left.where("core").select("g", "node").join(found, "node")
+    led = cores.groupBy("g").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    star = cut(cores.select("g", "node").join(led.select("g", F.col("top.node").alias("leader")), "g").select("node", "leader").distinct())
+    homes = star.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("homes"))  # no more than a core has n-grams
+
+    chosen = cut(homes.join(texts, "node"))
+    reps = chosen.select(F.col("rep").alias("doc_id")).distinct()
+    hint = F.broadcast if small(reps, broadcast_ids) else (lambda x: x)
+    sets = _sets(known.join(hint(reps), "doc_id", "left_semi"), width)
+    sets = cut(sets.join(chosen, ["node", "rep"]).dropDuplicates(["node"]).select("node", "n", "rows", "homes", "hashes"))
+    return sizes, texts, star.select("node", "leader").join(sets, "node")
 
 
 def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -238,15 +313,16 @@ def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: i
 
     Pairs (a, b, a_class, b_class, a_n, b_n, overlap) of classes, each once; a
     and b are their smallest doc_ids.  Membership (doc_id, class, n_shingles),
-    class null for a row that has no link to a different text.
+    class null for a row that has no link to a different text.  Rows are
+    treated as by ``ngram_jaccard_join``.
     """
-    ship(docs.sparkSession)
-    sizes, first, members, _ = _components(docs, width, pct, broadcast_ids)
-    name = lambda d, v: F.concat_ws("/", d, v)
-    pairs = cut(_products(members, pct, True, chunk).select("a", "b", name("a", "a_v").alias("a_class"), name("b", "b_v").alias("b_class"), "a_n", "b_n", "overlap"))
-    linked = pairs.select(F.col("a_class").alias("class")).unionByName(pairs.select(F.col("b_class").alias("class"))).distinct()
-    named = first.withColumn("class", name("doc_id", "v")).join(linked, "class").select("n", "s1", "s2", "class")
-    return pairs, sizes.where("doc_id IS NOT NULL").join(named, ["n", "s1", "s2"], "left").select("doc_id", "class", F.col("n").alias("n_shingles"))
+    sizes, texts, members = _members(docs, width, pct, broadcast_ids)
+    found = cut(_tiles(members, pct, True, chunk))
+    one = texts.select(F.col("node").alias("a_class"), F.col("rep").alias("a"))
+    two = texts.select(F.col("node").alias("b_class"), F.col("rep").alias("b"))
+    pairs = found.withColumnsRenamed({"a": "a_class", "b": "b_class"}).join(one, "a_class").join(two, "b_class").select("a", "b", "a_class", "b_class", "a_n", "b_n", "overlap")
+    named = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node"))).distinct().withColumn("class", F.col("node"))
+    return pairs, sizes.where("doc_id IS NOT NULL").join(named, "node", "left").select("doc_id", "class", F.col("n").alias("n_shingles"))
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> DataFrame:
@@ -254,21 +330,28 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
 
     A set is a text's distinct ``width``-word shingles (A-Z lower-cased, ASCII
     white space between words); with fewer words the whole text is its one
-    shingle; an empty or null text has none and links with nothing.  Two
-    documents link when 100 * overlap >= pct * union; n_links is how many other
-    rows with a doc_id a row's text links with, copies included, and
-    component_id the smallest doc_id that links reach.  Rows that share a doc_id are one
-    document with the links of any.  A row without doc_id has its size and a
-    null component and links nothing.  No row is dropped; an empty table gives
-    none.
+    shingle; an empty or null text has none and links with nothing.  Two rows
+    link when 100 * overlap >= pct * union; n_links is how many other rows with
+    a doc_id a row links with, copies included, and component_id the smallest
+    doc_id that links reach.  Rows that share a doc_id are documents of their
+    own, each with its own text's links.  A row without doc_id has its size
+    and a null component and links nothing.  No row is dropped; other columns
+    are ignored; an empty table gives none.
     """
-    ship(docs.sparkSession)
-    sizes, first, members, found = _components(docs, width, pct, broadcast_ids)
-    links = _products(members, pct, False, chunk).groupBy("doc_id", "v").agg(F.sum("links").alias("links"))
-    linked = first.join(links, ["doc_id", "v"]).select("n", "s1", "s2", "links")
-    classes = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
-    named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(linked, ["n", "s1", "s2"], "left")
-    named = named.select("n", "s1", "s2", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component"))
-    rows = sizes.join(named, ["n", "s1", "s2"], "left")
-    known = F.col("doc_id").isNotNull()
-    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).alias("n_links"), F.when(known, F.coalesce("component", "doc_id")).alias("component_id"))
+    sizes, texts, members = _members(docs, width, pct, broadcast_ids)
+    tiles = cut(_tiles(members, pct, False, chunk))
+    links = tiles.groupBy("node").agg(F.sum("links").alias("links"))
+    found = components(tiles.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    linked = cut(found.join(links, "node").join(texts.select("node", "rep"), "node"))
+    first = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(first, "component").select("node", "links", "component_id")
+    named = texts.join(linked, "node", "left").select("node", (F.coalesce("links", F.lit(0)) + F.col("rows") - 1).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    # copies of one text share one row of ``named``
+    rows = sizes.join(named, "node", "left")
+    known = F.col("doc_id").isNotNull() & (F.col("n") > 0)
+    return rows.select(
+        "doc_id",
+        F.col("n").alias("n_shingles"),
+        F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
+        F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    )

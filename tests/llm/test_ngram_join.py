@@ -98,3 +98,28 @@ def test_every_link_of_near_copies(spark):
         assert len(pairs) == len({frozenset((r.a_class, r.b_class)) for r in pairs}) == len(different) > 200
         assert sorted(r.overlap for r in pairs) == sorted(len(frozenset.intersection(*p)) for p in different)
         assert len(members) == len(rows) - 1
+
+
+def test_rows_that_share_an_id_are_not_joined(spark):
+    a, b = [f"a{i}" for i in range(202)], [f"b{i}" for i in range(202)]
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (6, " ".join(a[:101] + b[:101])), (7, " ".join(b + ["c"]))]
+    got = sorted((r.doc_id, r.n_links, r.component_id) for r in ngram_join.ngram_jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90).collect())
+    assert got == [(5, 0, 5), (5, 1, 5), (6, 0, 6), (7, 1, 5)]
+
+
+def test_heads_keep_the_rows_of_different_texts(spark):
+    """Against a plain count, whatever batches the rows come in."""
+    rng = random.Random(4)
+    rows = [(rng.randint(0, 60), rng.choice((1, 1, 1, rng.randint(2, 9))), 9, True) for _ in range(3_000)] + [(99, 7, 9, True)] * 500
+    frame = spark.createDataFrame(rows, "g long, node long, n long, core boolean")
+    nodes = {}
+    for g, node, *_ in rows:
+        nodes.setdefault(g, set()).add(node)
+    want = sorted((g, x) for g, own in nodes.items() if len(own) > 1 for x in own)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "7", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted((r.g, r.node) for r in ngram_join.shared_only(frame).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
