@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,3 +75,34 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
 def small(df: DataFrame, bound: int) -> bool:
     """Whether ``df`` has at most ``bound`` rows; looks at no more than bound + 1 of them."""
     return df.limit(bound + 1).count() <= bound
+
+
+#: Numbers in one row of a vector that tasks add up.
+STRETCH = 4_096
+
+
+def stretches(total: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A vector as columns (at, counts) of rows of STRETCH numbers."""
+    cuts = np.minimum(np.arange(0, len(total) + STRETCH, STRETCH), len(total))
+    rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(total, pa.int64()))
+    return pa.array(range(len(rows)), pa.int32()), rows
+
+
+def added_up(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of the vectors of ``size`` numbers whose ``stretches`` (at, counts) the rows are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                own = row.values.to_numpy(zero_copy_only=False)
+                sums[at] = sums[at] + own if at in sums else own.copy()
+        for at, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], ["at", "counts"])
+
+    schema = "at int, counts array<long>"
+    found = parts.select("at", "counts").mapInArrow(run, schema).repartition("at").mapInArrow(run, schema)
+    out = np.zeros(size, np.int64)
+    for r in found.collect():  # ``size`` numbers
+        out[r.at * STRETCH : r.at * STRETCH + len(r.counts)] = r.counts
+    return out

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pick, ship, small
+from .common import added_up, cut, pick, ship, small, stretches
 from .components import components
 from .shingles import as_lists, shingle_sets, signature, sliced
 
@@ -39,8 +39,8 @@ from .shingles import as_lists, shingle_sets, signature, sliced
 BROADCAST_IDS = 1_000_000
 #: Texts on a side of a tile, and n-grams that are multiplied at once.
 CHUNK, COLUMNS = 512, 4_096
-#: Counts in the sketch of n-gram frequencies, and how many of them are in a row of it.
-BUCKETS, ROW = 1 << 16, 1 << 12
+#: Counts in the sketch of n-gram frequencies.
+BUCKETS = 1 << 16
 #: Per thousand of a set, how many n-grams a head has beyond the core.
 SPARE = 30
 LOW = np.uint64((1 << 56) - 1)
@@ -83,19 +83,16 @@ def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
                 columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if total.any():
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, BUCKETS + 1, ROW), pa.int32()), pa.array(total))
+            at, rows = stretches(total)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, pa.array(range(len(rows)), pa.int32()), rows], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, at, rows], names)
 
     return docs.mapInArrow(run, "doc_id long, n long, node long, at int, counts array<long>")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
-    """For each bucket a number below 256 that grows with the logarithm of its count; BUCKETS rows come to the driver."""
-    rows = sketch.where("at IS NOT NULL").select((F.col("at") * ROW).alias("first"), F.posexplode("counts").alias("k", "n"))
-    rows = rows.groupBy((F.col("first") + F.col("k")).alias("bucket")).agg(F.sum("n").alias("n")).where("n > 0").toPandas()
-    counts = np.zeros(BUCKETS)
-    counts[rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"]
+    """For each bucket a number below 256 that grows with the logarithm of its count."""
+    counts = added_up(sketch.where("at IS NOT NULL"), BUCKETS)
     return np.minimum(255, 8 * np.log2(1 + counts / max(counts.mean(), 1))).astype(np.uint64)
 
 

@@ -1,78 +1,89 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
-Labelled rows, a bounded sample of each class, are the examples.  A vocabulary
-of words and word beginnings that tell the classes apart (chi-square) is chosen
-from them; document frequencies are counted over all documents.  Examples lie
-in an index of blocks that knows the largest weight of each term in each block,
-so a document's nearest examples are found exactly while most blocks are only
-bounded.  Their votes, weighted by nearness, are calibrated on the examples
-themselves, each left out of its own vote.
+Labelled rows, a bounded sample of each class, are the examples, and all words
+in them the terms.  A term's weight is its inverse document frequency, counted
+over all documents, times how much it tells about the class: phi squared of its
+presence against the label among the examples.  No term is left out; without
+the second factor long documents are nearest to those of their own vocabulary,
+whatever a few words in them say.  Examples lie in blocks; an inverted index
+has the largest weight of each term in each block, so a document's nearest
+examples are found exactly while most blocks are only bounded.  Their votes,
+weighted by nearness, are calibrated on the examples themselves, each left out
+of its own vote.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import cut, pick, ship
+from .common import added_up, cut, pick, ship, stretches
 from .shingles import sliced
 
 #: Labelled rows of each class that are fitted on at most, chosen by a hash of their id.
 EXAMPLES = 4_096
-#: Terms at most, and what a term must reach: documents, and chi-square between classes.
-TERMS, LEAST_DOCS, LEAST_CHI2 = 512, 5, 45.0
-#: Lengths of the word beginnings that are terms beside whole words.
-STEMS = (4, 5, 6)
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks that are scored at once, and documents of equal terms and counts that a worker remembers.
+#: Blocks that are scored at once, and documents of equal terms and counts that a task remembers.
 AT_ONCE, SEEN = 8, 50_000
-_WORD = re.compile(r"[^\W\d_]+")
+EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
+Row = tuple[int, list[int], list[int], int]
 
 
-def term_counts(text: str) -> Counter:
-    """How often each word, and each beginning of a longer word, occurs in the text."""
-    words = Counter(_WORD.findall(text.lower()))
-    out = Counter(words)
-    for w, n in words.items():
-        for k in STEMS:
-            if len(w) > k:
-                out[f"{w[:k]}-"] += n
-    return out
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The different words of the texts, in lower case; and for each word that occurs its text and its place among them."""
+    # a copy that starts at 0: pyarrow's lower functions read a slice of large strings at wrong places
+    own = pc.fill_null(texts.take(pa.array(np.arange(len(texts)))).cast(pa.large_string()), "")
+    parts = pc.split_pattern_regex(pc.utf8_lower(own), r"\PL+")
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(parts).to_numpy(zero_copy_only=False))
+    words = parts.flatten()
+    real = pc.greater(pc.binary_length(words), 0)
+    coded = words.filter(real).dictionary_encode()
+    return coded.dictionary, owner[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(zero_copy_only=False)
 
 
-def known_counts(text: str, number: dict[str, int]) -> dict[int, int]:
-    """``term_counts`` of the numbered terms alone."""
-    out: dict[int, int] = {}
-    for w, n in Counter(_WORD.findall(text.lower())).items():
-        for t in (w, *[f"{w[:k]}-" for k in STEMS if len(w) > k]):
-            if (i := number.get(t)) is not None:
-                out[i] = out.get(i, 0) + n
-    return out
+def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, numbers, counts): the terms of text i and how often each occurs lie from bounds[i] to bounds[i + 1]."""
+    words, owner, at = words_of(texts)
+    number = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+    known = number >= 0
+    pairs, counts = np.unique(owner[known] * max(1, len(terms)) + number[known], return_counts=True)
+    owner, number = np.divmod(pairs, max(1, len(terms)))
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), number, counts
 
 
 class BlockMaxIndex:
     """Examples by term weights, in blocks of similar ones, with the largest weight of each term and block."""
 
-    def __init__(self, rows: list[tuple[int, list[int], list[int], int]], idf: np.ndarray, share: tuple[float, float]) -> None:
+    def __init__(self, rows: list[Row], weight: np.ndarray, share: tuple[float, float]) -> None:
         """rows: (doc_id, terms, counts, label); share: how many rows of the corpus each example of a class stands for."""
-        self.idf = idf
-        kept = [r for r in rows if len(r[1])]
-        kept.sort(key=lambda r: (r[1][int(np.argmax(idf[np.array(r[1])]))], r[3], r[0]))
-        pad = -len(kept) % BLOCK
-        self.ids = [r[0] for r in kept]
-        self.labels = np.array([r[3] for r in kept], dtype=np.float64)
-        self.share = np.array([share[r[3]] for r in kept])
-        self.weights = np.zeros((len(idf), len(kept) + pad))
-        for j, (_, terms, counts, _) in enumerate(kept):
-            self.weights[terms, j] = self.vector(terms, counts)
-        self.most = self.weights.reshape(len(idf), -1, BLOCK).max(axis=2) if len(kept) else np.zeros((len(idf), 0))
-        blank = [r for r in rows if not len(r[1])]
+        self.weight = weight
+        found = [(r, self.vector(r[1], r[2])) for r in rows]
+        kept = [(r, x) for r, x in found if x.any()]
+        kept.sort(key=lambda f: (f[0][1][int(np.argmax(f[1]))], f[0][3], f[0][0]))
+        self.ids = [r[0] for r, _ in kept]
+        self.labels = np.array([r[3] for r, _ in kept], dtype=np.float64)
+        self.share = np.array([share[r[3]] for r, _ in kept])
+        #: Example j has the terms from start[j] to start[j + 1].
+        self.start = np.concatenate([[0], np.cumsum([len(x) for _, x in kept], dtype=np.int64)]).astype(np.int64)
+        self.term = np.array([t for r, _ in kept for t in r[1]], dtype=np.int32)
+        self.value = np.concatenate([x for _, x in kept]) if kept else np.empty(0)
+        #: Term t is in the blocks from at[t] to at[t + 1], with these largest weights.
+        self.blocks = -(-len(kept) // BLOCK)
+        key = self.term.astype(np.int64) * max(1, self.blocks) + np.repeat(np.arange(len(kept)) // BLOCK, np.diff(self.start))
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]) if len(key) else np.empty(0, np.int64)
+        self.most = np.maximum.reduceat(self.value[order], first) if len(key) else np.empty(0)
+        term, block = np.divmod(key[order][first], max(1, self.blocks))
+        self.block = block.astype(np.int32)
+        self.at = np.searchsorted(term, np.arange(len(weight) + 1))
+        blank = [r for r, x in found if not x.any()]
         up = sum(share[1] for r in blank if r[3])
         down = sum(share[0] for r in blank if not r[3])
         every = sum(share[r[3]] for r in rows)
@@ -81,29 +92,48 @@ class BlockMaxIndex:
         self.blank = (up + prior) / (up + down + 1)
         self.curve = (np.array([0.0, 1.0]), np.array([0.0, 1.0]))
 
-    def vector(self, terms: list[int], counts: list[int]) -> np.ndarray:
-        x = (1 + np.log(np.array(counts, dtype=np.float64))) * self.idf[np.array(terms)]
-        return x / np.sqrt((x * x).sum())
+    @property
+    def weights(self) -> np.ndarray:
+        """The index as a matrix of terms by examples."""
+        out = np.zeros((len(self.weight), len(self.ids)))
+        out[self.term, np.repeat(np.arange(len(self.ids)), np.diff(self.start))] = self.value
+        return out
 
-    def nearest(self, terms: list[int], counts: list[int], skip: int | None = None) -> list[tuple[float, int]]:
+    def vector(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> np.ndarray:
+        """Weights of norm 1, or 0 where no term has any weight."""
+        x = (1 + np.log(np.array(counts, dtype=np.float64))) * self.weight[np.array(terms, dtype=np.int64)]
+        return x / max(np.sqrt((x * x).sum()), 1e-300)
+
+    def nearest(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray, skip: int | None = None) -> list[tuple[float, int]]:
         """The NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place.
 
         Blocks come in order of what their largest weights allow, some at a
         time; once the next one cannot reach the last neighbour, none can.
         """
-        x = self.vector(terms, counts)
-        bound = x @ self.most[terms]
+        terms, x = np.array(terms, dtype=np.int64), self.vector(terms, counts)
+        if not self.ids or not x.any():
+            return []
+        sizes = self.at[terms + 1] - self.at[terms]
+        ends = np.cumsum(sizes)
+        entries = np.repeat(self.at[terms] - ends + sizes, sizes) + np.arange(ends[-1])
+        bound = np.bincount(self.block[entries], weights=np.repeat(x, sizes) * self.most[entries], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
+        wide = np.zeros(len(self.weight))
+        wide[terms] = x
         best, place = np.empty(0), np.empty(0, dtype=np.int64)
         low = 0.0
         for i in range(0, len(order), AT_ONCE):
-            some = order[i : i + AT_ONCE]
-            if bound[some[0]] <= 0 or bound[some[0]] < low - 1e-9:
+            some = [int(b) for b in order[i : i + AT_ONCE] if bound[b] > 0 and bound[b] >= low - 1e-9]
+            if not some:
                 break
-            at = (some[:, None] * BLOCK + np.arange(BLOCK)).reshape(-1)
-            cosine = np.round(x @ self.weights[np.ix_(terms, at)], 12)
-            ok = (cosine > 0) & (cosine >= low) & (at != (-1 if skip is None else skip))
-            best, place = np.concatenate([best, cosine[ok]]), np.concatenate([place, at[ok]])
+            for b in some:
+                first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
+                low_at, high_at = self.start[first], self.start[last]
+                products = self.value[low_at:high_at] * wide[self.term[low_at:high_at]]
+                cosine = np.round(np.add.reduceat(products, self.start[first:last] - low_at), 12)
+                at = np.arange(first, last)
+                ok = (cosine > 0) & (cosine >= low) & (at != (-1 if skip is None else skip))
+                best, place = np.concatenate([best, cosine[ok]]), np.concatenate([place, at[ok]])
             if len(best) > NEIGHBOURS:
                 first = np.lexsort((place, -best))[:NEIGHBOURS]
                 best, place = best[first], place[first]
@@ -124,12 +154,10 @@ class BlockMaxIndex:
         share, rest = self.share[at], float(NEIGHBOURS - near.sum())
         return float(((near * share * self.labels[at]).sum() + rest * self.blank) / ((near * share).sum() + rest))
 
-    def calibrate(self, rows: list[tuple[int, list[int], list[int], int]], share: tuple[float, float]) -> None:
-        """Isotonic fit of labels on the votes of the examples, each without itself."""
-        place = {i: j for j, i in enumerate(self.ids)}
-        votes = sorted((self.vote(self.nearest(t, c, place[i])) if len(t) else self.blank, y, share[y]) for i, t, c, y in rows)
+    def calibrate(self, votes: list[tuple[float, int]], share: tuple[float, float]) -> None:
+        """Isotonic fit of labels on the votes of the examples, each without itself: (vote, label)."""
         steps: list[list[float]] = []  # weight, weighted labels, lowest and highest vote
-        for v, y, w in votes:
+        for v, y, w in sorted((v, y, share[y]) for v, y in votes):
             steps.append([w, w * y, v, v])
             while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0] or len(steps) > 1 and steps[-2][3] == steps[-1][2]:
                 last = steps.pop()
@@ -142,7 +170,7 @@ class BlockMaxIndex:
         if xs:
             self.curve = (np.array(xs), np.maximum.accumulate(np.array(ys)))
 
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, list[tuple[int, float, int]]]:
+    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
         """Calibrated score, and the three nearest examples as evidence."""
         found = self.nearest(terms, counts) if len(terms) else []
         raw = self.vote(found)
@@ -158,99 +186,128 @@ def examples_of(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return here.where("toxic = 1").orderBy(*order).limit(bound).unionByName(here.where("toxic = 0").orderBy(*order).limit(bound))
 
 
-def telling_terms(rows: DataFrame, bound: int) -> list[str]:
-    """The ``bound`` terms at most that tell the classes of (text, toxic) apart best."""
+def vocabulary(learned: DataFrame) -> pa.Array:
+    """All words of the examples, in order."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        up, down = Counter(), Counter()
-        for b in batches:
-            for text, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                (up if y else down).update(term_counts(text or "").keys())
-        terms = sorted({*up, *down})
-        for i in range(0, len(terms), 20_000):
-            part = terms[i : i + 20_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([up[t] for t in part], pa.int64()), pa.array([down[t] for t in part], pa.int64())], ["term", "up", "down"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 2):
+                yield pa.RecordBatch.from_arrays([words_of(part.column(2))[0].cast(pa.string())], ["term"])
 
-    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
-    if not n1 or not n0:
-        return []
-    stats = rows.select("text", "toxic").mapInArrow(count, "term string, up long, down long").groupBy("term").agg(F.sum("up").cast("double").alias("up"), F.sum("down").cast("double").alias("down"))
-    df = F.col("up") + F.col("down")
-    chi2 = F.lit(float(n1 + n0)) * F.pow(F.col("up") * n0 - F.col("down") * n1, 2) / (F.lit(float(n1) * n0) * df * (n1 + n0 - df + 1))
-    best = stats.where(df >= LEAST_DOCS).withColumn("chi2", chi2).where(F.col("chi2") >= LEAST_CHI2)
-    return [r.term for r in best.orderBy(F.desc("chi2"), "term").limit(bound).select("term").collect()]
+    terms = learned.mapInArrow(run, "term string").distinct().toPandas()["term"]
+    return pa.array(sorted(terms), pa.large_string())
 
 
-def term_vectors(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """doc_id, terms, counts of every document over ``terms``."""
-    number = {t: i for i, t in enumerate(terms)}
+def document_frequencies(texts: DataFrame, terms: pa.Array) -> np.ndarray:
+    """How many documents have each term, and as a last number how many there are."""
+    shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = shared.value
+        total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
-            for part in sliced(batch):
-                found = [sorted(known_counts(t or "", number).items()) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([[k for k, _ in f] for f in found], pa.list_(pa.int32())), pa.array([[n for _, n in f] for f in found], pa.list_(pa.int32()))], ["doc_id", "terms", "counts"])
+            for part in sliced(batch, 0):
+                total += np.bincount(term_counts(part.column(0), terms)[1], minlength=len(terms) + 1)
+                total[-1] += len(part)
+        if total.any():
+            yield pa.RecordBatch.from_arrays(list(stretches(total)), ["at", "counts"])
 
-    return pick(docs, "doc_id", "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+    return added_up(texts.select("text").mapInArrow(run, "at int, counts array<long>"), len(terms) + 1)
 
 
-def document_frequencies(vectors: DataFrame, terms: int) -> DataFrame:
-    """t, n: how many documents have each term; each task sends its sums alone."""
+def numbered_rows(learned: DataFrame, terms: pa.Array) -> list[Row]:
+    """The examples (doc_id, terms, counts, label); 2 * EXAMPLES rows at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in sliced(batch, 2):
+                bounds, number, counts = term_counts(part.column(2), terms)
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (number, counts)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "toxic", "terms", "counts"])
+
+    found = learned.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").toPandas()
+    return sorted((int(i), list(map(int, t)), list(map(int, c)), int(y)) for i, y, t, c in found.itertuples(index=False))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(terms, dtype=np.int64)
-        for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy(zero_copy_only=False), minlength=terms)[:terms]
-        own = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(total[own], pa.int64())], ["t", "n"])
 
-    return vectors.select("terms").mapInArrow(count, "t int, n long").groupBy("t").agg(F.sum("n").alias("n"))
+def class_information(rows: list[Row], terms: int) -> np.ndarray:
+    """phi squared between each term's presence and the label among the examples; 0 where there is one class alone."""
+    seen = [np.bincount(np.array([t for r in rows if r[3] == y for t in r[1]], dtype=np.int64), minlength=terms).astype(np.float64) for y in (0, 1)]
+    n = [sum(r[3] == y for r in rows) for y in (0, 1)]
+    has = seen[0] + seen[1]
+    under = n[0] * n[1] * has * (sum(n) - has)
+    return np.where(under > 0, (seen[1] * (n[0] - seen[0]) - seen[0] * (n[1] - seen[1])) ** 2 / np.maximum(under, 1), 0.0)
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, terms: int = TERMS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
     """doc_id, score, evidence of every row of ``docs``.
 
     ``labels`` (doc_id, toxic) are the rows to learn from; a doc_id labelled
     twice is toxic if it ever is, labels other than 0 and 1 or of unknown
-    documents are passed over.  score is in 0 .. 1; a null, empty or unknown
-    text gets the toxic share among examples without terms; without examples of
-    both classes the score is the share of toxic ones, 0 without any.  evidence
-    lists the nearest examples (doc_id, cosine, toxic); a text that is itself
-    an example finds itself first.
+    documents are passed over, and of documents that share an id the smallest
+    text is the example.  score is in 0 .. 1; a null, empty or unknown text
+    gets the toxic share among examples without terms that tell; without
+    examples of both classes the score is the share of toxic ones, 0 without
+    any.  evidence lists the nearest examples (doc_id, cosine, toxic); a text
+    that is itself an example finds itself first.  Repeated rows get equal
+    scores, other columns are ignored, an empty table gives none.
     """
+    return scored(docs, labels, examples).select("doc_id", "score", "evidence")
+
+
+def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
+    """``score_documents`` with all columns of ``docs``, of which those named like a result give way."""
     spark = docs.sparkSession
     ship(spark)
+    extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "score", "evidence")]
+    docs = pick(docs, "doc_id", "text", *extra)
     sample = cut(examples_of(docs, labels, examples))  # 2 * examples rows at most
     known = pick(labels, "doc_id", "toxic").where("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).groupBy("toxic").agg(F.count("*").alias("n"))
     rows = {r["toxic"]: r["n"] for r in known.collect()}
-    texts = pick(docs, "doc_id", "text")
-    names = telling_terms(texts.join(F.broadcast(sample), "doc_id"), terms)
-    vectors = cut(term_vectors(texts, names))
-    counts = {r["t"]: r["n"] for r in document_frequencies(vectors, len(names)).collect()}  # ``terms`` rows at most
-    idf = np.log((vectors.count() + 1) / (np.array([counts.get(i, 0) for i in range(len(names))], dtype=np.float64) + 1)) + 1
-    own = {r.doc_id: (r.doc_id, list(r.terms), list(r.counts), r.toxic) for r in vectors.join(F.broadcast(sample), "doc_id").collect()}
-    held = sorted(own.values())
+    texts = docs.select("doc_id", "text")
+    learned = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    learned = cut(learned)
+    terms = vocabulary(learned)
+    counts = document_frequencies(texts, terms)
+    held = numbered_rows(learned, terms)
     share = tuple(rows.get(y, 0) / max(1, sum(h[3] == y for h in held)) for y in (0, 1))
-    index = BlockMaxIndex(held, idf, share)
-    index.calibrate(held, share)
-    shared = spark.sparkContext.broadcast(index)  # terms * 2 * examples weights at most
+    index = BlockMaxIndex(held, np.log((counts[-1] + 1) / (counts[:-1] + 1)) * class_information(held, len(terms)), share)
+    shared = spark.sparkContext.broadcast((terms, index))  # the terms of 2 * examples rows
+
+    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms, index = shared.value
+        place = {i: j for j, i in enumerate(index.ids)}
+        for batch in batches:
+            for part in sliced(batch, 2):
+                bounds, number, counts = term_counts(part.column(2), terms)
+                own = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
+                found = [index.vote(index.nearest(number[s], counts[s], place.get(i))) for i, s in zip(part.column(0).to_pylist(), own, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), part.column(1)], ["vote", "toxic"])
+
+    index.calibrate([(r.vote, r.toxic) for r in learned.repartition("doc_id").mapInArrow(votes, "vote double, toxic int").collect()], share)
+    curve = index.curve
+    evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, seen = shared.value, {}
-        for b in batches:
-            done = []
-            for t, c in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                key = (*t, -1, *c)
-                if key not in seen:
-                    if len(seen) >= SEEN:
-                        seen.clear()
-                    seen[key] = index.score(t, c)
-                done.append(seen[key])
-            evidence = pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in done], pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in done], pa.float64()), evidence], ["doc_id", "score", "evidence"])
-
-    return vectors.mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id: long, cosine: double, toxic: int>>")
+        terms, index = shared.value
+        index.curve = curve
+        seen: dict[bytes, tuple] = {}
+        for batch in batches:
+            for part in sliced(batch):
+                bounds, number, counts = term_counts(part.column(1), terms)
+                done = []
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    key = xxhash.xxh3_128_digest(number[a:b].tobytes() + b"/" + counts[a:b].tobytes())
+                    if key not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen[key] = index.score(number[a:b], counts[a:b])
+                    done.append(seen[key])
+                evidence = pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in done], evidence_type)
+                columns = [part.column(0), pa.array([s for s, _ in done], pa.float64()), evidence, *[part.column(i) for i in range(1, part.num_columns)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", "text", *extra])
+
+    own = T.StructType.fromDDL(f"doc_id long, score double, evidence {EVIDENCE}")
+    return docs.mapInArrow(run, T.StructType([*own.fields, *docs.schema.fields[1:]]))
 
 
 def held_out(doc_id: str = "doc_id"):
