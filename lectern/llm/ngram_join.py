@@ -3,20 +3,20 @@
 The incidence matrix of different texts by n-grams is multiplied with its
 transpose in blocks.  With sizes n and m, 100 * overlap >= pct * union needs an
 overlap of pct % of either size at least (``needed``).  All n-grams have one
-order, from rare to frequent, and of two linked texts
-
-* the first size - needed + 1 n-grams (the core) have one in common,
-* the first size - needed + 1 + e have min(e, e') + 1 in common.
-
-So a first, slim product counts over these heads alone how many n-grams each
-text shares with any other, and discards texts below the bound.  What is left
-is dealt into blocks: of the texts with an n-gram in their cores the most
-central one is its leader, and a leader's block is everyone whose core has one
-of its n-grams.  Each linked pair meets in a block, whoever leads it.  A block
-is multiplied tile by tile, CHUNK by CHUNK texts, its overlap counts
-accumulated over stretches of n-grams; pairs below the bound are discarded,
-and a pair that meets in several blocks counts in the one of smallest leader.
-Components follow from a spanning forest of each tile.
+order, from rare to frequent, and of two linked texts the first
+size - needed + 1 + e (the head) have t = min(e, e') + 1 in common.
+
+A first, slim product over heads alone counts how many n-grams each text
+shares with any other, and discards texts below t.  What is left is dealt into
+blocks: of the texts with an n-gram in their heads the most central one is its
+leader, and a leader's block is everyone whose head has one of its n-grams.  A
+text counts its n-grams under each leader and leaves those under which it has
+fewest, as long as they are no more than (t - 1) / 2 in all: linked texts then
+still have an n-gram, and so a block, in common, while chance overlaps of long
+texts are gone.  A block is multiplied tile by tile, CHUNK by CHUNK texts, its
+overlap counts accumulated over stretches of n-grams; pairs below the bound are
+discarded, and a pair that meets in several blocks counts in the one of
+smallest leader.  Components follow from a spanning forest of each tile.
 
 How often an n-gram occurs is known from a sketch of BUCKETS counts.  It only
 orders n-grams, so the result doesn't depend on its precision.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import added_up, cut, pick, ship, small, stretches
@@ -41,8 +41,8 @@ BROADCAST_IDS = 1_000_000
 CHUNK, COLUMNS = 512, 4_096
 #: Counts in the sketch of n-gram frequencies.
 BUCKETS = 1 << 16
-#: Per thousand of a set, how many n-grams a head has beyond the core.
-SPARE = 30
+#: e: per thousand of a set, how many n-grams its head has beyond those that hold one in common.
+SPARE = 40
 LOW = np.uint64((1 << 56) - 1)
 SHIFT = np.uint64(56)
 
@@ -52,11 +52,6 @@ def needed(n: int, pct: int) -> int:
     return -(-pct * n // 100)
 
 
-def core(n: int, pct: int) -> int:
-    """How many of its first n-grams hold one that a set of ``n`` shares with any set it links to."""
-    return n - needed(n, pct) + 1
-
-
 def spare(n: int) -> int:
     return SPARE * n // 1_000
 
@@ -102,7 +97,7 @@ def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
 
 
 def heads(docs: DataFrame, width: int, pct: int, classes: np.ndarray) -> DataFrame:
-    """(g, node, n, core): the n-grams of each row's head, and whether they lie in its core."""
+    """(g, node, n): the n-grams of each row's head."""
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,18 +106,12 @@ def heads(docs: DataFrame, width: int, pct: int, classes: np.ndarray) -> DataFra
                 sets = [s for s in shingle_sets(part.column(1), width) if len(s)]
                 if not sets:
                     continue
-                tops, inner = [], []
-                for s in sets:
-                    grams, k = ordered(s, shared.value), core(len(s), pct)
-                    size = min(len(s), k + spare(len(s)))
-                    top = np.sort(np.partition(grams, size - 1)[:size])
-                    tops.append(top)
-                    inner.append(np.arange(size) < k)
-                sizes = [len(t) for t in tops]
-                columns = [np.concatenate(tops).view(np.int64), np.repeat([signature(s)[0] for s in sets], sizes), np.repeat([len(s) for s in sets], sizes), np.concatenate(inner)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "node", "n", "core"])
+                sizes = [min(len(s), len(s) - needed(len(s), pct) + 1 + spare(len(s))) for s in sets]
+                tops = [np.partition(ordered(s, shared.value), k - 1)[:k] for s, k in zip(sets, sizes, strict=True)]
+                columns = [np.concatenate(tops).view(np.int64), np.repeat([signature(s)[0] for s in sets], sizes), np.repeat([len(s) for s in sets], sizes)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "node", "n"])
 
-    return docs.mapInArrow(run, "g long, node long, n long, core boolean")
+    return docs.mapInArrow(run, "g long, node long, n long")
 
 
 def shared_only(rows: DataFrame) -> DataFrame:
@@ -292,10 +281,14 @@ def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple
     left = cut(left.join(twice, "g"))
     found = left.groupBy("node", "n").agg(F.count("*").alias("found")).where(F.col("found") >= _least("n", pct))
     found = cut(found.select("node", (F.col("found") / F.col("n")).alias("central")))
-    cores = left.where("core").select("g", "node").join(found, "node")
-    led = cores.groupBy("g").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    star = cut(cores.select("g", "node").join(led.select("g", F.col("top.node").alias("leader")), "g").select("node", "leader").distinct())
-    homes = star.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("homes"))  # no more than a core has n-grams
+    rows = left.join(found, "node")
+    led = rows.groupBy("g").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
+    counted = rows.join(led.select("g", F.col("top.node").alias("leader")), "g").groupBy("node", "n", "leader").agg(F.count("*").alias("common"))
+    fewest = Window.partitionBy("node").orderBy("common", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    star = cut(counted.withColumn("upto", F.sum("common").over(fewest)).where(2 * F.col("upto") > _least("n", pct) - 1).select("node", "leader"))
+    several = star.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1").select("leader")
+    star = cut(star.join(several, "leader"))
+    homes = star.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("homes"))  # no more than a head has n-grams
 
     chosen = cut(homes.join(texts, "node"))
     reps = chosen.select(F.col("rep").alias("doc_id")).distinct()
