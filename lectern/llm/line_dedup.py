@@ -1,20 +1,23 @@
 """Line dedup: aligned common blocks go from the later of two documents.
 
 A line ends at a newline or after a sentence, so a passage is found wherever
-it stands.  A block is a stretch of lines that two documents have in common.
-Aligning each document with all earlier ones, and what is left again until no
-block has enough words, takes the lines of all such stretches.  These are the
-lines of the least stretches that have the words, so hashes of these are
-matched in place of pairs of documents: no pair has to be chosen, none is
-missed, and copies or repeats cost no more than other lines.  ``patience``
-aligns one pair in order; the operator does not need it.
+it stands.  Overlapping documents are found through hashes of least blocks:
+stretches of lines that are just long enough to be rare.  A document is paired
+with every document that is the first to have one of its least blocks, however
+many have it later, so a block that a third of all documents share gives each
+of them one partner.  A pair's least blocks are aligned by patience diff: an
+increasing run of those that are unique in both, then the same between any two
+of them, and the longest increasing run where none is unique.  What a pair has
+in common out of order, or more than once, is aligned for itself after that.
+So the lines that go are those of all stretches of enough words that stand in
+any earlier document, which the tests hold against all pairs of documents.
 """
 
 from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, pick, ship
 from .shingles import MIX, mixed, sliced
@@ -46,46 +50,50 @@ def plain(line: str) -> str:
     return line.strip(SPACE)
 
 
-def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The matched (later, earlier) places of a patience diff over all places of equal lines.
-
-    Anchors are pairs whose places occur in no other pair; of these the longest
-    increasing run stays, and it is extended over adjacent pairs both ways.
-    """
-    lefts, rights = defaultdict(int), defaultdict(int)
-    for a, b in pairs:
-        lefts[a] += 1
-        rights[b] += 1
-    anchors = sorted((a, b) for a, b in pairs if lefts[a] == rights[b] == 1)
+def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest run of pairs that increases in both places."""
     tails: list[int] = []
     tail_at: list[int] = []
     back: list[int] = []
-    for i, (_, b) in enumerate(anchors):
+    # of pairs with one first place no two can stand in a run: the larger ones come first
+    pairs = sorted(pairs, key=lambda p: (p[0], -p[1]))
+    for i, (_, b) in enumerate(pairs):
         k = bisect_left(tails, b)
         back.append(tail_at[k - 1] if k else -1)
         tails[k : k + 1] = [b]
         tail_at[k : k + 1] = [i]
     run, i = [], tail_at[-1] if tail_at else -1
     while i >= 0:
-        run.append(anchors[i])
+        run.append(pairs[i])
         i = back[i]
-    run.reverse()
-    every = set(pairs)
+    return run[::-1]
+
+
+def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The (later, earlier) places that a patience diff matches, of all places of equal lines.
+
+    Anchors are pairs whose places occur in no other pair.  Of these the longest
+    increasing run stays, and the pairs between two of its anchors are treated
+    likewise; where there is no anchor, the longest increasing run of all pairs
+    stays.
+    """
     out: list[tuple[int, int]] = []
-    bounds = [(-1, -1), *run, (1 << 60, 1 << 60)]
-    for (a0, b0), (a, b), (a1, b1) in zip(bounds, bounds[1:], bounds[2:], strict=False):
-        up = []
-        x, y = a - 1, b - 1
-        low = max(a0, out[-1][0] if out else -1), max(b0, out[-1][1] if out else -1)
-        while x > low[0] and y > low[1] and (x, y) in every:
-            up.append((x, y))
-            x, y = x - 1, y - 1
-        out += [*reversed(up), (a, b)]
-        x, y = a + 1, b + 1
-        while x < a1 and y < b1 and (x, y) in every:
-            out.append((x, y))
-            x, y = x + 1, y + 1
-    return out
+    waiting = [pairs]
+    while waiting:
+        some = waiting.pop()
+        lefts, rights = Counter(a for a, _ in some), Counter(b for _, b in some)
+        run = increasing([(a, b) for a, b in some if lefts[a] == rights[b] == 1])
+        out += run or increasing(some)
+        if not run or len(run) == len(some):
+            continue
+        later, earlier = [a for a, _ in run], [b for _, b in run]
+        gaps = defaultdict(list)
+        for a, b in some:
+            k = bisect_left(later, a)
+            if bisect_left(earlier, b) == k and (k == len(run) or (a < later[k] and b < earlier[k])):
+                gaps[k].append((a, b))
+        waiting += gaps.values()
+    return sorted(out)
 
 
 def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
@@ -136,81 +144,119 @@ def windows_of(owns: list[list[str]], block_words: int) -> tuple[np.ndarray, ...
 
 
 def window_hashes(docs: DataFrame, block_words: int) -> DataFrame:
-    """doc_id, h1 and h2: 96 bits of each different least block of a text."""
+    """doc_id, and of each different least block of a text its hash, h1 and h2 of 96 bits, and the line at which it begins first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
                 owns = [[plain(x) for x in lines_of(t or "")] for t in part.column(1).to_pylist()]
-                text, _, _, h1, h2 = windows_of(owns, block_words)
-                order = np.lexsort((h2, h1, text))
-                text, h1, h2 = text[order], h1[order], h2[order]
+                text, start, _, h1, h2 = windows_of(owns, block_words)
+                at = start - np.concatenate([[0], np.cumsum([len(own) for own in owns])])[text]
+                order = np.lexsort((at, h2, h1, text))
+                text, h1, h2, at = text[order], h1[order], h2[order], at[order]
                 new = np.ones(len(text), bool)
                 new[1:] = (text[1:] != text[:-1]) | (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
                 offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[new], minlength=len(owns)))]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(offsets, pa.array(h1[new])), pa.ListArray.from_arrays(offsets, pa.array(h2[new]))], ["doc_id", "h1", "h2"])
+                lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (h1[new], h2[new], at[new].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *lists], ["doc_id", "h1", "h2", "at"])
 
-    return docs.mapInArrow(run, "doc_id long, h1 array<long>, h2 array<int>")
+    return docs.mapInArrow(run, "doc_id long, h1 array<long>, h2 array<int>, at array<int>")
 
 
-def shared_windows(docs: DataFrame, block_words: int) -> DataFrame:
-    """doc_id and matches: h1 of its least blocks that any earlier document has.
+def overlapping(docs: DataFrame, block_words: int) -> DataFrame:
+    """doc_id and matches (h1, first_doc, first_at): its least blocks that an earlier document has, and the first one that does.
 
-    Whether an earlier document has a block is known from the smallest doc_id
-    that has it, so a block costs one row a document however often it occurs.
+    A block costs one row a document however often it occurs: nobody but the
+    first document that has it is anybody's partner for it.
     """
     hashes = cut(window_hashes(docs, block_words))
-    rows = hashes.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("h")).select("doc_id", "h.h1", "h.h2")
-    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last")).where("first_doc < last").select("h1", "h2", "first_doc")
-    found = rows.join(first, ["h1", "h2"]).where("doc_id > first_doc")
-    return found.groupBy("doc_id").agg(F.collect_list("h1").alias("matches"))
+    rows = hashes.select("doc_id", F.explode(F.arrays_zip("h1", "h2", "at")).alias("h")).select("doc_id", "h.h1", "h.h2", "h.at")
+    first = rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last"), F.min_by("at", "doc_id").alias("first_at")).where("first_doc < last").drop("last")
+    found = rows.drop("at").join(first, ["h1", "h2"]).where("doc_id > first_doc")
+    return found.groupBy("doc_id").agg(F.collect_list(F.struct("h1", "first_doc", "first_at")).alias("matches"))
 
 
-def cut_out(lines: list[str], matches: np.ndarray, block_words: int = BLOCK_WORDS) -> list[int]:
-    """The places of the lines that go: those of least blocks that earlier documents have."""
+def cut_out(lines: list[str], hashes: np.ndarray, docs: np.ndarray, places: np.ndarray, block_words: int = BLOCK_WORDS) -> tuple[list[int], list[dict]]:
+    """The places of the lines that go, and the blocks that they are aligned in.
+
+    ``hashes`` are of least blocks that stand in earlier ``docs`` at these
+    ``places``; each of these documents is aligned with the lines in turn.
+    """
     _, start, end, h1, _ = windows_of([[plain(x) for x in lines]], block_words)
-    hit = np.isin(h1, matches)
-    change = np.zeros(len(lines) + 1, dtype=np.int64)
-    np.add.at(change, start[hit], 1)
-    np.add.at(change, end[hit], -1)
-    return np.flatnonzero(np.cumsum(change)[:-1] > 0).tolist()
+    order = np.argsort(hashes, kind="stable")
+    at = np.minimum(np.searchsorted(hashes[order], h1), len(hashes) - 1)
+    hit = np.flatnonzero(hashes[order][at] == h1)
+    start, end, doc, there = start[hit], end[hit], docs[order][at[hit]], places[order][at[hit]]
+    gone = np.zeros(len(lines), bool)
+    found: list[dict] = []
+    order = np.lexsort((there, start, doc))
+    for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
+        if not len(own):
+            continue
+        x, y = start[own], there[own]
+        matched = np.ones(len(own), bool)
+        if not ((np.diff(x) > 0).all() and (np.diff(y) > 0).all()):
+            kept = set(patience(list(zip(x.tolist(), y.tolist(), strict=True))))
+            matched = np.array([p in kept for p in zip(x.tolist(), y.tolist(), strict=True)])
+        # the aligned ones first; each of the others is a block of its own
+        for some in (own[matched], *own[~matched][:, None]):
+            for i in some:
+                a, b, shift = int(start[i]), int(end[i]), int(there[i] - start[i])
+                last = found[-1] if found else None
+                if last and last["doc_id"] == doc[i] and last["at"] - last["start"] == shift and last["start"] <= a <= last["start"] + last["lines"]:
+                    last["lines"] = max(last["lines"], b - last["start"])
+                else:
+                    found.append({"start": a, "lines": b - a, "doc_id": int(doc[i]), "at": a + shift})
+                gone[a:b] = True
+    return np.flatnonzero(gone).tolist(), found
+
+
+BLOCK = pa.struct([("start", pa.int32()), ("lines", pa.int32()), ("doc_id", pa.int64()), ("at", pa.int32())])
 
 
 def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """doc_id, text (what stays), n_lines, removed (places of the lines that went), and the other columns, for every row.
+    """doc_id, text (what stays), n_lines, removed (places of the lines that went), blocks, and the other columns, for every row.
 
     A line goes if it lies in a stretch of lines, ``block_words`` words or more
     in all, that stands in any document of smaller doc_id as well, whatever
     that one keeps of it; white space around lines does not count, blank lines
     do.  So the first document with a stretch keeps it, as does every document
-    for what it repeats itself.  Rows that share a doc_id are not held against
-    each other, but all against earlier ones.  Null texts stay null, empty ones
-    empty; a row without doc_id is left as it is.  Columns of ``docs`` that bear a
-    result's name are replaced by the result.
+    for what it repeats itself.  ``blocks`` lists what was aligned: the first
+    of its lines, how many, and where they stand in which earlier document.
+    ``block_words`` keeps sentences of a word or two, which any two documents
+    may share by chance, from clean documents.  Rows that share a doc_id are
+    not held against each other, but all against earlier ones.  Null texts stay
+    null, empty ones empty; a row without doc_id is left as it is; an empty
+    table gives none.  Columns of ``docs`` that bear a result's name are
+    replaced by the result.  A very long text is one row of a task.
     """
     ship(docs.sparkSession)
-    extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "removed", "matches")]
+    extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "n_lines", "removed", "blocks")]
     docs = pick(docs, "doc_id", "text", *extra)
     rows = docs.where("doc_id IS NOT NULL")
-    found = cut(shared_windows(rows.select("doc_id", "text").where("text <> ''"), block_words))
-    both = rows.join(found, "doc_id", "left").unionByName(docs.where("doc_id IS NULL").withColumn("matches", F.lit(None).cast(found.schema["matches"].dataType)))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields[2:]]
+    found = overlapping(rows.select("doc_id", "text").where("text <> ''"), block_words)
+    flat = docs.toDF("doc_id", "text", *[f"__{i}" for i in range(len(extra))])
+    both = flat.join(found, "doc_id", "left").select("doc_id", "text", "matches", *flat.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
                 found = part.column(2)
-                keys = found.flatten().to_numpy(zero_copy_only=False)
+                flat = [x.to_numpy(zero_copy_only=False) for x in found.flatten().flatten()]
                 sizes = pc.fill_null(pc.list_value_length(found), 0).to_pylist()
-                texts, counts, gone, start = [], [], [], 0
+                texts, counts, gone, blocks, start = [], [], [], [], 0
                 for text, n in zip(part.column(1).to_pylist(), sizes, strict=True):
-                    lines, end = lines_of(text or ""), start + n
-                    places = cut_out(lines, keys[start:end], block_words) if n else []
-                    drop, start = set(places), end
+                    lines = lines_of(text or "")
+                    own, start = slice(start, start + n), start + n
+                    places, aligned = cut_out(lines, *[x[own] for x in flat], block_words) if n else ([], [])
+                    drop = set(places)
                     texts.append("".join([x for i, x in enumerate(lines) if i not in drop]) if places else text)
                     counts.append(len(lines))
                     gone.append(places)
-                done = [part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.int32()))]
-                yield pa.RecordBatch.from_arrays([*done, *[part.column(i) for i in range(3, part.num_columns)]], ["doc_id", "text", "n_lines", "removed", *extra])
+                    blocks.append(aligned)
+                done = [part.column(0), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.list_(pa.int32())), pa.array(blocks, pa.list_(BLOCK))]
+                yield pa.RecordBatch.from_arrays([*done, *[part.column(i) for i in range(3, part.num_columns)]], names)
 
-    return both.select("doc_id", "text", "matches", *extra).mapInArrow(run, ", ".join(["doc_id long, text string, n_lines long, removed array<int>", *fields]))
+    names = ["doc_id", "text", "n_lines", "removed", "blocks", *extra]
+    own = T.StructType.fromDDL("doc_id long, text string, n_lines long, removed array<int>, blocks array<struct<start: int, lines: int, doc_id: long, at: int>>")
+    return both.mapInArrow(run, T.StructType([*own.fields, *docs.schema.fields[2:]]))

@@ -66,8 +66,8 @@ def bucket(hashes: np.ndarray) -> np.ndarray:
 
 
 def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node (64 bits of the set) of each row; and (at, counts) of each task's sketch, in rows of their own."""
-    names = ["doc_id", "n", "node", "at", "counts"]
+    """doc_id, n, node (64 bits of the set), text_key of each row; and (at, counts) of each task's sketch, in rows of their own."""
+    names = ["doc_id", "n", "node", "text_key", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -75,14 +75,14 @@ def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
             for part in sliced(batch):
                 sets = shingle_sets(part.column(1), width)
                 total += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
-                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s)[0] for s in sets], pa.int64()), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))]
+                columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s)[0] for s in sets], pa.int64()), part.column(2), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if total.any():
             at, rows = stretches(total)
             none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, at, rows], names)
+            yield pa.RecordBatch.from_arrays([none, none, none, none, at, rows], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, node long, at int, counts array<long>")
+    return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, node long, text_key long, at int, counts array<long>")
 
 
 def frequency_classes(sketch: DataFrame) -> np.ndarray:
@@ -268,7 +268,7 @@ def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple
     docs = pick(docs, "doc_id", "text")
     ship(docs.sparkSession)
     both = cut(sizes_and_sketch(docs, width))
-    sizes = both.where("at IS NULL").select("doc_id", "n", "node")
+    sizes = both.where("at IS NULL").select("doc_id", "n", "node", "text_key")
     texts = sizes.where("n > 0 AND doc_id IS NOT NULL").groupBy("node", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows"))
     known = docs.where("doc_id IS NOT NULL")
 
@@ -316,7 +316,7 @@ def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: i
 
 
 def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, n_shingles, n_links, component_id for every row of ``docs``.
+    """doc_id, n_shingles, n_links, component_id, text_key for every row of ``docs``.
 
     A set is a text's distinct ``width``-word shingles (A-Z lower-cased, ASCII
     white space between words); with fewer words the whole text is its one
@@ -325,8 +325,9 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     a doc_id a row links with, copies included, and component_id the smallest
     doc_id that links reach.  Rows that share a doc_id are documents of their
     own, each with its own text's links.  A row without doc_id has its size
-    and a null component and links nothing.  No row is dropped; other columns
-    are ignored; an empty table gives none.
+    and a null component and links nothing.  text_key is xxhash64 of the text,
+    which tells rows that share a doc_id apart.  No row is dropped; other
+    columns are ignored; an empty table gives none.
     """
     sizes, texts, members = _members(docs, width, pct, broadcast_ids)
     tiles = cut(_tiles(members, pct, False, chunk))
@@ -344,4 +345,5 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
         F.col("n").alias("n_shingles"),
         F.when(known, F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"),
         F.when(known, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        "text_key",
     )

@@ -1,74 +1,12 @@
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from lectern.llm import line_dedup as L
 from lectern.llm import queries
 
 
-def plain_dedup(docs, words=L.BLOCK_WORDS):
-    """The rule told again over all documents at once: first owners, patience by exhaustive search, blocks."""
-    first = {}
-    for doc, text in sorted((d, t) for d, t in docs if t and d is not None):
-        for at, line in enumerate(L.lines_of(text)):
-            key = line.strip("\t\n\x0b\x0c\r ")
-            if key:
-                first.setdefault(key, (doc, at))
-    out = {}
-    for doc, text in docs:
-        own, by = L.lines_of(text or ""), defaultdict(list)
-        for at, line in enumerate(own):
-            key = line.strip("\t\n\x0b\x0c\r ")
-            if doc is not None and key and first[key][0] < doc:
-                by[first[key][0]].append((at, first[key][1]))
-        gone = set()
-        for pairs in by.values():
-            anchors = [(a, b) for a, b in pairs if sum(x == a for x, _ in pairs) == sum(y == b for _, y in pairs) == 1]
-            best = {}
-            for a, b in sorted(anchors):
-                best[a, b] = max([best[x] for x in best if x[1] < b], key=len, default=[]) + [(a, b)]
-            run = max(best.values(), key=len, default=[])
-            got, every = set(run), set(pairs)
-            for k, (a, b) in enumerate(run):
-                low = max([x for x, _ in got if x < a], default=-1), max([y for x, y in got if x < a], default=-1)
-                while (a - 1, b - 1) in every and a - 1 > low[0] and b - 1 > low[1]:
-                    a, b = a - 1, b - 1
-                    got.add((a, b))
-                a, b = run[k]
-                high = run[k + 1] if k + 1 < len(run) else (10**9, 10**9)
-                while (a + 1, b + 1) in every and a + 1 < high[0] and b + 1 < high[1]:
-                    a, b = a + 1, b + 1
-                    got.add((a, b))
-            block, last = [], None
-            for p in [*sorted(got), None]:
-                if last and p == (last[0] + 1, last[1] + 1):
-                    block.append(p[0])
-                else:
-                    if sum(len(own[i].split()) for i in block) >= words:
-                        gone.update(block)
-                    block = [p[0]] if p else []
-                last = p
-        out[doc] = ("".join(x for i, x in enumerate(own) if i not in gone) if text is not None else None, sorted(gone))
-    return out
-
-
-def check(rows, docs, words=L.BLOCK_WORDS):
-    want = plain_dedup(docs, words)
-    assert len(rows) == len(docs)
-    for r in rows:
-        text, gone = want[r.doc_id]
-        if len(set(gone)) == len(r.removed):
-            assert r.text == text and list(r.removed) == gone
-        else:
-            raise AssertionError((r.doc_id, r.removed, gone))
-
-
-def test_op7_over_the_table(spark, sf_dir):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    check(L.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), docs)
-    rows = queries.op7_line_dedup(spark, sf_dir).collect()
-    assert len(rows) == len(docs) and sum(r.n_removed for r in rows) > 0
-
-
 def test_passages_in_and_across_lines(spark):
     rng = random.Random(4)
     say = lambda n: " ".join(rng.choice("abcdefghijklmnop") * rng.randint(1, 6) + str(rng.randint(0, 9)) for _ in range(n)) + "."
@@ -82,7 +20,8 @@ def test_passages_in_and_across_lines(spark):
 
 
 def test_odd_rows(spark, odd_docs, no_docs):
-    rows = L.line_dedup(odd_docs).collect()
+    rows = L.line_dedup(odd_docs.withColumn("matches", F.lit("m"))).collect()
+    assert all(r.matches == "m" and r.h == "h" for r in rows)
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
     assert len(rows) == len(docs)
     assert {(r.doc_id, r.text) for r in rows} == set(docs)
@@ -132,9 +71,50 @@ def check_all(rows, docs):
         assert (r.text or "") == "".join(x for i, x in enumerate(own) if i not in set(r.removed))
 
 
-def test_every_earlier_document_over_the_table(spark, sf_dir):
+def check_blocks(rows, docs):
+    """Each block stands in the earlier document that it names, and the blocks are what goes."""
+    lines = {d: [x.strip("\t\n\x0b\x0c\r ") for x in L.lines_of(t or "")] for d, t in docs}
+    for r in rows:
+        for b in r.blocks:
+            assert b.doc_id < r.doc_id
+            assert lines[r.doc_id][b.start : b.start + b.lines] == lines[b.doc_id][b.at : b.at + b.lines] != []
+        assert sorted({i for b in r.blocks for i in range(b.start, b.start + b.lines)}) == list(r.removed)
+
+
+def test_op7_over_the_table_against_every_earlier_document(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    check_all(L.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect(), docs)
+    rows = L.line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet")).collect()
+    check_all(rows, docs)
+    check_blocks(rows, docs)
+    removed = {r.doc_id: len(r.removed) for r in rows}
+    got = queries.op7_line_dedup(spark, sf_dir).collect()
+    assert {r.doc_id: r.n_removed for r in got} == removed and len(got) == len(docs) and sum(removed.values()) > 0
+
+
+def test_rows_that_share_an_id(spark):
+    rng = random.Random(9)
+    say = lambda n: " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n)) + "."
+    passage, own = " ".join(say(9) for _ in range(5)), " ".join(say(9) for _ in range(6))
+    docs = [(1, passage), (5, say(3) + " " + passage), (5, "short"), (5, own), (5, passage)]
+    rows = L.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in rows) == sorted([passage, docs[1][1].split(".")[0] + ".", "short", own, ""])
+
+
+def test_patience_finds_common_runs():
+    """Against all increasing runs: without unique places the longest one, with them never less than the anchors'."""
+    rng = random.Random(2)
+    for _ in range(300):
+        pairs = sorted({(rng.randint(0, 6), rng.randint(0, 6)) for _ in range(rng.randint(0, 9))})
+        got = L.patience(pairs)
+        assert set(got) <= set(pairs) and all(a < c and b < d for (a, b), (c, d) in zip(got, got[1:], strict=False))
+        best: dict = {}
+        for p in pairs:
+            best[p] = 1 + max((n for q, n in best.items() if q[0] < p[0] and q[1] < p[1]), default=0)
+        assert len(L.increasing(pairs)) == max(best.values(), default=0)
+        assert bool(got) == bool(pairs)
+    twice = [(i, j) for i in range(8) for j in range(8) if i % 4 == j % 4]
+    assert len(L.patience(twice)) == 8
+    assert L.patience([(0, 0), (1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]) == [(0, 0), (1, 1), (2, 2), (3, 3)]
 
 
 def test_short_lines_with_other_first_owners(spark):
