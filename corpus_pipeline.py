@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -14,23 +12,27 @@ from pyspark.sql import functions as F
 from lectern.llm import line_dedup as lines
 from lectern.llm import ngram_join, packing
 from lectern.llm import toxicity as toxic
-from lectern.llm.common import pick, read
+from lectern.llm.common import cut, pick, read, remove, shared_folder, small
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4_096
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the labelled examples do not speak against; labels are those of the input folder."""
-    scores = toxic.score_documents(docs, read(spark, sf_dir, "labels"))
-    bad = scores.where("score >= 0.5 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """Documents that the labelled examples do not speak against; labels are those of the input folder.
+
+    Each row is judged by its own text, rows without doc_id, repeated and empty
+    ones too; other columns stay; an empty table stays empty.
+    """
+    return toxic.scored(docs, read(spark, sf_dir, "labels")).where("score < 0.5").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the blocks that earlier ones have; those of which nothing is left are gone.
 
-    n_chars is the new text's where a text has changed.
+    n_chars is the new text's where a text has changed.  Rows without doc_id
+    stay as they are, as do null and empty texts; rows that share a doc_id are
+    held against earlier ones each; other columns stay.
     """
     done = lines.line_dedup(docs)
     changed = F.size("removed") > 0
@@ -42,13 +44,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id."""
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest doc_id.
+
+    A row goes by its doc_id and its own text, so rows that share a doc_id have
+    the fate of their texts; rows without doc_id, and null and empty texts,
+    stay; other columns stay.
+    """
     found = ngram_join.ngram_jaccard_join(docs, width=5, pct=80)
-    later = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(docs.columns)
+    later = cut(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct())
+    hint = F.broadcast if small(later, ngram_join.BROADCAST_IDS) else (lambda x: x)
+    later = hint(later.toDF("__id", "__key"))
+    rows = docs.withColumns({"__d": F.col("doc_id"), "__t": F.xxhash64("text")})
+    return rows.join(later, (F.col("__d") == F.col("__id")) & (F.col("__t") == F.col("__key")), "left_anti").select(docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as sequences; what a null or empty text, or a repeated row, gives is said at ``packing.pack``."""
     return packing.pack(pick(docs, "doc_id", "text"), public_tokenizers.path(TOKENIZER), CAPACITY)
 
 
@@ -65,13 +76,14 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each one's result is written as Parquet and read again.
 
-    The files go to the shared folder of spark.checkpoint.dir, or to a
-    temporary one where that is not set.
+    The files go to the shared folder; a stage's are removed once the next one
+    is written.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-pipeline-")
-    folder = os.path.join(folder, f"pipeline-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = read(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
