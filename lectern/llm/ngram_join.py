@@ -9,11 +9,13 @@ size - needed + 1 + e (the head) have t = min(e, e') + 1 in common.
 A first, slim product over heads alone counts how many n-grams each text
 shares with any other, and discards texts below t.  What is left is dealt into
 blocks: of the texts with an n-gram in their heads the most central one is its
-leader, and a leader's block is everyone whose head has one of its n-grams.  A
-text counts its n-grams under each leader and leaves those under which it has
-fewest, as long as they are no more than (t - 1) / 2 in all: linked texts then
-still have an n-gram, and so a block, in common, while chance overlaps of long
-texts are gone.  A block is multiplied tile by tile, CHUNK by CHUNK texts, its
+leader, and a leader's block is everyone whose head has one of its n-grams.
+Leaders that have most of their n-grams under another leader give their blocks
+to it.  A text counts its n-grams under each leader and leaves those under
+which it has fewest, as long as they are no more than (t - 1) / 2 in all:
+linked texts then still have an n-gram, and so a block, in common, while chance
+overlaps of long texts are gone.  A block is multiplied tile by tile, CHUNK by
+CHUNK texts, its
 overlap counts accumulated over stretches of n-grams; pairs below the bound are
 discarded, and a pair that meets in several blocks counts in the one of
 smallest leader.  Components follow from a spanning forest of each tile.
@@ -35,8 +37,8 @@ from .common import added_up, cut, pick, ship, small, stretches
 from .components import components
 from .shingles import as_lists, shingle_sets, signature, sliced
 
-#: Document ids (8 bytes each) up to which candidates are broadcast; beyond, they are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
+#: Rows of ids (some 100 bytes each) up to which candidates are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_IDS = 250_000
 #: Texts on a side of a tile, and n-grams that are multiplied at once.
 CHUNK, COLUMNS = 512, 4_096
 #: Counts in the sketch of n-gram frequencies.
@@ -194,20 +196,17 @@ def roots(linked: np.ndarray) -> np.ndarray:
         label = best
 
 
-def _tiles(members: DataFrame, pct: int, pairs: bool, chunk: int) -> DataFrame:
-    """Links in blocks (leader, node, n, rows, homes, hashes), each one counted once.
+def _tiles(members: DataFrame, pct: int, pairs: bool) -> DataFrame:
+    """Links in the tiles of blocks, each one counted once.
 
     (a, a_n, b, b_n, overlap) of each, or (node, links, root): how many rows a
     text links to within a tile, and a text that it is connected with there.
     """
-    many = members.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
-    dealt = members.join(many, "leader").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "rows", "homes", "hashes")
-    dealt = dealt.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
+    dealt = members.repartition("leader", "p", "q").sortWithinPartitions("leader", "p", "q")
 
     def told(rows: list[tuple]) -> pa.RecordBatch | None:
         leader, p, q = rows[0][:3]
+        rows = list({r[4]: r for r in rows}.values())  # rows of one doc_id and text are one text
         one = [i for i, r in enumerate(rows) if r[3] == p]
         two = one if p == q else [i for i, r in enumerate(rows) if r[3] == q]
         n = np.array([r[5] for r in rows])
@@ -263,7 +262,7 @@ def _least(n: str, pct: int) -> Column:
     return F.least(F.floor(need * SPARE / 1_000 + 1e-9) + 1, need)
 
 
-def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int, chunk: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sizes of all rows; texts (node, n, rep, rows); and what ``_tiles`` takes."""
     docs = pick(docs, "doc_id", "text")
     ship(docs.sparkSession)
@@ -283,19 +282,27 @@ def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int) -> tuple
     found = cut(found.select("node", (F.col("found") / F.col("n")).alias("central")))
     rows = left.join(found, "node")
     led = rows.groupBy("g").agg(F.max(F.struct("central", "node")).alias("top"), F.min("node").alias("a"), F.max("node").alias("b")).where("a < b")
-    counted = rows.join(led.select("g", F.col("top.node").alias("leader")), "g").groupBy("node", "n", "leader").agg(F.count("*").alias("common"))
+    counted = cut(rows.join(led.select("g", F.col("top.node").alias("leader")), "g").groupBy("node", "n", "leader").agg(F.count("*").alias("common")))
+    # leaders with most of their n-grams under one leader give their blocks to it
+    best = counted.groupBy("node").agg(F.max(F.struct("common", "leader")).alias("most"), F.sum("common").alias("all")).where("2 * most.common >= all AND most.leader <> node")
+    given = best.select(F.col("node").alias("leader"), F.col("most.leader").alias("to"))
+    merged = counted.join(given, "leader", "left").groupBy("node", "n", F.coalesce("to", "leader").alias("leader")).agg(F.sum("common").alias("common"))
     fewest = Window.partitionBy("node").orderBy("common", "leader").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    star = cut(counted.withColumn("upto", F.sum("common").over(fewest)).where(2 * F.col("upto") > _least("n", pct) - 1).select("node", "leader"))
-    several = star.groupBy("leader").agg(F.count("*").alias("members")).where("members > 1").select("leader")
-    star = cut(star.join(several, "leader"))
+    star = merged.withColumn("upto", F.sum("common").over(fewest)).where(2 * F.col("upto") > _least("n", pct) - 1).select("node", "leader")
+    star = cut(star)
+    parts = star.groupBy("leader").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"), F.count("*").alias("members")).where("members > 1")
     homes = star.groupBy("node").agg(F.sort_array(F.collect_list("leader")).alias("homes"))  # no more than a head has n-grams
+    dealt = star.join(parts, "leader").join(homes, "node").join(texts, "node").withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = cut(dealt.select("leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "node", "n", "rows", "homes", "rep"))
 
-    chosen = cut(homes.join(texts, "node"))
-    reps = chosen.select(F.col("rep").alias("doc_id")).distinct()
-    hint = F.broadcast if small(reps, broadcast_ids) else (lambda x: x)
+    # sets of whole texts come last, and go straight to their tiles
+    reps = dealt.select(F.col("rep").alias("doc_id")).distinct()
+    few = small(dealt, broadcast_ids)
+    hint = F.broadcast if few else (lambda x: x)
     sets = _sets(known.join(hint(reps), "doc_id", "left_semi"), width)
-    sets = cut(sets.join(chosen, ["node", "rep"]).dropDuplicates(["node"]).select("node", "n", "rows", "homes", "hashes"))
-    return sizes, texts, star.select("node", "leader").join(sets, "node")
+    members = sets.join(hint(dealt), ["node", "rep"]).select("leader", "p", "q", "own", "node", "n", "rows", "homes", "hashes")
+    return sizes, texts, members
 
 
 def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: int = BROADCAST_IDS, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
@@ -306,8 +313,8 @@ def ngram_pairs(docs: DataFrame, width: int = 5, pct: int = 80, broadcast_ids: i
     class null for a row that has no link to a different text.  Rows are
     treated as by ``ngram_jaccard_join``.
     """
-    sizes, texts, members = _members(docs, width, pct, broadcast_ids)
-    found = cut(_tiles(members, pct, True, chunk))
+    sizes, texts, members = _members(docs, width, pct, broadcast_ids, chunk)
+    found = cut(_tiles(members, pct, True))
     one = texts.select(F.col("node").alias("a_class"), F.col("rep").alias("a"))
     two = texts.select(F.col("node").alias("b_class"), F.col("rep").alias("b"))
     pairs = found.withColumnsRenamed({"a": "a_class", "b": "b_class"}).join(one, "a_class").join(two, "b_class").select("a", "b", "a_class", "b_class", "a_n", "b_n", "overlap")
@@ -329,8 +336,8 @@ def ngram_jaccard_join(docs: DataFrame, width: int = 5, pct: int = 80, broadcast
     which tells rows that share a doc_id apart.  No row is dropped; other
     columns are ignored; an empty table gives none.
     """
-    sizes, texts, members = _members(docs, width, pct, broadcast_ids)
-    tiles = cut(_tiles(members, pct, False, chunk))
+    sizes, texts, members = _members(docs, width, pct, broadcast_ids, chunk)
+    tiles = cut(_tiles(members, pct, False))
     links = tiles.groupBy("node").agg(F.sum("links").alias("links"))
     found = components(tiles.select(F.col("node").alias("a"), F.col("root").alias("b")))
     linked = cut(found.join(links, "node").join(texts.select("node", "rep"), "node"))
