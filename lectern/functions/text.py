@@ -38,8 +38,11 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(text: Column, ascii_only: bool = False) -> Column:
-    """Normal form C.  ``ascii_only`` promises ASCII and keeps the plan free of Python."""
-    return text if ascii_only else F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(_nfc(text))
+    """Normal form C.  ``ascii_only`` promises ASCII and keeps the plan free of Python; else only other texts go there in full."""
+    if ascii_only:
+        return text
+    plain = text.rlike(r"^\p{ASCII}*$")
+    return F.when(plain, text).otherwise(_nfc(F.when(~plain, text)))
 
 
 def posix_path(path: Column, ascii_only: bool = False) -> Column:
@@ -129,8 +132,8 @@ def term_count(text: Column, term: str) -> Column:
 
 
 def defanged(text: Column) -> Column:
-    """Addresses that no longer work as links."""
-    for old, new in (("https://", "hxxps://"), ("http://", "hxxp://"), ("www.", "www[.]")):
+    """Addresses that no longer work as links.  Fixed values: what is replaced by what."""
+    for old, new in (("http://", "hxxp://"), ("https://", "hxxps://"), (".onion", "[.]onion")):
         text = F.replace(text, F.lit(old), F.lit(new))
     return text
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,11 +38,25 @@ def code_notes(corpus: DataFrame, codes: list[Code]) -> DataFrame:
     )
 
 
+def carried(corpus: DataFrame, families: dict[str, list[Code]]) -> DataFrame:
+    """The notes without their texts, and in a column for each family which of its codes (code, label) they carry.
+
+    What the populations' tables start from: texts are read once for all
+    families, and stop at the first match of a code.
+    """
+
+    def own(codes: list[Code]) -> Column:
+        each = [F.struct(F.lit(c.code).alias("code"), F.lit(c.label).alias("label"), reduce(or_, [F.col("text").rlike(java(p)) for p in c.patterns]).alias("has")) for c in codes]
+        return F.transform(F.filter(F.array(*each), lambda x: F.coalesce(x["has"], F.lit(False))), lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label")))
+
+    return corpus.select(*[c for c in corpus.columns if c != "text"], *[own(codes).alias(name) for name, codes in families.items()])
+
+
 def evidence(corpus: DataFrame, codes: list[Code], most: int = SNIPPETS) -> DataFrame:
     """note_id, code, snippet_index, matched, snippet: the first hits by pattern, then place."""
     text = F.col("text")
-    each = [F.struct(F.lit(c.code).alias("code"), F.slice(F.flatten(F.array(*[matches(text, java(p)) for p in c.patterns])), 1, most).alias("hits")) for c in codes]
-    rows = corpus.select("note_id", "source", "text", F.explode(F.array(*each)).alias("x"))
+    each = [F.struct(F.lit(c.code).alias("code"), matches(text, list(c.patterns), most).alias("hits")) for c in codes]
+    rows = corpus.select("note_id", "source", "text", F.explode(F.array(*each)).alias("x")).where(F.size("x.hits") > 0)
     rows = rows.select("note_id", "source", "text", F.col("x.code").alias("code"), F.posexplode("x.hits").alias("k", "m"))
     return rows.select("note_id", "source", "code", (F.col("k") + 1).alias("snippet_index"), F.left("m.matched", F.lit(T.MATCHED)).alias("matched"), T.snippet(text, F.col("m.start"), F.col("m.end")).alias("snippet"))
 
@@ -87,7 +104,7 @@ def top_codes(by_source: DataFrame, most: int = 5, excluded: list[str] | None =
 
 def findings(summaries: DataFrame, narrative: DataFrame, default: str) -> DataFrame:
     """Ranked summaries with their narrative, or the default where none is written."""
-    rows = ranked(summaries).join(F.broadcast(narrative.select("code", "narrative")), "code", "left")
+    rows = ranked(summaries).join(narrative.select("code", "narrative"), "code", "left")
     return rows.withColumn("narrative", F.coalesce("narrative", F.lit(default)))
 
 
@@ -102,8 +119,8 @@ def entity_by_source(entities: DataFrame) -> DataFrame:
 
 
 def distinct_snippets(snippets: DataFrame, most: int) -> DataFrame:
-    """The first snippets of each code that differ in their first 120 characters, whatever the case."""
+    """The first snippets of each code that differ in their first 120 characters, whatever the case; blank ones are passed over."""
     key = F.lower(F.left("snippet", F.lit(120)))
     order = ["note_id", "snippet_index"]
-    first = snippets.groupBy("code", key.alias("key")).agg(F.min(F.struct(*order, "snippet")).alias("m")).select("code", "m.*")
+    first = snippets.where(T.filled(F.col("snippet"))).groupBy("code", key.alias("key")).agg(F.min(F.struct(*order, "snippet")).alias("m")).select("code", "m.*")
     return first.withColumn("place", F.row_number().over(Window.partitionBy("code").orderBy(*order))).where(F.col("place") <= most)

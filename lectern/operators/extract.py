@@ -2,56 +2,72 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+from itertools import islice
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: An embedded or linked image that ends in .png.
-IMAGE = r"!\[\[[^\n]*?\.png[^\n\]]*\]\]|!\[[^\]\n]*\]\([^)\n]*?\.png[^)\n]*\)"
-#: A dollar amount with a currency code on either side.
-DOLLARS = r"(?:\b([A-Z]{2,3})\s?)?\$\s?([0-9][0-9,]*(?:\.[0-9]+)?)(?:\s?(USD|CAD|AUD|NZD)\b)?"
-#: An amount of a cryptocurrency.
-COINS = r"\b([0-9][0-9,]*(?:\.[0-9]+)?)\s?(BTC|ETH|XMR|LTC|USDT|BITCOIN|ETHEREUM|MONERO|LITECOIN|TETHER)\b"
-COIN_NAMES = {"BITCOIN": "BTC", "ETHEREUM": "ETH", "MONERO": "XMR", "LITECOIN": "LTC", "TETHER": "USDT"}
+#: An embedded image, with or without a size behind a bar, or a linked one; the name ends in .png.
+WIKI_IMAGE = r"!\[\[(.*?\.png)(?:\|.*?)?\]\]"
+LINKED_IMAGE = r"!\[[^\]]*\]\(([^)]*\.png)\)"
+#: Codes beside a dollar sign, names of coins and their codes, and what no code beside a dollar sign gives.
+DOLLAR_CODES = ("USD", "AUD", "CAD", "NZD")
+COIN_NAMES = {"BTC": "BTC", "XMR": "XMR", "USDT": "USDT", "BITCOIN": "BTC", "MONERO": "XMR"}
+NO_CODE = "UNSPECIFIED_DOLLAR"
 PRICE_CONTEXT = 100
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, matched>> of all matches, 0-based, end exclusive.
+def dollars(codes: tuple[str, ...] = DOLLAR_CODES) -> re.Pattern[str]:
+    """Code, amount of at most two decimals, code; no letter or digit next to it."""
+    code = "|".join(map(re.escape, codes))
+    number = r"[0-9][0-9,]*(?:\.\d{1,2})?"
+    return re.compile(rf"(?<!\w)(?:(?P<before>{code})\s*)?\$\s*(?P<amount>{number})(?:\s*(?P<after>{code}))?(?!\w)", re.IGNORECASE)
+
+
+def coins(names: dict[str, str] | None = None) -> re.Pattern[str]:
+    """Amount and name of a coin; the amount is no part of a longer number or word."""
+    return re.compile(rf"(?<![\w.])(?P<amount>[0-9]+(?:\.[0-9]+)?)\s*(?P<after>{'|'.join(map(re.escape, names or COIN_NAMES))})\b", re.IGNORECASE)
+
+
+def matches(text: Column, patterns: list[str], most: int | None = None, flags: re.RegexFlag = re.IGNORECASE | re.DOTALL) -> Column:
+    """array<struct<start, end, matched>> of the first ``most`` matches by pattern, then place; 0-based, end exclusive.
 
-    What lies between matches and the matches themselves add up to the text,
-    so their lengths give the places.  The pattern must match at least one
-    character.
+    One pass of each pattern over a text, in Arrow batches; what comes back
+    grows with the matches alone.  A null text has none.
     """
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.split(text, pattern, -1)
-    steps = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("gap"), found.alias("hit"))
-    none = F.array().cast("array<struct<start:int,end:int,matched:string>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("matched")))).alias("out"))
+    @F.pandas_udf("array<struct<start:int,end:int,matched:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        compiled = [re.compile(p, flags) for p in patterns]
 
-    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
+        def hits(t: str) -> Iterator[dict]:
+            for p in compiled:
+                for m in p.finditer(t):
+                    yield {"start": m.start(), "end": m.end(), "matched": m.group()}
+
+        return texts.map(lambda t: [] if t is None else list(islice(hits(t), most)))
+
+    return found(text)
 
 
 def spans(notes: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """One row a match: the note's columns but its text, match_index from 1, start, end, matched."""
     kept = [c for c in notes.columns if c != text]
-    rows = notes.select(*kept, F.posexplode(matches(F.col(text), pattern)).alias("k", "m"))
+    rows = notes.select(*kept, F.posexplode(matches(F.col(text), [pattern], flags=re.RegexFlag(0))).alias("k", "m"))
     return rows.select(*kept, (F.col("k") + 1).alias("match_index"), "m.start", "m.end", "m.matched")
 
 
 def image_references(notes: DataFrame) -> DataFrame:
     """note_id, ref_index (from 1), ref: the images a note embeds or links, in order."""
-    found = F.regexp_extract_all("text", F.lit(f"(?i){IMAGE}"), F.lit(0))
-    rows = notes.select("note_id", F.posexplode(found).alias("k", "raw"))
-    wiki = F.regexp_extract("raw", r"^!\[\[(.*)\]\]$", 1)
-    linked = F.regexp_extract("raw", r"^!\[[^\]]*\]\((.*)\)$", 1)
-    ref = F.when(F.col("raw").startswith("![["), F.regexp_replace(wiki, r"\|.*$", "")).otherwise(linked)
-    return rows.select("note_id", (F.col("k") + 1).alias("ref_index"), F.trim(ref).alias("ref"))
+    found = F.regexp_extract_all("text", F.lit(f"(?id){WIKI_IMAGE}|{LINKED_IMAGE}"), F.lit(0))
+    ref = lambda x: F.trim(F.concat(F.regexp_extract(x, f"(?id)^{WIKI_IMAGE}$", 1), F.regexp_extract(x, f"(?id)^{LINKED_IMAGE}$", 1)))
+    refs = F.filter(F.transform(found, ref), lambda x: x != "")
+    return notes.select("note_id", F.posexplode(refs).alias("k", "ref")).select("note_id", (F.col("k") + 1).alias("ref_index"), "ref")
 
 
 def keyword_counts(notes: DataFrame, keywords: dict[str, str]) -> DataFrame:
@@ -68,22 +84,33 @@ def entity_mentions(notes: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     return rows.select("note_id", "source", "x.entity_type", "x.entity", "x.count")
 
 
-def price_mentions(notes: DataFrame) -> DataFrame:
-    """note_id, source, mention_index, currency, amount, raw, context: dollar amounts first, then coins, in order."""
-    both = F.concat(
-        F.transform(matches(F.col("text"), f"(?i){DOLLARS}"), lambda m: F.struct(F.lit("dollar").alias("kind"), m.alias("m"))),
-        F.transform(matches(F.col("text"), f"(?i){COINS}"), lambda m: F.struct(F.lit("coin").alias("kind"), m.alias("m"))),
-    )
-    rows = notes.select("note_id", "source", "text", F.explode(both).alias("x")).select("note_id", "source", "text", "x.kind", "x.m.*")
-    dollar = F.col("kind") == "dollar"
-    raw = F.col("matched")
-    before = F.when(dollar, F.regexp_extract(raw, f"(?i){DOLLARS}", 1)).otherwise(F.lit(""))
-    after = F.when(dollar, F.regexp_extract(raw, f"(?i){DOLLARS}", 3)).otherwise(F.regexp_extract(raw, f"(?i){COINS}", 2))
-    number = F.when(dollar, F.regexp_extract(raw, f"(?i){DOLLARS}", 2)).otherwise(F.regexp_extract(raw, f"(?i){COINS}", 1))
-    low = F.greatest(F.col("start") - PRICE_CONTEXT, F.lit(0))
-    context = F.col("text").substr(low + 1, F.col("end") + PRICE_CONTEXT - low)
-    rows = rows.select("note_id", "source", "kind", "start", T.currency(before, after, COIN_NAMES).alias("currency"), T.amount(number).alias("amount"), raw.alias("raw"), context.alias("context"))
-    return rows.where("amount IS NOT NULL")
+def price_mentions(notes: DataFrame, codes: tuple[str, ...] = DOLLAR_CODES, names: dict[str, str] | None = None) -> DataFrame:
+    """note_id, source, currency, amount, raw, context: dollar amounts first, then coins, in order.
+
+    Texts without a dollar sign or a coin's name are passed over before any
+    pattern is tried.  Amounts out of range are left out; white space in the
+    context is collapsed.
+    """
+    names = names or COIN_NAMES
+
+    @F.pandas_udf("array<struct<kind:string,before:string,after:string,number:string,raw:string,context:string>>")
+    def found(texts: pd.Series) -> pd.Series:
+        both = (("dollar", dollars(codes)), ("coin", coins(names)))
+
+        def hits(t: str) -> Iterator[dict]:
+            for kind, p in both:
+                for m in p.finditer(t):
+                    g = m.groupdict()
+                    context = " ".join(t[max(0, m.start() - PRICE_CONTEXT) : m.end() + PRICE_CONTEXT].split())
+                    yield {"kind": kind, "before": g.get("before"), "after": g["after"], "number": g["amount"], "raw": m.group(), "context": context}
+
+        return texts.map(lambda t: list(hits(t)))
+
+    worth = notes.where(F.col("text").rlike("(?i)\\$|" + "|".join(names)))
+    rows = worth.select("note_id", "source", F.explode(found("text")).alias("x")).select("note_id", "source", "x.*")
+    code = T.currency(F.col("before"), F.col("after"), names)
+    rows = rows.withColumns({"currency": F.when((F.col("kind") == "dollar") & F.col("before").isNull() & F.col("after").isNull(), NO_CODE).otherwise(code), "amount": T.amount(F.col("number"))})
+    return rows.where("amount IS NOT NULL").select("note_id", "source", "currency", "amount", "raw", "context")
 
 
 def unordered_pairs(codes: DataFrame) -> DataFrame:

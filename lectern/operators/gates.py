@@ -6,14 +6,22 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types
 
-#: What must not be published, by column name.
+from ..functions import text as T
+
+#: Parts of names that must not be published, names that must not, and names with such parts that may.
+BLOCKED_PARTS = {"path", "text", "snippet", "snippets", "evidence"}
 BLOCKED_NAMES = {"note_id", "legacy_note_id", "record_id"}
-BLOCKED_PARTS = ("path", "text", "snippet", "evidence")
-#: Names that hold a blocked part but only aggregates.
-ALLOWED_NAMES = {"exact_text_unique_denominator_n", "text_unique_n", "distinct_text_count"}
-LOCAL_PATH = r"(?i)(^|[\s\"'(=,;])([a-z]:[\\/]|/(home|users|mnt|root|tmp|var|opt|private)/|\\\\[a-z0-9_.-]+\\)"
+ALLOWED_NAMES = {
+    "unique_text_count", "positive_unique_evidence_rows", "negative_unique_evidence_rows", "evidence_packet_count", "final_insufficient_evidence",
+    "final_insufficient_evidence_n", "coder_1_insufficient_evidence_n", "coder_2_insufficient_evidence_n", "unique_combined_text_hashes_n",
+    "exact_text_unique_denominator_n", "exact_text_unique_present_n", "exact_text_unique_percent", "exact_text_unique_rank", "exact_text_unique_sensitivity",
+}
+#: Folders of some machine, and what may stand before a path.
+FOLDERS = ("home", "Users", "mnt", "tmp", "var", "private")
+BEFORE = "\\s\"'=(`"
+LOCAL_PATH = rf"(?m)file://|(?:^|[{BEFORE}])(?:[A-Za-z]:[\\/]|/(?:{'|'.join(FOLDERS)})/)"
 
 
 class Violation(ValueError):
@@ -51,9 +59,18 @@ def same_identity(sheet: DataFrame, reference: DataFrame, key: str, columns: lis
 
 
 def repeated_decisions(adjudication: DataFrame, coder_1: DataFrame, coder_2: DataFrame) -> DataFrame:
-    """Adjudication rows whose copies of the coders' decisions are not what they said."""
-    rows = adjudication.join(coder_1.select("record_id", F.col("decision").alias("said_1")), "record_id").join(coder_2.select("record_id", F.col("decision").alias("said_2")), "record_id")
-    return rows.where("coder_1_decision <> said_1 OR coder_2_decision <> said_2").select("record_id", "coder_1_decision", "said_1", "coder_2_decision", "said_2")
+    """Adjudication rows whose copies of the coders' decisions are not what they said.
+
+    Decisions are normalised first; a copy or a decision that is blank, or no
+    decision at all, is not compared.
+    """
+    own = lambda c: T.decision(F.col(c))
+    said_1, said_2 = (s.select("record_id", own("decision").alias(f"said_{k}")) for k, s in ((1, coder_1), (2, coder_2)))
+    copies = adjudication.select("record_id", own("coder_1_decision").alias("coder_1_decision"), own("coder_2_decision").alias("coder_2_decision"))
+    rows = copies.join(said_1, "record_id").join(said_2, "record_id")
+    differ = lambda a, b: (F.col(a) != "") & (F.col(b) != "") & (F.col(a) != F.col(b))
+    bad = F.coalesce(differ("coder_1_decision", "said_1"), F.lit(False)) | F.coalesce(differ("coder_2_decision", "said_2"), F.lit(False))
+    return rows.where(bad).select("record_id", "coder_1_decision", "said_1", "coder_2_decision", "said_2")
 
 
 def same_within_text(coding: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -111,24 +128,22 @@ def schema_contract(table: DataFrame, columns: list[str]) -> list[str]:
     return [f"missing: {c}" for c in missing] + [f"extra: {c}" for c in extra] or ["order"]
 
 
-def blocked_fields(schema: T.StructType, prefix: str = "") -> list[str]:
+def blocked_fields(schema: types.StructType, prefix: str = "") -> list[str]:
     """Fields, nested ones too, whose names tell of records rather than aggregates."""
     found = []
     for f in schema.fields:
-        name, kind = f.name.lower(), f.dataType
-        parts = set(re.split(r"[^a-z0-9]+", name.replace("_", " ")))
-        if name not in ALLOWED_NAMES and (name in BLOCKED_NAMES or parts & set(BLOCKED_PARTS)):
+        name, kind = f.name.strip().lstrip("\ufeff").casefold(), f.dataType
+        if name not in ALLOWED_NAMES and (name in BLOCKED_NAMES or set(re.split(r"[^a-z0-9]+", name)) & BLOCKED_PARTS):
             found.append(prefix + f.name)
-        while isinstance(kind, T.ArrayType):
+        while isinstance(kind, types.ArrayType):
             kind = kind.elementType
-        if isinstance(kind, T.StructType):
+        if isinstance(kind, types.StructType):
             found += blocked_fields(kind, f"{prefix}{f.name}.")
     return found
 
 
 def local_paths(table: DataFrame) -> DataFrame:
-    """column, cell: string cells that show a path of some machine; web addresses pass."""
-    names = [f.name for f in table.schema.fields if isinstance(f.dataType, T.StringType)]
+    """column, cell: string cells that show a path of some machine, a file address too; web addresses pass."""
+    names = [f.name for f in table.schema.fields if isinstance(f.dataType, types.StringType)]
     each = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("cell")) for c in names])
-    bare = lambda x: F.regexp_replace(x["cell"], r"(?i)https?://\S+", "")
-    return table.select(F.explode(F.filter(each, lambda x: bare(x).rlike(LOCAL_PATH))).alias("x")).select("x.*")
+    return table.select(F.explode(F.filter(each, lambda x: x["cell"].rlike(LOCAL_PATH))).alias("x")).select("x.*")

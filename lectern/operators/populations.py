@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -19,36 +19,56 @@ def source_summary(notes: DataFrame) -> DataFrame:
     )
 
 
-def corpus_summary(notes: DataFrame, refs: DataFrame, mentions: DataFrame) -> DataFrame:
-    """One row: notes, sources, references by status, mentions, and per currency the mentions, least and largest amount."""
-    n = notes.agg(F.count("*").alias("note_count"), F.count_distinct("source").alias("source_count"))
-    r = refs.agg(F.count_if(F.col("status") == "resolved").alias("existing_ref_count"), F.count_if(F.col("status") == "missing").alias("missing_ref_count"))
+def corpus_summary(notes: DataFrame, refs: DataFrame, mentions: DataFrame, entities: DataFrame, keywords: DataFrame) -> DataFrame:
+    """One row of the corpus: notes, sources, references, mentions, entity and keyword rows.
+
+    References count as existing (resolved) or not, whatever keeps them from
+    it.  by_currency has currency:mentions:least:largest, notes_by_source and
+    mentions_by_source source:count, each in order of name.
+    """
+    listed = lambda *parts: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*parts))), lambda x: F.concat_ws(":", *[x[f"col{i + 1}"] for i in range(len(parts))])), ";")
+    text = lambda c: F.col(c).cast("string")
+    named = lambda *parts: [(F.col(p) if isinstance(p, str) else p).alias(f"col{i + 1}") for i, p in enumerate(parts)]
+    per_source = lambda table: table.groupBy(T.source_or_none(F.col("source")).alias("source")).agg(F.count("*").alias("n"))
+    known = F.nullif(F.trim("source"), F.lit(""))
+    n = notes.agg(F.count("*").alias("note_count"), F.count_distinct(known).alias("source_count"))
+    r = refs.agg(F.count("*").alias("image_reference_count"), F.count_if(F.col("status") == "resolved").alias("existing_ref_count"), F.count_if(~F.col("status").eqNullSafe(F.lit("resolved"))).alias("missing_or_external_ref_count"))
     m = mentions.groupBy("currency").agg(F.count("*").alias("n"), F.min(F.col("amount").cast("decimal(18,8)")).alias("low"), F.max(F.col("amount").cast("decimal(18,8)")).alias("high"))
-    told = F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "currency", F.col("n").cast("string"), F.col("low").cast("string"), F.col("high").cast("string")))), ";")
-    m = m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("price_mention_count"), told.alias("by_currency"))
-    return n.crossJoin(r).crossJoin(m)  # three single rows
+    m = m.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("price_mention_count"), listed(*named("currency", text("n"), text("low"), text("high"))).alias("by_currency"))
+    e, k = entities.agg(F.count("*").alias("entity_mention_rows")), keywords.agg(F.count("*").alias("keyword_rows"))
+    by = [per_source(t).agg(listed(*named("source", text("n"))).alias(name)) for t, name in ((notes, "notes_by_source"), (mentions, "mentions_by_source"))]
+    out = n
+    for one in (r, m, e, k, *by):  # single rows all of them
+        out = out.crossJoin(one)
+    return out
 
 
 def top_prices(mentions: DataFrame, most: int = 50) -> DataFrame:
     return mentions.groupBy("currency", "amount").agg(F.count("*").alias("mention_count")).orderBy(F.desc("mention_count"), "currency", "amount").limit(most)
 
 
+def text_key() -> Column:
+    """What notes of the same text share: its hash, or the note itself where there is none."""
+    blank = F.coalesce(F.trim("combined_text_sha256"), F.lit("")) == ""
+    return F.when(blank, F.concat(F.lit("note:"), "note_id")).otherwise(F.col("combined_text_sha256"))
+
+
 def membership(corpus: DataFrame) -> DataFrame:
     """population, note_id, source: all notes, and one of each text: the first by source and id.
 
-    Notes without a text hash stand for themselves.  The first of a group is a
-    minimum, so a text that half the corpus shares costs one row a task.
+    A blank source is ``(no_source)``.  Notes without a text hash stand for
+    themselves.  The first of a group is a minimum, so a text that half the
+    corpus shares costs one row a task.
     """
-    blank = F.coalesce(F.trim("combined_text_sha256"), F.lit("")) == ""
-    key = F.when(blank, F.concat(F.lit("note:"), "note_id")).otherwise(F.col("combined_text_sha256"))
-    first = corpus.groupBy(key.alias("k")).agg(F.min(F.struct("source", "note_id")).alias("m")).select("m.note_id", "m.source")
+    corpus = corpus.select("note_id", T.source_or_none(F.col("source")).alias("source"), text_key().alias("k"))
+    first = corpus.groupBy("k").agg(F.min(F.struct("source", "note_id")).alias("m")).select("m.note_id", "m.source")
     every = corpus.select(F.lit(FULL).alias("population"), "note_id", "source")
     return every.unionByName(first.select(F.lit(UNIQUE).alias("population"), "note_id", "source"))
 
 
 def duplicate_audit(corpus: DataFrame) -> DataFrame:
-    """One row: records, distinct texts, groups of duplicates, records in them, excess, largest group, records without words."""
-    groups = corpus.groupBy("combined_text_sha256").agg(F.count("*").alias("n"), F.count_if(F.col("combined_word_count") == 0).alias("zero"))
+    """One row (notes without a text hash are no duplicates): records, distinct texts, groups of duplicates, records in them, excess, largest group, records without words."""
+    groups = corpus.groupBy(text_key().alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("combined_word_count") == 0).alias("zero"))
     more = F.col("n") > 1
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("record_count"), F.count("*").alias("distinct_text_count"), F.count_if(more).alias("duplicate_group_count"),

@@ -19,9 +19,10 @@ def records(machine: DataFrame, coder_1: DataFrame, coder_2: DataFrame, adjudica
     """One row a record: target, machine flag, weight, both decisions, the final one.
 
     Sheets are joined by record id; gates check beforehand that they hold the
-    same ids once each.
+    same ids once each.  Weights are null where the machine's sheet has none.
     """
-    m = machine.select("record_id", *TARGET, T.machine_flag(F.col("model_present")).alias("model_present"), T.weight(F.col("analysis_weight")).alias("weight"))
+    weight = T.weight(F.col("analysis_weight")) if "analysis_weight" in machine.columns else F.lit(None).cast("double")
+    m = machine.select("record_id", *TARGET, T.machine_flag(F.col("model_present")).alias("model_present"), weight.alias("weight"))
     a = coder_1.select("record_id", T.decision(F.col("decision")).alias("decision_1"))
     b = coder_2.select("record_id", T.decision(F.col("decision")).alias("decision_2"))
     rows = m.join(a, "record_id").join(b, "record_id")
@@ -149,8 +150,15 @@ def bootstrap(table: DataFrame, replicates: int = REPLICATES, label: str = "boot
 
 
 def reliability_by_target(rows: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Each target: agreement in percent with interval, nominal kappa, binary subset, AC1, bootstrap bounds, adjudication."""
+    """Each target: agreement in percent with interval, nominal kappa, binary subset, AC1, bootstrap bounds, adjudication.
+
+    Without replicates the bounds are null and cost nothing.
+    """
     table = cells(rows)
+    if replicates:
+        drawn = bootstrap(table, replicates)
+    else:
+        drawn = table.select("target").distinct().withColumns({f"{s}_{side}": F.lit(None).cast("double") for s in ("kappa", "ac1") for side in ("low", "high")})
     base = rows.groupBy(F.concat_ws("/", *TARGET).alias("target")).agg(
         F.count_if((F.col("decision_1") != "") & (F.col("decision_2") != "")).alias("pair_n"),
         F.count_if((F.col("decision_1") != "") & (F.col("decision_1") == F.col("decision_2"))).alias("agreement_n"),
@@ -159,7 +167,7 @@ def reliability_by_target(rows: DataFrame, replicates: int = REPLICATES) -> Data
     )
     low, high = S.wilson(F.col("agreement_n"), F.col("pair_n"))
     four = [F.col(c) for c in ("pp", "pa", "ap", "aa")]
-    out = base.join(nominal_kappa(table).select("target", "kappa"), "target", "left").join(bootstrap(table, replicates).withColumnRenamed("kappa_low", "binary_kappa_low").withColumnRenamed("kappa_high", "binary_kappa_high"), "target", "left")
+    out = base.join(nominal_kappa(table).select("target", "kappa"), "target", "left").join(drawn.withColumnRenamed("kappa_low", "binary_kappa_low").withColumnRenamed("kappa_high", "binary_kappa_high"), "target", "left")
     six = lambda c: F.bround(c, 6)
     return out.select(
         "target", "pair_n", "agreement_n", (F.col("pair_n") - F.col("agreement_n")).alias("disagreement_n"),

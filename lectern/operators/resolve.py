@@ -50,16 +50,47 @@ def by_path(refs: DataFrame, inventory: DataFrame) -> DataFrame:
     )
 
 
-def provenance_violations(refs: DataFrame, inventory: DataFrame) -> DataFrame:
-    """ref_id, violation: resolved references (path, sha256) that the inventory does not bear out."""
-    now = inventory.select("path", F.col("sha256").alias("current"))
-    joined = refs.where("status = 'resolved'").join(now, "path", "left")
+LEGACY = {"image_name": "string", "exists_in_root": "string"}
+
+
+def provenance(refs: DataFrame, inventory: DataFrame) -> DataFrame:
+    """ref_id, path, sha256, violation: references (status, path, sha256) as the inventory bears them out.
+
+    Only those of status resolved, or blank as old exports have it, are looked
+    at.  A resolved one needs a path and a hash; a hash, where there is one,
+    must be one and be the image's.  An old export's row without a path is
+    found by its image_name, if exists_in_root is 1 and one image alone has the
+    name; else it is no image and no violation.  path and sha256 are the
+    image's, null unless it is found.
+    """
+    for name, kind in LEGACY.items():
+        if name not in refs.columns:
+            refs = refs.withColumn(name, F.lit(None).cast(kind))
+    clean = lambda c: F.trim(F.coalesce(F.col(c), F.lit("")))
+    rows = refs.select("ref_id", clean("status").alias("status"), clean("path").alias("told"), F.lower(clean("sha256")).alias("hash"), F.lower(F.element_at(F.split(clean("image_name"), r"[/\\]"), -1)).alias("base"), clean("exists_in_root").alias("exists"))
+    rows = rows.where(F.col("status").isin("", "resolved"))
+    named = inventory.groupBy(F.col("basename").alias("base")).agg(F.count("*").alias("n"), F.min("path").alias("only")).where("n = 1")
+    rows = rows.join(named, "base", "left")
+    old = (F.col("told") == "") & (F.col("exists") == "1") & (F.col("base") != "")
+    rows = rows.withColumn("at", F.when(F.col("told") != "", T.safe_path(F.col("told"))).when(old, F.col("only")))
+    rows = rows.join(inventory.select(F.col("path").alias("at"), F.lower("sha256").alias("current")), "at", "left")
+    resolved = F.col("status") == "resolved"
     violation = (
-        F.when(~F.coalesce(F.col("sha256"), F.lit("")).rlike(HEX64), "resolved_without_hash")
-        .when(F.col("current").isNull(), "image_not_in_inventory")
-        .when(F.col("current") != F.col("sha256"), "hash_changed")
+        F.when(resolved & (F.col("told") == ""), "resolved_without_path")
+        .when(resolved & (F.col("hash") == ""), "resolved_without_hash")
+        .when((F.col("hash") != "") & ~F.col("hash").rlike(HEX64), "bad_hash")
+        .when((F.col("told") != "") & F.col("current").isNull(), "image_not_in_inventory")
+        .when((F.col("hash") != "") & (F.col("current") != F.col("hash")), "hash_changed")
     )
-    return joined.select("ref_id", violation.alias("violation")).where("violation IS NOT NULL")
+    found = F.col("current").isNotNull()
+    return rows.select("ref_id", F.when(found, F.col("at")).alias("path"), "current", violation.alias("violation")).withColumnRenamed("current", "sha256")
+
+
+def provenance_violations(refs: DataFrame, inventory: DataFrame) -> DataFrame:
+    """ref_id, violation: the references that ``provenance`` finds fault with."""
+    if "basename" not in inventory.columns:
+        inventory = inventory.withColumn("basename", F.lower(F.element_at(F.split("path", "/"), -1)))
+    return provenance(refs, inventory).select("ref_id", "violation").where("violation IS NOT NULL")
 
 
 def usable_cache(cache: DataFrame) -> DataFrame:
@@ -97,15 +128,18 @@ def attach_text(refs: DataFrame, recognised: DataFrame) -> DataFrame:
 
 
 def note_text(corpus: DataFrame, note_ocr: DataFrame) -> DataFrame:
-    """Notes with their recognised text, found by id or else by the legacy id."""
-    own = note_ocr.select("note_id", F.col("ocr_text").alias("by_id"))
-    old = note_ocr.select(F.col("note_id").alias("legacy_note_id"), F.col("ocr_text").alias("by_legacy"))
-    found = corpus.join(own, "note_id", "left").join(old, "legacy_note_id", "left")
-    return found.withColumn("ocr_text", F.coalesce("by_id", "by_legacy", F.lit(""))).drop("by_id", "by_legacy")
+    """Notes with their recognised text, found by id or else by the legacy id.
+
+    Ids alone are looked up; the notes' own texts are joined once.
+    """
+    keys = F.array(F.struct(F.lit(0).alias("place"), F.col("note_id").alias("key")), F.struct(F.lit(1).alias("place"), F.col("legacy_note_id").alias("key")))
+    ids = corpus.select("note_id", F.explode(keys).alias("k")).select("note_id", "k.place", "k.key")
+    found = ids.join(note_ocr.select(F.col("note_id").alias("key"), "ocr_text"), "key").groupBy("note_id").agg(F.min_by("ocr_text", "place").alias("ocr_text"))
+    return corpus.join(found, "note_id", "left").withColumn("ocr_text", F.coalesce("ocr_text", F.lit("")))
 
 
-def text_per_note(corpus: DataFrame, joined: DataFrame) -> DataFrame:
-    """One row a note, those without references too.
+def text_of_notes(joined: DataFrame) -> DataFrame:
+    """Counts and recognised text of each note that has references.
 
     joined: note_id, ref_index, path, sha256, ocr_status, ocr_word_count,
     ocr_char_count, ocr_text.  Equal contents (hash, else path) of a note count
@@ -128,7 +162,12 @@ def text_per_note(corpus: DataFrame, joined: DataFrame) -> DataFrame:
         F.coalesce(F.sum(F.when(unique, F.col("first.ocr_char_count"))), F.lit(0)).alias("ocr_char_count"),
         F.array_sort(F.collect_list(F.when(unique & T.filled(F.col("first.ocr_text")), F.struct(F.col("first.ref_index").alias("i"), F.col("first.ocr_text").alias("t"))))).alias("blocks"),
     )
-    out = out.withColumn("ocr_text", F.array_join(F.transform("blocks", lambda b: b["t"]), "\n\n")).drop("blocks")
+    return out.withColumn("ocr_text", F.array_join(F.transform("blocks", lambda b: b["t"]), "\n\n")).drop("blocks")
+
+
+def text_per_note(corpus: DataFrame, joined: DataFrame) -> DataFrame:
+    """One row a note of the corpus, those without references too: see ``text_of_notes``."""
+    out = text_of_notes(joined)
     notes = corpus.select("note_id", "source").join(out, "note_id", "left")
     return notes.fillna(0, [c for c in out.columns if c.endswith("count")]).fillna("", ["ocr_text"])
 

@@ -7,12 +7,15 @@ prices of line items; coders and machine of labels.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import coding, populations, reliability, resolve
 from ..operators.codebook import Code, load
+from ..sources.shared import cut
 
 ROOT = ["Root"]
 DATES = [r"(\d{4})\s*-\s*(\d{2})\s*-\s*(\d{2})", r"(\d{4})(\d{2})(\d{2})"]
@@ -105,7 +108,7 @@ REFS_SQL = NOTES_SQL + """, joined_refs AS (
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
     """Notes with the text of note and images together, its hash and words, and which of the two there is."""
     own = notes(spark, sf)
-    ocr = resolve.text_per_note(own, joined_refs(spark, sf)).select("note_id", "ocr_text")
+    ocr = resolve.text_of_notes(joined_refs(spark, sf)).select("note_id", "ocr_text")
     rows = resolve.note_text(own, ocr)
     both = T.normalized(T.combined(F.col("text"), F.col("ocr_text")))
     md, oc = T.filled(F.col("text")).cast("int"), T.filled(F.col("ocr_text")).cast("int")
@@ -144,12 +147,21 @@ CODED_SQL = CORPUS_SQL + ", lowered AS MATERIALIZED (SELECT *, lower(text) AS t
 INDICATED_SQL = CODED_SQL + _coding_sql("indicator", "indicating")
 
 
-def members(spark: SparkSession, sf: str) -> DataFrame:
-    return populations.membership(corpus(spark, sf))
+class Populations(NamedTuple):
+    """What the tables over populations are derived from: narrow, and coded once."""
+
+    notes: DataFrame
+    members: DataFrame
+    types: DataFrame
+    indicators: DataFrame
 
 
-def present(spark: SparkSession, sf: str, family: str = "typology") -> DataFrame:
-    return populations.presence(coded(spark, sf, family), members(spark, sf), QUALITY)
+def over_populations(spark: SparkSession, sf: str) -> Populations:
+    """All texts are read and coded in one pass, whose result, without texts, is kept; the rest derives from it."""
+    rows = cut(coding.carried(corpus(spark, sf), {f: codes(spark, f) for f in ("typology", "indicator")}))
+    own = populations.membership(rows)
+    carry = lambda family: rows.select("note_id", F.explode(family).alias("c")).select("note_id", "c.code", "c.label", F.lit(1).alias("present"))
+    return Populations(rows, own, *[populations.presence(carry(f), own, QUALITY) for f in ("typology", "indicator")])
 
 
 PRESENCE_SQL = INDICATED_SQL + """, members AS MATERIALIZED (

@@ -80,8 +80,17 @@ def p15(spark, sf):
 
 scalar("p16_nullable_ratio", _docs, "doc_id", lambda: S.share(c("n_chars"), c("doc_id") % 3), "CAST(n_chars AS DOUBLE) / nullif(doc_id % 3, 0)", "documents")
 scalar("p17_whole_term", _docs, "doc_id", lambda: T.term_count(c("text"), "the"), "len(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+'), lambda x: x = 'the'))", "documents")
-scalar("p18_snippet", _docs, "doc_id", lambda: T.snippet(F.concat(F.lit("see http://a.b "), c("text")), F.lit(200), F.lit(204)),
-       "left(replace(trim(regexp_replace(substr('see http://a.b ' || text, 31, 344), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 520)", "documents")
+SNIPPED = "(SELECT doc_id, x, strpos(x, 'ing') - 1 AS spot FROM (SELECT doc_id, 'see http://a.b and c.onion ' || text AS x FROM documents) WHERE strpos(x, 'ing') > 0)"
+
+
+@query("p18_snippet", f"SELECT doc_id, left(replace(replace(replace(trim(regexp_replace(substr(x, greatest(spot - 170, 0) + 1, spot + 3 + 170 - greatest(spot - 170, 0)), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.onion', '[.]onion'), 520) AS out FROM {SNIPPED}")
+def p18(spark, sf):
+    rows = _docs(spark, sf).select("doc_id", F.concat(F.lit("see http://a.b and c.onion "), "text").alias("x"))
+    first = extract.matches(c("x"), ["ing"], 1, extract.re.RegexFlag(0))
+    rows = rows.select("doc_id", "x", F.explode(first).alias("m"))
+    return rows.select("doc_id", T.snippet(c("x"), c("m.start"), c("m.end")).alias("out"))
+
+
 scalar("p19_intensity_band", _docs, "doc_id", lambda: T.band(c("doc_id") % 7, c("doc_id") % 3, c("doc_id") % 2),
        "CASE WHEN doc_id % 7 >= 5 AND doc_id % 3 >= 2 AND doc_id % 2 >= 1 THEN 'high' WHEN doc_id % 7 >= 2 OR doc_id % 3 >= 2 THEN 'medium' WHEN doc_id % 7 >= 1 THEN 'low' ELSE 'none' END", "documents")
 
@@ -133,10 +142,16 @@ def e04(spark, sf):
     return extract.price_mentions(M.priced(spark, sf)).select("note_id", "source", "currency", "amount")
 
 
-@query("e05_match_spans", "SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z]+ing')) AS n, CAST(list_sum(list_transform(regexp_extract_all(lower(text), '[a-z]+ing'), lambda x: length(x))) AS BIGINT) AS matched_chars FROM documents WHERE len(regexp_extract_all(lower(text), '[a-z]+ing')) > 0")
+HITS = "regexp_extract_all(t, '[a-z]+ing')"
+#: What lies before the k-th match: the text up to it, found by leaving out what follows each match.
+STARTS = f"""SELECT doc_id, len({HITS}) AS n, CAST(list_sum(list_transform({HITS}, lambda x: length(x))) AS BIGINT) AS matched_chars, CAST(list_sum(list_transform(range(1, len({HITS}) + 1),
+  lambda i: list_sum(list_transform(string_split_regex(t, '[a-z]+ing')[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform({HITS}[1:i - 1], lambda h: length(h))), 0))) AS BIGINT) AS starts"""
+
+
+@query("e05_match_spans", f"{STARTS} FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE len({HITS}) > 0")
 def e05(spark, sf):
     rows = extract.spans(_docs(spark, sf).select("doc_id", F.lower("text").alias("text")), "[a-z]+ing")
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(c("end") - c("start")).alias("matched_chars"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(c("end") - c("start")).alias("matched_chars"), F.sum("start").alias("starts"))
 
 
 CODED_COLUMNS = "note_id, source, code, label, objective, present, hit_count, pattern_count, rule_match_intensity, markdown_present, ocr_present"
@@ -152,9 +167,19 @@ def e06i(spark, sf):
     return M.coded(spark, sf, "indicator").select(*CODED_COLUMNS.split(", "))
 
 
-@query("e07_evidence_snippets", "SELECT code, CAST(sum(least(hit_count, 3)) AS BIGINT) AS snippet_n, count(*) AS note_n FROM coding WHERE present = 1 GROUP BY code", M.CODED_SQL)
+SHOWN = [code for code in M.CODEBOOK if code[1] in ("T1_licence", "T2_mail", "T3_host", "T4_secret", "T9_quality")]
+_HITS = " UNION ALL ".join(f"SELECT note_id, text, '{code}' AS code, list_concat({', '.join(p.removeprefix('len(').removesuffix(')') for _, p in ps)}, []) AS hits FROM lowered" for _, code, _, _, ps in SHOWN)
+_AT = "(strpos(lower(text), hits[1]) - 1)"
+_LOW = f"greatest({_AT} - 170, 0)"
+_SNIPPET = f"left(replace(replace(replace(trim(regexp_replace(substr(text, {_LOW} + 1, {_AT} + length(hits[1]) + 170 - {_LOW}), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.onion', '[.]onion'), 520)"
+
+
+@query("e07_evidence_snippets", f"SELECT note_id, code, CAST(k AS INTEGER) AS snippet_index, left(hits[k], 120) AS matched, CASE WHEN code = 'T2_mail' AND k = 1 THEN sha256({_SNIPPET}) ELSE '' END AS snippet FROM (SELECT *, unnest(range(1, least(len(hits), 3) + 1)) AS k FROM ({_HITS}))", M.CODED_SQL)
 def e07(spark, sf):
-    return coding.evidence(M.corpus(spark, sf), M.codes(spark, "typology")).groupBy("code").agg(F.count("*").alias("snippet_n"), F.count_distinct("note_id").alias("note_n"))
+    shown = [code for code in M.codes(spark, "typology") if code.code in {x[1] for x in SHOWN}]
+    rows = coding.evidence(M.corpus(spark, sf), shown)
+    first = (c("code") == "T2_mail") & (c("snippet_index") == 1)  # where the match stands is plain to SQL for this one alone
+    return rows.select("note_id", "code", "snippet_index", F.lower("matched").alias("matched"), F.when(first, F.sha2("snippet", 256)).otherwise("").alias("snippet"))
 
 
 CELLS_SQL = M.SHEETS_SQL + ", cells AS (SELECT target_type || '/' || code AS target, decision_1 AS c1, decision_2 AS c2, count(*) AS n FROM records WHERE decision_1 <> '' AND decision_2 <> '' GROUP BY ALL)"
@@ -167,7 +192,7 @@ def e08(spark, sf):
 
 @query("e09_code_pairs", "SELECT * FROM pairs", M.PRESENCE_SQL)
 def e09(spark, sf):
-    return extract.unordered_pairs(M.present(spark, sf))
+    return extract.unordered_pairs(M.over_populations(spark, sf).types)
 
 
 # --- joins ------------------------------------------------------------------------------------------------------
@@ -190,11 +215,15 @@ def j02(spark, sf):
     return resolve.by_path(M.path_refs(spark, sf), M.inventory(spark, sf))
 
 
-@query("j03_provenance", "SELECT page_id AS ref_id, CASE page_id % 4 WHEN 1 THEN 'resolved_without_hash' WHEN 2 THEN 'image_not_in_inventory' WHEN 3 THEN 'hash_changed' END AS violation FROM pages WHERE page_id % 4 > 0")
+@query("j03_provenance", "SELECT page_id AS ref_id, CASE page_id % 7 WHEN 1 THEN 'resolved_without_hash' WHEN 2 THEN 'image_not_in_inventory' WHEN 3 THEN 'hash_changed' WHEN 4 THEN 'resolved_without_path' WHEN 5 THEN 'bad_hash' WHEN 6 THEN 'hash_changed' END AS violation FROM pages WHERE page_id % 7 > 0")
 def j03(spark, sf):
-    k = c("page_id") % 4
-    own = M.table(spark, sf, "pages").select("page_id", F.concat(F.lit("p/"), c("page_id")).alias("path"), F.sha2("url", 256).alias("sha256"))
-    refs = own.select(c("page_id").alias("ref_id"), F.lit("resolved").alias("status"), F.when(k == 2, F.concat(F.lit("gone/"), "path")).otherwise(c("path")).alias("path"), F.when(k == 1, "").when(k == 3, F.sha2("path", 256)).otherwise(c("sha256")).alias("sha256"))
+    """Pages as references: of status resolved, or (the last two kinds) of an old export's, by name alone."""
+    k = c("page_id") % 7
+    own = M.table(spark, sf, "pages").select("page_id", F.concat(F.lit("p/"), c("page_id"), F.lit(".png")).alias("path"), F.concat(c("page_id"), F.lit(".png")).alias("basename"), F.sha2("url", 256).alias("sha256"))
+    refs = own.select(
+        c("page_id").alias("ref_id"), F.when(k < 5, "resolved").otherwise("").alias("status"), F.when(k == 2, F.concat(F.lit("gone/"), "path")).when(k < 4, c("path")).otherwise("").alias("path"),
+        F.when(k == 1, "").when(k.isin(3, 6), F.sha2("path", 256)).when(k == 5, "no hash").otherwise(c("sha256")).alias("sha256"), F.upper("basename").alias("image_name"), F.when(k > 4, "1").otherwise("").alias("exists_in_root"),
+    )
     return resolve.provenance_violations(refs, own)
 
 
@@ -265,8 +294,8 @@ LINKED_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.LINKED)
 
 @query("j10_code_grid", f"SELECT a.code AS code_a, b.code AS code_b FROM codes a CROSS JOIN (SELECT DISTINCT code FROM ipresence) b WHERE (a.code, b.code) NOT IN ({LINKED_SQL})", M.PRESENCE_SQL)
 def j10(spark, sf):
-    a = M.present(spark, sf).select(c("code").alias("code_a")).distinct()
-    b = M.present(spark, sf, "indicator").select(c("code").alias("code_b")).distinct()
+    over = M.over_populations(spark, sf)
+    a, b = over.types.select(c("code").alias("code_a")).distinct(), over.indicators.select(c("code").alias("code_b")).distinct()
     return a.join(F.broadcast(b)).join(F.broadcast(_linked(spark)), ["code_a", "code_b"], "left_anti")
 
 
@@ -281,7 +310,7 @@ RELIABILITY_SQL = CELLS_SQL + ", gaps AS (SELECT target, CAST(sum(n) AS BIGINT)
 
 @query("j12_adjudication_gaps", "SELECT target, CASE WHEN target = 'typology/C0' THEN 'no_adjudication' ELSE 'counts_differ' END AS violation FROM gaps WHERE target = 'typology/C0' OR (target = 'typology/C1' AND disagreement_n <> disagreement_n + 1)", RELIABILITY_SQL)
 def j12(spark, sf):
-    table = reliability.reliability_by_target(M.records(spark, sf), 200).select("target", "disagreement_n")
+    table = reliability.reliability_by_target(M.records(spark, sf), 0).select("target", "disagreement_n")
     given = table.where("target <> 'typology/C0'").select("target", (c("disagreement_n") + F.when(c("target") == "typology/C1", 1).otherwise(0)).alias("adjudicated_n"))
     return reliability.adjudication_gaps(table, given)
 
@@ -313,12 +342,16 @@ def a03(spark, sf):
     return coding.entity_by_source(extract.entity_mentions(M.notes(spark, sf), M.TERMS))
 
 
-@query("a04_corpus_summary", """SELECT (SELECT count(*) FROM notes) AS note_count, (SELECT count(DISTINCT source) FROM notes) AS source_count, (SELECT count(*) FROM pages WHERE page_id % 7 = 0) AS existing_ref_count, (SELECT count(*) FROM pages WHERE page_id % 7 = 6) AS missing_ref_count,
-  (SELECT count(*) FROM mentions) AS price_mention_count, (SELECT string_agg(currency || ':' || n || ':' || low || ':' || high, ';' ORDER BY currency) FROM (SELECT currency, count(*) AS n, min(CAST(amount AS DECIMAL(18,8))) AS low, max(CAST(amount AS DECIMAL(18,8))) AS high FROM mentions GROUP BY currency)) AS by_currency""", M.NOTES_SQL + ", " + M.PRICES_SQL)
+_LISTED = "(SELECT string_agg(source || ':' || n, ';' ORDER BY source) FROM (SELECT source, count(*) AS n FROM {} GROUP BY source))"
+
+
+@query("a04_corpus_summary", f"""SELECT (SELECT count(*) FROM notes) AS note_count, (SELECT count(DISTINCT source) FROM notes) AS source_count, (SELECT count(*) FROM joined_refs) AS image_reference_count, (SELECT count(*) FROM joined_refs WHERE ocr_status = 'ok') AS existing_ref_count, (SELECT count(*) FROM joined_refs WHERE ocr_status <> 'ok') AS missing_or_external_ref_count,
+  (SELECT count(*) FROM mentions) AS price_mention_count, (SELECT string_agg(currency || ':' || n || ':' || low || ':' || high, ';' ORDER BY currency) FROM (SELECT currency, count(*) AS n, min(CAST(amount AS DECIMAL(18,8))) AS low, max(CAST(amount AS DECIMAL(18,8))) AS high FROM mentions GROUP BY currency)) AS by_currency,
+  (SELECT count(*) FROM entities) AS entity_mention_rows, (SELECT 2 * count(*) FROM notes) AS keyword_rows, {_LISTED.format('notes')} AS notes_by_source, {_LISTED.format('mentions')} AS mentions_by_source""", M.REFS_SQL + ENTITIES.removeprefix(M.NOTES_SQL) + ", " + M.PRICES_SQL)
 def a04(spark, sf):
-    k = c("page_id") % 7
-    refs = M.table(spark, sf, "pages").select(F.when(k == 0, "resolved").when(k == 6, "missing").otherwise("external").alias("status"))
-    return populations.corpus_summary(M.notes(spark, sf), refs, extract.price_mentions(M.priced(spark, sf)))
+    own = M.notes(spark, sf)
+    refs = M.joined_refs(spark, sf).select(F.when(c("ocr_status") == "ok", "resolved").otherwise("missing").alias("status"))
+    return populations.corpus_summary(own, refs, extract.price_mentions(M.priced(spark, sf)), extract.entity_mentions(own, M.TERMS), extract.keyword_counts(own, M.KEYWORDS))
 
 
 @query("a05_reference_status", "SELECT status, count(*) AS ref_count, count(DISTINCT path) AS distinct_images FROM (SELECT CASE role WHEN 'system' THEN 'missing' ELSE 'resolved' END AS status, CASE WHEN role <> 'system' THEN sha256(text) END AS path FROM conversations) GROUP BY status")
@@ -373,7 +406,7 @@ def a12(spark, sf):
 
 @query("a13_populations", "SELECT population, note_id, source FROM members", M.PRESENCE_SQL)
 def a13(spark, sf):
-    return M.members(spark, sf)
+    return M.over_populations(spark, sf).members
 
 
 AUDIT = "CAST(sum(n) AS BIGINT) AS record_count, count(*) AS distinct_text_count, count(*) FILTER (n > 1) AS duplicate_group_count, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS records_in_duplicate_groups, CAST(sum(n - 1) AS BIGINT) AS excess_record_count, max(n) AS largest_group_size, CAST(sum(z) AS BIGINT) AS zero_word_record_count FROM (SELECT count(*) AS n, count(*) FILTER (combined_word_count = 0) AS z FROM corpus GROUP BY combined_text_sha256)"
@@ -386,7 +419,7 @@ def a14(spark, sf):
 
 @query("a15_presence", "SELECT population, code, label, note_id, source FROM presence", M.PRESENCE_SQL)
 def a15(spark, sf):
-    return M.present(spark, sf)
+    return M.over_populations(spark, sf).types
 
 
 COUNTED = """, grid AS (SELECT population, code, label, denominator_n, (SELECT count(*) FROM presence p WHERE p.population = s.population AND p.code = l.code) AS k FROM sizes s CROSS JOIN labels_of l),
@@ -397,7 +430,8 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY k DESC,
   CASE a.k WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * (a.k - b.k) / a.k, 3) END AS reduction_pct, round_even(b.pct - a.pct, 3) AS pct_difference, b.rank - a.rank AS rank_change
 FROM ranks a JOIN ranks b USING (code) WHERE a.population = 'full_corpus' AND b.population = 'text_unique'""", M.PRESENCE_SQL + COUNTED)
 def a16(spark, sf):
-    return derived.sensitivity(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.sensitivity(over.types, over.members)
 
 
 def _cells_sql(keys: str) -> str:
@@ -419,17 +453,19 @@ PAIR = "population, code_a, code_b"
 
 @query("a17_cooccurrence", _cells_sql(PAIR), M.PRESENCE_SQL + FLAGS + WHOLE)
 def a17(spark, sf):
-    return derived.cooccurrence(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.cooccurrence(over.types, over.members)
 
 
 @query("a18_cooccurrence_by_source", _cells_sql("population, source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + SOURCED)
 def a18(spark, sf):
-    return derived.cooccurrence_by_source(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.cooccurrence_by_source(over.types, over.members)
 
 
 def _left_out(spark, sf):
-    p, m = M.present(spark, sf), M.members(spark, sf)
-    return derived.leave_source_out(derived.cooccurrence(p, m), derived.cooccurrence_by_source(p, m))
+    over = M.over_populations(spark, sf)
+    return derived.leave_source_out(derived.cooccurrence(over.types, over.members), derived.cooccurrence_by_source(over.types, over.members))
 
 
 @query("a19_leave_source_out", _cells_sql("population, removed_source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + LEFT_OUT)
@@ -449,7 +485,8 @@ def j13(spark, sf):
   LEFT JOIN (SELECT population, m.source, count(*) AS source_record_n, count(*) FILTER (markdown_present = 1 AND ocr_present = 0) AS markdown_only_n, count(*) FILTER (markdown_present = 0 AND ocr_present = 1) AS ocr_only_n, count(*) FILTER (markdown_present = 1 AND ocr_present = 1) AS both_n, count(*) FILTER (markdown_present = 0 AND ocr_present = 0) AS neither_n FROM members m JOIN corpus USING (note_id) GROUP BY ALL) USING (population, source)
   LEFT JOIN (SELECT population, source, code, count(*) AS positive_records_n FROM presence GROUP BY ALL) USING (population, source, code) LEFT JOIN (SELECT population, code, count(*) AS all_positive_n FROM presence GROUP BY ALL) USING (population, code)) g""", M.PRESENCE_SQL)
 def a20(spark, sf):
-    return derived.source_normalized(M.present(spark, sf), M.members(spark, sf), M.corpus(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.source_normalized(over.types, over.members, over.notes)
 
 
 CROSS = f""", joint AS (SELECT z.population, a.code AS code_a, b.code AS code_b, denominator_n, (SELECT count(*) FROM presence p WHERE p.population = z.population AND p.code = a.code) AS code_a_present_n, (SELECT count(*) FROM ipresence p WHERE p.population = z.population AND p.code = b.code) AS code_b_present_n,
@@ -459,7 +496,8 @@ CROSS = f""", joint AS (SELECT z.population, a.code AS code_a, b.code AS code_b,
 
 @query("a21_crosswalk", f"SELECT x.*, CASE code_a_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_a_present_n, 6) END AS share_of_a, CASE code_b_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_b_present_n, 6) END AS share_of_b FROM ({_cells_sql(PAIR)}) x", M.PRESENCE_SQL + CROSS)
 def a21(spark, sf):
-    return derived.crosswalk(M.present(spark, sf), M.present(spark, sf, "indicator"), M.members(spark, sf), _linked(spark))
+    over = M.over_populations(spark, sf)
+    return derived.crosswalk(over.types, over.indicators, over.members, _linked(spark))
 
 
 GROUP_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.GROUPS)
@@ -468,7 +506,8 @@ GROUP_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.GROUPS)
 @query("a22_group_union", f"""SELECT population, g AS "group", denominator_n, coalesce(record_n, 0) AS record_n, CASE denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * coalesce(record_n, 0) / denominator_n, 3) END AS record_pct
 FROM sizes CROSS JOIN (SELECT DISTINCT g FROM (VALUES {GROUP_SQL}) v(code, g)) LEFT JOIN (SELECT population, g, count(DISTINCT note_id) AS record_n FROM presence JOIN (VALUES {GROUP_SQL}) v(code, g) USING (code) GROUP BY ALL) USING (population, g)""", M.PRESENCE_SQL)
 def a22(spark, sf):
-    return derived.group_union(M.present(spark, sf), M.members(spark, sf), spark.createDataFrame(M.GROUPS, "code string, group string"))
+    over = M.over_populations(spark, sf)
+    return derived.group_union(over.types, over.members, spark.createDataFrame(M.GROUPS, "code string, group string"))
 
 
 @query("a23_concentration", """SELECT population, code, denominator_n, coalesce(t, 0) AS positive_records_n, coalesce(s, 0) AS source_groups_with_positive_records_n, coalesce(top_source, '') AS top_source, coalesce(t1, 0) AS top_source_positive_records_n, coalesce(hhi, 0) AS source_hhi,
@@ -476,14 +515,16 @@ def a22(spark, sf):
 FROM sizes CROSS JOIN codes LEFT JOIN (SELECT population, code, CAST(sum(k) AS BIGINT) AS t, count(*) AS s, max(source) FILTER (r = 1) AS top_source, max(k) FILTER (r = 1) AS t1, CAST(sum(k) FILTER (r <= 3) AS BIGINT) AS t3, round_even(sum((CAST(k AS DOUBLE) / n) * (CAST(k AS DOUBLE) / n)), 6) AS hhi
   FROM (SELECT *, row_number() OVER (PARTITION BY population, code ORDER BY k DESC, source) AS r, sum(k) OVER (PARTITION BY population, code) AS n FROM (SELECT population, code, source, count(*) AS k FROM presence GROUP BY ALL)) GROUP BY ALL) USING (population, code)""", M.PRESENCE_SQL)
 def a23(spark, sf):
-    return derived.concentration(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.concentration(over.types, over.members)
 
 
 @query("a24_leave_source_out_ranks", """SELECT r.population, removed_source, r.code, full_rank, r.denominator_n, record_n, CASE r.denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * record_n / r.denominator_n, 3) END AS record_pct, r.rank, r.rank - full_rank AS rank_change FROM (
   SELECT *, row_number() OVER (PARTITION BY population, removed_source ORDER BY record_n DESC, code) AS rank FROM (SELECT population, s.source AS removed_source, code, count(*) AS denominator_n, count(*) FILTER (list_contains(own, code)) AS record_n FROM per_note n CROSS JOIN codes JOIN sources s ON s.source <> n.source GROUP BY ALL)) r
   JOIN (SELECT population, code, rank AS full_rank FROM ranks) USING (population, code)""", M.PRESENCE_SQL + COUNTED + FLAGS)
 def a24(spark, sf):
-    return derived.leave_source_out_ranks(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    return derived.leave_source_out_ranks(over.types, over.members)
 
 
 @query("a25_screening_audit", f"SELECT * FROM (SELECT {AUDIT}) CROSS JOIN (SELECT count(*) FILTER (markdown_present = 1) AS markdown_record_count, count(*) FILTER (ocr_present = 1) AS ocr_record_count, count(*) FILTER (markdown_present = 1 AND ocr_present = 1) AS both_record_count, count(*) FILTER (markdown_present = 0 AND ocr_present = 0) AS neither_record_count FROM corpus)", M.CORPUS_SQL)

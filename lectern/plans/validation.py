@@ -106,7 +106,7 @@ def a32(spark, sf):
     return M.table(spark, sf, "documents").groupBy("source").agg(*[F.percentile("n_chars", F.lit(p)).alias(n) for n, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
 
 
-REPLICATES = 200
+REPLICATES = reliability.REPLICATES
 BOOT = N.CELLS_SQL + f""", bin AS (SELECT target, c1, c2, n, sum(n) OVER (PARTITION BY target ORDER BY c1, c2 ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY target) AS pair_n FROM cells WHERE c1 IN {_BIN} AND c2 IN {_BIN}),
 draws AS (SELECT target, pair_n, rep, i, CAST('0x' || substr(md5('bootstrap|' || target || '|' || rep || '|' || i), 1, 12) AS BIGINT) % pair_n AS d FROM (SELECT DISTINCT target, CAST(pair_n AS BIGINT) AS pair_n FROM bin WHERE pair_n >= 2) CROSS JOIN range(1, {REPLICATES + 1}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(1, pair_n + 1)) AS i)),
 hits AS (SELECT target, rep, count(*) FILTER (c1 = 'present' AND c2 = 'present') AS pp, count(*) FILTER (c1 = 'present' AND c2 = 'absent') AS pa, count(*) FILTER (c1 = 'absent' AND c2 = 'present') AS ap, count(*) FILTER (c1 = 'absent' AND c2 = 'absent') AS aa
@@ -169,13 +169,13 @@ by_target AS (SELECT target, b.pair_n, agreement_n, b.pair_n - agreement_n AS di
   {', '.join(f'adjudicated_{d}_n' for d in T.DECISIONS)} FROM base b LEFT JOIN nominal n USING (target) LEFT JOIN boot USING (target))"""
 
 
-def _by_target(spark, sf):
-    return reliability.reliability_by_target(M.records(spark, sf), REPLICATES)
+def _by_target(spark, sf, replicates: int = 0):
+    return reliability.reliability_by_target(M.records(spark, sf), replicates)
 
 
 @query("a38_reliability_by_target", "SELECT * FROM by_target", BY_TARGET)
 def a38(spark, sf):
-    return _by_target(spark, sf)
+    return _by_target(spark, sf, REPLICATES)
 
 
 @query("a39_reliability_totals", f"SELECT count(*) AS target_n, CAST(sum(pair_n) AS BIGINT) AS pair_n, CAST(sum(disagreement_n) AS BIGINT) AS disagreement_n, CAST(sum({' + '.join(f'adjudicated_{d}_n' for d in T.DECISIONS)}) AS BIGINT) AS adjudicated_n FROM by_target", BY_TARGET)
@@ -187,7 +187,7 @@ def a39(spark, sf):
 
 @query("w01_ordinal_rank", "SELECT population, code, k AS record_n, rank FROM ranks", M.PRESENCE_SQL + N.COUNTED)
 def w01(spark, sf):
-    p = M.present(spark, sf)
+    p = M.over_populations(spark, sf).types
     grid = p.select("code").distinct().join(F.broadcast(p.select("population").distinct()))
     counts = p.groupBy("population", "code").agg(F.count("*").alias("record_n"))
     return coding.ranked(grid.join(counts, ["population", "code"], "left").fillna(0, ["record_n"]), "record_n", ["population"])
@@ -214,9 +214,10 @@ def w05(spark, sf):
     return coding.summary_by_source(M.coded(spark, sf, "indicator")).orderBy(F.desc("note_count"), "source", "code").limit(20)
 
 
-@query("w06_distinct_snippets", "SELECT source AS code, note_id, place FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY note_id) AS place FROM (SELECT source, lower(left(text, 120)) AS k, min(note_id) AS note_id FROM notes GROUP BY ALL)) WHERE place <= 4", M.NOTES_SQL)
+@query("w06_distinct_snippets", "SELECT code, note_id, place FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY note_id) AS place FROM (SELECT source AS code, lower(left(text, 120)) AS k, min(note_id) AS note_id FROM notes WHERE lang <> 'en' GROUP BY ALL)) WHERE place <= 4", M.NOTES_SQL.replace("text, len(", "lang, text, len(").replace("AS raw_path, text", "AS raw_path, lang, text"))
 def w06(spark, sf):
-    rows = M.notes(spark, sf).select(c("source").alias("code"), "note_id", F.lit(1).alias("snippet_index"), c("text").alias("snippet"))
+    langs = M.table(spark, sf, "documents").select("doc_id", "lang")
+    rows = M.notes(spark, sf).join(langs, "doc_id").select(c("source").alias("code"), "note_id", F.lit(1).alias("snippet_index"), F.when(c("lang") == "en", " ").otherwise(c("text")).alias("snippet"))
     return coding.distinct_snippets(rows, 4).select("code", "note_id", "place")
 
 
@@ -240,7 +241,7 @@ def u02(spark, sf):
 
 @query("u03_stacked_populations", "SELECT population, source, count(*) AS record_n FROM members GROUP BY ALL", M.PRESENCE_SQL)
 def u03(spark, sf):
-    own = M.members(spark, sf)
+    own = M.over_populations(spark, sf).members
     full = own.where(c("population") == populations.FULL)
     return full.unionByName(own.where(c("population") == populations.UNIQUE)).groupBy("population", "source").agg(F.count("*").alias("record_n"))
 
@@ -277,14 +278,14 @@ def g04(spark, sf):
     return gates.same_identity(sheet, machine, "record_id", ["code", "target_type"])
 
 
-@query("g05_repeated_decisions", "SELECT record_id, decision_1 AS coder_1_decision, 'x' AS said_1, decision_2 AS coder_2_decision, decision_2 AS said_2 FROM records WHERE doc_id % 19 = 4 AND doc_id % 11 NOT IN (9) AND decision_1 <> 'absent' AND decision_2 <> 'absent'", M.SHEETS_SQL)
+@query("g05_repeated_decisions", "SELECT record_id, decision_1 AS coder_1_decision, CASE decision_1 WHEN 'present' THEN 'absent' ELSE 'present' END AS said_1, decision_2 AS coder_2_decision, decision_2 AS said_2 FROM records WHERE doc_id % 19 = 4", M.SHEETS_SQL)
 def g05(spark, sf):
+    """Every nineteenth decision is another one, others stand in other letters or are blank."""
     s = M.sheets(spark, sf)
-    k = F.substring("record_id", 2, 20).cast("long")
-    changed = (k % 19 == 4) & (k % 11 != 9) & (F.lower("decision") != "absent")
-    c1 = s["coder_1"].withColumn("decision", F.when(changed, "x").otherwise(c("decision")))
-    found = gates.repeated_decisions(s["adjudication"], c1, s["coder_2"])
-    return found.where("lower(coder_2_decision) <> 'absent'")
+    k = F.substring("record_id", 2, 20).cast("long") % 19
+    other = F.when(F.lower("decision") == "present", "Absent").otherwise(" present")
+    c1 = s["coder_1"].withColumn("decision", F.when(k == 4, other).when(k == 5, "").when(k == 6, F.upper("decision")).otherwise(c("decision")))
+    return gates.repeated_decisions(s["adjudication"], c1, s["coder_2"])
 
 
 @query("g06_same_within_text", "SELECT combined_text_sha256, code, count(*) AS note_n FROM (SELECT combined_text_sha256, code, CAST(present = 1 AND source <> 'src1' AS INTEGER) AS p FROM coding JOIN corpus USING (note_id, source)) GROUP BY ALL HAVING min(p) <> max(p)", M.CODED_SQL)
@@ -300,7 +301,8 @@ def g07(spark, sf):
 
 @query("g08_pair_rules", "SELECT population, code_a, code_b, 'cells_sum_to_denominator' AS rule FROM joint WHERE n11_both_present > 0", M.PRESENCE_SQL + N.FLAGS + N.WHOLE)
 def g08(spark, sf):
-    table = derived.cooccurrence(M.present(spark, sf), M.members(spark, sf))
+    over = M.over_populations(spark, sf)
+    table = derived.cooccurrence(over.types, over.members)
     spoiled = table.withColumn("denominator_n", c("denominator_n") + (c("n11_both_present") > 0).cast("int"))
     return gates.broken_rules(spoiled, ["population", "code_a", "code_b"], gates.pair_rules())
 
@@ -312,13 +314,24 @@ def g09(spark, sf):
     return gates.totals_agree(table.where("code <> '(all)'"), overall, ["record_n", "tp", "fp"])
 
 
-@query("g12_local_paths", "SELECT 'cell' AS \"column\", CASE doc_id % 4 WHEN 0 THEN 'at C:' || chr(92) || 'Users' || chr(92) || doc_id ELSE '/home/u/' || doc_id END AS cell FROM documents WHERE doc_id % 4 < 2")
+@query("g11_blocked_fields", "SELECT source, count(*) AS tables, 'note_id,s.combined_text,ranked_snippets' AS blocked FROM documents GROUP BY source")
+def g11(spark, sf):
+    """The gate looks at names alone: those of a table made of notes."""
+    rows = M.table(spark, sf, "documents")
+    table = rows.select(c("doc_id").alias("note_id"), F.struct(c("text").alias("combined_text"), c("lang").alias("k")).alias("s"), c("n_chars").alias("ranked_snippets"), c("n_chars").alias("unique_text_count"), c("n_chars").alias("evidence_packet_count"))
+    return rows.groupBy("source").agg(F.count("*").alias("tables")).withColumn("blocked", F.lit(",".join(gates.blocked_fields(table.schema))))
+
+
+@query("g12_local_paths", "SELECT 'cell' AS \"column\", cell FROM (SELECT CASE doc_id % 5 WHEN 0 THEN 'at C:' || chr(92) || left(text, 40) WHEN 1 THEN left(text, 40) || ' `/home/u/' || doc_id || '`' WHEN 2 THEN 'file://' || doc_id END AS cell FROM documents) WHERE cell IS NOT NULL")
 def g12(spark, sf):
-    k = c("doc_id") % 4
-    cell = F.when(k == 0, F.concat(F.lit("at C:\\Users\\"), "doc_id")).when(k == 1, F.concat(F.lit("/home/u/"), "doc_id")).when(k == 2, F.concat(F.lit("see https://a.b/home/u/"), "doc_id")).otherwise(F.lit("plain"))
+    """Texts with a path after them, in front of them, or none."""
+    k, head = c("doc_id") % 5, F.left("text", F.lit(40))
+    cell = F.when(k == 0, F.concat(F.lit("at C:\\"), head)).when(k == 1, F.concat(head, F.lit(" `/home/u/"), "doc_id", F.lit("`"))).when(k == 2, F.concat(F.lit("file://"), "doc_id")).when(k == 3, F.concat(F.lit("see https://a.b/home/u/"), "doc_id")).otherwise(head)
     return gates.local_paths(M.table(spark, sf, "documents").select("doc_id", "lang", cell.alias("cell")))
 
 
-@query("s08_run_metrics", "SELECT 'notes_rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'references_rows', count(*) FROM joined_refs UNION ALL SELECT 'coding_rows', count(*) FROM coding", M.CODED_SQL)
+@query("s08_run_metrics", """SELECT 'notes_rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'references_rows', count(*) FROM joined_refs UNION ALL SELECT 'references_distinct_path', count(DISTINCT path) FROM joined_refs UNION ALL SELECT 'references_distinct_sha256', count(DISTINCT sha256) FROM joined_refs
+  UNION ALL SELECT 'references_ocr_status_' || ocr_status, count(*) FROM joined_refs GROUP BY ocr_status UNION ALL SELECT 'coding_rows', count(*) FROM coding UNION ALL SELECT 'coding_rule_match_intensity_' || rule_match_intensity, count(*) FROM coding GROUP BY rule_match_intensity""", M.CODED_SQL)
 def s08(spark, sf):
-    return files.run_metrics({"notes": M.notes(spark, sf), "references": M.joined_refs(spark, sf), "coding": M.coded(spark, sf)})
+    tables = {"notes": M.notes(spark, sf), "references": M.joined_refs(spark, sf), "coding": M.coded(spark, sf)}
+    return files.run_metrics(tables, {"references": "ocr_status", "coding": "rule_match_intensity"}, {"references": ["path", "sha256"]})

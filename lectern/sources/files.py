@@ -16,11 +16,15 @@ class Contract(ValueError):
 
 
 def notes(spark: SparkSession, folder: str, root: list[str], dates: list[str]) -> DataFrame:
-    """Every *.md below the folder: ids, path, source, date, text, counts.  Broken UTF-8 is replaced; notes without a source are dropped."""
+    """Every *.md below the folder: ids, path, source, date, text, counts.
+
+    Broken UTF-8 is replaced and line ends become LF; notes without a source
+    are dropped.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").option("recursiveFileLookup", True).load(folder)
     base = F.regexp_replace(F.col("path"), "^file:/+", "/")
     below = F.regexp_replace(F.try_url_decode(F.replace(base, F.lit("+"), F.lit("%2B"))), r"^.*?" + r"\Q" + folder.rstrip("/") + r"\E/?", "")
-    rows = files.select(below.alias("raw_path"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    rows = files.select(below.alias("raw_path"), X.newlines(F.make_valid_utf8(F.col("content").cast("string"))).alias("text"))
     name = F.element_at(F.split("raw_path", "/"), -1)
     rows = rows.select(
         X.record_id(F.col("raw_path")).alias("note_id"), X.short_id(F.col("raw_path")).alias("legacy_note_id"), X.posix_path(F.col("raw_path")).alias("relative_path"),
@@ -89,10 +93,22 @@ def codebook(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("family", "code", "label", "objective", F.posexplode("patterns").alias("pattern_idx", "pattern"))
 
 
-def run_metrics(tables: dict[str, DataFrame]) -> DataFrame:
-    """metric, value: how many rows each table has."""
-    out = None
+def run_metrics(tables: dict[str, DataFrame], by: dict[str, str] | None = None, distinct: dict[str, list[str]] | None = None) -> DataFrame:
+    """metric, value: how many rows each table has, how many for each value of its column in ``by``, and how many different values those in ``distinct`` have.
+
+    Blank values are ``(blank)``; null is no value of its own among different
+    ones.  One pass over each table and kind.
+    """
+    rows = []
     for name, table in tables.items():
-        row = table.agg(F.lit(f"{name}_rows").alias("metric"), F.count("*").alias("value"))
-        out = row if out is None else out.unionByName(row)
+        different = (distinct or {}).get(name, [])
+        counts = table.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in different])
+        each = [F.struct(F.lit(f"{name}_{c}").alias("metric"), F.col(c).alias("value")) for c in counts.columns]
+        rows.append(counts.select(F.explode(F.array(*each)).alias("m")).select("m.*"))
+        if own := (by or {}).get(name):
+            value = F.coalesce(F.nullif(F.trim(F.col(own).cast("string")), F.lit("")), F.lit("(blank)"))
+            rows.append(table.groupBy(F.concat(F.lit(f"{name}_{own}_"), value).alias("metric")).agg(F.count("*").alias("value")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
     return out

@@ -198,3 +198,75 @@ def test_coding_of_a_stream_equals_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     code_stream(stream, codes, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, coding.code_notes(batch, codes).collect()))
+
+
+def test_prices_beside_known_codes_alone(spark):
+    text = "the cost is $5 and $10k or $7.255, US$7 aud $1,250.50 usd, $3  NZD; $0 x 2.5 btc 1.2.3 xmr 4 monero 9bitcoins 12 USDT $20,000,000"
+    got = extract.price_mentions(spark.createDataFrame([("n", "s", text), ("m", "s", None), ("o", "s", "no price")], "note_id string, source string, text string")).collect()
+    assert [(r.currency, r.amount) for r in got] == [("UNSPECIFIED_DOLLAR", "5"), ("UNSPECIFIED_DOLLAR", "7"), ("AUD", "1250.5"), ("NZD", "3"), ("BTC", "2.5"), ("XMR", "4"), ("USDT", "12")]
+    assert got[0].context.startswith("the cost is $5 and") and "  " not in got[3].context
+
+
+def test_image_references_end_in_png(spark):
+    text = 'a ![[x.png]] ![[dir/y.PNG|200]] ![t](u v.png) ![t](w.png "title") [no](d.png) ![[a.jpg]]'
+    got = extract.image_references(spark.createDataFrame([("n", text)], "note_id string, text string")).collect()
+    # as lazily as the pattern is written, an embedding that does not end in .png reaches on to one that does
+    assert [(r.ref_index, r.ref) for r in got] == [(1, "x.png"), (2, "dir/y.PNG"), (3, "u v.png")]
+
+
+def test_blank_hashes_and_sources(spark):
+    rows = [("n1", None, "", 1), ("n2", " ", "", 0), ("n3", "s", None, 2), ("n4", "s", "h", 2)]
+    corpus = spark.createDataFrame([(*r, 1, 0) for r in rows], "note_id string, source string, combined_text_sha256 string, combined_word_count long, markdown_present int, ocr_present int")
+    audit = populations.duplicate_audit(corpus).first()
+    assert (audit.distinct_text_count, audit.duplicate_group_count, audit.largest_group_size, audit.excess_record_count) == (4, 0, 1, 0)
+    members = populations.membership(corpus)
+    coded = spark.createDataFrame([(r[0], "x", "X", 1) for r in rows], "note_id string, code string, label string, present int")
+    got = one(derived.source_normalized(populations.presence(coded, members), members, corpus), population=populations.FULL, source="(no_source)")
+    assert (got.source_record_n, got.positive_records_n, got.rate_pct) == (2, 2, 100.0)
+    ranks = derived.leave_source_out_ranks(populations.presence(coded, members), members)
+    assert one(ranks, population=populations.FULL, removed_source="(no_source)").record_n == 2
+
+
+def test_decisions_are_compared_once_they_are_normal(spark):
+    sheet = lambda *d: spark.createDataFrame(list(enumerate(d)), "record_id int, decision string")
+    said = spark.createDataFrame([(0, "Present", "absent"), (1, "", "absent"), (2, "absent", "ambiguous")], "record_id int, coder_1_decision string, coder_2_decision string")
+    found = gates.repeated_decisions(said, sheet("present ", "absent", "present"), sheet("ABSENT", "absent", "")).collect()
+    assert [(r.record_id, r.coder_1_decision, r.said_1) for r in found] == [(2, "absent", "present")]
+
+
+def test_names_and_paths_that_stay_private(spark):
+    names = "ranked_snippets unique_text_count evidence_packet_count Legacy_Note_Id context_n exact_text_unique_rank raw_path"
+    table = spark.createDataFrame([(1,) * 7], names.split())
+    assert gates.blocked_fields(table.schema) == ["ranked_snippets", "Legacy_Note_Id", "raw_path"]
+    cells = spark.createDataFrame([(x,) for x in ("file:///home/u/x", "`/home/u/x`", "see https://a.b/home/u", "x\n/tmp/y", "home/u")], "c string")
+    assert {r.cell for r in gates.local_paths(cells).collect()} == {"file:///home/u/x", "`/home/u/x`", "x\n/tmp/y"}
+
+
+def test_sheets_may_have_no_weights_and_snippets_may_be_blank(spark):
+    machine = spark.createDataFrame([("r", "t", "c", "1")], "record_id string, target_type string, code string, model_present string")
+    said = spark.createDataFrame([("r", "present")], "record_id string, decision string")
+    r = one(reliability.weighted_metrics(reliability.machine_metrics(reliability.agreement(reliability.counts(reliability.records(machine, said, said))))), code="(all)")
+    assert (r.tp, r.weighted_n, r.weighted_accuracy) == (1, 0, None)
+    snippets = spark.createDataFrame([("c", "n1", 1, " "), ("c", "n2", 1, "Ab"), ("c", "n3", 1, "aB"), ("c", "n4", 1, "z")], "code string, note_id string, snippet_index int, snippet string")
+    assert [(r.note_id, r.place) for r in coding.distinct_snippets(snippets, 5).orderBy("place").collect()] == [("n2", 1), ("n4", 2)]
+
+
+def test_provenance_of_old_and_new_exports(spark):
+    h = lambda c: c * 64
+    inventory = spark.createDataFrame([("a/x.png", "x.png", h("a")), ("b/y.png", "y.png", h("b")), ("c/y.png", "y.png", h("c"))], "path string, basename string, sha256 string")
+    refs = [(1, "resolved", "a/x.png", h("A"), "", ""), (2, "resolved", "", h("a"), "", ""), (3, "resolved", "a/x.png", "", "", ""), (4, "", "a/x.png", "zz", "", ""), (5, "", "", "", "dir/X.png", "1"), (6, "", "", "", "y.png", "1"), (7, "", "", h("b"), "x.png", "1"), (8, "missing", "", "", "", ""), (9, "", "", "", "x.png", "0"), (10, "", "../x.png", "", "", "")]
+    got = {r.ref_id: (r.path, r.violation) for r in resolve.provenance(spark.createDataFrame(refs, "ref_id int, status string, path string, sha256 string, image_name string, exists_in_root string"), inventory).collect()}
+    assert got == {1: ("a/x.png", None), 2: (None, "resolved_without_path"), 3: ("a/x.png", "resolved_without_hash"), 4: ("a/x.png", "bad_hash"), 5: ("a/x.png", None), 6: (None, None), 7: ("a/x.png", "hash_changed"), 9: (None, None), 10: (None, "image_not_in_inventory")}
+
+
+def test_notes_from_files_have_one_kind_of_line_end(spark, tmp_path):
+    (tmp_path / "Root" / "src").mkdir(parents=True)
+    (tmp_path / "Root" / "src" / "n.md").write_bytes(b"a\r\nb\rc")
+    row = files.notes(spark, str(tmp_path), ["Root"], []).first()
+    assert (row.text, row.char_count) == ("a\nb\nc", 5)
+
+
+def test_metrics_of_a_run(spark):
+    table = spark.createDataFrame([("ok", "p"), ("ok", "p"), (None, "q")], "status string, path string")
+    got = {r.metric: r.value for r in files.run_metrics({"refs": table}, {"refs": "status"}, {"refs": ["path"]}).collect()}
+    assert got == {"refs_rows": 3, "refs_distinct_path": 2, "refs_status_ok": 2, "refs_status_(blank)": 1}
