@@ -20,8 +20,8 @@ overlap counts accumulated over stretches of n-grams; pairs below the bound are
 discarded, and a pair that meets in several blocks counts in the one of
 smallest leader.  Components follow from a spanning forest of each tile.
 
-How often an n-gram occurs is known from a sketch of BUCKETS counts.  It only
-orders n-grams, so the result doesn't depend on its precision.
+How rare an n-gram is, is told from a sketch of fixed size (``Rarity``).  It
+only orders n-grams, so the result doesn't depend on its precision.
 """
 
 from __future__ import annotations
@@ -35,18 +35,14 @@ from pyspark.sql import functions as F
 
 from .common import added_up, cut, pick, ship, small, stretches
 from .components import components
-from .shingles import as_lists, shingle_sets, signature, sliced
+from .shingles import BUCKETS, Rarity, as_lists, sets_of, shingle_sets, signature, sketch, sliced, words_of
 
 #: Rows of ids (some 100 bytes each) up to which candidates are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 250_000
 #: Texts on a side of a tile, and n-grams that are multiplied at once.
 CHUNK, COLUMNS = 512, 4_096
-#: Counts in the sketch of n-gram frequencies.
-BUCKETS = 1 << 16
 #: e: per thousand of a set, how many n-grams its head has beyond those that hold one in common.
 SPARE = 40
-LOW = np.uint64((1 << 56) - 1)
-SHIFT = np.uint64(56)
 
 
 def needed(n: int, pct: int) -> int:
@@ -63,20 +59,17 @@ def least_shared(n: int, pct: int) -> int:
     return min(spare(needed(n, pct)) + 1, needed(n, pct))
 
 
-def bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(48)).astype(np.int64)
-
-
 def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, node (64 bits of the set), text_key of each row; and (at, counts) of each task's sketch, in rows of their own."""
     names = ["doc_id", "n", "node", "text_key", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
             for part in sliced(batch):
-                sets = shingle_sets(part.column(1), width)
-                total += np.bincount(bucket(np.concatenate(sets)), minlength=BUCKETS)
+                word, counts = words_of(part.column(1))
+                sets = sets_of(word, counts, width)
+                total += sketch(word, sets)
                 columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([signature(s)[0] for s in sets], pa.int64()), part.column(2), pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names)
         if total.any():
@@ -87,30 +80,18 @@ def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     return docs.withColumn("text_key", F.xxhash64("text")).mapInArrow(run, "doc_id long, n long, node long, text_key long, at int, counts array<long>")
 
 
-def frequency_classes(sketch: DataFrame) -> np.ndarray:
-    """For each bucket a number below 256 that grows with the logarithm of its count."""
-    counts = added_up(sketch.where("at IS NOT NULL"), BUCKETS)
-    return np.minimum(255, 8 * np.log2(1 + counts / max(counts.mean(), 1))).astype(np.uint64)
-
-
-def ordered(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
-    """N-grams renamed so that rare ones come first: the class of their bucket over 56 bits of their hash."""
-    return (classes[bucket(hashes)] << SHIFT) | (hashes & LOW)
-
-
-def heads(docs: DataFrame, width: int, pct: int, classes: np.ndarray) -> DataFrame:
+def heads(docs: DataFrame, width: int, pct: int, rarity: Rarity) -> DataFrame:
     """(g, node, n): the n-grams of each row's head."""
-    shared = docs.sparkSession.sparkContext.broadcast(classes)  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in sliced(batch):
-                sets = [s for s in shingle_sets(part.column(1), width) if len(s)]
+                sets = [s for s in sets_of(*words_of(part.column(1)), width, shared.value) if len(s)]
                 if not sets:
                     continue
                 sizes = [min(len(s), len(s) - needed(len(s), pct) + 1 + spare(len(s))) for s in sets]
-                tops = [np.partition(ordered(s, shared.value), k - 1)[:k] for s, k in zip(sets, sizes, strict=True)]
-                columns = [np.concatenate(tops).view(np.int64), np.repeat([signature(s)[0] for s in sets], sizes), np.repeat([len(s) for s in sets], sizes)]
+                columns = [np.concatenate([s[:k] for s, k in zip(sets, sizes, strict=True)]).view(np.int64), np.repeat([signature(s)[0] for s in sets], sizes), np.repeat([len(s) for s in sets], sizes)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["g", "node", "n"])
 
     return docs.mapInArrow(run, "g long, node long, n long")
@@ -272,7 +253,7 @@ def _members(docs: DataFrame, width: int, pct: int, broadcast_ids: int, chunk: i
     known = docs.where("doc_id IS NOT NULL")
 
     # the slim product: n-grams of heads that different texts have, counted by text
-    shared = cut(shared_only(heads(known, width, pct, frequency_classes(both))))
+    shared = cut(shared_only(heads(known, width, pct, Rarity(added_up(both.where("at IS NOT NULL"), 2 * BUCKETS)))))
     found = shared.groupBy("node", "n").agg(F.count("*").alias("found")).where(F.col("found") >= _least("n", pct))
     left = shared.join(found.select("node"), "node")
     # once more among those that are left, which gives how central each of them is
