@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, ship
+from .common import cut, pick, ship
 
 #: Vectors that the centroids are fitted on at most.
 SAMPLE = 16_384
@@ -169,18 +169,22 @@ def nearest_in(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndar
         yield qid, list(best), list(best.values())
 
 
-def vectors(table: DataFrame, key: str, column: str) -> DataFrame:
-    """(vec_id, v): the vectors that take part, as little-endian doubles.
-
-    Null, empty and zero vectors, those with null or non-finite components,
-    those of a null id, and those whose length is not the most frequent one
-    (the smallest of these) take no part.
-    """
-    base = table.select(F.col(key).cast("long").alias("vec_id"), F.col(column).cast("array<double>").alias("e")).where("vec_id IS NOT NULL AND size(e) > 0")
+def sound(table: DataFrame, key: str, column: str) -> DataFrame:
+    """(vec_id, e): vectors that are not null, empty or zero, have no null or non-finite component, and have an id."""
+    base = pick(table, key, column).toDF("vec_id", "e").select(F.col("vec_id").cast("long"), F.col("e").cast("array<double>")).where("vec_id IS NOT NULL AND size(e) > 0")
     fine = F.forall("e", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("e", lambda x: x != 0)
-    base = base.where(F.coalesce(fine, F.lit(False)))
-    first = base.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    base = base.where(F.size("e") == (first["d"] if first else 0))
+    return base.where(F.coalesce(fine, F.lit(False)))
+
+
+def usual_length(table: DataFrame) -> int:
+    """The most frequent length of the ``sound`` vectors, the smallest of these; 0 without any."""
+    first = table.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    return first["d"] if first else 0
+
+
+def vectors(table: DataFrame, length: int) -> DataFrame:
+    """(vec_id, v): those of this length, as little-endian doubles, equal rows once."""
+    base = table.where(F.size("e") == length)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -188,21 +192,25 @@ def vectors(table: DataFrame, key: str, column: str) -> DataFrame:
             rows = flat.reshape(len(b), -1) if len(b) else flat.reshape(0, 1)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["vec_id", "v"])
 
-    return base.mapInArrow(packed, "vec_id long, v binary")
+    return base.mapInArrow(packed, "vec_id long, v binary").dropDuplicates(["vec_id", "v"])
 
 
 def nearest(table: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k largest inner products found for each query.
 
     ``queries`` is a table like ``table``; a query finds no vector of its own
-    id.  See ``vectors`` for those that take no part, as query or candidate.
-    Rows that repeat an id count once, with whichever of their vectors scores
-    best.  Fewer than k candidates are all returned.  Empty tables give no rows.
+    id.  Vectors that are not ``sound``, or not of the table's usual length,
+    take no part, as query or candidate.  Rows that repeat an id count once,
+    with whichever of their vectors scores best.  Fewer than k candidates are
+    all returned.  The two columns are found by exact name before any other
+    spelling; other columns are ignored.  Empty tables give no rows.
     """
     spark = table.sparkSession
     ship(spark)
-    base = cut(vectors(table, key, column).dropDuplicates(["vec_id", "v"]))
-    asked = cut(vectors(queries, key, column).dropDuplicates(["vec_id", "v"]))
+    known = sound(table, key, column)
+    length = usual_length(known)
+    base = cut(vectors(known, length))
+    asked = cut(vectors(sound(queries, key, column), length))
     out = "query_id long, rank int, vec_id long, score double"
     n = base.count()
     if not n or not asked.limit(1).count():

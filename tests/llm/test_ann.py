@@ -92,3 +92,17 @@ def test_tables_of_repeated_rows(spark, monkeypatch):
         table = spark.createDataFrame(own * times, "vec_id long, embedding array<double>").repartition(3)
         got = ann.nearest(table, table.where("vec_id % 9 = 0"), 20).collect()
         assert recall(got, best_ids(own, [r for r in own if r[0] % 9 == 0], 20), 20) >= 0.9
+
+
+def test_lengths_of_queries_and_clashing_names(spark):
+    table = spark.createDataFrame([(1, [1.0, 0.0], "x", "y"), (2, [0.5, 0.5], "x", "y")], "vec_id long, embedding array<double>, VEC_ID string, list string")
+    queries_of = spark.createDataFrame([(7, [1.0, 2.0, 3.0]), (8, [2.0, 0.0]), (9, [1.0, 1.0, 1.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in ann.nearest(table, queries_of, 5).collect())
+    assert got == [(8, 1, 1, 2.0), (8, 2, 2, 1.0)]
+
+
+def test_recall_over_the_table_in_many_lists(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(ann, "LIST", 25)
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
+    got = queries.op8_nearest_neighbours(spark, sf_dir).collect()
+    assert recall(got, brute(rows, [r for r in rows if r[0] % 20 == 0], 20), 20) >= 0.9
