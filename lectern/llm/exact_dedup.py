@@ -1,7 +1,8 @@
 """Exact deduplication by progressive refinement.
 
 Length first, then a hash of the first characters, then a hash of the whole
-text.  Only the rows whose length and prefix occur twice are hashed whole.
+text.  Prefixes are hashed only where a length occurs twice, whole texts only
+where a length and prefix do, and no text is ever shuffled.
 """
 
 from __future__ import annotations
@@ -12,20 +13,23 @@ from pyspark.sql import functions as F
 from .common import cut, pick, small
 
 PREFIX = 128
-#: Keys (16 bytes each) up to which the surviving groups are broadcast; beyond, they are joined by a shuffle.
+#: Keys (16 bytes each) up to which the surviving groups of a level are broadcast; beyond, the level is passed over.
 BROADCAST_KEYS = 500_000
 
 
-def surviving_keys(rows: DataFrame) -> DataFrame:
-    """(length, prefix_hash) of the groups that may hold equal texts.
+def survivors(rows: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``rows`` with a column ``alone``: whether no other row has these keys.
 
-    Both levels are counts with map-side partial sums, so a key that holds a
-    third of all rows costs one row a task.  The prefixes of a length are
-    counted only where that length occurs twice: prefix groups roll up to
-    length groups, so one shuffle of (length, prefix) counts serves both.
+    Keys are counted with map-side partial sums, so one that a third of all
+    rows have costs one row a task.  Where too many keys survive to be
+    broadcast, all rows go on to the next level: that reads more, and shuffles
+    no text.
     """
-    by_prefix = rows.groupBy("length", "prefix_hash").agg(F.count("*").alias("n"))
-    return by_prefix.where("n > 1").select("length", "prefix_hash")
+    twice = cut(rows.where("NOT alone").groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    if not small(twice, most):
+        return rows
+    marked = rows.join(F.broadcast(twice.withColumn("twice", F.lit(True))), keys, "left")
+    return marked.withColumn("alone", F.col("alone") | F.col("twice").isNull()).drop("twice")
 
 
 def exact_dedup(docs: DataFrame, prefix: int = PREFIX, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
@@ -40,19 +44,17 @@ def exact_dedup(docs: DataFrame, prefix: int = PREFIX, broadcast_keys: int = BRO
     """
     results = ("doc_id", "text", "keep_id", "group_size", "kept")
     extra = [c for c in docs.columns if c.lower() not in results]
-    rows = pick(docs, "doc_id", "text", *extra).withColumns({
-        "text": F.coalesce("text", F.lit("")),
-    }).withColumns({
-        "length": F.octet_length("text"),
-        "prefix_hash": F.xxhash64(F.substring("text", 1, prefix)),
-    })
-    keys = cut(surviving_keys(rows.select("length", "prefix_hash")))
-    hint = F.broadcast if small(keys, broadcast_keys) else (lambda x: x)
-    marked = rows.join(hint(keys.withColumn("twice", F.lit(True))), ["length", "prefix_hash"], "left")
+    rows = pick(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *[f"__{i}" for i in range(len(extra))])
+    names = rows.columns[2:]
+    rows = rows.withColumn("text", F.coalesce("text", F.lit(""))).withColumns({"length": F.octet_length("text"), "alone": F.lit(False)})
+    rows = survivors(rows, ["length"], broadcast_keys)
+    rows = rows.withColumn("prefix_hash", F.when(~F.col("alone"), F.xxhash64(F.substring("text", 1, prefix))))
+    rows = survivors(rows, ["length", "prefix_hash"], broadcast_keys)
     # the text goes no further than this projection: its hash replaces it before any shuffle of survivors
-    marked = marked.select("doc_id", *extra, "length", F.when(F.col("twice"), F.sha2("text", 256)).alias("full_hash"))
+    marked = rows.select("doc_id", *names, "length", F.when(~F.col("alone"), F.sha2("text", 256)).alias("full_hash"))
     twins = marked.where("full_hash IS NOT NULL")
     groups = twins.groupBy("length", "full_hash").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    alone = marked.where("full_hash IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *extra)
-    together = twins.join(groups, ["length", "full_hash"]).select("doc_id", "keep_id", "group_size", *extra)
-    return alone.unionByName(together).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    alone = marked.where("full_hash IS NULL").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *names)
+    together = twins.join(groups, ["length", "full_hash"]).select("doc_id", "keep_id", "group_size", *names)
+    out = alone.unionByName(together).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    return out.select("doc_id", "keep_id", "group_size", "kept", *[F.col(n).alias(c) for n, c in zip(names, extra, strict=True)])

@@ -26,7 +26,7 @@ def test_op5(spark, sf_dir):
 
 def test_odd_rows_by_either_join(spark, odd_docs, no_docs):
     docs = [(r.doc_id, r.text) for r in odd_docs.collect()]
-    for bound in (0, 1_000):
+    for bound in (0, 2, 1_000):
         check(exact_dedup.exact_dedup(odd_docs, prefix=4, broadcast_keys=bound).collect(), docs)
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
