@@ -26,6 +26,8 @@ from .common import cut, pick, ship
 from .sharding import numbered
 
 END_ID = 1
+#: Runs (48 bytes each) up to which they are broadcast; beyond, they are joined by a shuffle.
+BROADCAST_RUNS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -121,14 +123,19 @@ class LongestFirst(WordBPE):
     A token stays if it is compatible with the one before it; if none that
     starts here does, the one before is shortened, and a place that once led
     nowhere is not entered again.  Most words need one look a token, which is
-    cheaper than merging them or filling a table over all prefixes.
+    cheaper than merging them or filling a table over all prefixes.  No look
+    goes further than the longest token, so a word costs what its length does.
     """
 
+    def __init__(self, path: str) -> None:
+        super().__init__(path)
+        self.most = max(map(len, self.ids))
+
     def encode_word(self, word: str) -> list[int]:
         ids, longest, pairs = self.ids, self.automaton.longest_prefix, self.pairs
         s = self.as_symbols(word)
-        n, at, out, starts, dead = len(s), 0, [], [], set()
-        size = longest(s)
+        n, at, out, starts, dead, most = len(s), 0, [], [], set(), self.most
+        size = longest(s[:most])
         while True:
             token = None
             while size:
@@ -153,7 +160,7 @@ class LongestFirst(WordBPE):
                 at = end
                 if at == n:
                     return out
-                size = longest(s[at:])
+                size = longest(s[at : at + most])
             elif out:
                 dead.add(at)
                 size = at - starts[-1] - 1
@@ -195,14 +202,17 @@ def pack(docs: DataFrame, path: str, capacity: int = 4_096, end_id: int = END_ID
 
     Only documents longer than ``capacity`` are cut.  Null and empty texts are
     the end id alone.  Pieces of one length are ranked by doc_id and piece;
-    repeated rows are packed each.  An empty table gives no rows.
+    repeated rows are packed each, null doc_ids like any other.  Other columns
+    are ignored, whatever their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
     pieces = cut(tokenized_pieces(docs, path, capacity, end_id))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
-    runs = spark.createDataFrame([tuple(r) for r in best_fit(counts, capacity)], "length long, first long, last long, bin long, each long, at long")
-    ranked = numbered(pieces, "length", ["doc_id", "piece"], "rank")
-    placed = ranked.join(F.broadcast(runs), (ranked["length"] == runs["length"]) & F.col("rank").between(F.col("first"), F.col("last") - 1)).drop(runs["length"])
+    packed = best_fit(counts, capacity)
+    runs = spark.createDataFrame([tuple(r) for r in packed], "length long, first long, last long, bin long, each long, at long")
+    ranked = numbered(pieces, "length", ["doc_id", "piece"], "rank", sum(counts.values()))
+    hint = F.broadcast if len(packed) <= BROADCAST_RUNS else (lambda x: x)
+    placed = ranked.join(hint(runs), (ranked["length"] == runs["length"]) & F.col("rank").between(F.col("first"), F.col("last") - 1)).drop(runs["length"])
     nth = F.col("rank") - F.col("first")
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

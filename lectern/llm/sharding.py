@@ -5,7 +5,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut, pick
@@ -14,6 +14,8 @@ from .common import cut, pick
 LEAF = 32_768
 #: Largest and, apart from them, evenly chosen items that go up a level unjoined: they even out what the joined ones leave.
 WHOLE = 2_048
+#: Rows that are numbered together, or nearly.
+BUCKET = 100_000
 
 
 def differencing(weights: list[int], ways: int) -> list[int]:
@@ -68,12 +70,16 @@ def partition_items(items: DataFrame, ways: int, leaf: int = LEAF, whole: int =
     Up to ``leaf`` items are differenced at once.  More are dealt by hash into
     bins of about ``leaf`` items; each bin is differenced into ``ways`` joined
     items, and these, with the largest items and a share of the others left as
-    they are, go up a level.  So the work of a task is bounded at every size.
+    they are, go up a level.  A level has ``leaf`` / (4 * ways) times fewer
+    items than the one below, so no task differences more than about ``leaf``.
     """
+    if leaf < 8 * ways or leaf < 6 * whole:
+        raise ValueError("a leaf must be larger, for levels to get smaller")
     ups: list[DataFrame] = []
     n = items.count()
     while n > leaf:
-        bins = max(1, min(-(-n // leaf) * 4, leaf // (4 * ways)))
+        # about a quarter of a leaf in each bin, but at most a joined item for every two
+        bins = max(1, min(-(-n // leaf) * 4, n // (2 * ways)))
         top = F.broadcast(items.orderBy(F.desc("weight"), "item").limit(whole).select("item").withColumn("top", F.lit(True)))
         h = F.xxhash64("item", F.lit(len(ups)))
         few = F.pmod(h, F.lit(1_000_003)) < int(1_000_003 * whole / n)
@@ -90,13 +96,14 @@ def partition_items(items: DataFrame, ways: int, leaf: int = LEAF, whole: int =
     return parts
 
 
-def numbered(rows: DataFrame, key: str, order: list[str], to: str, buckets: int = 1_024) -> DataFrame:
-    """Gapless numbers from 0 within each ``key``, though a key may hold most rows.
+def numbered(rows: DataFrame, key: str, order: list[str], to: str, n: int) -> DataFrame:
+    """Gapless numbers from 0 within each ``key``, though a key may hold most of the ``n`` rows.
 
-    Rows of a key are dealt by a hash of ``order`` into buckets, numbered in
-    each, and moved by the sizes of the buckets before (at most ``buckets``
-    counts a key).
+    Rows of a key are dealt by a hash of ``order`` into buckets, a thousand or
+    one for every BUCKET rows, numbered in each, and moved by the sizes of the
+    buckets before.
     """
+    buckets = max(1_024, n // BUCKET)
     dealt = rows.withColumn("__b", F.pmod(F.xxhash64(*order), F.lit(buckets)).cast("int"))
     sizes = dealt.groupBy(key, "__b").agg(F.count("*").alias("__n"))
     before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
@@ -113,24 +120,38 @@ def shard(docs: DataFrame, shards: int = 8) -> DataFrame:
     than its share makes its shard larger.  size is the text's UTF-8 bytes plus
     1; a null text counts as empty and goes with the empty ones.  slot runs
     from 0 without gaps in each shard.  Null and repeated doc_ids are rows like
-    any other.  An empty table gives no rows.
+    any other; other columns are ignored, whatever their names.  An empty table
+    gives no rows.
     """
-    rows = pick(docs, "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select(
-        "doc_id",
-        (F.octet_length("text") + 1).cast("long").alias("size"),
-        F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
-        F.md5("text").alias("item"),
-    )
+    text = F.coalesce("text", F.lit(""))
+    rows = pick(docs, "doc_id", "text").select("doc_id", *[f.alias(n) for n, f in measures(text).items()])
     rows = cut(rows)
-    items = cut(rows.groupBy("item").agg(F.sum("size").alias("weight")))
-    parts = partition_items(items, shards)
-    placed = cut(rows.join(parts, "item").select("doc_id", "size", "text_crc32", F.col("part").alias("shard")))
-    return numbered(placed, "shard", ["doc_id"], "slot").select("doc_id", "size", "text_crc32", "shard", "slot")
+    placed = cut(rows.join(parts_of(rows, shards), "item").select("doc_id", "size", "text_crc32", F.col("part").alias("shard")))
+    return numbered(placed, "shard", ["doc_id"], "slot", placed.count()).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
-def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as Parquet, one folder a shard; files in it are ordered by slot."""
-    full = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
+def measures(text: Column) -> dict[str, Column]:
+    return {"size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary")), "item": F.md5(text)}
+
+
+def parts_of(rows: DataFrame, shards: int) -> DataFrame:
+    """item -> part for rows (item, size): a group of equal texts is one item."""
+    return partition_items(cut(rows.groupBy("item").agg(F.sum("size").alias("weight"))), shards)
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
+    """The documents with all their columns as Parquet, one folder a shard; files in it are in order of slot.
+
+    Shards and slots are those of ``shard``.  A row goes where its own text
+    does, so null and repeated doc_ids are each written once; columns named
+    shard or slot give way.
+    """
+    extra = [c for c in docs.columns if c.lower() not in ("doc_id", "text", "shard", "slot")]
+    names = [f"__{i}" for i in range(len(extra))]
+    rows = pick(docs, "doc_id", "text", *extra).toDF("doc_id", "text", *names)
+    rows = rows.withColumns({f"__{n}": f for n, f in measures(F.coalesce("text", F.lit(""))).items()})
+    parts = cut(parts_of(rows.select(F.col("__item").alias("item"), F.col("__size").alias("size")), shards))
+    placed = rows.join(parts.select(F.col("item").alias("__item"), F.col("part").alias("shard")), "__item")
+    full = numbered(placed, "shard", ["doc_id"], "slot", rows.count()).select("doc_id", "text", *[F.col(n).alias(c) for n, c in zip(names, extra, strict=True)], "shard", "slot")
     full.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
 

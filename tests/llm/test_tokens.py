@@ -163,3 +163,46 @@ def test_differencing_by_hand():
     for w, p in zip([8, 7, 6, 5, 4], parts, strict=True):
         sums[p] += w
     assert sorted(sums.values()) == [14, 16]
+
+
+def test_more_items_than_a_thousand_leaves_hold(spark):
+    items = spark.range(80_000).selectExpr("cast(id as string) AS item", "id % 997 + 1 AS weight")
+    parts = sharding.partition_items(items, 2, leaf=64, whole=8).join(items, "item")
+    seen = {r.part: (r.n, r.total) for r in parts.groupBy("part").agg({"item": "count", "weight": "sum"}).toDF("part", "n", "total").collect()}
+    assert sum(n for n, _ in seen.values()) == 80_000 and set(seen) == {0, 1}
+    assert abs(seen[0][1] - seen[1][1]) < 0.001 * (seen[0][1] + seen[1][1])
+
+
+def test_shards_are_written_row_by_row(spark, odd_docs, tmp_path):
+    from pyspark.sql import functions as F
+
+    sharding.write_shards(odd_docs, str(tmp_path / "out"), 3)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    key = lambda df: sorted(map(str, df.select("doc_id", "text", "lang", "kept", "Score", "size").collect()))
+    assert key(back) == key(odd_docs)
+    slots = back.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("d"), F.max("slot").alias("m")).collect()
+    assert all(r.n == r.d == r.m + 1 for r in slots)
+    placed = {(r.doc_id, r.shard) for r in sharding.shard(odd_docs, 3).collect()}
+    assert {(r.doc_id, r.shard) for r in back.select("doc_id", F.col("shard").cast("int").alias("shard")).collect()} == placed
+
+
+def test_a_word_of_megabytes_takes_seconds(library):
+    import time
+
+    rng = random.Random(3)
+    word = "".join(rng.choice("abcdefghijklmnop") for _ in range(2_000_000))
+    start = time.time()
+    long = packing.word_encoder(PATH).encode(word)
+    assert time.time() - start < 60
+    assert long == bpe.vocabulary(PATH).encode(word)
+    short = word[:20_000]
+    assert np.frombuffer(packing.word_encoder(PATH).encode(short), "<u4").tolist() == library.encode(short, add_special_tokens=False).ids
+
+
+def test_numbers_have_no_gaps_whatever_the_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "BUCKET", 1)
+    rows = spark.range(5_000).selectExpr("id", "id % 3 AS k")
+    got = sharding.numbered(rows, "k", ["id"], "at", 5_000).collect()
+    for k in range(3):
+        own = sorted(r["at"] for r in got if r.k == k)
+        assert own == list(range(len(own)))
