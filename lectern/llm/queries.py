@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, chat, exact_dedup, line_dedup, ngram_join, packing, sharding, token_counts, toxicity
-from .common import read
+from .common import cut, read, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -66,34 +65,23 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document under two tokenizer versions, then copies deleted from the second; every batch is committed twice."""
-    docs = read(spark, sf_dir, "documents")
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-counts-")
-    rollup = token_counts.Rollup(spark, f"{folder.rstrip('/')}/token-counts-{uuid.uuid4().hex}")
-    by_space = F.size(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    by_kind = F.size(F.regexp_extract_all("text", F.lit(r"[a-zA-Z0-9]+|[^a-zA-Z0-9\x20\x09-\x0D]"), F.lit(0)))
-    first, second = token_counts.counted(docs, "space-1", by_space), token_counts.counted(docs, "kind-2", by_kind)
-    kept = exact_dedup.exact_dedup(docs)
-    copies = docs.join(kept.where("NOT kept").select("doc_id"), "doc_id", "left_semi")
+    """Every document under two vocabularies; the second's counts are estimates first, then revised, and lose copies.
+
+    Every batch is committed twice and counts once.
+    """
+    rows = cut(token_counts.tokenized(read(spark, sf_dir, "documents"), [public_tokenizers.path(TOKENIZER), public_tokenizers.path("byte_bpe_50k.tiktoken")], public_tokenizers.PATTERN))
+    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}")
+    version = token_counts.of_version
+    exact, estimate = (lambda x: version(x, "byte-bpe-50k", F.col("tokens")[1])), version(rows, "byte-bpe-50k", F.ceil(F.col("chars") / 4))
     for _ in range(2):
-        rollup.commit("inserts", token_counts.inserts(first))
-        rollup.commit("both", token_counts.inserts(second))
-        rollup.commit("copies", token_counts.deletes(token_counts.counted(copies, "kind-2", by_kind)))
+        rollup.commit("words", token_counts.inserts(version(rows, "word-bpe-49k", F.col("tokens")[0])))
+        rollup.commit("estimates", token_counts.inserts(estimate))
+        rollup.compact()
+        rollup.commit("revised", token_counts.revisions(estimate, exact(rows)))
+        rollup.commit("copies", token_counts.deletes(exact(token_counts.copies_of(rows))))
     return rollup.totals()
 
 
-OP6_SQL = r"""
-WITH d AS (SELECT *, coalesce(text, '') AS t, doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept FROM documents),
-c AS (
-  SELECT source, lang, 'space-1' AS version, len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS k, t FROM d
-  UNION ALL
-  SELECT source, lang, 'kind-2', len(regexp_extract_all(t, '[a-zA-Z0-9]+|[^a-zA-Z0-9\x20\x09-\x0D]')), t FROM d WHERE kept
-)
-SELECT source, lang, version, count(*) AS docs, CAST(sum(k) AS BIGINT) AS tokens, CAST(sum(length(t)) AS BIGINT) AS chars
-FROM c GROUP BY ALL
-"""
-
-
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.line_dedup(read(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
@@ -119,4 +107,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL, "op6_token_counts": OP6_SQL}
+    return {"op5_exact_dedup": OP5_SQL}

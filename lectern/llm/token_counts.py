@@ -2,30 +2,91 @@
 
 A batch of changes is a table of signed counts: an insert adds a document's
 tokens, a delete takes them away, a revision does both.  Committing a batch
-writes its sums by group to a folder named after the batch.  Totals are the
-sum of all committed batches, so groups are additive and no batch is ever read
-at document level again.
+writes its sums by group and gives them the batch's name in one step, so a
+batch counts once whoever commits it and however often.  Totals are the sum of
+all committed batches; ``compact`` replaces them by their sums.  No batch is
+ever read at document level again.
 """
 
 from __future__ import annotations
 
+import base64
+import uuid
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+
+import pyarrow as pa
+import tiktoken
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick
+from . import bpe
+from .common import pick, remove, ship
+from .shingles import sliced
 
 GROUP = ("source", "lang", "version")
 SUMS = ("docs", "tokens", "chars")
+SCHEMA = "source string, lang string, version string, docs long, tokens long, chars long"
+
+
+@lru_cache(maxsize=2)
+def _byte_level(path: str, pattern: str) -> tiktoken.Encoding:
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
+def counter(path: str, pattern: str) -> Callable[[str], int]:
+    """How many tokens a vocabulary gives a text: byte-level ranks (.tiktoken) with the pattern, or a word vocabulary (.json)."""
+    if path.endswith(".tiktoken"):
+        encode = _byte_level(path, pattern).encode_ordinary
+        return lambda text: len(encode(text))
+    encode = bpe.vocabulary(path).encode
+    return lambda text: len(encode(text)) // 4
+
+
+def tokenized(docs: DataFrame, paths: list[str], pattern: str) -> DataFrame:
+    """doc_id, source, lang, text_key, chars, tokens (one number for each vocabulary) of every row: what later batches are made of.
+
+    A null text counts as empty: one document of no tokens.  text_key (md5 of
+    the text) tells rows that share a doc_id apart.  Repeated rows count each;
+    other columns are ignored; an empty table gives none.
+    """
+    ship(docs.sparkSession)
+    rows = pick(docs, "doc_id", "text", "source", "lang").withColumn("text", F.coalesce("text", F.lit("")))
+    rows = rows.select("doc_id", "text", "source", "lang", F.md5("text").alias("text_key"), F.length("text").cast("long").alias("chars"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = [counter(p, pattern) for p in paths]
+        for batch in batches:
+            for part in sliced(batch):
+                counts = [[c(t) for c in counters] for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), *[part.column(i) for i in range(2, 6)], pa.array(counts, pa.list_(pa.int64()))], ["doc_id", "source", "lang", "text_key", "chars", "tokens"])
+
+    return rows.mapInArrow(run, "doc_id long, source string, lang string, text_key string, chars long, tokens array<long>")
+
+
+def of_version(rows: DataFrame, version: str, tokens: Column) -> DataFrame:
+    """source, lang, version, docs, tokens, chars: what each row of ``tokenized`` adds."""
+    return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(1).cast("long").alias("docs"), tokens.cast("long").alias("tokens"), "chars")
 
 
 def counted(docs: DataFrame, version: str, tokens: Column) -> DataFrame:
-    """source, lang, version, docs, tokens, chars: what each document adds.
+    """source, lang, version, docs, tokens, chars: what each document adds, its tokens counted by an expression over ``text``.
 
     A null text counts as empty: one document of no tokens.  Null sources and
-    languages are groups of their own.
+    languages are groups of their own; repeated rows count each; other columns
+    are ignored, whatever their names; an empty table gives none.
     """
     rows = pick(docs, "doc_id", "text", "source", "lang").withColumn("text", F.coalesce("text", F.lit("")))
-    return rows.select("source", "lang", F.lit(version).alias("version"), F.lit(1).cast("long").alias("docs"), tokens.cast("long").alias("tokens"), F.length("text").cast("long").alias("chars"))
+    return of_version(rows.withColumn("chars", F.length("text").cast("long")), version, tokens)
+
+
+def copies_of(rows: DataFrame) -> DataFrame:
+    """The rows of ``tokenized`` that repeat a text of a larger doc_id; a null doc_id is the smallest."""
+    kept = rows.groupBy("text_key").agg(F.max("doc_id").alias("kept"))
+    return rows.join(kept, "text_key").where("NOT (doc_id <=> kept)").drop("kept")
 
 
 def inserts(counts: DataFrame) -> DataFrame:
@@ -42,40 +103,92 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Additive totals kept under ``path``, a folder that all executors share."""
+    """Additive totals kept under ``path``, a folder that all executors share.
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+    Null sources and languages are groups of their own.  Ties cannot arise, and
+    an empty batch is committed like any other.
+    """
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+        jvm = spark.sparkContext._jvm
+        self._place = jvm.org.apache.hadoop.fs.Path
+        self._conf = spark.sparkContext._jsc.hadoopConfiguration()
+        self._fs = self._place(self.path).getFileSystem(self._conf)
+
+    def _names(self, prefix: str) -> list[str]:
+        """Of the finished folders that begin with ``prefix``, what comes after it."""
+        top = self._place(self.path)
+        found = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
+        return [n.removeprefix(prefix) for n in found if n.startswith(prefix) and self._fs.exists(self._place(f"{self.path}/{n}/_SUCCESS"))]
+
+    def _base(self) -> str | None:
+        """The folder of the last compaction."""
+        found = self._names("base=")
+        return f"{self.path}/base={max(found, key=int)}" if found else None
+
+    def _compacted(self) -> set[str]:
+        """The batches in it: one name each."""
+        base = self._base()
+        return {r.name for r in self.spark.read.parquet(f"{base}/names").collect()} if base else set()
 
     def committed(self, batch: str) -> bool:
-        fs, path = self._fs()
-        return fs.exists(path(f"{self.path}/batch={batch}/_SUCCESS"))
+        return batch in self._names("batch=") or batch in self._compacted()
+
+    def _publish(self, attempt: str, name: str) -> bool:
+        """Give a finished folder its name, unless another writer has given it first; the step is atomic."""
+        final = f"{self.path}/{name}"
+        if self._fs.exists(self._place(final)) and not self._fs.exists(self._place(f"{final}/_SUCCESS")):
+            remove(self.spark, final)  # of a writer that named its folder before it was finished
+        sc = self.spark.sparkContext
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        try:
+            files.rename(self._place(attempt), self._place(final), sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
+        except Py4JJavaError:
+            if not self._fs.exists(self._place(f"{final}/_SUCCESS")):
+                raise
+            remove(self.spark, attempt)
+            return False
+        return True
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Write the batch's sums, unless it is committed already; returns whether it was new.
 
         The sums of a hot group are formed before the shuffle.  A job that
-        fails leaves no success mark, so the batch is written over when it is
-        tried again, and counts once.
+        fails leaves a nameless folder, which never counts; of two writers of
+        one batch the first to finish counts.
         """
         if not batch.replace("-", "").replace("_", "").isalnum():
             raise ValueError(f"batch names are letters, digits, - and _: {batch!r}")
         if self.committed(batch):
             return False
+        attempt = f"{self.path}/attempt-{uuid.uuid4().hex}"
         sums = changes.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
-        sums.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.path}/batch={batch}")
-        return True
+        sums.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(attempt)
+        return self._publish(attempt, f"batch={batch}")
+
+    def _rows(self) -> DataFrame:
+        base, old = self._base(), self._compacted()
+        ready = [f"{self.path}/batch={n}" for n in self._names("batch=") if n not in old] + ([f"{base}/sums"] if base else [])
+        return self.spark.read.schema(SCHEMA).parquet(*ready) if ready else self.spark.createDataFrame([], SCHEMA)
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens, chars over all committed batches; groups without documents are left out."""
-        fs, path = self._fs()
-        names = [s.getPath().getName() for s in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
-        ready = [f"{self.path}/{n}" for n in names if n.startswith("batch=") and self.committed(n.removeprefix("batch="))]
-        schema = "source string, lang string, version string, docs long, tokens long, chars long"
-        rows = self.spark.read.schema(schema).parquet(*ready) if ready else self.spark.createDataFrame([], schema)
-        return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS]).where("docs <> 0 OR tokens <> 0 OR chars <> 0")
+        sums = self._rows().groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
+        return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
+
+    def compact(self) -> None:
+        """Put all committed batches into one table of sums.
+
+        Totals are the same before and after, and a compacted batch is still
+        committed.  Folders of the batches stay for readers that have listed
+        them, until the next compaction.
+        """
+        names, old, base = set(self._names("batch=")), self._compacted(), self._base()
+        attempt, number = f"{self.path}/attempt-{uuid.uuid4().hex}", int(base.rpartition("=")[2]) + 1 if base else 0
+        self.totals().write.parquet(f"{attempt}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted(names | old)], "name string").write.parquet(f"{attempt}/names")
+        self._fs.create(self._place(f"{attempt}/_SUCCESS")).close()
+        if self._publish(attempt, f"base={number}"):
+            for n in names & old:
+                remove(self.spark, f"{self.path}/batch={n}")
