@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -12,9 +11,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
+from ..sources.shared import cut, shared_folder
 
+__all__ = ["added_up", "cut", "pick", "read", "remove", "shared_folder", "ship", "small", "stretches"]
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a batch that goes to a Python worker: several of these are held at once, on both sides.
 BATCH = "8m"
 
@@ -33,35 +33,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
-
-    A folder of this machine serves only where Spark runs on this machine alone.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return named or tempfile.mkdtemp(prefix="lectern-")
-
-
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder of intermediate files, in whatever store it lies."""
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there.
-
-    Spark removes the files once nothing refers to them, where
-    spark.cleaner.referenceTracking.cleanCheckpoints is on.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns alone, found by exact name before any other spelling.
 
