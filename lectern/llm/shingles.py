@@ -27,17 +27,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sliced(batch: pa.RecordBatch, column: int = 1) -> Iterator[pa.RecordBatch]:
-    """The batch in stretches of about SLICE bytes of text; one text is never cut."""
+def sliced(batch: pa.RecordBatch, column: int = 1, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in stretches of about ``size`` (else SLICE) bytes of text; one text is never cut."""
+    size = size or SLICE
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     start, held = 0, 0
     for i, n in enumerate(sizes):
-        if held and held + n > SLICE:
+        if held and held + n > size:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += int(n)
     if start < len(sizes):
         yield batch.slice(start)
+    pa.default_memory_pool().release_unused()  # what was freed goes back to the system
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

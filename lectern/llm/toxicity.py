@@ -1,11 +1,12 @@
 """Toxicity from the nearest labelled examples by TF-IDF cosine.
 
 Labelled rows, a bounded sample of each class, are the examples, and all words
-in them the terms.  A term's weight is its inverse document frequency, counted
+in them, and the beginnings of longer ones, the terms.  A term's weight is its inverse document frequency, counted
 over all documents, times how much it tells about the class: phi squared of its
-presence against the label among the examples.  No term is left out; without
-the second factor long documents are nearest to those of their own vocabulary,
-whatever a few words in them say.  Examples lie in blocks; an inverted index
+presence against the label among the examples, less what chance alone would
+give (the bias-corrected estimate), so that terms that tell nothing weigh
+nothing.  Without that factor long documents are nearest to those of their own
+vocabulary, whatever a few words in them say.  Examples lie in blocks; an inverted index
 has the largest weight of each term in each block, so a document's nearest
 examples are found exactly while most blocks are only bounded.  Their votes,
 weighted by nearness, are calibrated on the examples themselves, each left out
@@ -29,11 +30,17 @@ from .shingles import sliced
 
 #: Labelled rows of each class that are fitted on at most, chosen by a hash of their id.
 EXAMPLES = 4_096
+#: Letters of the word beginnings that are terms beside whole words.
+STEM = 5
 NEIGHBOURS, BLOCK = 15, 64
-#: Blocks that are scored at once, and documents of equal terms and counts that a task remembers.
-AT_ONCE, SEEN = 8, 50_000
+#: Examples' weight by which a step of the calibration is drawn to the share of toxic ones.
+DRAWN = 20
+#: Blocks that are scored first, and documents of equal terms and counts that a task remembers.
+AT_ONCE, SEEN = 2, 50_000
 EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
-Row = tuple[int, list[int], list[int], int]
+Row = tuple[int, np.ndarray, np.ndarray, int]
+#: Bytes of text that are cut into words at once.
+SLICE = 1 << 20
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -48,16 +55,32 @@ def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, owner[real.to_numpy(zero_copy_only=False)], coded.indices.to_numpy(zero_copy_only=False)
 
 
+def beginnings(words: pa.Array) -> pa.Array:
+    """Of each word longer than STEM its beginning, as a term of its own; null for the others."""
+    first = pc.binary_join_element_wise(pc.utf8_slice_codeunits(words, 0, STEM), *[pa.scalar(x, words.type) for x in ("-", "")])
+    return pc.if_else(pc.greater(pc.utf8_length(words), STEM), first, pa.scalar(None, first.type))
+
+
 def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bounds, numbers, counts): the terms of text i and how often each occurs lie from bounds[i] to bounds[i + 1]."""
     words, owner, at = words_of(texts)
-    number = pc.fill_null(pc.index_in(words, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)[at]
-    known = number >= 0
-    pairs, counts = np.unique(owner[known] * max(1, len(terms)) + number[known], return_counts=True)
+    pairs = []
+    for some in (words, beginnings(words)):
+        number = pc.fill_null(pc.index_in(some, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+        known = number >= 0
+        pairs.append(owner[known] * max(1, len(terms)) + number[known])
+    pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
     owner, number = np.divmod(pairs, max(1, len(terms)))
     return np.searchsorted(owner, np.arange(len(texts) + 1)), number, counts
 
 
+def spans(bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All places from bounds[k] to bounds[k + 1] of each key, and how many each has."""
+    sizes = bounds[keys + 1] - bounds[keys]
+    ends = np.cumsum(sizes)
+    return np.repeat(bounds[keys] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
+
+
 class BlockMaxIndex:
     """Examples by term weights, in blocks of similar ones, with the largest weight of each term and block."""
 
@@ -70,17 +93,21 @@ class BlockMaxIndex:
         self.ids = [r[0] for r, _ in kept]
         self.labels = np.array([r[3] for r, _ in kept], dtype=np.float64)
         self.share = np.array([share[r[3]] for r, _ in kept])
-        #: Example j has the terms from start[j] to start[j + 1].
-        self.start = np.concatenate([[0], np.cumsum([len(x) for _, x in kept], dtype=np.int64)]).astype(np.int64)
-        self.term = np.array([t for r, _ in kept for t in r[1]], dtype=np.int32)
-        self.value = np.concatenate([x for _, x in kept]) if kept else np.empty(0)
-        #: Term t is in the blocks from at[t] to at[t + 1], with these largest weights.
         self.blocks = -(-len(kept) // BLOCK)
-        key = self.term.astype(np.int64) * max(1, self.blocks) + np.repeat(np.arange(len(kept)) // BLOCK, np.diff(self.start))
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.r_[True, np.diff(key[order]) > 0]) if len(key) else np.empty(0, np.int64)
-        self.most = np.maximum.reduceat(self.value[order], first) if len(key) else np.empty(0)
-        term, block = np.divmod(key[order][first], max(1, self.blocks))
+        # postings: term t is in the examples from start[t] to start[t + 1], with these weights
+        none = np.empty(0, np.int64)
+        term = np.concatenate([np.asarray(r[1], np.int64) for r, _ in kept] or [none])
+        example = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
+        value = np.concatenate([x for _, x in kept] or [np.empty(0)])
+        order = np.argsort(term, kind="stable")
+        order = order[value[order] > 0]
+        term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
+        self.start = np.searchsorted(term, np.arange(len(weight) + 1))
+        # and in the blocks from at[t] to at[t + 1], with these largest weights
+        key = term * max(1, self.blocks) + self.example // BLOCK
+        first = np.flatnonzero(np.r_[True, np.diff(key) > 0]) if len(key) else none
+        self.most = np.maximum.reduceat(self.value, first) if len(key) else np.empty(0)
+        term, block = np.divmod(key[first], max(1, self.blocks))
         self.block = block.astype(np.int32)
         self.at = np.searchsorted(term, np.arange(len(weight) + 1))
         blank = [r for r, x in found if not x.any()]
@@ -96,7 +123,7 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """The index as a matrix of terms by examples."""
         out = np.zeros((len(self.weight), len(self.ids)))
-        out[self.term, np.repeat(np.arange(len(self.ids)), np.diff(self.start))] = self.value
+        out[np.repeat(np.arange(len(self.weight)), np.diff(self.start)), self.example] = self.value
         return out
 
     def vector(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> np.ndarray:
@@ -107,40 +134,36 @@ class BlockMaxIndex:
     def nearest(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray, skip: int | None = None) -> list[tuple[float, int]]:
         """The NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place.
 
-        Blocks come in order of what their largest weights allow, some at a
-        time; once the next one cannot reach the last neighbour, none can.
+        The blocks that may have the nearest ones are scored first; then, at
+        once, all whose largest weights allow more than the last neighbour has.
         """
         terms, x = np.array(terms, dtype=np.int64), self.vector(terms, counts)
-        if not self.ids or not x.any():
+        terms, x = terms[x > 0], x[x > 0]
+        if not self.ids or not len(x):
             return []
-        sizes = self.at[terms + 1] - self.at[terms]
-        ends = np.cumsum(sizes)
-        entries = np.repeat(self.at[terms] - ends + sizes, sizes) + np.arange(ends[-1])
+        entries, sizes = spans(self.at, terms)
         bound = np.bincount(self.block[entries], weights=np.repeat(x, sizes) * self.most[entries], minlength=self.blocks)
+        entries, sizes = spans(self.start, terms)
+        example, product = self.example[entries], np.repeat(x, sizes) * self.value[entries]
         order = np.argsort(-bound, kind="stable")
-        wide = np.zeros(len(self.weight))
-        wide[terms] = x
-        best, place = np.empty(0), np.empty(0, dtype=np.int64)
-        low = 0.0
-        for i in range(0, len(order), AT_ONCE):
-            some = [int(b) for b in order[i : i + AT_ONCE] if bound[b] > 0 and bound[b] >= low - 1e-9]
-            if not some:
-                break
-            for b in some:
-                first, last = b * BLOCK, min((b + 1) * BLOCK, len(self.ids))
-                low_at, high_at = self.start[first], self.start[last]
-                products = self.value[low_at:high_at] * wide[self.term[low_at:high_at]]
-                cosine = np.round(np.add.reduceat(products, self.start[first:last] - low_at), 12)
-                at = np.arange(first, last)
-                ok = (cosine > 0) & (cosine >= low) & (at != (-1 if skip is None else skip))
-                best, place = np.concatenate([best, cosine[ok]]), np.concatenate([place, at[ok]])
-            if len(best) > NEIGHBOURS:
-                first = np.lexsort((place, -best))[:NEIGHBOURS]
-                best, place = best[first], place[first]
-            if len(best) == NEIGHBOURS:
-                low = float(best.min())
-        first = np.lexsort((place, -best))
-        return list(zip(best[first].tolist(), place[first].tolist(), strict=True))
+        low, best, place = 0.0, np.empty(0), np.empty(0, dtype=np.int64)
+        todo = bound > 0
+        while todo.any():
+            some = np.zeros(self.blocks, bool)
+            some[order[:AT_ONCE] if low == 0 and not len(best) else todo] = True
+            some &= todo
+            todo &= ~some
+            own = some[example // BLOCK]
+            cosine = np.round(np.bincount(example[own], weights=product[own], minlength=len(self.ids)), 12)
+            if skip is not None:
+                cosine[skip] = 0
+            at = np.flatnonzero((cosine > 0) & (cosine >= low))
+            best, place = np.concatenate([best, cosine[at]]), np.concatenate([place, at])
+            first = np.lexsort((place, -best))[:NEIGHBOURS]
+            best, place = best[first], place[first]
+            low = float(best.min()) if len(best) == NEIGHBOURS else 0.0
+            todo &= bound >= low - 1e-9
+        return list(zip(best.tolist(), place.tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Each of NEIGHBOURS votes for its label with its cosine, and with what is left to 1 for the share of blank texts.
@@ -155,7 +178,13 @@ class BlockMaxIndex:
         return float(((near * share * self.labels[at]).sum() + rest * self.blank) / ((near * share).sum() + rest))
 
     def calibrate(self, votes: list[tuple[float, int]], share: tuple[float, float]) -> None:
-        """Isotonic fit of labels on the votes of the examples, each without itself: (vote, label)."""
+        """Isotonic fit of labels on the votes of the examples, each without itself: (vote, label).
+
+        Each step is drawn to the share of all by the weight of DRAWN examples,
+        so that a few mislabelled ones make no step of their own.
+        """
+        every = sum(share[y] for _, y in votes)
+        prior, pull = sum(share[y] for _, y in votes if y) / max(every, 1e-300), DRAWN * every / max(len(votes), 1)
         steps: list[list[float]] = []  # weight, weighted labels, lowest and highest vote
         for v, y, w in sorted((v, y, share[y]) for v, y in votes):
             steps.append([w, w * y, v, v])
@@ -164,7 +193,7 @@ class BlockMaxIndex:
                 steps[-1] = [steps[-1][0] + last[0], steps[-1][1] + last[1], steps[-1][2], last[3]]
         xs, ys = [], []
         for w, up, low, high in steps:
-            level = (up + 0.5) / (w + 1)
+            level = (up + pull * prior) / (w + pull)
             xs += [low, high] if high > low else [low]
             ys += [level] * (2 if high > low else 1)
         if xs:
@@ -187,15 +216,17 @@ def examples_of(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
 
 
 def vocabulary(learned: DataFrame) -> pa.Array:
-    """All words of the examples, in order."""
+    """All terms of the examples, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, 2):
-                yield pa.RecordBatch.from_arrays([words_of(part.column(2))[0].cast(pa.string())], ["term"])
+            for part in sliced(batch, 2, SLICE):
+                words = words_of(part.column(2))[0]
+                for some in (words, beginnings(words).drop_null().unique()):
+                    yield pa.RecordBatch.from_arrays([some.cast(pa.string())], ["term"])
 
-    terms = learned.mapInArrow(run, "term string").distinct().toPandas()["term"]
-    return pa.array(sorted(terms), pa.large_string())
+    terms = learned.mapInArrow(run, "term string").distinct().toArrow().column("term").combine_chunks().cast(pa.large_string())
+    return terms.take(pc.sort_indices(terms))
 
 
 def document_frequencies(texts: DataFrame, terms: pa.Array) -> np.ndarray:
@@ -206,7 +237,7 @@ def document_frequencies(texts: DataFrame, terms: pa.Array) -> np.ndarray:
         terms = shared.value
         total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
-            for part in sliced(batch, 0):
+            for part in sliced(batch, 0, SLICE):
                 total += np.bincount(term_counts(part.column(0), terms)[1], minlength=len(terms) + 1)
                 total[-1] += len(part)
         if total.any():
@@ -220,22 +251,25 @@ def numbered_rows(learned: DataFrame, terms: pa.Array) -> list[Row]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in sliced(batch, 2):
+            for part in sliced(batch, 2, SLICE):
                 bounds, number, counts = term_counts(part.column(2), terms)
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (number, counts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "toxic", "terms", "counts"])
 
-    found = learned.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").toPandas()
-    return sorted((int(i), list(map(int, t)), list(map(int, c)), int(y)) for i, y, t, c in found.itertuples(index=False))
+    found = learned.mapInArrow(run, "doc_id long, toxic int, terms array<int>, counts array<int>").toArrow()
+    lists = [[x.values.to_numpy() for x in found.column(name)] for name in ("terms", "counts")]
+    return sorted(zip(found.column("doc_id").to_pylist(), *lists, found.column("toxic").to_pylist(), strict=True), key=lambda r: r[0])
 
 
 def class_information(rows: list[Row], terms: int) -> np.ndarray:
-    """phi squared between each term's presence and the label among the examples; 0 where there is one class alone."""
-    seen = [np.bincount(np.array([t for r in rows if r[3] == y for t in r[1]], dtype=np.int64), minlength=terms).astype(np.float64) for y in (0, 1)]
+    """Bias-corrected phi squared between each term's presence and the label among the examples; 0 where there is one class alone."""
+    none = np.empty(0, np.int64)
+    seen = [np.bincount(np.concatenate([r[1] for r in rows if r[3] == y] or [none]), minlength=terms).astype(np.float64) for y in (0, 1)]
     n = [sum(r[3] == y for r in rows) for y in (0, 1)]
     has = seen[0] + seen[1]
     under = n[0] * n[1] * has * (sum(n) - has)
-    return np.where(under > 0, (seen[1] * (n[0] - seen[0]) - seen[0] * (n[1] - seen[1])) ** 2 / np.maximum(under, 1), 0.0)
+    phi = (seen[1] * (n[0] - seen[0]) - seen[0] * (n[1] - seen[1])) ** 2 / np.maximum(under, 1)
+    return np.where(under > 0, np.maximum(0, phi - 1 / max(1, sum(n) - 1)), 0.0)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> DataFrame:
@@ -267,17 +301,24 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
     learned = texts.join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
     learned = cut(learned)
     terms = vocabulary(learned)
-    counts = document_frequencies(texts, terms)
     held = numbered_rows(learned, terms)
+    told = class_information(held, len(terms))
+    # from here on terms that weigh nothing need no number
+    real = told > 0
+    number = np.cumsum(real) - 1
+    terms, told = terms.filter(pa.array(real)), told[real]
+    held = [(i, number[t[real[t]]], c[real[t]], y) for i, t, c, y in held]
+    counts = document_frequencies(texts, terms)
     share = tuple(rows.get(y, 0) / max(1, sum(h[3] == y for h in held)) for y in (0, 1))
-    index = BlockMaxIndex(held, np.log((counts[-1] + 1) / (counts[:-1] + 1)) * class_information(held, len(terms)), share)
+    index = BlockMaxIndex(held, np.log((counts[-1] + 1) / (counts[:-1] + 1)) * told, share)
+    del held
     shared = spark.sparkContext.broadcast((terms, index))  # the terms of 2 * examples rows
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms, index = shared.value
         place = {i: j for j, i in enumerate(index.ids)}
         for batch in batches:
-            for part in sliced(batch, 2):
+            for part in sliced(batch, 2, SLICE):
                 bounds, number, counts = term_counts(part.column(2), terms)
                 own = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
                 found = [index.vote(index.nearest(number[s], counts[s], place.get(i))) for i, s in zip(part.column(0).to_pylist(), own, strict=True)]
@@ -292,7 +333,7 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
         index.curve = curve
         seen: dict[bytes, tuple] = {}
         for batch in batches:
-            for part in sliced(batch):
+            for part in sliced(batch, 1, SLICE):
                 bounds, number, counts = term_counts(part.column(1), terms)
                 done = []
                 for a, b in zip(bounds, bounds[1:], strict=False):
