@@ -1,5 +1,8 @@
+import os
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -49,6 +52,74 @@ def test_index_equals_brute_force():
         assert got == want
 
 
+TOXIC_DIR = os.environ.get("TEST_TOXIC_DIR", "/root/testdata/sf0.01")
+
+
+def plain_scores(docs, labels):
+    """The whole operator told again with dense matrices: (doc_id, score before calibration, toxic) by brute force."""
+    known = {}
+    for d, y in labels:
+        if d is not None and y in (0, 1):
+            known[d] = max(y, known.get(d, 0))
+    words = {}
+    for d, text in docs:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        words.setdefault(d, []).append(Counter(found + [w[: X.STEM] + "-" for w in found if len(w) > X.STEM]))
+    learned = [(d, words[d][0], y) for d, y in known.items() if d in words]
+    n = [sum(y == k for *_, y in learned) for k in (0, 1)]
+    terms = sorted({t for _, c, _ in learned for t in c})
+    place = {t: i for i, t in enumerate(terms)}
+
+    def matrix(counters):
+        out = np.zeros((len(counters), len(terms)))
+        for i, c in enumerate(counters):
+            for t, k in c.items():
+                if t in place:
+                    out[i, place[t]] = k
+        return out
+
+    ex, y = matrix([c for _, c, _ in learned]), np.array([y for *_, y in learned])
+    every = matrix([c for own in words.values() for c in own])
+    df = (every > 0).sum(axis=0)
+    has = (ex > 0).astype(float)
+    a, b = has[y == 1].sum(axis=0), has[y == 0].sum(axis=0)
+    m = a + b
+    under = n[0] * n[1] * m * (sum(n) - m)
+    phi = np.where(under > 0, (a * (n[0] - b) - b * (n[1] - a)) ** 2 / np.maximum(under, 1), 0)
+    weight = np.log((len(every) + 1) / (df + 1)) * np.maximum(0, phi - 1 / (sum(n) - 1))
+
+    def unit(x):
+        x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * weight
+        return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-300)
+
+    return [d for d, own in words.items() for _ in own], np.round(unit(every) @ unit(ex).T, 12), [d for d, *_ in learned], y
+
+
+def test_op9_finds_what_brute_force_over_all_terms_finds(spark):
+    """Evidence of every document against dense cosines over all terms, on a table that has toxic documents."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{TOXIC_DIR}/documents.parquet").collect()]
+    labels = [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{TOXIC_DIR}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 5]
+    ids, cosines, examples, toxic = plain_scores(docs, labels)
+    got = {r.doc_id: r for r in queries.op9_toxicity(spark, TOXIC_DIR).collect()}
+    assert len(got) == len(docs)
+    of = dict(zip(examples, toxic.tolist(), strict=True))
+    for d, row in zip(ids, cosines, strict=True):
+        best = np.sort(row[row > 0])[::-1][:3]
+        assert np.allclose([e.cosine for e in got[d].evidence], best, atol=1e-9), d
+        assert all(of[e.doc_id] == e.toxic and abs(row[examples.index(e.doc_id)] - e.cosine) < 1e-9 for e in got[d].evidence)
+    held = [(got[d].score, y) for d, y in [(r.doc_id, r.toxic) for r in spark.read.parquet(f"{TOXIC_DIR}/labels.parquet").collect()] if got[d].held_out]
+    clean = [s for s, y in held if not y]
+    assert len(set(got[d].score for d in got)) > 20 and sum(s >= 0.5 for s in clean) <= 0.05 * len(clean)
+
+
+def test_flipped_labels_of_held_out_rows_change_no_score(spark):
+    rows = corpus(400)
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = lambda flip: spark.createDataFrame([(i, 1 - y if flip and zlib.crc32(str(i).encode()) % 5 == 0 else y) for i, _, y in rows], "doc_id long, toxic int")
+    one, two = ({r.doc_id: r.score for r in X.score_documents(docs, labels(f).where(~X.held_out())).collect()} for f in (False, True))
+    assert one == two and len(set(one.values())) > 5
+
+
 def test_scores_do_not_depend_on_labels_of_held_out_rows(spark, sf_dir):
     rows = queries.op9_toxicity(spark, sf_dir).collect()
     n = spark.read.parquet(f"{sf_dir}/documents.parquet").count()
