@@ -120,27 +120,44 @@ def nominal_kappa(table: DataFrame) -> DataFrame:
     return rows.select("target", "pair_n", F.when(F.abs(1 - expected) >= 1e-9, (seen - expected) / (1 - expected)).alias("kappa"))
 
 
+#: Multipliers and shifts of the draws below, and their modulus: all products fit 64 bits.
+MODULUS, STEPS = 2_147_483_647, ((48_271, 15), (69_621, 13), (16_807, 16))
+
+
+def draws(seed: Column, replicate: Column, draw: Column) -> Column:
+    """A number below MODULUS for each draw of each replicate, the same on every cluster."""
+    u = (seed + replicate * 1_000_003 + draw * 7_919) % MODULUS
+    for factor, shift in STEPS:
+        u = u * factor % MODULUS
+        u = u.bitwiseXOR(F.shiftright(u, shift))
+    return u
+
+
 def bootstrap(table: DataFrame, replicates: int = REPLICATES, label: str = "bootstrap") -> DataFrame:
     """target, and the 2.5 and 97.5 percentiles of binary kappa and AC1 over resampled pairs.
 
-    table: ``cells`` or any counts of the two binary decisions.  Draw i of
-    replicate r takes the pair at md5(label | target | r | i) mod n, so it is
-    the same on every cluster.  Fewer than two pairs, or than LEAST_ESTIMATES
+    table: ``cells`` or any counts of the two binary decisions.  Each draw of a
+    replicate picks one of the pairs, so the cell that it falls into; pairs
+    themselves are never copied.  Fewer than two pairs, or than LEAST_ESTIMATES
     replicates in which the statistic is defined, give no interval.  Work is
-    replicates times pairs, spread over targets and replicates.
+    replicates times pairs, spread over targets and replicates and summed
+    before any shuffle.
     """
-    rows = table.where(F.col("c1").isin(*BINARY) & F.col("c2").isin(*BINARY)).groupBy("target", "c1", "c2").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("target").orderBy("c1", "c2").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("upto", F.sum("n").over(order))
-    own = rows.groupBy("target").agg(F.sum("n").alias("pair_n"), F.array_sort(F.collect_list(F.struct("upto", F.concat("c1", F.lit("-"), "c2").alias("cell")))).alias("cells")).where("pair_n >= 2")
-    each = own.select("target", "pair_n", "cells", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")).repartition("target", "rep")
-    each = each.select("target", "cells", "rep", "pair_n", F.explode(F.sequence(F.lit(1), F.col("pair_n").cast("int"))).alias("i"))
-    key = F.concat_ws("|", F.lit(label), "target", F.col("rep").cast("string"), F.col("i").cast("string"))
-    draw = F.pmod(F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("long"), F.col("pair_n"))
-    cell = F.get(F.filter("cells", lambda c: c["upto"] > draw), F.lit(0))["cell"]
-    got = each.select("target", "rep", cell.alias("cell")).groupBy("target", "rep").agg(*[F.count_if(F.col("cell") == f"{x}-{y}").alias(f"{x[0]}{y[0]}") for x in BINARY for y in BINARY])
-    four = [F.col(c) for c in ("pp", "pa", "ap", "aa")]
-    got = got.select("target", S.kappa_binary(*four).alias("kappa"), S.ac1_binary(*four).alias("ac1"))
+    rows = table.where(F.col("c1").isin(*BINARY) & F.col("c2").isin(*BINARY))
+    four = [(x, y) for x in sorted(BINARY) for y in sorted(BINARY)]
+    counts = [F.coalesce(F.sum(F.when((F.col("c1") == x) & (F.col("c2") == y), F.col("n"))), F.lit(0)).cast("long").alias(f"{x[0]}{y[0]}") for x, y in four]
+    own = rows.groupBy("target").agg(F.sum("n").cast("long").alias("pair_n"), *counts).where("pair_n >= 2")
+    seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(label), "target")), 1, 7), 16, 10).cast("long")
+    own = own.select("target", "pair_n", seed.alias("seed"), F.col("aa").alias("to_aa"), (F.col("aa") + F.col("ap")).alias("to_ap"), (F.col("aa") + F.col("ap") + F.col("pa")).alias("to_pa"))
+    each = own.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).repartition("target", "rep")
+    each = each.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "pair_n")))
+    at = draws(F.col("seed"), F.col("rep"), F.col("i")) % F.col("pair_n")
+    hits = each.select("target", "rep", "to_aa", "to_ap", "to_pa", at.alias("at")).groupBy("target", "rep").agg(
+        F.count_if(F.col("at") < F.col("to_aa")).alias("aa"), F.count_if(F.col("at").between(F.col("to_aa"), F.col("to_ap") - 1)).alias("ap"),
+        F.count_if(F.col("at").between(F.col("to_ap"), F.col("to_pa") - 1)).alias("pa"), F.count_if(F.col("at") >= F.col("to_pa")).alias("pp"),
+    )
+    cell = [F.col(c) for c in ("pp", "pa", "ap", "aa")]
+    got = hits.select("target", S.kappa_binary(*cell).alias("kappa"), S.ac1_binary(*cell).alias("ac1"))
     bounds = []
     for name in ("kappa", "ac1"):
         for side, p in (("low", 0.025), ("high", 0.975)):

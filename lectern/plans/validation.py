@@ -107,8 +107,12 @@ def a32(spark, sf):
 
 
 REPLICATES = reliability.REPLICATES
+_DRAW = f"(CAST('0x' || substr(md5('bootstrap|' || target), 1, 7) AS BIGINT) + rep * 1000003 + i * 7919) % {reliability.MODULUS}"
+for _factor, _shift in reliability.STEPS:
+    _DRAW = f"(({_DRAW}) * {_factor} % {reliability.MODULUS})"
+    _DRAW = f"xor({_DRAW}, {_DRAW} >> {_shift})"
 BOOT = N.CELLS_SQL + f""", bin AS (SELECT target, c1, c2, n, sum(n) OVER (PARTITION BY target ORDER BY c1, c2 ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY target) AS pair_n FROM cells WHERE c1 IN {_BIN} AND c2 IN {_BIN}),
-draws AS (SELECT target, pair_n, rep, i, CAST('0x' || substr(md5('bootstrap|' || target || '|' || rep || '|' || i), 1, 12) AS BIGINT) % pair_n AS d FROM (SELECT DISTINCT target, CAST(pair_n AS BIGINT) AS pair_n FROM bin WHERE pair_n >= 2) CROSS JOIN range(1, {REPLICATES + 1}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(1, pair_n + 1)) AS i)),
+draws AS (SELECT target, pair_n, rep, {_DRAW} % pair_n AS d FROM (SELECT DISTINCT target, CAST(pair_n AS BIGINT) AS pair_n FROM bin WHERE pair_n >= 2) CROSS JOIN range(1, {REPLICATES + 1}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(1, pair_n + 1)) AS i)),
 hits AS (SELECT target, rep, count(*) FILTER (c1 = 'present' AND c2 = 'present') AS pp, count(*) FILTER (c1 = 'present' AND c2 = 'absent') AS pa, count(*) FILTER (c1 = 'absent' AND c2 = 'present') AS ap, count(*) FILTER (c1 = 'absent' AND c2 = 'absent') AS aa
   FROM draws JOIN bin USING (target) WHERE d < upto AND d >= upto - n GROUP BY ALL),
 stats AS (SELECT target, {_kappa('pp', 'pa', 'ap', 'aa')} AS kappa, {_ac1('pp', 'pa', 'ap', 'aa')} AS ac1 FROM hits),
