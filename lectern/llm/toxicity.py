@@ -36,7 +36,7 @@ NEIGHBOURS, BLOCK = 15, 64
 #: Examples' weight by which a step of the calibration is drawn to the share of toxic ones.
 DRAWN = 20
 #: Blocks that are scored first, and documents of equal terms and counts that a task remembers.
-AT_ONCE, SEEN = 2, 50_000
+AT_ONCE, SEEN = 8, 50_000
 EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
 Row = tuple[int, np.ndarray, np.ndarray, int]
 #: Bytes of text that are cut into words at once.
@@ -103,12 +103,13 @@ class BlockMaxIndex:
         order = order[value[order] > 0]
         term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
         self.start = np.searchsorted(term, np.arange(len(weight) + 1))
-        # and in the blocks from at[t] to at[t + 1], with these largest weights
+        # and in the blocks from at[t] to at[t + 1], each with its largest weight and its postings
         key = term * max(1, self.blocks) + self.example // BLOCK
         first = np.flatnonzero(np.r_[True, np.diff(key) > 0]) if len(key) else none
         self.most = np.maximum.reduceat(self.value, first) if len(key) else np.empty(0)
         term, block = np.divmod(key[first], max(1, self.blocks))
         self.block = block.astype(np.int32)
+        self.posting = np.append(first, len(key))
         self.at = np.searchsorted(term, np.arange(len(weight) + 1))
         blank = [r for r, x in found if not x.any()]
         up = sum(share[1] for r in blank if r[3])
@@ -142,27 +143,27 @@ class BlockMaxIndex:
         if not self.ids or not len(x):
             return []
         entries, sizes = spans(self.at, terms)
-        bound = np.bincount(self.block[entries], weights=np.repeat(x, sizes) * self.most[entries], minlength=self.blocks)
-        entries, sizes = spans(self.start, terms)
-        example, product = self.example[entries], np.repeat(x, sizes) * self.value[entries]
-        order = np.argsort(-bound, kind="stable")
+        block, of = self.block[entries], np.repeat(x, sizes)
+        bound = np.bincount(block, weights=of * self.most[entries], minlength=self.blocks)
         low, best, place = 0.0, np.empty(0), np.empty(0, dtype=np.int64)
         todo = bound > 0
-        while todo.any():
-            some = np.zeros(self.blocks, bool)
-            some[order[:AT_ONCE] if low == 0 and not len(best) else todo] = True
-            some &= todo
+        some = todo & (bound >= np.partition(bound, -AT_ONCE)[-AT_ONCE] if self.blocks > AT_ONCE else todo)
+        while some.any():
             todo &= ~some
-            own = some[example // BLOCK]
-            cosine = np.round(np.bincount(example[own], weights=product[own], minlength=len(self.ids)), 12)
+            own = some[block]
+            postings, sizes = spans(self.posting, entries[own])
+            cosine = np.bincount(self.example[postings], weights=np.repeat(of[own], sizes) * self.value[postings], minlength=len(self.ids))
             if skip is not None:
                 cosine[skip] = 0
-            at = np.flatnonzero((cosine > 0) & (cosine >= low))
-            best, place = np.concatenate([best, cosine[at]]), np.concatenate([place, at])
+            # a little below what is wanted, so that equal ones stay when they are rounded
+            least = max(low, float(np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS]) if len(cosine) > NEIGHBOURS else 0.0) - 1e-11
+            at = np.flatnonzero((cosine >= least) & (cosine > 5e-13))
+            best, place = np.concatenate([best, np.round(cosine[at], 12)]), np.concatenate([place, at])
             first = np.lexsort((place, -best))[:NEIGHBOURS]
             best, place = best[first], place[first]
-            low = float(best.min()) if len(best) == NEIGHBOURS else 0.0
+            low = float(best[-1]) if len(best) == NEIGHBOURS else 0.0
             todo &= bound >= low - 1e-9
+            some = todo.copy()
         return list(zip(best.tolist(), place.tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
