@@ -18,13 +18,22 @@ TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4_096
 
 
+def aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The documents with all columns but doc_id and text renamed by place, so that no stage's own columns clash with them."""
+    lower = [c.lower() for c in docs.columns]
+    at = {docs.columns.index(c) if c in docs.columns else lower.index(c): c for c in ("doc_id", "text")}
+    names = [at.get(i, f"__{i}") for i in range(len(docs.columns))]
+    return docs.toDF(*names), names
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the labelled examples do not speak against; labels are those of the input folder.
 
     Each row is judged by its own text, rows without doc_id, repeated and empty
     ones too; other columns stay; an empty table stays empty.
     """
-    return toxic.scored(docs, read(spark, sf_dir, "labels")).where("score < 0.5").select(docs.columns)
+    rows, names = aside(docs)
+    return toxic.scored(rows, read(spark, sf_dir, "labels")).where("score < 0.5").select(names).toDF(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +43,15 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     stay as they are, as do null and empty texts; rows that share a doc_id are
     held against earlier ones each; other columns stay.
     """
-    done = lines.line_dedup(docs)
+    rows, names = aside(docs)
+    done = lines.line_dedup(rows)
     changed = F.size("removed") > 0
     blank = F.trim(F.regexp_replace("text", "[\\t-\\r ]+", " ")) == ""
     done = done.where(~(changed & blank))
     if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return done.select(docs.columns)
+        own = names[docs.columns.index("n_chars")]
+        done = done.withColumn(own, F.when(changed, F.length("text")).otherwise(F.col(own)).cast(docs.schema["n_chars"].dataType))
+    return done.select(names).toDF(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,12 +61,13 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     the fate of their texts; rows without doc_id, and null and empty texts,
     stay; other columns stay.
     """
-    found = ngram_join.ngram_jaccard_join(docs, width=5, pct=80)
-    later = cut(found.where("doc_id <> component_id").select("doc_id", "text_key").distinct())
+    rows, _ = aside(docs)
+    found = ngram_join.ngram_jaccard_join(rows, width=5, pct=80)
+    later = cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct())
     hint = F.broadcast if small(later, ngram_join.BROADCAST_IDS) else (lambda x: x)
-    later = hint(later.toDF("__id", "__key"))
-    rows = docs.withColumns({"__d": F.col("doc_id"), "__t": F.xxhash64("text")})
-    return rows.join(later, (F.col("__d") == F.col("__id")) & (F.col("__t") == F.col("__key")), "left_anti").select(docs.columns)
+    rows = rows.withColumn("key_of", F.xxhash64("text"))
+    kept = rows.join(hint(later), (F.col("doc_id") == F.col("id")) & (F.col("key_of") == F.col("key")), "left_anti")
+    return kept.drop("key_of").toDF(*docs.columns)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
