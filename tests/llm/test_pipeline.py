@@ -1,6 +1,7 @@
 """The pipeline, stage by stage on each stage's own input, against the brute-force versions."""
 
 import pytest
+from pyspark.sql import functions as F
 from test_line_dedup import every_block
 from test_ngram_join import plain as plain_components
 from test_tokens import PATH, check_packing
@@ -65,10 +66,30 @@ def test_run_gives_the_last_stage(spark, sf_dir, stages):
 
 
 def test_odd_and_empty_documents_pass_all_stages(spark, sf_dir, odd_docs, no_docs):
+    """Columns whose names clash with those of the stages come through as they were."""
     import corpus_pipeline
 
-    for docs in (odd_docs.select("doc_id", "text", "lang", "source", "n_chars"), no_docs):
+    for docs in (odd_docs.withColumns({"text_key": F.lit("t"), "removed": F.lit("r"), "key": F.lit("k")}), no_docs):
+        names, first = docs.columns, docs.drop("text", "n_chars")
+        own = {tuple(map(str, r)) for r in first.collect()}
         for _, stage in corpus_pipeline.STAGES[:3]:
             docs = stage(spark, docs, sf_dir)
-            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            assert docs.columns == names
+            assert {tuple(map(str, r)) for r in docs.drop("text", "n_chars").collect()} <= own
         assert corpus_pipeline.STAGES[3][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_rows_without_or_with_shared_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    bad, clean = "idiot moron trash", [f"w{i} v{i} u{i} t{i}" for i in range(60)]
+    rows = [(i, f"{clean[i]} {bad if i % 2 else 'good day'} {clean[-i - 1]}") for i in range(40)]
+    spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([*rows, (None, f"a b {bad} c"), (None, "a b good day c"), (4, f"x y {bad} z"), (4, "q r good day s")], "doc_id long, text string")
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(r.doc_id) for r in kept if bad in r.text) == []
+    assert sum(r.doc_id is None for r in kept) == 1 and sum(r.doc_id == 4 for r in kept) == 2
+    near = " ".join(f"n{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, near), (5, f"{near} more"), (5, "its own text here"), (None, near), (9, None), (9, "")], "doc_id long, text string")
+    kept = corpus_pipeline.STAGES[2][1](spark, docs, str(tmp_path)).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, docs.where("NOT (doc_id <=> 5 AND text LIKE '%more')").collect()))
