@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_folder(spark: SparkSession) -> str:
     """As spark.checkpoint.dir names it.  A folder of this machine serves only where Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named is None and not spark.sparkContext.master.startswith("local["):
+    if named is None and spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return named or tempfile.mkdtemp(prefix="lectern-")
 
