@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import pick, ship
 
 #: Words, and pairs of tokens, that a Python worker remembers at most; it forgets all of them at once.
-WORDS, PAIRS = 800_000, 600_000
+WORDS, PAIRS = 300_000, 300_000
 #: Bytes of output that a worker gathers before it hands them on.
 BATCH = 8 << 20
 #: Control characters at which str.split() splits although they are not white space to the tokenizer.
