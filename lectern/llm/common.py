@@ -17,16 +17,12 @@ __all__ = ["added_up", "cut", "pick", "read", "remove", "shared_folder", "ship",
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a batch that goes to a Python worker: several of these are held at once, on both sides.
 BATCH = "8m"
-#: What a worker has freed goes back to the system, as workers live on from one operator to the next.
-FRUGAL = {"ARROW_DEFAULT_MEMORY_POOL": "system", "MALLOC_ARENA_MAX": "2", "MALLOC_MMAP_THRESHOLD_": "4194304", "MALLOC_TRIM_THRESHOLD_": "8388608"}
 
 
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it, and take batches of bounded size."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env = spark.sparkContext.environment
-    for name, value in FRUGAL.items():
-        env.setdefault(name, value)
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
