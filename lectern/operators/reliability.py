@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws
 from ..functions import stats as S
 from ..functions import text as T
+from ..sources.shared import ship
 
 REPLICATES = 1_000
 #: Fixed value: fewer usable estimates give no interval.
@@ -120,62 +126,111 @@ def nominal_kappa(table: DataFrame) -> DataFrame:
     return rows.select("target", "pair_n", F.when(F.abs(1 - expected) >= 1e-9, (seen - expected) / (1 - expected)).alias("kappa"))
 
 
-#: Multipliers and shifts of the draws below, and their modulus: all products fit 64 bits.
-MODULUS, STEPS = 2_147_483_647, ((48_271, 15), (69_621, 13), (16_807, 16))
+def krippendorff_alpha(table: DataFrame) -> DataFrame:
+    """target, alpha: Krippendorff's nominal alpha of the pairs in ``cells``.
+
+    Both decisions of a unit enter the coincidence matrix, so categories are
+    pooled over the coders; units that one coder left blank have no pair and
+    are no part of ``cells``.  Null where chance gives no disagreement: without
+    pairs, or with one category alone.
+    """
+    differ = table.groupBy("target").agg(F.sum("n").alias("pair_n"), F.coalesce(F.sum(F.when(F.col("c1") != F.col("c2"), F.col("n"))), F.lit(0)).alias("differ"))
+    told = table.select("target", F.explode(F.array("c1", "c2")).alias("c"), "n").groupBy("target", "c").agg(F.sum("n").cast("double").alias("x"))
+    same = told.groupBy("target").agg(F.sum(F.col("x") * (F.col("x") - 1)).alias("same"))
+    values = 2 * F.col("pair_n").cast("double")
+    chance = values * (values - 1) - F.col("same")
+    return differ.join(same, "target").select("target", "pair_n", F.when(chance > 0, 1 - (values - 1) * 2 * F.col("differ") / chance).alias("alpha"))
+
+
+#: Replicates that one row of work stands for.
+BLOCK = 250
+
 
+def seed_of(label: str, target: Column) -> Column:
+    return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(label), target)), 1, 7), 16, 10).cast("long")
+
+
+def _statistics(cells: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cohen's kappa over k categories, and Gwet's AC1 over the first two, of each row of k * k cells; nan where undefined."""
+    square = cells.reshape(-1, k, k).astype(np.float64)
+    n = square.sum((1, 2))
+    with np.errstate(invalid="ignore", divide="ignore"):
+        seen = np.trace(square, axis1=1, axis2=2) / n
+        chance = ((square.sum(2) / n[:, None]) * (square.sum(1) / n[:, None])).sum(1)
+        kappa = np.where(np.abs(1 - chance) >= 1e-9, (seen - chance) / (1 - chance), np.nan)
+        share = (square[:, 0, :].sum(1) / n + square[:, :, 0].sum(1) / n) / 2
+        chance = 2 * share * (1 - share)
+        ac1 = np.where(np.abs(1 - chance) >= 1e-9, (seen - chance) / (1 - chance), np.nan)
+    return kappa, ac1
+
+
+def estimates(table: DataFrame, categories: tuple[str, ...], replicates: int, label: str) -> DataFrame:
+    """target, pair_n, kappa, ac1 of each replicate of each target: as many pairs of ``categories`` drawn with replacement as there are.
+
+    A replicate is drawn as counts of the categories' cells (``functions.draws``), so its work doesn't depend on the
+    number of pairs; replicates are dealt in blocks, so one target is no single task.  AC1 is of the first two
+    categories, and only meant where there are no others.
+    """
+    k = len(categories)
+    inside = table.where(F.col("c1").isin(*categories) & F.col("c2").isin(*categories))
+    counts = [F.coalesce(F.sum(F.when((F.col("c1") == x) & (F.col("c2") == y), F.col("n"))), F.lit(0)).cast("long") for x in categories for y in categories]
+    own = inside.groupBy("target").agg(F.array(*counts).alias("counts")).withColumn("seed", seed_of(label, F.col("target")))
+    blocks = own.withColumn("first", F.explode(F.sequence(F.lit(1), F.lit(replicates), F.lit(BLOCK)))).repartition("target", "first")
 
-def draws(seed: Column, replicate: Column, draw: Column) -> Column:
-    """A number below MODULUS for each draw of each replicate, the same on every cluster."""
-    u = (seed + replicate * 1_000_003 + draw * 7_919) % MODULUS
-    for factor, shift in STEPS:
-        u = u * factor % MODULUS
-        u = u.bitwiseXOR(F.shiftright(u, shift))
-    return u
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                reps = np.arange(r["first"], min(r["first"] + BLOCK, replicates + 1))
+                kappa, ac1 = _statistics(draws.resampled(r["counts"], r["seed"], reps), k)
+                told = [pa.array([v] * len(reps), t) for v, t in ((r["target"], pa.string()), (sum(r["counts"]), pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*told, *[pa.array(x, pa.float64(), from_pandas=True) for x in (kappa, ac1)]], ["target", "pair_n", "kappa", "ac1"])
+
+    ship(table.sparkSession)
+    return blocks.select("target", "counts", "seed", "first").mapInArrow(run, "target string, pair_n long, kappa double, ac1 double")
+
+
+def intervals(drawn: DataFrame, names: tuple[str, ...], least_pairs: int, least: int) -> DataFrame:
+    """target, and the 2.5 and 97.5 percentiles of the named estimates where there are ``least`` ones and ``least_pairs`` pairs."""
+    enough = lambda name: (F.count(name) >= least) & (F.max("pair_n") >= least_pairs)
+    bounds = [F.when(enough(name), F.percentile(name, F.lit(p))).alias(f"{name}_{side}") for name in names for side, p in (("low", 0.025), ("high", 0.975))]
+    return drawn.groupBy("target").agg(*bounds)
 
 
 def bootstrap(table: DataFrame, replicates: int = REPLICATES, label: str = "bootstrap") -> DataFrame:
-    """target, and the 2.5 and 97.5 percentiles of binary kappa and AC1 over resampled pairs.
-
-    table: ``cells`` or any counts of the two binary decisions.  Each draw of a
-    replicate picks one of the pairs, so the cell that it falls into; pairs
-    themselves are never copied.  Fewer than two pairs, or than LEAST_ESTIMATES
-    replicates in which the statistic is defined, give no interval.  Work is
-    replicates times pairs, spread over targets and replicates and summed
-    before any shuffle.
+    """target, and the interval of binary kappa and of AC1 over resampled binary pairs.
+
+    table: ``cells`` or any counts of two decisions.  Fewer than two pairs, or
+    than LEAST_ESTIMATES replicates in which the statistic is defined, give no
+    interval; every target of ``table`` has a row.
     """
-    rows = table.where(F.col("c1").isin(*BINARY) & F.col("c2").isin(*BINARY))
-    four = [(x, y) for x in sorted(BINARY) for y in sorted(BINARY)]
-    counts = [F.coalesce(F.sum(F.when((F.col("c1") == x) & (F.col("c2") == y), F.col("n"))), F.lit(0)).cast("long").alias(f"{x[0]}{y[0]}") for x, y in four]
-    own = rows.groupBy("target").agg(F.sum("n").cast("long").alias("pair_n"), *counts).where("pair_n >= 2")
-    seed = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(label), "target")), 1, 7), 16, 10).cast("long")
-    own = own.select("target", "pair_n", seed.alias("seed"), F.col("aa").alias("to_aa"), (F.col("aa") + F.col("ap")).alias("to_ap"), (F.col("aa") + F.col("ap") + F.col("pa")).alias("to_pa"))
-    each = own.withColumn("rep", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(replicates).cast("long")))).repartition("target", "rep")
-    each = each.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "pair_n")))
-    at = draws(F.col("seed"), F.col("rep"), F.col("i")) % F.col("pair_n")
-    hits = each.select("target", "rep", "to_aa", "to_ap", "to_pa", at.alias("at")).groupBy("target", "rep").agg(
-        F.count_if(F.col("at") < F.col("to_aa")).alias("aa"), F.count_if(F.col("at").between(F.col("to_aa"), F.col("to_ap") - 1)).alias("ap"),
-        F.count_if(F.col("at").between(F.col("to_ap"), F.col("to_pa") - 1)).alias("pa"), F.count_if(F.col("at") >= F.col("to_pa")).alias("pp"),
-    )
-    cell = [F.col(c) for c in ("pp", "pa", "ap", "aa")]
-    got = hits.select("target", S.kappa_binary(*cell).alias("kappa"), S.ac1_binary(*cell).alias("ac1"))
-    bounds = []
-    for name in ("kappa", "ac1"):
-        for side, p in (("low", 0.025), ("high", 0.975)):
-            bounds.append(F.when(F.count(name) >= LEAST_ESTIMATES, F.percentile(name, F.lit(p))).alias(f"{name}_{side}"))
-    found = got.groupBy("target").agg(*bounds)
+    found = intervals(estimates(table, BINARY, replicates, label), ("kappa", "ac1"), 2, LEAST_ESTIMATES)
     return table.select("target").distinct().join(found, "target", "left")
 
 
+def bootstrap_by_target(table: DataFrame, replicates: int = REPLICATES, label: str = "bootstrap") -> DataFrame:
+    """target, and the intervals of its own table: nominal kappa over all complete pairs, AC1 over the binary ones.
+
+    Here one defined replicate is enough; only a target without any has no interval.
+    """
+    nominal = intervals(estimates(table, T.DECISIONS, replicates, f"{label}-nominal"), ("kappa",), 1, 1).withColumnsRenamed({"kappa_low": "nominal_kappa_low", "kappa_high": "nominal_kappa_high"})
+    drawn = estimates(table, BINARY, replicates, label)
+    strict = intervals(drawn, ("kappa",), 2, LEAST_ESTIMATES).withColumnsRenamed({"kappa_low": "binary_kappa_low", "kappa_high": "binary_kappa_high"})
+    return table.select("target").distinct().join(nominal, "target", "left").join(intervals(drawn, ("ac1",), 1, 1), "target", "left").join(strict, "target", "left")
+
+
+BOUNDS = [f"{s}_{side}" for s in ("nominal_kappa", "binary_kappa", "ac1") for side in ("low", "high")]
+
+
 def reliability_by_target(rows: DataFrame, replicates: int = REPLICATES) -> DataFrame:
-    """Each target: agreement in percent with interval, nominal kappa, binary subset, AC1, bootstrap bounds, adjudication.
+    """Each target: agreement in percent with interval, nominal kappa with interval, Krippendorff's alpha, binary subset, AC1 with interval, adjudication.
 
     Without replicates the bounds are null and cost nothing.
     """
     table = cells(rows)
     if replicates:
-        drawn = bootstrap(table, replicates)
+        drawn = bootstrap_by_target(table, replicates)
     else:
-        drawn = table.select("target").distinct().withColumns({f"{s}_{side}": F.lit(None).cast("double") for s in ("kappa", "ac1") for side in ("low", "high")})
+        drawn = table.select("target").distinct().withColumns({c: F.lit(None).cast("double") for c in BOUNDS})
     base = rows.groupBy(F.concat_ws("/", *TARGET).alias("target")).agg(
         F.count_if((F.col("decision_1") != "") & (F.col("decision_2") != "")).alias("pair_n"),
         F.count_if((F.col("decision_1") != "") & (F.col("decision_1") == F.col("decision_2"))).alias("agreement_n"),
@@ -184,13 +239,14 @@ def reliability_by_target(rows: DataFrame, replicates: int = REPLICATES) -> Data
     )
     low, high = S.wilson(F.col("agreement_n"), F.col("pair_n"))
     four = [F.col(c) for c in ("pp", "pa", "ap", "aa")]
-    out = base.join(nominal_kappa(table).select("target", "kappa"), "target", "left").join(drawn.withColumnRenamed("kappa_low", "binary_kappa_low").withColumnRenamed("kappa_high", "binary_kappa_high"), "target", "left")
+    out = base.join(nominal_kappa(table).select("target", "kappa"), "target", "left").join(krippendorff_alpha(table).select("target", "alpha"), "target", "left").join(drawn, "target", "left")
     six = lambda c: F.bround(c, 6)
     return out.select(
         "target", "pair_n", "agreement_n", (F.col("pair_n") - F.col("agreement_n")).alias("disagreement_n"),
         S.percent(F.col("agreement_n"), F.col("pair_n")).alias("agreement_pct"), F.bround(100 * low, 3).alias("agreement_low_pct"), F.bround(100 * high, 3).alias("agreement_high_pct"),
-        six(F.col("kappa")).alias("nominal_kappa"), (four[0] + four[1] + four[2] + four[3]).alias("binary_pair_n"), six(S.kappa_binary(*four)).alias("binary_kappa"), six(S.ac1_binary(*four)).alias("ac1"),
-        *[six(F.col(c)).alias(c) for c in ("binary_kappa_low", "binary_kappa_high", "ac1_low", "ac1_high")], *[f"adjudicated_{d}_n" for d in T.DECISIONS],
+        six(F.col("kappa")).alias("nominal_kappa"), six(F.col("alpha")).alias("krippendorff_alpha"), (four[0] + four[1] + four[2] + four[3]).alias("binary_pair_n"), (four[0] + four[3]).alias("binary_agreement_n"),
+        S.percent(four[0] + four[3], four[0] + four[1] + four[2] + four[3]).alias("binary_agreement_pct"), six(S.kappa_binary(*four)).alias("binary_kappa"), six(S.ac1_binary(*four)).alias("ac1"),
+        *[six(F.col(c)).alias(c) for c in BOUNDS], *[f"adjudicated_{d}_n" for d in T.DECISIONS],
     )
 
 

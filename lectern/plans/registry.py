@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 from functools import wraps
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-ROOT = str(Path(__file__).resolve().parents[2])
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if ROOT not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
-
-
 def query(name: str, sql: str, base: str = ""):
     """Register a query with its SQL; ``base`` are the table definitions that the SQL stands on."""
 

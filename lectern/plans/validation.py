@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
 from ..functions import stats as S
 from ..functions import text as T
 from ..operators import coding, derived, extract, gates, populations, reliability, resolve
@@ -107,16 +108,71 @@ def a32(spark, sf):
 
 
 REPLICATES = reliability.REPLICATES
-_DRAW = f"(CAST('0x' || substr(md5('bootstrap|' || target), 1, 7) AS BIGINT) + rep * 1000003 + i * 7919) % {reliability.MODULUS}"
-for _factor, _shift in reliability.STEPS:
-    _DRAW = f"(({_DRAW}) * {_factor} % {reliability.MODULUS})"
-    _DRAW = f"xor({_DRAW}, {_DRAW} >> {_shift})"
-BOOT = N.CELLS_SQL + f""", bin AS (SELECT target, c1, c2, n, sum(n) OVER (PARTITION BY target ORDER BY c1, c2 ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY target) AS pair_n FROM cells WHERE c1 IN {_BIN} AND c2 IN {_BIN}),
-draws AS (SELECT target, pair_n, rep, {_DRAW} % pair_n AS d FROM (SELECT DISTINCT target, CAST(pair_n AS BIGINT) AS pair_n FROM bin WHERE pair_n >= 2) CROSS JOIN range(1, {REPLICATES + 1}) r(rep) CROSS JOIN LATERAL (SELECT unnest(range(1, pair_n + 1)) AS i)),
-hits AS (SELECT target, rep, count(*) FILTER (c1 = 'present' AND c2 = 'present') AS pp, count(*) FILTER (c1 = 'present' AND c2 = 'absent') AS pa, count(*) FILTER (c1 = 'absent' AND c2 = 'present') AS ap, count(*) FILTER (c1 = 'absent' AND c2 = 'absent') AS aa
-  FROM draws JOIN bin USING (target) WHERE d < upto AND d >= upto - n GROUP BY ALL),
-stats AS (SELECT target, {_kappa('pp', 'pa', 'ap', 'aa')} AS kappa, {_ac1('pp', 'pa', 'ap', 'aa')} AS ac1 FROM hits),
-boot AS (SELECT target, {', '.join(f"CASE WHEN count({s}) >= 100 THEN quantile_cont({s}, {q}) END AS {s}_{w}" for s in ('kappa', 'ac1') for w, q in (('low', 0.025), ('high', 0.975)))} FROM stats GROUP BY target)"""
+def _uniform(draw: str) -> str:
+    u = f"(seed + rep * 1000003 + ({draw}) * 7919) % {D.MODULUS}"
+    for factor, shift in D.STEPS:
+        u = f"(({u}) * {factor} % {D.MODULUS})"
+        u = f"xor({u}, {u} >> {shift})"
+    return f"((({u}) + 0.5::DOUBLE) / {D.MODULUS + 1}.0::DOUBLE)"
+
+
+def _stirling(k: str) -> str:
+    table = "[" + ", ".join(f"{x!r}::DOUBLE" for x in D.STIRLING) + "]"
+    above = f"(greatest({k}, 10) + 1.0::DOUBLE)"
+    return f"CASE WHEN {k} < 10 THEN {table}[CAST({k} AS BIGINT) + 1] ELSE (1::DOUBLE / 12 - (1::DOUBLE / 360 - 1::DOUBLE / 1260 / ({above} * {above})) / ({above} * {above})) / {above} END"
+
+
+def _resampled(x: str, categories: tuple[str, ...], label: str) -> str:
+    """CTEs up to {x}_hits (target, pair_n, rep, d0, d1, ...): the counts of the categories' cells in each replicate, cell by cell."""
+    cells = [(a, b) for a in categories for b in categories]
+    inside = ", ".join(f"'{a}'" for a in categories)
+    ns = [f"n{j}" for j in range(len(cells))]
+    parts = [
+        f"{x}_own AS MATERIALIZED (SELECT target, CAST('0x' || substr(md5('{label}|' || target), 1, 7) AS BIGINT) AS seed, CAST(sum(n) AS BIGINT) AS pair_n, "
+        + ", ".join(f"CAST(coalesce(sum(n) FILTER (c1 = '{a}' AND c2 = '{b}'), 0) AS BIGINT) AS n{j}" for j, (a, b) in enumerate(cells))
+        + f" FROM cells WHERE c1 IN ({inside}) AND c2 IN ({inside}) GROUP BY target)",
+        f"{x}_s0 AS MATERIALIZED (SELECT *, pair_n AS spare FROM {x}_own CROSS JOIN range(1, {REPLICATES + 1}) r(rep))",
+    ]
+    for j in range(len(cells)):
+        rest, base = " + ".join(ns[j:]), j * D.A_CELL
+        parts.append(f"{x}_t{j} AS MATERIALIZED (SELECT target, rep, seed, spare AS n, p, least(p, 1 - p) AS r, {_uniform(str(base))} AS u0 FROM (SELECT target, rep, seed, spare, CAST(n{j} AS DOUBLE) / ({rest}) AS p FROM {x}_s{j} WHERE n{j} > 0 AND n{j} < {rest}))")
+        parts.append(
+            f"{x}_c{j} AS MATERIALIZED (SELECT target, n, k, sum(exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(r) + (n - k) * ln(1 - r))) OVER (PARTITION BY target, n ORDER BY k) AS upto "
+            f"FROM (SELECT DISTINCT target, n, r FROM {x}_t{j} WHERE n * r < {D.SMALL_MEAN}) CROSS JOIN range(0, {D.MOST}) q(k) WHERE k < n)"
+        )
+        parts.append(f"{x}_a{j} AS (SELECT t.target, t.rep, count(c.k) AS k FROM {x}_t{j} t LEFT JOIN {x}_c{j} c ON c.target = t.target AND c.n = t.n AND t.u0 > c.upto WHERE t.n * r < {D.SMALL_MEAN} GROUP BY ALL)")
+        shape = f"""SELECT *, floor((2 * a / us + b) * u + n * r + 0.5::DOUBLE) AS k FROM (SELECT *, 0.5::DOUBLE - abs(u) AS us, -0.0873::DOUBLE + 0.0248::DOUBLE * b + 0.01::DOUBLE * r AS a, (2.83::DOUBLE + 5.1::DOUBLE / b) * root AS alpha, 0.92::DOUBLE - 4.2::DOUBLE / b AS sure FROM (
+  SELECT *, r / (1 - r) AS odds, floor((n + 1) * r) AS m, 1.15::DOUBLE + 2.53::DOUBLE * root AS b, {_uniform(f'{base} + 1 + 2 * attempt')} - 0.5::DOUBLE AS u, {_uniform(f'{base} + 2 + 2 * attempt')} AS v FROM (SELECT *, sqrt(n * r * (1 - r)) AS root FROM {x}_t{j} WHERE n * r >= {D.SMALL_MEAN}) CROSS JOIN range(0, {D.ATTEMPTS}) q(attempt)))"""
+        likely = f"(m + 0.5::DOUBLE) * ln((m + 1) / (odds * (n - m + 1))) + (n + 1) * ln((n - m + 1) / (n - k + 1)) + (k + 0.5::DOUBLE) * ln(odds * (n - k + 1) / (k + 1)) + {_stirling('m')} + {_stirling('(n - m)')} - {_stirling('k')} - {_stirling('(n - k)')}"
+        fits = f"(us >= 0.07::DOUBLE AND v <= sure) OR ln(v * alpha / (a / (us * us) + b)) <= {likely}"
+        parts.append(f"{x}_b{j} AS (SELECT target, rep, CAST(coalesce(arg_min(k, attempt) FILTER (fits), max(m)) AS BIGINT) AS k FROM (SELECT *, CASE WHEN k BETWEEN 0 AND n THEN {fits} ELSE false END AS fits FROM ({shape})) GROUP BY target, rep)")
+        parts.append(
+            f"{x}_s{j + 1} AS MATERIALIZED (SELECT * EXCLUDE (spare, k, p), CASE WHEN n{j} = 0 THEN 0 WHEN n{j} = {rest} THEN spare WHEN p > 0.5 THEN spare - k ELSE k END AS d{j}, spare - CASE WHEN n{j} = 0 THEN 0 WHEN n{j} = {rest} THEN spare WHEN p > 0.5 THEN spare - k ELSE k END AS spare "
+            f"FROM (SELECT s.*, t.p, coalesce(a.k, b.k) AS k FROM {x}_s{j} s LEFT JOIN {x}_t{j} t USING (target, rep) LEFT JOIN {x}_a{j} a USING (target, rep) LEFT JOIN {x}_b{j} b USING (target, rep)))"
+        )
+    parts.append(f"{x}_hits AS MATERIALIZED (SELECT target, pair_n, rep, {', '.join(f'd{j}' for j in range(len(cells)))} FROM {x}_s{len(cells)})")
+    return ", ".join(parts)
+
+
+def _nominal_of(d: list[list[str]]) -> str:
+    """Kappa of a table of counts."""
+    n = f"CAST({' + '.join(x for row in d for x in row)} AS DOUBLE)"
+    seen = f"(({' + '.join(row[i] for i, row in enumerate(d))}) / {n})"
+    chance = " + ".join(f"(({' + '.join(row)}) / {n}) * (({' + '.join(r[i] for r in d)}) / {n})" for i, row in enumerate(d))
+    return f"CASE WHEN abs(1 - ({chance})) >= 1e-9 THEN ({seen} - ({chance})) / (1 - ({chance})) END"
+
+
+def _bounds(name: str, least: int, least_pairs: int, out: str) -> str:
+    return ", ".join(f"CASE WHEN count({name}) >= {least} AND max(pair_n) >= {least_pairs} THEN quantile_cont({name}, {q}) END AS {out}_{w}" for w, q in (("low", 0.025), ("high", 0.975)))
+
+
+_SQUARE = [[f"d{i * len(T.DECISIONS) + j}" for j in range(len(T.DECISIONS))] for i in range(len(T.DECISIONS))]
+DRAWN = _resampled("bin", reliability.BINARY, "bootstrap") + f""", stats AS (SELECT target, pair_n, {_kappa('d0', 'd1', 'd2', 'd3')} AS kappa, {_ac1('d0', 'd1', 'd2', 'd3')} AS ac1 FROM bin_hits),
+boot AS (SELECT target, {_bounds('kappa', reliability.LEAST_ESTIMATES, 2, 'kappa')}, {_bounds('ac1', reliability.LEAST_ESTIMATES, 2, 'ac1')} FROM stats GROUP BY target)"""
+BOOT = N.CELLS_SQL + ", " + DRAWN
+OWN_BOOT = _resampled("nom", T.DECISIONS, "bootstrap-nominal") + f""", own_boot AS (SELECT target, nominal_kappa_low, nominal_kappa_high, binary_kappa_low, binary_kappa_high, ac1_low, ac1_high FROM (SELECT DISTINCT target FROM cells)
+  LEFT JOIN (SELECT target, {_bounds('kappa', 1, 1, 'nominal_kappa')} FROM (SELECT target, pair_n, {_nominal_of(_SQUARE)} AS kappa FROM nom_hits) GROUP BY target) USING (target)
+  LEFT JOIN (SELECT target, {_bounds('kappa', reliability.LEAST_ESTIMATES, 2, 'binary_kappa')}, {_bounds('ac1', 1, 1, 'ac1')} FROM stats GROUP BY target) USING (target))"""
 
 
 @query("a33_bootstrap_interval", "SELECT target, round(kappa_low, 9) AS kappa_low, round(kappa_high, 9) AS kappa_high, round(ac1_low, 9) AS ac1_low, round(ac1_high, 9) AS ac1_high FROM (SELECT DISTINCT target FROM cells) LEFT JOIN boot USING (target)", BOOT)
@@ -124,6 +180,11 @@ def a33(spark, sf):
     return nine(reliability.bootstrap(reliability.cells(M.records(spark, sf)), REPLICATES))
 
 
+@query("a33_nominal_interval", "SELECT target, round(nominal_kappa_low, 9) AS nominal_kappa_low, round(nominal_kappa_high, 9) AS nominal_kappa_high, round(binary_kappa_low, 9) AS binary_kappa_low, round(binary_kappa_high, 9) AS binary_kappa_high, round(ac1_low, 9) AS ac1_low, round(ac1_high, 9) AS ac1_high FROM own_boot", BOOT + ", " + OWN_BOOT)
+def a33_nominal(spark, sf):
+    return nine(reliability.bootstrap_by_target(reliability.cells(M.records(spark, sf)), REPLICATES))
+
+
 @query("a34_confusion", "SELECT target_type, code, tp, fp, tn, fn FROM counts", COUNTS)
 def a34(spark, sf):
     return _counts(spark, sf).select("target_type", "code", "tp", "fp", "tn", "fn")
@@ -164,13 +225,26 @@ def a37(spark, sf):
     return nine(table.select("target_type", "code", *[f"weighted_{m}{s}" for m in _METRICS for s in ("", "_effective_n", "_low", "_high")]))
 
 
+#: Every decision of a complete pair is a row here; the pairs of unequal ones among all pairs of rows are what chance gives.
+ALPHA = """, alpha AS (SELECT target, pair_n, CASE WHEN apart > 0 THEN 1 - (2.0::DOUBLE * pair_n - 1) * 2 * differ / apart END AS alpha
+  FROM (SELECT target, count(*) AS pair_n, count(*) FILTER (decision_1 <> decision_2) AS differ FROM complete GROUP BY target)
+  JOIN (SELECT target, sum(CASE WHEN a.c = b.c THEN 0 ELSE CAST(a.m AS DOUBLE) * b.m END) AS apart FROM told a JOIN told b USING (target) GROUP BY target) USING (target))"""
+TOLD = """, complete AS (SELECT target_type || '/' || code AS target, decision_1, decision_2 FROM records WHERE decision_1 <> '' AND decision_2 <> ''),
+told AS (SELECT target, c, count(*) AS m FROM (SELECT target, unnest([decision_1, decision_2]) AS c FROM complete) GROUP BY ALL)"""
+
+
+@query("a38_krippendorff_alpha", "SELECT target, pair_n, round(alpha, 9) AS alpha FROM alpha", M.SHEETS_SQL + TOLD + ALPHA)
+def a38_alpha(spark, sf):
+    return nine(reliability.krippendorff_alpha(reliability.cells(M.records(spark, sf))))
+
+
 _ADJ = [_count_if(f"decision_1 <> decision_2 AND decision_1 <> '' AND decision_2 <> '' AND final = '{d}'", f"adjudicated_{d}_n") for d in T.DECISIONS]
-BY_TARGET = BOOT + ", " + NOMINAL.split(", ", 1)[1][NOMINAL.split(", ", 1)[1].index("nominal AS"):] + f""", base AS (SELECT target_type || '/' || code AS target, count(*) FILTER (decision_1 <> '' AND decision_2 <> '') AS pair_n, count(*) FILTER (decision_1 <> '' AND decision_1 = decision_2) AS agreement_n,
+BY_TARGET = BOOT + ", " + OWN_BOOT + TOLD + ALPHA + ", " + NOMINAL.split(", ", 1)[1][NOMINAL.split(", ", 1)[1].index("nominal AS"):] + f""", base AS (SELECT target_type || '/' || code AS target, count(*) FILTER (decision_1 <> '' AND decision_2 <> '') AS pair_n, count(*) FILTER (decision_1 <> '' AND decision_1 = decision_2) AS agreement_n,
   {', '.join(_count_if(f"decision_1 = '{x}' AND decision_2 = '{y}'", x[0] + y[0]) for x in reliability.BINARY for y in reliability.BINARY)}, {', '.join(_ADJ)} FROM records GROUP BY ALL),
 by_target AS (SELECT target, b.pair_n, agreement_n, b.pair_n - agreement_n AS disagreement_n, CASE b.pair_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * agreement_n / b.pair_n, 3) END AS agreement_pct,
-  round_even(100 * {_wilson('agreement_n', 'b.pair_n', 'low')}, 3) AS agreement_low_pct, round_even(100 * {_wilson('agreement_n', 'b.pair_n', 'high')}, 3) AS agreement_high_pct, round_even(n.kappa, 6) AS nominal_kappa, pp + pa + ap + aa AS binary_pair_n,
-  round_even({_kappa('pp', 'pa', 'ap', 'aa')}, 6) AS binary_kappa, round_even({_ac1('pp', 'pa', 'ap', 'aa')}, 6) AS ac1, round_even(kappa_low, 6) AS binary_kappa_low, round_even(kappa_high, 6) AS binary_kappa_high, round_even(ac1_low, 6) AS ac1_low, round_even(ac1_high, 6) AS ac1_high,
-  {', '.join(f'adjudicated_{d}_n' for d in T.DECISIONS)} FROM base b LEFT JOIN nominal n USING (target) LEFT JOIN boot USING (target))"""
+  round_even(100 * {_wilson('agreement_n', 'b.pair_n', 'low')}, 3) AS agreement_low_pct, round_even(100 * {_wilson('agreement_n', 'b.pair_n', 'high')}, 3) AS agreement_high_pct, round_even(n.kappa, 6) AS nominal_kappa, round_even(l.alpha, 6) AS krippendorff_alpha, pp + pa + ap + aa AS binary_pair_n, pp + aa AS binary_agreement_n, CASE pp + pa + ap + aa WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * (pp + aa) / (pp + pa + ap + aa), 3) END AS binary_agreement_pct,
+  round_even({_kappa('pp', 'pa', 'ap', 'aa')}, 6) AS binary_kappa, round_even({_ac1('pp', 'pa', 'ap', 'aa')}, 6) AS ac1, {', '.join(f'round_even({c}, 6) AS {c}' for c in reliability.BOUNDS)},
+  {', '.join(f'adjudicated_{d}_n' for d in T.DECISIONS)} FROM base b LEFT JOIN nominal n USING (target) LEFT JOIN alpha l USING (target) LEFT JOIN own_boot USING (target))"""
 
 
 def _by_target(spark, sf, replicates: int = 0):
