@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .codebook import Code, java
-from .extract import matches
+from ..sources.shared import ship
+from .codebook import Code
+from .matching import matched
 
 SNIPPETS = 3
 KEPT = ("note_id", "source", "markdown_present", "ocr_present")
@@ -19,15 +17,15 @@ KEPT = ("note_id", "source", "markdown_present", "ocr_present")
 def code_notes(corpus: DataFrame, codes: list[Code]) -> DataFrame:
     """Every note and code: present, hit_count (all patterns, overlaps too), pattern_count and band, zeros kept.
 
-    One literal pattern a column, so each compiles once a task and the text is
-    read where it lies: a map without a shuffle.
+    A text is read once whatever the number of patterns (``matching``), where
+    it lies: a map without a shuffle.  A null text carries no code.
     """
-    text = F.col("text")
-    each = [
-        F.struct(F.lit(c.code).alias("code"), F.lit(c.label).alias("label"), F.lit(c.objective).alias("objective"), F.array(*[F.regexp_count(text, F.lit(java(p))).cast("long") for p in c.patterns]).alias("hits"))
-        for c in codes
-    ]
-    rows = corpus.select(*KEPT, "text_source_count", F.explode(F.array(*each)).alias("x")).select(*KEPT, "text_source_count", "x.*")
+    ship(corpus.sparkSession)
+    each = F.array(*[F.struct(F.lit(k).alias("group"), F.lit(c.code).alias("code"), F.lit(c.label).alias("label"), F.lit(c.objective).alias("objective")) for k, c in enumerate(codes)])
+    found = matched(F.col("text"), [c.patterns for c in codes])
+    hits = F.map_from_entries(F.transform(found, lambda x: F.struct(x["group"], x["hits"])))
+    rows = corpus.select(*KEPT, "text_source_count", hits.alias("by_group")).select("*", F.explode(each).alias("x"))
+    rows = rows.select(*KEPT, "text_source_count", "x.*", F.coalesce(F.try_element_at("by_group", F.col("x.group")), F.array().cast("array<bigint>")).alias("hits"))
     rows = rows.withColumns({
         "hit_count": F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x),
         "pattern_count": F.size(F.filter("hits", lambda x: x > 0)).cast("long"),
@@ -42,22 +40,24 @@ def carried(corpus: DataFrame, families: dict[str, list[Code]]) -> DataFrame:
     """The notes without their texts, and in a column for each family which of its codes (code, label) they carry.
 
     What the populations' tables start from: texts are read once for all
-    families, and stop at the first match of a code.
+    families, and a code is left at its first match.
     """
-
-    def own(codes: list[Code]) -> Column:
-        each = [F.struct(F.lit(c.code).alias("code"), F.lit(c.label).alias("label"), reduce(or_, [F.col("text").rlike(java(p)) for p in c.patterns]).alias("has")) for c in codes]
-        return F.transform(F.filter(F.array(*each), lambda x: F.coalesce(x["has"], F.lit(False))), lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label")))
-
-    return corpus.select(*[c for c in corpus.columns if c != "text"], *[own(codes).alias(name) for name, codes in families.items()])
+    ship(corpus.sparkSession)
+    every = [(name, c) for name, codes in families.items() for c in codes]
+    table = F.array(*[F.struct(F.lit(name).alias("family"), F.lit(c.code).alias("code"), F.lit(c.label).alias("label")) for name, c in every])
+    told = F.transform(matched(F.col("text"), [c.patterns for _, c in every], once=True), lambda x: F.element_at(table, x["group"] + 1))
+    own = lambda name: F.transform(F.filter("__found", lambda x: x["family"] == name), lambda x: F.struct(x["code"].alias("code"), x["label"].alias("label")))
+    kept = [c for c in corpus.columns if c != "text"]
+    return corpus.select(*kept, told.alias("__found")).select(*kept, *[own(name).alias(name) for name in families])
 
 
 def evidence(corpus: DataFrame, codes: list[Code], most: int = SNIPPETS) -> DataFrame:
-    """note_id, code, snippet_index, matched, snippet: the first hits by pattern, then place."""
+    """note_id, code, snippet_index, matched, snippet: the first hits by pattern, then place, of those that ``code_notes`` counts."""
+    ship(corpus.sparkSession)
     text = F.col("text")
-    each = [F.struct(F.lit(c.code).alias("code"), matches(text, list(c.patterns), most).alias("hits")) for c in codes]
-    rows = corpus.select("note_id", "source", "text", F.explode(F.array(*each)).alias("x")).where(F.size("x.hits") > 0)
-    rows = rows.select("note_id", "source", "text", F.col("x.code").alias("code"), F.posexplode("x.hits").alias("k", "m"))
+    names = F.array(*[F.lit(c.code) for c in codes])
+    rows = corpus.select("note_id", "source", "text", F.explode(matched(text, [c.patterns for c in codes], most)).alias("x"))
+    rows = rows.select("note_id", "source", "text", F.element_at(names, F.col("x.group") + 1).alias("code"), F.posexplode("x.places").alias("k", "m"))
     return rows.select("note_id", "source", "code", (F.col("k") + 1).alias("snippet_index"), F.left("m.matched", F.lit(T.MATCHED)).alias("matched"), T.snippet(text, F.col("m.start"), F.col("m.end")).alias("snippet"))
 
 

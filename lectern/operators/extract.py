@@ -4,111 +4,89 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-
-#: An embedded image, with or without a size behind a bar, or a linked one; the name ends in .png.
-WIKI_IMAGE = r"!\[\[(.*?\.png)(?:\|.*?)?\]\]"
-LINKED_IMAGE = r"!\[[^\]]*\]\(([^)]*\.png)\)"
-#: Codes beside a dollar sign, names of coins and their codes, and what no code beside a dollar sign gives.
-DOLLAR_CODES = ("USD", "AUD", "CAD", "NZD")
-COIN_NAMES = {"BTC": "BTC", "XMR": "XMR", "USDT": "USDT", "BITCOIN": "BTC", "MONERO": "XMR"}
+from ..sources.shared import ship
+from .matching import ALL, Patterns, matched, term_mentions
+
+#: What counts as an embedded or linked image, a dollar amount and an amount of a coin.  They stand as they
+#: are, since what they make of odd texts decides the results: an embedded name runs on past its brackets to a later .png,
+#: an amount may begin or end with commas, and blanks may lie between an amount and its code.
+IMAGE = r"!\[\[(.*?\.png)(?:\|.*?)?\]\]|!\[[^\]]*\]\(([^)]*\.png)\)"
+DOLLAR = r"(?<!\w)(?:(USD|AUD|CAD|NZD)\s*)?(\$)\s*([0-9][0-9,]*(?:\.\d{1,2})?)(?:\s*(USD|AUD|CAD|NZD))?(?!\w)"
+COIN = r"(?<![\w.])([0-9]+(?:\.[0-9]+)?)\s*(BTC|XMR|USDT|bitcoin|monero)\b"
+#: Codes of coins given by name, and what a dollar sign without a code gives.
+COIN_NAMES = {"BITCOIN": "BTC", "MONERO": "XMR"}
 NO_CODE = "UNSPECIFIED_DOLLAR"
 PRICE_CONTEXT = 100
 
 
-def dollars(codes: tuple[str, ...] = DOLLAR_CODES) -> re.Pattern[str]:
-    """Code, amount of at most two decimals, code; no letter or digit next to it."""
-    code = "|".join(map(re.escape, codes))
-    number = r"[0-9][0-9,]*(?:\.\d{1,2})?"
-    return re.compile(rf"(?<!\w)(?:(?P<before>{code})\s*)?\$\s*(?P<amount>{number})(?:\s*(?P<after>{code}))?(?!\w)", re.IGNORECASE)
-
-
-def coins(names: dict[str, str] | None = None) -> re.Pattern[str]:
-    """Amount and name of a coin; the amount is no part of a longer number or word."""
-    return re.compile(rf"(?<![\w.])(?P<amount>[0-9]+(?:\.[0-9]+)?)\s*(?P<after>{'|'.join(map(re.escape, names or COIN_NAMES))})\b", re.IGNORECASE)
-
-
-def matches(text: Column, patterns: list[str], most: int | None = None, flags: re.RegexFlag = re.IGNORECASE | re.DOTALL) -> Column:
-    """array<struct<start, end, matched>> of the first ``most`` matches by pattern, then place; 0-based, end exclusive.
-
-    One pass of each pattern over a text, in Arrow batches; what comes back
-    grows with the matches alone.  A null text has none.
-    """
-
-    @F.pandas_udf("array<struct<start:int,end:int,matched:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        compiled = [re.compile(p, flags) for p in patterns]
-
-        def hits(t: str) -> Iterator[dict]:
-            for p in compiled:
-                for m in p.finditer(t):
-                    yield {"start": m.start(), "end": m.end(), "matched": m.group()}
-
-        return texts.map(lambda t: [] if t is None else list(islice(hits(t), most)))
-
-    return found(text)
-
-
 def spans(notes: DataFrame, pattern: str, text: str = "text") -> DataFrame:
     """One row a match: the note's columns but its text, match_index from 1, start, end, matched."""
+    ship(notes.sparkSession)
     kept = [c for c in notes.columns if c != text]
-    rows = notes.select(*kept, F.posexplode(matches(F.col(text), [pattern], flags=re.RegexFlag(0))).alias("k", "m"))
+    found = F.flatten(F.transform(matched(F.col(text), [(pattern,)], most=ALL, flags=0), lambda x: x["places"]))
+    rows = notes.select(*kept, F.posexplode(found).alias("k", "m"))
     return rows.select(*kept, (F.col("k") + 1).alias("match_index"), "m.start", "m.end", "m.matched")
 
 
-def image_references(notes: DataFrame) -> DataFrame:
-    """note_id, ref_index (from 1), ref: the images a note embeds or links, in order."""
-    found = F.regexp_extract_all("text", F.lit(f"(?id){WIKI_IMAGE}|{LINKED_IMAGE}"), F.lit(0))
-    ref = lambda x: F.trim(F.concat(F.regexp_extract(x, f"(?id)^{WIKI_IMAGE}$", 1), F.regexp_extract(x, f"(?id)^{LINKED_IMAGE}$", 1)))
-    refs = F.filter(F.transform(found, ref), lambda x: x != "")
-    return notes.select("note_id", F.posexplode(refs).alias("k", "ref")).select("note_id", (F.col("k") + 1).alias("ref_index"), "ref")
+def image_references(notes: DataFrame, pattern: str = IMAGE) -> DataFrame:
+    """note_id, ref_index (from 1), ref: the images a note embeds or links, in order.  The pattern's first group that took part is the name."""
+
+    @F.arrow_udf("array<string>")
+    def refs(texts: pa.Array) -> pa.Array:
+        find = re.compile(pattern, re.IGNORECASE).finditer
+        return pa.array([[r for m in find(t) if (r := next((g for g in m.groups() if g), "").strip())] if (t := x.as_py()) else [] for x in texts], pa.list_(pa.string()))
+
+    worth = notes.where(F.contains("text", F.lit("![")))
+    return worth.select("note_id", F.posexplode(refs("text")).alias("k", "ref")).select("note_id", (F.col("k") + 1).alias("ref_index"), "ref")
 
 
 def keyword_counts(notes: DataFrame, keywords: dict[str, str]) -> DataFrame:
     """note_id, source, keyword, count, present for every note and keyword, zeros too."""
-    each = [F.struct(F.lit(k).alias("keyword"), F.regexp_count("text", F.lit(f"(?imU){p}")).cast("long").alias("count")) for k, p in keywords.items()]
-    rows = notes.select("note_id", "source", F.explode(F.array(*each)).alias("x"))
-    return rows.select("note_id", "source", "x.keyword", "x.count", (F.col("x.count") > 0).cast("int").alias("present"))
+    ship(notes.sparkSession)
+    found = matched(F.col("text"), [(p,) for p in keywords.values()], flags=re.IGNORECASE | re.MULTILINE)
+    counts = F.map_from_entries(F.transform(found, lambda x: F.struct(x["group"], x["hits"][0])))
+    names = F.array(*map(F.lit, keywords))
+    rows = notes.select("note_id", "source", counts.alias("by_group")).select("*", F.posexplode(names).alias("k", "keyword"))
+    rows = rows.select("note_id", "source", "keyword", F.coalesce(F.try_element_at("by_group", F.col("k")), F.lit(0)).cast("long").alias("count"))
+    return rows.withColumn("present", (F.col("count") > 0).cast("int"))
 
 
 def entity_mentions(notes: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
     """note_id, source, entity_type, entity, count of the terms that occur."""
-    each = [F.struct(F.lit(kind).alias("entity_type"), F.lit(t).alias("entity"), T.term_count(F.col("text"), t).alias("count")) for kind, own in terms.items() for t in own]
-    rows = notes.select("note_id", "source", F.explode(F.filter(F.array(*each), lambda x: x["count"] > 0)).alias("x"))
-    return rows.select("note_id", "source", "x.entity_type", "x.entity", "x.count")
+    return term_mentions(notes, [(kind, t) for kind, own in terms.items() for t in own])
 
 
-def price_mentions(notes: DataFrame, codes: tuple[str, ...] = DOLLAR_CODES, names: dict[str, str] | None = None) -> DataFrame:
+def price_mentions(notes: DataFrame, dollar: str = DOLLAR, coin: str = COIN, names: dict[str, str] | None = None) -> DataFrame:
     """note_id, source, currency, amount, raw, context: dollar amounts first, then coins, in order.
 
-    Texts without a dollar sign or a coin's name are passed over before any
-    pattern is tried.  Amounts out of range are left out; white space in the
-    context is collapsed.
+    ``dollar`` has the groups code, sign, amount and code, ``coin`` amount and
+    name.  Texts without a literal that a pattern needs are passed over.
+    Amounts out of range are left out; white space in the context is collapsed.
     """
-    names = names or COIN_NAMES
+    ship(notes.sparkSession)
+    schema = pa.list_(pa.struct([(n, pa.string()) for n in ("kind", "before", "after", "number", "raw", "context")]))
 
-    @F.pandas_udf("array<struct<kind:string,before:string,after:string,number:string,raw:string,context:string>>")
-    def found(texts: pd.Series) -> pd.Series:
-        both = (("dollar", dollars(codes)), ("coin", coins(names)))
+    @F.arrow_udf("array<struct<kind:string,before:string,after:string,number:string,raw:string,context:string>>")
+    def found(texts: pa.Array) -> pa.Array:
+        own = Patterns([(dollar,), (coin,)], re.IGNORECASE)
 
         def hits(t: str) -> Iterator[dict]:
-            for kind, p in both:
-                for m in p.finditer(t):
-                    g = m.groupdict()
+            for group, _ in own.candidates(t):
+                for m in own.compiled[group][0].finditer(t):
+                    before, number, after = (m[1], m[3], m[4]) if group == 0 else (None, m[1], m[2])
                     context = " ".join(t[max(0, m.start() - PRICE_CONTEXT) : m.end() + PRICE_CONTEXT].split())
-                    yield {"kind": kind, "before": g.get("before"), "after": g["after"], "number": g["amount"], "raw": m.group(), "context": context}
+                    yield {"kind": ("dollar", "coin")[group], "before": before, "after": after, "number": number, "raw": m.group(), "context": context}
 
-        return texts.map(lambda t: list(hits(t)))
+        return pa.array([list(hits(t)) if (t := x.as_py()) else [] for x in texts], schema)
 
-    worth = notes.where(F.col("text").rlike("(?i)\\$|" + "|".join(names)))
-    rows = worth.select("note_id", "source", F.explode(found("text")).alias("x")).select("note_id", "source", "x.*")
-    code = T.currency(F.col("before"), F.col("after"), names)
+    rows = notes.select("note_id", "source", F.explode(found("text")).alias("x")).select("note_id", "source", "x.*")
+    code = T.currency(F.col("before"), F.col("after"), names or COIN_NAMES)
     rows = rows.withColumns({"currency": F.when((F.col("kind") == "dollar") & F.col("before").isNull() & F.col("after").isNull(), NO_CODE).otherwise(code), "amount": T.amount(F.col("number"))})
     return rows.where("amount IS NOT NULL").select("note_id", "source", "currency", "amount", "raw", "context")
 

@@ -182,9 +182,10 @@ def priced(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PRICES_SQL = """mentions AS MATERIALIZED (
-  SELECT note_id, source, currency, regexp_replace(CAST(CAST(x AS DECIMAL(18,8)) AS VARCHAR), '\\.?0+$', '') AS amount FROM (
-    SELECT concat_ws('-', l_orderkey, l_linenumber) AS note_id, l_returnflag AS source, 'USD' AS currency, CAST(l_extendedprice AS DECIMAL(12,2)) AS x FROM lineitem
-    UNION ALL SELECT concat_ws('-', l_orderkey, l_linenumber), l_returnflag, 'BTC', CAST(l_quantity AS DECIMAL(9,2)) FROM lineitem)
+  SELECT note_id, source, currency, regexp_replace(CAST(CAST(x AS DECIMAL(18,8)) AS VARCHAR), '\\.?0+$', '') AS amount, raw, 'paid ' || dollars || ' or ' || coins AS context
+  FROM (SELECT *, unnest(['USD', 'BTC']) AS currency, unnest([CAST(price AS DECIMAL(12,2)), CAST(quantity AS DECIMAL(12,2))]) AS x, unnest([dollars, coins]) AS raw
+    FROM (SELECT concat_ws('-', l_orderkey, l_linenumber) AS note_id, l_returnflag AS source, CAST(l_extendedprice AS DECIMAL(12,2)) AS price, CAST(l_quantity AS DECIMAL(9,2)) AS quantity,
+      'USD $' || CAST(l_extendedprice AS DECIMAL(12,2)) AS dollars, CAST(l_quantity AS DECIMAL(9,2)) || ' bitcoin' AS coins FROM lineitem))
   WHERE x > 0 AND x <= 10000000)"""
 
 

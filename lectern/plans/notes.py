@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import coding, derived, extract, gates, populations, reliability, resolve
+from ..operators import coding, derived, extract, gates, matching, populations, reliability, resolve
 from . import model as M
 from .registry import Query, query
 
@@ -86,8 +86,7 @@ SNIPPED = "(SELECT doc_id, x, strpos(x, 'ing') - 1 AS spot FROM (SELECT doc_id,
 @query("p18_snippet", f"SELECT doc_id, left(replace(replace(replace(trim(regexp_replace(substr(x, greatest(spot - 170, 0) + 1, spot + 3 + 170 - greatest(spot - 170, 0)), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.onion', '[.]onion'), 520) AS out FROM {SNIPPED}")
 def p18(spark, sf):
     rows = _docs(spark, sf).select("doc_id", F.concat(F.lit("see http://a.b and c.onion "), "text").alias("x"))
-    first = extract.matches(c("x"), ["ing"], 1, extract.re.RegexFlag(0))
-    rows = rows.select("doc_id", "x", F.explode(first).alias("m"))
+    rows = extract.spans(rows.withColumn("t", c("x")), "ing", "t").where("match_index = 1").select("doc_id", "x", F.struct("start", "end").alias("m"))
     return rows.select("doc_id", T.snippet(c("x"), c("m.start"), c("m.end")).alias("out"))
 
 
@@ -137,9 +136,20 @@ def e03(spark, sf):
     return extract.entity_mentions(M.notes(spark, sf), M.TERMS)
 
 
-@query("e04_price_mentions", "SELECT note_id, source, currency, amount FROM mentions", M.PRICES_SQL)
+@query("e03_large_dictionary", """SELECT entity, count(*) AS note_count, CAST(sum(n) AS BIGINT) AS hit_count FROM (
+  SELECT doc_id, w AS entity, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM documents)
+  WHERE w IN (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) FROM benchmark) GROUP BY ALL) GROUP BY entity""")
+def e03_large(spark, sf):
+    """Every word of the benchmark as a term, found in every document."""
+    words = M.table(spark, sf, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(f"{T.WORD}+"), F.lit(0))).alias("entity")).distinct()
+    notes = _docs(spark, sf).select(c("doc_id").cast("string").alias("note_id"), "source", "text")
+    found = matching.term_mentions(notes, matching.load_terms(words.withColumn("entity_type", F.lit("word"))))
+    return found.groupBy("entity").agg(F.count("*").alias("note_count"), F.sum("count").alias("hit_count"))
+
+
+@query("e04_price_mentions", "SELECT note_id, source, currency, amount, raw, context FROM mentions", M.PRICES_SQL)
 def e04(spark, sf):
-    return extract.price_mentions(M.priced(spark, sf)).select("note_id", "source", "currency", "amount")
+    return extract.price_mentions(M.priced(spark, sf))
 
 
 HITS = "regexp_extract_all(t, '[a-z]+ing')"
@@ -167,19 +177,28 @@ def e06i(spark, sf):
     return M.coded(spark, sf, "indicator").select(*CODED_COLUMNS.split(", "))
 
 
-SHOWN = [code for code in M.CODEBOOK if code[1] in ("T1_licence", "T2_mail", "T3_host", "T4_secret", "T9_quality")]
-_HITS = " UNION ALL ".join(f"SELECT note_id, text, '{code}' AS code, list_concat({', '.join(p.removeprefix('len(').removesuffix(')') for _, p in ps)}, []) AS hits FROM lowered" for _, code, _, _, ps in SHOWN)
-_AT = "(strpos(lower(text), hits[1]) - 1)"
-_LOW = f"greatest({_AT} - 170, 0)"
-_SNIPPET = f"left(replace(replace(replace(trim(regexp_replace(substr(text, {_LOW} + 1, {_AT} + length(hits[1]) + 170 - {_LOW}), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.onion', '[.]onion'), 520)"
+#: Every pattern's matches with what lies before each; where words are sought, all words are matches first.
+_WORDS = "[\\p{L}\\p{N}_]+"
+
+
+def _placed(code: str, at: int, found: str) -> str:
+    word = found.removeprefix("len(list_filter(").split("x = '")[-1].removesuffix("'))") if found.startswith("len(list_filter(") else None
+    pattern = _WORDS if word else found.removeprefix("len(regexp_extract_all(t, '").removesuffix("'))")
+    rows = f"SELECT note_id, '{code}' AS code, {at} AS pattern, unnest(regexp_extract_all(t, '{pattern}')) AS hit, unnest(string_split_regex(t, '{pattern}')[1:-2]) AS gap, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) AS k FROM lowered"
+    starts = f"SELECT note_id, code, pattern, hit, CAST(sum(length(gap)) OVER w + sum(length(hit)) OVER w - length(hit) AS BIGINT) AS start FROM ({rows}) WINDOW w AS (PARTITION BY note_id ORDER BY k ROWS UNBOUNDED PRECEDING)"
+    return f"SELECT * FROM ({starts})" + (f" WHERE hit = '{word}'" if word else "")
+
+
+_PLACES = " UNION ALL ".join(_placed(code, at, found) for family, code, _, _, ps in M.CODEBOOK if family == "typology" for at, (_, found) in enumerate(ps))
+_LOW = "greatest(start - 170, 0)"
+_SNIPPET = f"left(replace(replace(replace(trim(regexp_replace(substr(text, {_LOW} + 1, start + length(hit) + 170 - {_LOW}), '\\s+', ' ', 'g')), 'http://', 'hxxp://'), 'https://', 'hxxps://'), '.onion', '[.]onion'), 520)"
 
 
-@query("e07_evidence_snippets", f"SELECT note_id, code, CAST(k AS INTEGER) AS snippet_index, left(hits[k], 120) AS matched, CASE WHEN code = 'T2_mail' AND k = 1 THEN sha256({_SNIPPET}) ELSE '' END AS snippet FROM (SELECT *, unnest(range(1, least(len(hits), 3) + 1)) AS k FROM ({_HITS}))", M.CODED_SQL)
+@query("e07_evidence_snippets", f"""SELECT note_id, code, CAST(r AS INTEGER) AS snippet_index, left(substr(text, start + 1, length(hit)), 120) AS matched, sha256({_SNIPPET}) AS snippet
+  FROM (SELECT *, row_number() OVER (PARTITION BY note_id, code ORDER BY pattern, start) AS r FROM ({_PLACES})) JOIN lowered USING (note_id) WHERE r <= 3""", M.CODED_SQL)
 def e07(spark, sf):
-    shown = [code for code in M.codes(spark, "typology") if code.code in {x[1] for x in SHOWN}]
-    rows = coding.evidence(M.corpus(spark, sf), shown)
-    first = (c("code") == "T2_mail") & (c("snippet_index") == 1)  # where the match stands is plain to SQL for this one alone
-    return rows.select("note_id", "code", "snippet_index", F.lower("matched").alias("matched"), F.when(first, F.sha2("snippet", 256)).otherwise("").alias("snippet"))
+    rows = coding.evidence(M.corpus(spark, sf), M.codes(spark, "typology"))
+    return rows.select("note_id", "code", "snippet_index", "matched", F.sha2("snippet", 256).alias("snippet"))
 
 
 CELLS_SQL = M.SHEETS_SQL + ", cells AS (SELECT target_type || '/' || code AS target, decision_1 AS c1, decision_2 AS c2, count(*) AS n FROM records WHERE decision_1 <> '' AND decision_2 <> '' GROUP BY ALL)"
