@@ -21,11 +21,6 @@ class Code:
     patterns: tuple[str, ...]
 
 
-def java(pattern: str, flags: str = "isU") -> str:
-    """The user's pattern with Unicode classes, any case, and dots that cross lines."""
-    return f"(?{flags}){pattern}"
-
-
 def load(table: DataFrame, family: str) -> list[Code]:
     """The codes of one family, in order of code and pattern index.  Patterns that match nothing at all are refused."""
     rows = table.where(F.col("family") == family).orderBy("code", "pattern_idx").limit(MOST_PATTERNS + 1).collect()

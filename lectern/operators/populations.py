@@ -66,6 +66,17 @@ def membership(corpus: DataFrame) -> DataFrame:
     return every.unionByName(first.select(F.lit(UNIQUE).alias("population"), "note_id", "source"))
 
 
+def marked(corpus: DataFrame) -> DataFrame:
+    """``corpus`` with blank sources named and unique: 1 for the first note of each text by source and id, else 0.
+
+    What ``membership`` tells as rows.  The firsts come back by note_id, so no
+    key of the join is shared by many notes.
+    """
+    own = corpus.withColumn("source", T.source_or_none(F.col("source")))
+    first = own.select("source", "note_id", text_key().alias("k")).groupBy("k").agg(F.min(F.struct("source", "note_id")).alias("m"))
+    return own.join(first.select("m.note_id", F.lit(1).alias("unique")), "note_id", "left").withColumn("unique", F.coalesce("unique", F.lit(0)))
+
+
 def duplicate_audit(corpus: DataFrame) -> DataFrame:
     """One row (notes without a text hash are no duplicates): records, distinct texts, groups of duplicates, records in them, excess, largest group, records without words."""
     groups = corpus.groupBy(text_key().alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("combined_word_count") == 0).alias("zero"))

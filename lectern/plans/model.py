@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import coding, populations, reliability, resolve
+from ..operators import coding, derived, populations, reliability, resolve
 from ..operators.codebook import Code, load
 from ..sources.shared import cut
 
@@ -164,6 +164,15 @@ def over_populations(spark: SparkSession, sf: str) -> Populations:
     return Populations(rows, own, *[populations.presence(carry(f), own, QUALITY) for f in ("typology", "indicator")])
 
 
+def cube(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of notes, codes and pairs of both families: texts are read once, and no row is a note and a code."""
+    families = ("typology", "indicator")
+    rows = coding.carried(corpus(spark, sf), {f: codes(spark, f) for f in families})
+    kept = lambda f: F.transform(F.filter(f, lambda c: ~c["code"].isin(*QUALITY)), lambda c: F.struct(F.lit(f).alias("family"), c["code"].alias("code"), c["label"].alias("label")))
+    rows = cut(rows.select("note_id", "source", "combined_text_sha256", F.concat(*map(kept, families)).alias("carried")))
+    return derived.cube(populations.marked(rows))
+
+
 PRESENCE_SQL = INDICATED_SQL + """, members AS MATERIALIZED (
   SELECT 'full_corpus' AS population, note_id, source FROM corpus
   UNION ALL SELECT 'text_unique', note_id, source FROM (SELECT *, row_number() OVER (PARTITION BY combined_text_sha256 ORDER BY source, note_id) AS r FROM corpus) WHERE r = 1

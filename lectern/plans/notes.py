@@ -449,8 +449,7 @@ ranks AS (SELECT *, row_number() OVER (PARTITION BY population ORDER BY k DESC,
   CASE a.k WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * (a.k - b.k) / a.k, 3) END AS reduction_pct, round_even(b.pct - a.pct, 3) AS pct_difference, b.rank - a.rank AS rank_change
 FROM ranks a JOIN ranks b USING (code) WHERE a.population = 'full_corpus' AND b.population = 'text_unique'""", M.PRESENCE_SQL + COUNTED)
 def a16(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.sensitivity(over.types, over.members)
+    return derived.sensitivity_of(M.cube(spark, sf))
 
 
 def _cells_sql(keys: str) -> str:
@@ -472,19 +471,16 @@ PAIR = "population, code_a, code_b"
 
 @query("a17_cooccurrence", _cells_sql(PAIR), M.PRESENCE_SQL + FLAGS + WHOLE)
 def a17(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.cooccurrence(over.types, over.members)
+    return derived.cooccurrence_of(M.cube(spark, sf))
 
 
 @query("a18_cooccurrence_by_source", _cells_sql("population, source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + SOURCED)
 def a18(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.cooccurrence_by_source(over.types, over.members)
+    return derived.cooccurrence_by_source_of(M.cube(spark, sf))
 
 
 def _left_out(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.leave_source_out(derived.cooccurrence(over.types, over.members), derived.cooccurrence_by_source(over.types, over.members))
+    return derived.leave_source_out_of(M.cube(spark, sf))
 
 
 @query("a19_leave_source_out", _cells_sql("population, removed_source, code_a, code_b"), M.PRESENCE_SQL + FLAGS + LEFT_OUT)
@@ -515,8 +511,7 @@ CROSS = f""", joint AS (SELECT z.population, a.code AS code_a, b.code AS code_b,
 
 @query("a21_crosswalk", f"SELECT x.*, CASE code_a_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_a_present_n, 6) END AS share_of_a, CASE code_b_present_n WHEN 0 THEN 0 ELSE round_even(CAST(n11_both_present AS DOUBLE) / code_b_present_n, 6) END AS share_of_b FROM ({_cells_sql(PAIR)}) x", M.PRESENCE_SQL + CROSS)
 def a21(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.crosswalk(over.types, over.indicators, over.members, _linked(spark))
+    return derived.crosswalk_of(M.cube(spark, sf), _linked(spark))
 
 
 GROUP_SQL = ", ".join(f"('{a}', '{b}')" for a, b in M.GROUPS)
@@ -534,16 +529,14 @@ def a22(spark, sf):
 FROM sizes CROSS JOIN codes LEFT JOIN (SELECT population, code, CAST(sum(k) AS BIGINT) AS t, count(*) AS s, max(source) FILTER (r = 1) AS top_source, max(k) FILTER (r = 1) AS t1, CAST(sum(k) FILTER (r <= 3) AS BIGINT) AS t3, round_even(sum((CAST(k AS DOUBLE) / n) * (CAST(k AS DOUBLE) / n)), 6) AS hhi
   FROM (SELECT *, row_number() OVER (PARTITION BY population, code ORDER BY k DESC, source) AS r, sum(k) OVER (PARTITION BY population, code) AS n FROM (SELECT population, code, source, count(*) AS k FROM presence GROUP BY ALL)) GROUP BY ALL) USING (population, code)""", M.PRESENCE_SQL)
 def a23(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.concentration(over.types, over.members)
+    return derived.concentration_of(M.cube(spark, sf))
 
 
 @query("a24_leave_source_out_ranks", """SELECT r.population, removed_source, r.code, full_rank, r.denominator_n, record_n, CASE r.denominator_n WHEN 0 THEN 0 ELSE round_even(100.0::DOUBLE * record_n / r.denominator_n, 3) END AS record_pct, r.rank, r.rank - full_rank AS rank_change FROM (
   SELECT *, row_number() OVER (PARTITION BY population, removed_source ORDER BY record_n DESC, code) AS rank FROM (SELECT population, s.source AS removed_source, code, count(*) AS denominator_n, count(*) FILTER (list_contains(own, code)) AS record_n FROM per_note n CROSS JOIN codes JOIN sources s ON s.source <> n.source GROUP BY ALL)) r
   JOIN (SELECT population, code, rank AS full_rank FROM ranks) USING (population, code)""", M.PRESENCE_SQL + COUNTED + FLAGS)
 def a24(spark, sf):
-    over = M.over_populations(spark, sf)
-    return derived.leave_source_out_ranks(over.types, over.members)
+    return derived.leave_source_out_ranks_of(M.cube(spark, sf))
 
 
 @query("a25_screening_audit", f"SELECT * FROM (SELECT {AUDIT}) CROSS JOIN (SELECT count(*) FILTER (markdown_present = 1) AS markdown_record_count, count(*) FILTER (ocr_present = 1) AS ocr_record_count, count(*) FILTER (markdown_present = 1 AND ocr_present = 1) AS both_record_count, count(*) FILTER (markdown_present = 0 AND ocr_present = 0) AS neither_record_count FROM corpus)", M.CORPUS_SQL)

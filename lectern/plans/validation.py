@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import draws as D
 from ..functions import stats as S
 from ..functions import text as T
-from ..operators import coding, derived, extract, gates, populations, reliability, resolve
+from ..operators import coding, derived, extract, gates, populations, quantiles, reliability, resolve
 from ..sources import files
 from . import model as M
 from . import notes as N
@@ -104,7 +104,7 @@ def a30(spark, sf):
 
 @query("a32_percentile", "SELECT source, quantile_cont(CAST(n_chars AS DOUBLE), 0.025) AS low, quantile_cont(CAST(n_chars AS DOUBLE), 0.5) AS middle, quantile_cont(CAST(n_chars AS DOUBLE), 0.975) AS high FROM documents GROUP BY source")
 def a32(spark, sf):
-    return M.table(spark, sf, "documents").groupBy("source").agg(*[F.percentile("n_chars", F.lit(p)).alias(n) for n, p in (("low", 0.025), ("middle", 0.5), ("high", 0.975))])
+    return quantiles.percentiles(M.table(spark, sf, "documents"), ["source"], "n_chars", {"low": 0.025, "middle": 0.5, "high": 0.975})
 
 
 REPLICATES = reliability.REPLICATES
