@@ -2,15 +2,17 @@
 
 Labelled rows, a bounded sample of each class, are the examples, and all words
 in them, and the beginnings of longer ones, the terms.  A term's weight is its inverse document frequency, counted
-over all documents, times how much it tells about the class: phi squared of its
-presence against the label among the examples, less what chance alone would
-give (the bias-corrected estimate), so that terms that tell nothing weigh
-nothing.  Without that factor long documents are nearest to those of their own
-vocabulary, whatever a few words in them say.  Examples lie in blocks; an inverted index
-has the largest weight of each term in each block, so a document's nearest
-examples are found exactly while most blocks are only bounded.  Their votes,
-weighted by nearness, are calibrated on the examples themselves, each left out
-of its own vote.
+over all documents, raised by how much it tells about the class: phi squared of
+its presence against the label among the examples, less what chance alone would
+give (the bias-corrected estimate).  A term that tells nothing keeps the plain
+weight, so every term of an example can bring a document to it; without the
+raise long documents are nearest to those of their own vocabulary, whatever a
+few words in them say.  Examples lie in blocks; an inverted index has the
+largest weight of each term in each block, so a document's nearest examples are
+found exactly while most blocks are only bounded.  The terms that a good part
+of the examples has, which would loosen every bound, are multiplied out first,
+for many documents at once.  Votes of the nearest, weighted by nearness, are
+calibrated on the examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -33,6 +35,10 @@ EXAMPLES = 4_096
 #: Letters of the word beginnings that are terms beside whole words.
 STEM = 5
 NEIGHBOURS, BLOCK = 15, 64
+#: The plain weight beside the raise, which is 1 for a term that tells the classes apart by itself.
+PLAIN = 1e-4
+#: Terms of at least this share of the examples are multiplied out, for so many documents at once.
+FREQUENT, TOGETHER = 1 / 8, 128
 #: Examples' weight by which a step of the calibration is drawn to the share of toxic ones.
 DRAWN = 20
 #: Blocks that are scored first, and documents of equal terms and counts that a task remembers.
@@ -99,6 +105,13 @@ class BlockMaxIndex:
         term = np.concatenate([np.asarray(r[1], np.int64) for r, _ in kept] or [none])
         example = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
         value = np.concatenate([x for _, x in kept] or [np.empty(0)])
+        frequent = np.flatnonzero(np.bincount(term[value > 0], minlength=len(weight)) >= max(BLOCK, FREQUENT * len(kept)))
+        self.row = np.full(len(weight), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.dense = np.zeros((len(frequent), len(kept)))
+        own = self.row[term] >= 0
+        self.dense[self.row[term[own]], example[own]] = value[own]
+        term, example, value = term[~own], example[~own], value[~own]
         order = np.argsort(term, kind="stable")
         order = order[value[order] > 0]
         term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
@@ -124,6 +137,7 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """The index as a matrix of terms by examples."""
         out = np.zeros((len(self.weight), len(self.ids)))
+        out[self.row >= 0] = self.dense
         out[np.repeat(np.arange(len(self.weight)), np.diff(self.start)), self.example] = self.value
         return out
 
@@ -133,18 +147,31 @@ class BlockMaxIndex:
         return x / max(np.sqrt((x * x).sum()), 1e-300)
 
     def nearest(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray, skip: int | None = None) -> list[tuple[float, int]]:
-        """The NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place.
+        """``nearest_of`` one text."""
+        return next(self.nearest_of([(np.array(terms, dtype=np.int64), np.array(counts), skip)]))
+
+    def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> Iterator[list[tuple[float, int]]]:
+        """For each text (terms, counts, example that is passed over) the NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place."""
+        for first in range(0, len(texts), TOGETHER):
+            some = [(t, self.vector(t, c), skip) for t, c, skip in texts[first : first + TOGETHER]]
+            common = np.zeros((len(some), len(self.dense)))
+            for i, (terms, x, _) in enumerate(some):
+                own = self.row[terms] >= 0
+                common[i, self.row[terms[own]]] = x[own]
+            known = common @ self.dense
+            for i, (terms, x, skip) in enumerate(some):
+                rare = (x > 0) & (self.row[terms] < 0)
+                yield self._nearest(terms[rare], x[rare], known[i], skip) if len(self.ids) else []
+
+    def _nearest(self, terms: np.ndarray, x: np.ndarray, known: np.ndarray, skip: int | None) -> list[tuple[float, int]]:
+        """``known`` has what the frequent terms give each example.
 
         The blocks that may have the nearest ones are scored first; then, at
         once, all whose largest weights allow more than the last neighbour has.
         """
-        terms, x = np.array(terms, dtype=np.int64), self.vector(terms, counts)
-        terms, x = terms[x > 0], x[x > 0]
-        if not self.ids or not len(x):
-            return []
         entries, sizes = spans(self.at, terms)
         block, of = self.block[entries], np.repeat(x, sizes)
-        bound = np.bincount(block, weights=of * self.most[entries], minlength=self.blocks)
+        bound = np.bincount(block, weights=of * self.most[entries], minlength=self.blocks) + np.maximum.reduceat(known, np.arange(0, len(known), BLOCK))
         low, best, place = 0.0, np.empty(0), np.empty(0, dtype=np.int64)
         todo = bound > 0
         some = todo & (bound >= np.partition(bound, -AT_ONCE)[-AT_ONCE] if self.blocks > AT_ONCE else todo)
@@ -153,6 +180,7 @@ class BlockMaxIndex:
             own = some[block]
             postings, sizes = spans(self.posting, entries[own])
             cosine = np.bincount(self.example[postings], weights=np.repeat(of[own], sizes) * self.value[postings], minlength=len(self.ids))
+            cosine = np.where(np.repeat(some, BLOCK)[: len(cosine)], cosine + known, 0)
             if skip is not None:
                 cosine[skip] = 0
             # a little below what is wanted, so that equal ones stay when they are rounded
@@ -200,9 +228,8 @@ class BlockMaxIndex:
         if xs:
             self.curve = (np.array(xs), np.maximum.accumulate(np.array(ys)))
 
-    def score(self, terms: np.ndarray, counts: np.ndarray) -> tuple[float, list[tuple[int, float, int]]]:
-        """Calibrated score, and the three nearest examples as evidence."""
-        found = self.nearest(terms, counts) if len(terms) else []
+    def score(self, found: list[tuple[float, int]]) -> tuple[float, list[tuple[int, float, int]]]:
+        """Calibrated score of a text with these neighbours, and the three nearest as evidence."""
         raw = self.vote(found)
         score = 0.99 * float(np.interp(raw, *self.curve)) + 0.01 * raw
         return min(1.0, max(0.0, score)), [(self.ids[j], c, int(self.labels[j])) for c, j in found[:3]]
@@ -304,14 +331,9 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
     terms = vocabulary(learned)
     held = numbered_rows(learned, terms)
     told = class_information(held, len(terms))
-    # from here on terms that weigh nothing need no number
-    real = told > 0
-    number = np.cumsum(real) - 1
-    terms, told = terms.filter(pa.array(real)), told[real]
-    held = [(i, number[t[real[t]]], c[real[t]], y) for i, t, c, y in held]
     counts = document_frequencies(texts, terms)
     share = tuple(rows.get(y, 0) / max(1, sum(h[3] == y for h in held)) for y in (0, 1))
-    index = BlockMaxIndex(held, np.log((counts[-1] + 1) / (counts[:-1] + 1)) * told, share)
+    index = BlockMaxIndex(held, np.log((counts[-1] + 1) / (counts[:-1] + 1)) * (told + PLAIN), share)
     del held
     shared = spark.sparkContext.broadcast((terms, index))  # the terms of 2 * examples rows
 
@@ -321,8 +343,8 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
         for batch in batches:
             for part in sliced(batch, 2, SLICE):
                 bounds, number, counts = term_counts(part.column(2), terms)
-                own = [slice(a, b) for a, b in zip(bounds, bounds[1:], strict=False)]
-                found = [index.vote(index.nearest(number[s], counts[s], place.get(i))) for i, s in zip(part.column(0).to_pylist(), own, strict=True)]
+                own = [(number[a:b], counts[a:b], place.get(i)) for a, b, i in zip(bounds, bounds[1:], part.column(0).to_pylist(), strict=False)]
+                found = list(map(index.vote, index.nearest_of(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), part.column(1)], ["vote", "toxic"])
 
     index.calibrate([(r.vote, r.toxic) for r in learned.repartition("doc_id").mapInArrow(votes, "vote double, toxic int").collect()], share)
@@ -336,14 +358,16 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
         for batch in batches:
             for part in sliced(batch, 1, SLICE):
                 bounds, number, counts = term_counts(part.column(1), terms)
-                done = []
+                keys, fresh = [], {}
                 for a, b in zip(bounds, bounds[1:], strict=False):
                     key = xxhash.xxh3_128_digest(number[a:b].tobytes() + b"/" + counts[a:b].tobytes())
+                    keys.append(key)
                     if key not in seen:
-                        if len(seen) >= SEEN:
-                            seen.clear()
-                        seen[key] = index.score(number[a:b], counts[a:b])
-                    done.append(seen[key])
+                        fresh[key] = (number[a:b], counts[a:b], None)
+                if len(seen) + len(fresh) > SEEN:
+                    seen = {k: seen[k] for k in keys if k in seen}
+                seen.update(zip(fresh, map(index.score, index.nearest_of(list(fresh.values()))), strict=True))
+                done = [seen[k] for k in keys]
                 evidence = pa.array([[{"doc_id": i, "cosine": c, "toxic": y} for i, c, y in e] for _, e in done], evidence_type)
                 columns = [part.column(0), pa.array([s for s, _ in done], pa.float64()), evidence, *[part.column(i) for i in range(1, part.num_columns)]]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "score", "evidence", "text", *extra])

@@ -86,7 +86,7 @@ def plain_scores(docs, labels):
     m = a + b
     under = n[0] * n[1] * m * (sum(n) - m)
     phi = np.where(under > 0, (a * (n[0] - b) - b * (n[1] - a)) ** 2 / np.maximum(under, 1), 0)
-    weight = np.log((len(every) + 1) / (df + 1)) * np.maximum(0, phi - 1 / (sum(n) - 1))
+    weight = np.log((len(every) + 1) / (df + 1)) * (np.maximum(0, phi - 1 / (sum(n) - 1)) + X.PLAIN)
 
     def unit(x):
         x = np.where(x > 0, 1 + np.log(np.maximum(x, 1)), 0) * weight
@@ -112,6 +112,30 @@ def test_op9_finds_what_brute_force_over_all_terms_finds(spark):
     assert len(set(got[d].score for d in got)) > 20 and sum(s >= 0.5 for s in clean) <= 0.05 * len(clean)
 
 
+def test_exact_copies_find_examples_whose_words_tell_nothing(spark):
+    """Every word is of one example alone: none tells the classes apart, and each copy goes with its example all the same."""
+    text = lambda i: " ".join(f"{chr(97 + i // 26)}{chr(97 + i % 26)}{w}" for w in ("ox", "uq", "ep", "yz", "im", "ad"))
+    docs = spark.createDataFrame([(i, text(i)) for i in range(100)] + [(1_000 + i, text(i)) for i in range(100)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(100)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in X.score_documents(docs, labels).collect()}
+    for i in range(100):
+        found = got[1_000 + i].evidence
+        assert found[0].doc_id == i and abs(found[0].cosine - 1) < 1e-9 and found[0].toxic == i % 2
+    even, odd = ([got[1_000 + i].score for i in range(k, 100, 2)] for k in (0, 1))
+    assert max(even) <= min(odd) and np.mean(odd) >= np.mean(even)
+
+
+def test_frequent_terms_are_multiplied_out_exactly():
+    rng = np.random.default_rng(8)
+    rows = [(i, (t := np.unique(np.concatenate([np.flatnonzero(rng.random(12) < 0.6), rng.integers(12, 900, 20)]))), rng.integers(1, 5, len(t)), int(i % 7 == 0)) for i in range(1_500)]
+    index = X.BlockMaxIndex(rows, 0.1 + rng.random(900), (1.0, 1.0))
+    assert 0 < len(index.dense) <= 12
+    weights = index.weights
+    for found, (_, terms, counts, _) in zip(index.nearest_of([(t, c, None) for _, t, c, _ in rows[:200]]), rows[:200]):
+        cosine = index.vector(terms, counts) @ weights[terms]
+        assert np.allclose([c for c, _ in found], np.sort(cosine)[::-1][: X.NEIGHBOURS], atol=1e-11)
+
+
 def test_flipped_labels_of_held_out_rows_change_no_score(spark):
     rows = corpus(400)
     docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
