@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, bpe, byte_bpe, centroids, chat, exact_dedup, line_dedup, manifest, ngram_join, packing, sharding, token_counts, toxicity
-from .common import cut, pick, read, shared_folder
+from .common import cut, pick, read, remove, shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 TOKENIZER = "word_bpe_49k.json"
@@ -70,7 +70,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     Every batch is committed twice and counts once.
     """
     rows = cut(token_counts.tokenized(read(spark, sf_dir, "documents"), [public_tokenizers.path(TOKENIZER), public_tokenizers.path("byte_bpe_50k.tiktoken")], public_tokenizers.PATTERN))
-    rollup = token_counts.Rollup(spark, f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}")
+    folder = f"{shared_folder(spark).rstrip('/')}/token-counts-{uuid.uuid4().hex}"
+    rollup = token_counts.Rollup(spark, folder)
     version = token_counts.of_version
     exact, estimate = (lambda x: version(x, "byte-bpe-50k", F.col("tokens")[1])), version(rows, "byte-bpe-50k", F.ceil(F.col("chars") / 4))
     for _ in range(2):
@@ -79,7 +80,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         rollup.compact()
         rollup.commit("revised", token_counts.revisions(estimate, exact(rows)))
         rollup.commit("copies", token_counts.deletes(exact(token_counts.copies_of(rows))))
-    return rollup.totals()
+    done = cut(rollup.totals())  # a row a group
+    remove(spark, folder)
+    return done
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

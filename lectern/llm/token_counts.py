@@ -122,18 +122,21 @@ class Rollup:
         found = [s.getPath().getName() for s in self._fs.listStatus(top)] if self._fs.exists(top) else []
         return [n.removeprefix(prefix) for n in found if n.startswith(prefix) and self._fs.exists(self._place(f"{self.path}/{n}/_SUCCESS"))]
 
-    def _base(self) -> str | None:
-        """The folder of the last compaction."""
-        found = self._names("base=")
-        return f"{self.path}/base={max(found, key=int)}" if found else None
-
-    def _compacted(self) -> set[str]:
-        """The batches in it: one name each."""
-        base = self._base()
+    def _compacted(self, base: str | None) -> set[str]:
+        """The batches in a compaction: one name each."""
         return {r.name for r in self.spark.read.parquet(f"{base}/names").collect()} if base else set()
 
+    def _listing(self) -> tuple[str | None, set[str], set[str]]:
+        """The folder of the last compaction, the batches in it, and those beside it, all as of one moment."""
+        beside, bases = set(self._names("batch=")), self._names("base=")
+        # batches are listed first: one that a compaction takes in between is in its names, and counts there
+        base = f"{self.path}/base={max(bases, key=int)}" if bases else None
+        old = self._compacted(base)
+        return base, old, beside - old
+
     def committed(self, batch: str) -> bool:
-        return batch in self._names("batch=") or batch in self._compacted()
+        _, old, beside = self._listing()
+        return batch in beside or batch in old
 
     def _publish(self, attempt: str, name: str) -> bool:
         """Give a finished folder its name, unless another writer has given it first; the step is atomic."""
@@ -167,28 +170,30 @@ class Rollup:
         sums.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(attempt)
         return self._publish(attempt, f"batch={batch}")
 
-    def _rows(self) -> DataFrame:
-        base, old = self._base(), self._compacted()
-        ready = [f"{self.path}/batch={n}" for n in self._names("batch=") if n not in old] + ([f"{base}/sums"] if base else [])
-        return self.spark.read.schema(SCHEMA).parquet(*ready) if ready else self.spark.createDataFrame([], SCHEMA)
+    def _sums(self, base: str | None, beside: set[str]) -> DataFrame:
+        ready = [f"{self.path}/batch={n}" for n in sorted(beside)] + ([f"{base}/sums"] if base else [])
+        rows = self.spark.read.schema(SCHEMA).parquet(*ready) if ready else self.spark.createDataFrame([], SCHEMA)
+        sums = rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
+        return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, docs, tokens, chars over all committed batches; groups without documents are left out."""
-        sums = self._rows().groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
-        return sums.where("docs <> 0 OR tokens <> 0 OR chars <> 0")
+        base, _, beside = self._listing()
+        return self._sums(base, beside)
 
     def compact(self) -> None:
         """Put all committed batches into one table of sums.
 
-        Totals are the same before and after, and a compacted batch is still
-        committed.  Folders of the batches stay for readers that have listed
-        them, until the next compaction.
+        Names and sums are those of one listing, so a batch that is committed
+        meanwhile stays beside it.  Totals are the same before and after, and a
+        compacted batch is still committed.  Folders of the batches stay for
+        readers that have listed them, until the next compaction.
         """
-        names, old, base = set(self._names("batch=")), self._compacted(), self._base()
+        base, old, beside = self._listing()
         attempt, number = f"{self.path}/attempt-{uuid.uuid4().hex}", int(base.rpartition("=")[2]) + 1 if base else 0
-        self.totals().write.parquet(f"{attempt}/sums")
-        self.spark.createDataFrame([(n,) for n in sorted(names | old)], "name string").write.parquet(f"{attempt}/names")
+        self._sums(base, beside).write.parquet(f"{attempt}/sums")
+        self.spark.createDataFrame([(n,) for n in sorted(beside | old)], "name string").write.parquet(f"{attempt}/names")
         self._fs.create(self._place(f"{attempt}/_SUCCESS")).close()
         if self._publish(attempt, f"base={number}"):
-            for n in names & old:
+            for n in set(self._names("batch=")) & old:
                 remove(self.spark, f"{self.path}/batch={n}")

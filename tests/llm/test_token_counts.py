@@ -87,3 +87,26 @@ def test_a_broken_batch_is_written_over(spark, odd_docs):
     assert totals(rollup) == {}
     rollup.commit("a", counts)
     assert sum(x[0] for x in totals(rollup).values()) == odd_docs.count()
+
+
+def test_a_batch_between_listing_and_sums_counts_once(spark, odd_docs):
+    path = tempfile.mkdtemp() + "/counts"
+    one, other = K.Rollup(spark, path), K.Rollup(spark, path)
+    counts = K.inserts(K.counted(odd_docs, "v1", F.length("text")))
+    one.commit("a", counts)
+    listed = one._listing
+
+    def late():
+        found = listed()
+        other.commit("b", counts)
+        return found
+
+    one._listing = late
+    one.compact()
+    del one._listing
+    docs = lambda: sum(x[0] for x in totals(one).values())
+    assert docs() == 2 * odd_docs.count() and not one.commit("b", counts)
+    one.compact()
+    assert docs() == 2 * odd_docs.count() and not one.commit("a", counts) and not one.commit("b", counts)
+    one.compact()
+    assert docs() == 2 * odd_docs.count()
