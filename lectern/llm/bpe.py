@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 
 from .common import pick, ship
 
-#: Words, and pairs of tokens, that a Python worker remembers at most; it forgets all of them at once.
-WORDS, PAIRS = 300_000, 300_000
+#: Words that a Python worker remembers at most, twice over: when they are full they become the older ones, from which
+#: those in use come back.  And pairs of tokens, all of which it forgets at once.
+WORDS, PAIRS = 250_000, 300_000
 #: Bytes of output that a worker gathers before it hands them on.
 BATCH = 8 << 20
 #: Control characters at which str.split() splits although they are not white space to the tokenizer.
@@ -64,6 +65,7 @@ class Encoder:
         self.special = special
         self.specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         raise NotImplementedError
@@ -91,9 +93,12 @@ class Encoder:
         except KeyError:
             new = list({c for c in chunks if c not in known})
         if len(known) + len(new) > WORDS:
-            known.clear()
-            new = list(set(chunks))
-        own = dict(zip(new, self.chunk_ids(new), strict=True))
+            self.older, self.known = known, {}
+            known, new = self.known, list(set(chunks))
+        older = self.older
+        own = {c: older[c] for c in new if c in older}
+        new = [c for c in new if c not in own]
+        own.update(zip(new, self.chunk_ids(new), strict=True))
         out = b"".join([own[c] if c in own else known[c] for c in chunks])
         known.update((c, x) for c, x in own.items() if len(c) <= 64)
         return out
@@ -218,11 +223,11 @@ class WordBPE(Encoder):
         return out
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        known, words = self.known, self.pattern.findall
+        known, older, words = self.known, self.older, self.pattern.findall
         own: dict[str, bytes] = {}
 
         def word(w: str) -> bytes:
-            ids = known.get(w) or own.get(w)
+            ids = known.get(w) or own.get(w) or older.get(w)
             if ids is None:
                 ids = self.encode_word(w)
                 ids = own[w] = pack(f"<{len(ids)}I", *ids)

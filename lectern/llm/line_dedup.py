@@ -8,9 +8,10 @@ many have it later, so a block that a third of all documents share gives each
 of them one partner.  A pair's least blocks are aligned by patience diff: an
 increasing run of those that are unique in both, then the same between any two
 of them, and the longest increasing run where none is unique.  What a pair has
-in common out of order, or more than once, is aligned for itself after that.
-So the lines that go are those of all stretches of enough words that stand in
-any earlier document, which the tests hold against all pairs of documents.
+in common out of order, or more than once, is aligned again until nothing is
+left, so a moved passage goes as well as one that stands in its place.  The
+lines that go are aligned ones, and those of all stretches of enough words that
+stand in any earlier document, which the tests hold against all pairs.
 """
 
 from __future__ import annotations
@@ -77,6 +78,8 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     likewise; where there is no anchor, the longest increasing run of all pairs
     stays.
     """
+    if all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:])):
+        return list(pairs)
     out: list[tuple[int, int]] = []
     waiting = [pairs]
     while waiting:
@@ -96,6 +99,40 @@ def patience(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+#: Times that what is left of a pair is aligned as a whole before it is dealt onto piles.
+AGAIN = 8
+
+
+def alignments(pairs: list[tuple[int, int]]) -> Iterator[list[tuple[int, int]]]:
+    """Patience diff of all pairs, then of those that it left, and so on until it leaves none.
+
+    Pairs that cross each other over and over are dealt onto piles at last, as
+    patience sorting does, and each pile, which is an increasing run, is
+    aligned: the work stays in proportion to the pairs, but for a logarithm.
+    """
+    left = sorted(set(pairs))
+    for _ in range(AGAIN):
+        run = patience(left)
+        if not run:
+            return
+        yield run
+        aligned = set(run)
+        left = [p for p in left if p not in aligned]
+    piles: list[list[tuple[int, int]]] = []
+    tops: list[tuple[int, int]] = []  # (-b, -a) of each pile's last pair, ascending
+    for a, b in sorted(left, key=lambda p: (p[0], -p[1])):
+        k = bisect_left(tops, (1 - b, -a))  # the first pile that ends before b
+        if k < len(piles) and piles[k][-1][0] < a:
+            piles[k].append((a, b))
+            tops[k] = (-b, -a)
+        else:
+            k = bisect_left(tops, (-b, -a))
+            piles.insert(k, [(a, b)])
+            tops.insert(k, (-b, -a))
+    for pile in piles:
+        yield patience(pile)
+
+
 def blocks(pairs: list[tuple[int, int]]) -> list[list[int]]:
     """The later document's places in stretches that are adjacent in both documents."""
     out: list[list[int]] = []
@@ -193,20 +230,17 @@ def cut_out(lines: list[str], hashes: np.ndarray, docs: np.ndarray, places: np.n
     for own in np.split(order, np.flatnonzero(np.diff(doc[order])) + 1):
         if not len(own):
             continue
-        x, y = start[own], there[own]
-        matched = np.ones(len(own), bool)
-        if not ((np.diff(x) > 0).all() and (np.diff(y) > 0).all()):
-            kept = set(patience(list(zip(x.tolist(), y.tolist(), strict=True))))
-            matched = np.array([p in kept for p in zip(x.tolist(), y.tolist(), strict=True)])
-        # the aligned ones first; each of the others is a block of its own
-        for some in (own[matched], *own[~matched][:, None]):
-            for i in some:
-                a, b, shift = int(start[i]), int(end[i]), int(there[i] - start[i])
+        ends: dict[tuple[int, int], int] = {}
+        for a, at_, b in zip(start[own].tolist(), there[own].tolist(), end[own].tolist(), strict=True):
+            ends[a, at_] = max(b, ends.get((a, at_), 0))
+        for run in alignments(list(ends)):
+            for a, at in run:
+                b, shift = ends[a, at], at - a
                 last = found[-1] if found else None
-                if last and last["doc_id"] == doc[i] and last["at"] - last["start"] == shift and last["start"] <= a <= last["start"] + last["lines"]:
+                if last and last["doc_id"] == doc[own[0]] and last["at"] - last["start"] == shift and last["start"] <= a <= last["start"] + last["lines"]:
                     last["lines"] = max(last["lines"], b - last["start"])
                 else:
-                    found.append({"start": a, "lines": b - a, "doc_id": int(doc[i]), "at": a + shift})
+                    found.append({"start": a, "lines": b - a, "doc_id": int(doc[own[0]]), "at": at})
                 gone[a:b] = True
     return np.flatnonzero(gone).tolist(), found
 

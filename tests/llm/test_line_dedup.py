@@ -136,3 +136,27 @@ def test_passages_held_twice(spark):
     check_all(list(rows.values()), docs)
     assert rows[7].text == "" and rows[7].removed == list(range(16))
     assert len(rows[8].removed) == 16 and len(rows[9].removed) == 24
+
+
+def test_alignments_cover_all_pairs_by_increasing_runs():
+    rng = random.Random(12)
+    for trial in range(200):
+        n = rng.choice([0, 1, 5, 30])
+        pairs = {(rng.randint(0, n), rng.randint(0, n)) for _ in range(3 * n)}
+        if trial % 10 == 0:
+            pairs = {(i, 40 - i) for i in range(40)}  # all cross each other
+        runs = list(L.alignments(list(pairs)))
+        assert {p for run in runs for p in run} == pairs
+        assert all(a < c and b < d for run in runs for (a, b), (c, d) in zip(run, run[1:]))
+        assert len(runs) <= max(L.AGAIN, 1) + 41
+
+
+def test_nothing_goes_but_what_the_diff_aligns(monkeypatch):
+    lines = [f"line {i} has five words.\n" for i in range(12)]
+    own = [L.plain(x) for x in lines]
+    _, start, _, h1, _ = L.windows_of([own], 10)
+    docs, places = L.np.zeros(len(h1), int), start
+    assert L.cut_out(lines, h1, docs, places)[0] == list(range(12))
+    assert L.cut_out(lines, h1, docs, places[::-1].copy())[0] == list(range(12))
+    monkeypatch.setattr(L, "patience", lambda pairs: [])
+    assert L.cut_out(lines, h1, docs, places) == ([], [])
