@@ -7,12 +7,13 @@ its presence against the label among the examples, less what chance alone would
 give (the bias-corrected estimate).  A term that tells nothing keeps the plain
 weight, so every term of an example can bring a document to it; without the
 raise long documents are nearest to those of their own vocabulary, whatever a
-few words in them say.  Examples lie in blocks; an inverted index has the
-largest weight of each term in each block, so a document's nearest examples are
-found exactly while most blocks are only bounded.  The terms that a good part
-of the examples has, which would loosen every bound, are multiplied out first,
-for many documents at once.  Votes of the nearest, weighted by nearness, are
-calibrated on the examples themselves, each left out of its own vote.
+few words in them say.  Examples lie in blocks of similar ones, in an inverted
+index.  Lists of rare terms are short and are added up whole; of the terms that
+a good part of the examples has, the index keeps the largest weight in each
+block, and what they give is looked up in those blocks alone whose bound
+reaches the nearest examples so far.  So these are found exactly.  Votes of the
+nearest, weighted by nearness, are calibrated on the examples themselves, each
+left out of its own vote.
 """
 
 from __future__ import annotations
@@ -37,8 +38,8 @@ STEM = 5
 NEIGHBOURS, BLOCK = 15, 64
 #: The plain weight beside the raise, which is 1 for a term that tells the classes apart by itself.
 PLAIN = 1e-4
-#: Terms of at least this share of the examples are multiplied out, for so many documents at once.
-FREQUENT, TOGETHER = 1 / 8, 128
+#: Terms of at least this share of the examples are bounded by block, for so many documents at once.
+FREQUENT, TOGETHER = 1 / 16, 128
 #: Examples' weight by which a step of the calibration is drawn to the share of toxic ones.
 DRAWN = 20
 #: Blocks that are scored first, and documents of equal terms and counts that a task remembers.
@@ -80,13 +81,6 @@ def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarra
     return np.searchsorted(owner, np.arange(len(texts) + 1)), number, counts
 
 
-def spans(bounds: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All places from bounds[k] to bounds[k + 1] of each key, and how many each has."""
-    sizes = bounds[keys + 1] - bounds[keys]
-    ends = np.cumsum(sizes)
-    return np.repeat(bounds[keys] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0), sizes
-
-
 class BlockMaxIndex:
     """Examples by term weights, in blocks of similar ones, with the largest weight of each term and block."""
 
@@ -100,30 +94,24 @@ class BlockMaxIndex:
         self.labels = np.array([r[3] for r, _ in kept], dtype=np.float64)
         self.share = np.array([share[r[3]] for r, _ in kept])
         self.blocks = -(-len(kept) // BLOCK)
-        # postings: term t is in the examples from start[t] to start[t + 1], with these weights
         none = np.empty(0, np.int64)
         term = np.concatenate([np.asarray(r[1], np.int64) for r, _ in kept] or [none])
         example = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
         value = np.concatenate([x for _, x in kept] or [np.empty(0)])
+        # frequent terms: a row of weights in each block, and the largest of them
         frequent = np.flatnonzero(np.bincount(term[value > 0], minlength=len(weight)) >= max(BLOCK, FREQUENT * len(kept)))
-        self.row = np.full(len(weight), -1)
+        self.row = np.full(len(weight), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
-        self.dense = np.zeros((len(frequent), len(kept)))
+        self.within = np.zeros((self.blocks, len(frequent), BLOCK))
         own = self.row[term] >= 0
-        self.dense[self.row[term[own]], example[own]] = value[own]
-        term, example, value = term[~own], example[~own], value[~own]
+        self.within[example[own] // BLOCK, self.row[term[own]], example[own] % BLOCK] = value[own]
+        self.most = np.ascontiguousarray(self.within.max(axis=2, initial=0).T)
+        # rare terms: postings, term t is in the examples from start[t] to start[t + 1], with these weights
+        own = ~own & (value > 0)
+        term, example, value = term[own], example[own], value[own]
         order = np.argsort(term, kind="stable")
-        order = order[value[order] > 0]
         term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
         self.start = np.searchsorted(term, np.arange(len(weight) + 1))
-        # and in the blocks from at[t] to at[t + 1], each with its largest weight and its postings
-        key = term * max(1, self.blocks) + self.example // BLOCK
-        first = np.flatnonzero(np.r_[True, np.diff(key) > 0]) if len(key) else none
-        self.most = np.maximum.reduceat(self.value, first) if len(key) else np.empty(0)
-        term, block = np.divmod(key[first], max(1, self.blocks))
-        self.block = block.astype(np.int32)
-        self.posting = np.append(first, len(key))
-        self.at = np.searchsorted(term, np.arange(len(weight) + 1))
         blank = [r for r, x in found if not x.any()]
         up = sum(share[1] for r in blank if r[3])
         down = sum(share[0] for r in blank if not r[3])
@@ -137,7 +125,7 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """The index as a matrix of terms by examples."""
         out = np.zeros((len(self.weight), len(self.ids)))
-        out[self.row >= 0] = self.dense
+        out[self.row >= 0] = self.within.transpose(1, 0, 2).reshape(len(self.most), -1)[:, : len(self.ids)]
         out[np.repeat(np.arange(len(self.weight)), np.diff(self.start)), self.example] = self.value
         return out
 
@@ -153,46 +141,49 @@ class BlockMaxIndex:
     def nearest_of(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> Iterator[list[tuple[float, int]]]:
         """For each text (terms, counts, example that is passed over) the NEIGHBOURS examples of largest positive cosine, exactly: (cosine, place), ties by place."""
         for first in range(0, len(texts), TOGETHER):
-            some = [(t, self.vector(t, c), skip) for t, c, skip in texts[first : first + TOGETHER]]
-            common = np.zeros((len(some), len(self.dense)))
-            for i, (terms, x, _) in enumerate(some):
-                own = self.row[terms] >= 0
-                common[i, self.row[terms[own]]] = x[own]
-            known = common @ self.dense
-            for i, (terms, x, skip) in enumerate(some):
-                rare = (x > 0) & (self.row[terms] < 0)
-                yield self._nearest(terms[rare], x[rare], known[i], skip) if len(self.ids) else []
-
-    def _nearest(self, terms: np.ndarray, x: np.ndarray, known: np.ndarray, skip: int | None) -> list[tuple[float, int]]:
-        """``known`` has what the frequent terms give each example.
-
-        The blocks that may have the nearest ones are scored first; then, at
-        once, all whose largest weights allow more than the last neighbour has.
+            yield from self._nearest([(t, self.vector(t, c), skip) for t, c, skip in texts[first : first + TOGETHER]])
+
+    def _nearest(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> Iterator[list[tuple[float, int]]]:
+        """The same for texts as vectors, in two rounds.
+
+        First the blocks of largest bounds are finished; then all whose bounds
+        allow more than the last neighbour has.  In a round a block is finished
+        for all texts that want it at once.
         """
-        entries, sizes = spans(self.at, terms)
-        block, of = self.block[entries], np.repeat(x, sizes)
-        bound = np.bincount(block, weights=of * self.most[entries], minlength=self.blocks) + np.maximum.reduceat(known, np.arange(0, len(known), BLOCK))
-        low, best, place = 0.0, np.empty(0), np.empty(0, dtype=np.int64)
+        n, size = len(texts), self.blocks * BLOCK
+        if not size:
+            yield from ([] for _ in texts)
+            return
+        common, cosine = np.zeros((n, len(self.most))), np.zeros((n, size))
+        for i, (terms, x, _) in enumerate(texts):
+            row = self.row[terms]
+            common[i, row[row >= 0]] = x[row >= 0]
+            rare = (row < 0) & (x > 0)
+            starts, ends = self.start[terms[rare]], self.start[terms[rare] + 1]
+            lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if b > a]
+            if lists:
+                weights = np.repeat(x[rare], ends - starts) * np.concatenate([self.value[s] for s in lists])
+                cosine[i] = np.bincount(np.concatenate([self.example[s] for s in lists]), weights=weights, minlength=size)
+        bound = cosine.reshape(n, self.blocks, BLOCK).max(axis=2) + common @ self.most
+        done = np.zeros((n, size))
         todo = bound > 0
-        some = todo & (bound >= np.partition(bound, -AT_ONCE)[-AT_ONCE] if self.blocks > AT_ONCE else todo)
-        while some.any():
+        some = todo & (bound >= np.partition(bound, -AT_ONCE, axis=1)[:, [-AT_ONCE]]) if self.blocks > AT_ONCE else todo
+        for _ in range(2):
+            for block in np.flatnonzero(some.any(axis=0)).tolist():
+                who, at = np.flatnonzero(some[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
+                done[who, at] = cosine[who, at] + common[who] @ self.within[block]
+            for i, (*_, skip) in enumerate(texts):
+                if skip is not None:
+                    done[i, skip] = 0
+            last = np.partition(done, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if size > NEIGHBOURS else np.zeros(n)
             todo &= ~some
-            own = some[block]
-            postings, sizes = spans(self.posting, entries[own])
-            cosine = np.bincount(self.example[postings], weights=np.repeat(of[own], sizes) * self.value[postings], minlength=len(self.ids))
-            cosine = np.where(np.repeat(some, BLOCK)[: len(cosine)], cosine + known, 0)
-            if skip is not None:
-                cosine[skip] = 0
+            some = todo & (bound >= last[:, None] - 1e-9)
+        for own, least in zip(done, last.tolist()):
             # a little below what is wanted, so that equal ones stay when they are rounded
-            least = max(low, float(np.partition(cosine, -NEIGHBOURS)[-NEIGHBOURS]) if len(cosine) > NEIGHBOURS else 0.0) - 1e-11
-            at = np.flatnonzero((cosine >= least) & (cosine > 5e-13))
-            best, place = np.concatenate([best, np.round(cosine[at], 12)]), np.concatenate([place, at])
-            first = np.lexsort((place, -best))[:NEIGHBOURS]
-            best, place = best[first], place[first]
-            low = float(best[-1]) if len(best) == NEIGHBOURS else 0.0
-            todo &= bound >= low - 1e-9
-            some = todo.copy()
-        return list(zip(best.tolist(), place.tolist(), strict=True))
+            place = np.flatnonzero((own >= least - 1e-11) & (own > 5e-13))
+            near = np.round(own[place], 12)
+            best = np.lexsort((place, -near))[:NEIGHBOURS]
+            yield list(zip(near[best].tolist(), place[best].tolist(), strict=True))
 
     def vote(self, found: list[tuple[float, int]]) -> float:
         """Each of NEIGHBOURS votes for its label with its cosine, and with what is left to 1 for the share of blank texts.

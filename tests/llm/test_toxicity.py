@@ -129,7 +129,7 @@ def test_frequent_terms_are_multiplied_out_exactly():
     rng = np.random.default_rng(8)
     rows = [(i, (t := np.unique(np.concatenate([np.flatnonzero(rng.random(12) < 0.6), rng.integers(12, 900, 20)]))), rng.integers(1, 5, len(t)), int(i % 7 == 0)) for i in range(1_500)]
     index = X.BlockMaxIndex(rows, 0.1 + rng.random(900), (1.0, 1.0))
-    assert 0 < len(index.dense) <= 12
+    assert 0 < len(index.most) <= 12
     weights = index.weights
     for found, (_, terms, counts, _) in zip(index.nearest_of([(t, c, None) for _, t, c, _ in rows[:200]]), rows[:200]):
         cosine = index.vector(terms, counts) @ weights[terms]
