@@ -125,7 +125,7 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """The index as a matrix of terms by examples."""
         out = np.zeros((len(self.weight), len(self.ids)))
-        out[self.row >= 0] = self.within.transpose(1, 0, 2).reshape(len(self.most), -1)[:, : len(self.ids)]
+        out[self.row >= 0] = self.within.transpose(1, 0, 2).reshape(len(self.most), self.blocks * BLOCK)[:, : len(self.ids)]
         out[np.repeat(np.arange(len(self.weight)), np.diff(self.start)), self.example] = self.value
         return out
 
