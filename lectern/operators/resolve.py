@@ -93,13 +93,17 @@ def provenance_violations(refs: DataFrame, inventory: DataFrame) -> DataFrame:
     return provenance(refs, inventory).select("ref_id", "violation").where("violation IS NOT NULL")
 
 
-def usable_cache(cache: DataFrame) -> DataFrame:
-    """The last usable row of each key: hashes of 64 hex digits, status ok or empty, key of image and configuration."""
-    fine = (
+def usable_rows(cache: DataFrame) -> DataFrame:
+    """Rows with hashes of 64 hex digits, status ok or empty, and the key of image and configuration."""
+    return cache.where(
         F.col("image_sha256").rlike(HEX64) & F.col("ocr_config_sha256").rlike(HEX64) & F.col("ocr_status").isin("ok", "empty")
         & (F.col("ocr_cache_key") == T.cache_key(F.col("image_sha256"), F.col("ocr_config_sha256")))
     )
-    last = cache.where(fine).groupBy("ocr_cache_key").agg(F.max_by(F.struct("ocr_status", "ocr_text"), "ordinal").alias("c"))
+
+
+def usable_cache(cache: DataFrame) -> DataFrame:
+    """The last usable row of each key."""
+    last = usable_rows(cache).groupBy("ocr_cache_key").agg(F.max_by(F.struct("ocr_status", "ocr_text"), "ordinal").alias("c"))
     return last.select("ocr_cache_key", "c.ocr_status", "c.ocr_text")
 
 
@@ -116,9 +120,15 @@ def missing_from_cache(images: DataFrame, cache: DataFrame, config_sha: Column)
     return keyed.join(usable_cache(cache), "ocr_cache_key", "left_anti").select("path", "sha256")
 
 
+def configurations(cache: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """How many configurations a cache names, or each of its groups; rows that name none don't count."""
+    named = F.nullif(F.trim("ocr_config_sha256"), F.lit(""))
+    return cache.groupBy(*(by or [])).agg(F.count_distinct(named).alias("configurations"))
+
+
 def one_configuration(cache: DataFrame) -> DataFrame:
-    """A violation row where a cache holds other than one configuration."""
-    return cache.agg(F.count_distinct("ocr_config_sha256").alias("configurations")).where("configurations <> 1")
+    """A violation row where a cache names other than one configuration."""
+    return configurations(cache).where("configurations <> 1")
 
 
 def attach_text(refs: DataFrame, recognised: DataFrame) -> DataFrame:

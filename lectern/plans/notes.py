@@ -274,6 +274,15 @@ def j05(spark, sf):
     return resolve.missing_from_cache(_images(spark, sf), _cache(spark, sf), F.sha2(F.lit("config"), 256))
 
 
+@query("j05_one_configuration", "SELECT source, count(DISTINCT nullif(trim(sha), '')) AS configurations FROM (SELECT *, CASE n_chars % 3 WHEN 0 THEN 'a' WHEN 1 THEN CASE WHEN length(source) % 2 = 0 THEN 'a' ELSE '  ' END ELSE 'b ' END AS sha FROM documents) WHERE n_chars % 3 < 2 OR source > 'n' GROUP BY source HAVING count(DISTINCT nullif(trim(sha), '')) <> 1")
+def j05_one(spark, sf):
+    """A cache a source, most of them of one configuration: those that a run without recognition must refuse."""
+    k, even = c("n_chars") % 3, F.length("source") % 2 == 0
+    sha = F.when(k == 0, "a").when((k == 1) & even, "a").when(k == 1, "  ").otherwise("b ")
+    rows = _docs(spark, sf).where((k < 2) | (c("source") > "n")).select("source", sha.alias("ocr_config_sha256"))
+    return resolve.configurations(rows, ["source"]).where("configurations <> 1")
+
+
 @query("j06_attached_text", "SELECT i.path, coalesce(CASE WHEN turn > 1 THEN CASE role WHEN 'system' THEN 'empty' ELSE 'ok' END END, 'not_local_or_not_processed') AS ocr_status, coalesce(CASE WHEN turn > 1 THEN text END, '') AS ocr_text FROM (SELECT conv_id || '/' || turn AS path, turn, role, text FROM conversations) i")
 def j06(spark, sf):
     done = M.table(spark, sf, "conversations").where("turn > 1").select(F.concat_ws("/", "conv_id", "turn").alias("path"), F.when(c("role") == "system", "empty").otherwise("ok").alias("ocr_status"), c("text").alias("ocr_text"))

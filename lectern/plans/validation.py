@@ -377,6 +377,43 @@ def g07(spark, sf):
     return gates.broken_rules(_by_target(spark, sf), ["target"], gates.reliability_rules())
 
 
+_SPOILED = """spoiled AS (SELECT * REPLACE (CASE WHEN target LIKE '%C1' THEN nominal_kappa + 3 ELSE nominal_kappa END AS nominal_kappa, CASE WHEN target LIKE '%C2' THEN agreement_pct + 1 ELSE agreement_low_pct END AS agreement_low_pct,
+  CASE WHEN target LIKE '%C3' THEN pair_n ELSE agreement_n END AS agreement_n) FROM by_target)"""
+
+
+def _spoiled(spark, sf):
+    """The table by target with a coefficient, an interval and a count that cannot be."""
+    of = lambda k: c("target").endswith(f"C{k}")
+    return _by_target(spark, sf).withColumns({
+        "nominal_kappa": F.when(of(1), c("nominal_kappa") + 3).otherwise(c("nominal_kappa")),
+        "agreement_low_pct": F.when(of(2), c("agreement_pct") + 1).otherwise(c("agreement_low_pct")),
+        "agreement_n": F.when(of(3), c("pair_n")).otherwise(c("agreement_n")),
+    })
+
+
+@query("g07_spoiled_table", """SELECT target, unnest(CASE WHEN target LIKE '%C1' THEN ['coefficients_lie_within_one'] WHEN target LIKE '%C2' THEN ['agreement_lies_in_its_interval'] WHEN target LIKE '%C3' AND disagreement_n > 0 THEN ['pairs_are_agreements_and_disagreements', 'agreement_is_its_share'] ELSE [] END
+  || CASE WHEN adjudicated_present_n + adjudicated_absent_n + adjudicated_ambiguous_n + adjudicated_insufficient_text_n + adjudicated_not_applicable_n <> disagreement_n THEN ['adjudicated_are_disagreements'] ELSE [] END) AS rule FROM spoiled""", BY_TARGET + ", " + _SPOILED)
+def g07_spoiled(spark, sf):
+    return gates.broken_rules(_spoiled(spark, sf), ["target"], gates.reliability_rules())
+
+
+@query("g07_counts_against_cells", """SELECT target, 'agreement_n' AS "column", CAST(sum(n) AS BIGINT) AS found, CAST(coalesce(sum(n) FILTER (c1 = c2), 0) AS BIGINT) AS expected FROM cells WHERE target LIKE '%C3' GROUP BY target HAVING count(*) FILTER (c1 <> c2) > 0""", N.CELLS_SQL)
+def g07_cells(spark, sf):
+    return gates.counts_against_cells(_spoiled(spark, sf), reliability.cells(M.records(spark, sf)))
+
+
+@query("g08_rate_rules", """SELECT population, source, code, unnest(CASE WHEN k > 0 THEN ['part_is_in_whole'] ELSE [] END || CASE WHEN n = 0 THEN [] WHEN code < 'T4' THEN ['rate_is_a_percentage'] ELSE [] END) AS rule FROM (
+  SELECT z.population, s.source, l.code, (SELECT count(*) FROM members m WHERE m.population = z.population AND m.source = s.source) AS n, (SELECT count(*) FROM presence p WHERE p.population = z.population AND p.source = s.source AND p.code = l.code) AS k
+  FROM sizes z CROSS JOIN sources s CROSS JOIN labels_of l)""", M.PRESENCE_SQL)
+def g08_rates(spark, sf):
+    """Rates of some codes above a hundred, and more notes that carry a code than there are wherever there are any."""
+    over = M.over_populations(spark, sf)
+    table = derived.source_normalized(over.types, over.members, over.notes)
+    high = (c("code") < "T4") & (c("source_record_n") > 0)
+    spoiled = table.withColumns({"rate_pct": c("rate_pct") + F.when(high, 101.0).otherwise(0.0), "positive_records_n": F.when(c("positive_records_n") > 0, c("source_record_n") + 1).otherwise(c("positive_records_n"))})
+    return gates.broken_rules(spoiled, ["population", "source", "code"], gates.rate_rules("rate_pct", "positive_records_n", "source_record_n"))
+
+
 @query("g08_pair_rules", "SELECT population, code_a, code_b, 'cells_sum_to_denominator' AS rule FROM joint WHERE n11_both_present > 0", M.PRESENCE_SQL + N.FLAGS + N.WHOLE)
 def g08(spark, sf):
     over = M.over_populations(spark, sf)
@@ -392,6 +429,14 @@ def g09(spark, sf):
     return gates.totals_agree(table.where("code <> '(all)'"), overall, ["record_n", "tp", "fp"])
 
 
+@query("g09_row_counts", "SELECT 'documents' AS \"table\", count(*) AS found, count(*) + 1 AS expected FROM documents UNION ALL SELECT 'pages', count(*), NULL FROM pages UNION ALL SELECT 'gone', NULL, count(*) FROM benchmark")
+def g09_rows(spark, sf):
+    """Metadata that is right for one table, off by one for another, lacks a third, and knows one that is not there."""
+    n = lambda name, told, more=0: M.table(spark, sf, name).agg((F.count("*") + more).alias("expected")).select(F.lit(told).alias("table"), "expected")
+    expected = n("documents", "documents", 1).unionByName(n("labels", "labels")).unionByName(n("benchmark", "gone"))
+    return gates.row_counts_agree({name: M.table(spark, sf, name) for name in ("documents", "labels", "pages")}, expected)
+
+
 @query("g11_blocked_fields", "SELECT source, count(*) AS tables, 'note_id,s.combined_text,ranked_snippets' AS blocked FROM documents GROUP BY source")
 def g11(spark, sf):
     """The gate looks at names alone: those of a table made of notes."""
@@ -408,6 +453,22 @@ def g12(spark, sf):
     return gates.local_paths(M.table(spark, sf, "documents").select("doc_id", "lang", cell.alias("cell")))
 
 
+@query("g12_nested_values", """SELECT place, kind, shown FROM (SELECT *, left(text, 30) AS head FROM documents), LATERAL (SELECT unnest([
+    {'place': 'deep.inner[0].cell', 'kind': 'cell', 'shown': CASE WHEN doc_id % 3 = 0 THEN 'in /tmp/' || doc_id END}, {'place': 'deep.inner[1].cell', 'kind': 'cell', 'shown': CASE WHEN doc_id % 5 = 0 THEN 'file://' || doc_id END},
+    {'place': 'named.note_id', 'kind': 'key', 'shown': CASE WHEN doc_id % 7 = 0 THEN 'note_id' END}, {'place': 'named.k', 'kind': 'cell', 'shown': CASE WHEN doc_id % 7 <> 0 AND doc_id % 2 = 0 THEN '(/home/' || doc_id END},
+    {'place': 'named.note_id', 'kind': 'cell', 'shown': CASE WHEN doc_id % 7 = 0 AND doc_id % 2 = 0 THEN '(/home/' || doc_id END},
+    {'place': 'loose.list[1].path', 'kind': 'key', 'shown': CASE WHEN doc_id % 11 = 0 THEN 'path' END}, {'place': 'loose.list[1].path', 'kind': 'cell', 'shown': CASE WHEN doc_id % 11 = 0 AND doc_id % 2 = 0 THEN '=/var/' || doc_id END},
+    {'place': 'loose.list[1].plain', 'kind': 'cell', 'shown': CASE WHEN doc_id % 11 <> 0 AND doc_id % 2 = 0 THEN '=/var/' || doc_id END}]) AS x) t(x), LATERAL (SELECT x.place, x.kind, x.shown) y(place, kind, shown) WHERE shown IS NOT NULL""")
+def g12_nested(spark, sf):
+    """Paths in structs in lists, behind keys of maps, and in objects of a variant; blocked keys of both."""
+    i, k, said = c("doc_id").cast("string"), c("doc_id"), F.lit("nothing to see")
+    told = lambda when, what: F.when(when, F.concat(F.lit(what), i)).otherwise(said)
+    deep = F.struct(F.array(F.struct(told(k % 3 == 0, "in /tmp/").alias("cell"), k.alias("n")), F.struct(told(k % 5 == 0, "file://").alias("cell"), k.alias("n"))).alias("inner"))
+    named = F.create_map(F.when(k % 7 == 0, "note_id").otherwise("k"), told(k % 2 == 0, "(/home/"))
+    loose = F.parse_json(F.concat(F.lit('{"list": [1, {"'), F.when(k % 11 == 0, "path").otherwise("plain"), F.lit('": "'), told(k % 2 == 0, "=/var/"), F.lit('"}]}')))
+    return gates.exposed(M.table(spark, sf, "documents").select("doc_id", deep.alias("deep"), named.alias("named"), loose.alias("loose")))
+
+
 @query("s08_run_metrics", """SELECT 'notes_rows' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'references_rows', count(*) FROM joined_refs UNION ALL SELECT 'references_distinct_path', count(DISTINCT path) FROM joined_refs UNION ALL SELECT 'references_distinct_sha256', count(DISTINCT sha256) FROM joined_refs
   UNION ALL SELECT 'references_ocr_status_' || ocr_status, count(*) FROM joined_refs GROUP BY ocr_status UNION ALL SELECT 'coding_rows', count(*) FROM coding UNION ALL SELECT 'coding_rule_match_intensity_' || rule_match_intensity, count(*) FROM coding GROUP BY rule_match_intensity""", M.CODED_SQL)
 def s08(spark, sf):

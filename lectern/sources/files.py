@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .shared import listed, remove, replace
 
 
 class Contract(ValueError):
@@ -87,6 +89,25 @@ def write_csv(table: DataFrame, path: str, fields: list[str], metrics: Iterable[
     rows.select(*shown).write.mode("overwrite").csv(path, header=True, nullValue="", emptyValue="", escape='"')
 
 
+def write_csv_file(table: DataFrame, path: str, fields: list[str], metrics: Iterable[str] = (), extras: str = "drop", order: list[str] | None = None) -> None:
+    """``write_csv`` as one file of that name, in order.
+
+    One task writes it, as it is one file, and sorts with spilling; it gets its
+    name in one step when the job is done, in place of an older one, so after a
+    failed task nothing is seen and an older file stays.  For reports; a table
+    of the corpus's size belongs in ``write_csv``'s folder of parts.
+    """
+    spark = table.sparkSession
+    beside = f"{path}.pending-{uuid.uuid4().hex}"
+    rows = table.repartition(1)
+    try:
+        write_csv(rows.sortWithinPartitions(*order) if order else rows, beside, fields, metrics, extras)
+        parts = [f for f in listed(spark, beside) if f.rpartition("/")[2].startswith("part-")]
+        replace(spark, parts[0], path)
+    finally:
+        remove(spark, beside)
+
+
 def codebook(spark: SparkSession, path: str) -> DataFrame:
     """A codebook from JSON: a list of {family, code, label, objective, patterns}."""
     rows = spark.read.schema("family string, code string, label string, objective string, patterns array<string>").json(path, multiLine=True)

@@ -40,3 +40,39 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def _place(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, in whatever store it lies."""
+    place, store = _place(spark, path)
+    store.delete(place, True)
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file or folder a name that nothing has yet."""
+    place, store = _place(spark, path)
+    target, _ = _place(spark, to)
+    if store.exists(target) or not store.rename(place, target):
+        raise FileExistsError(to)
+
+
+def listed(spark: SparkSession, folder: str) -> list[str]:
+    """The paths in a folder, in order."""
+    place, store = _place(spark, folder)
+    return sorted(str(f.getPath().toString()) for f in store.listStatus(place))
+
+
+def replace(spark: SparkSession, path: str, to: str) -> None:
+    """Give a file a name, whatever has it; the step is atomic where the store's renaming is."""
+    sc = spark.sparkContext
+    jvm = sc._jvm.org.apache.hadoop.fs
+    place, store = _place(spark, path)
+    target, _ = _place(spark, to)
+    how = sc._gateway.new_array(getattr(jvm, "Options$Rename"), 1)
+    how[0] = getattr(jvm, "Options$Rename").OVERWRITE
+    jvm.FileContext.getFileContext(store.getUri(), sc._jsc.hadoopConfiguration()).rename(place, target, how)
