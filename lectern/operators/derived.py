@@ -252,7 +252,7 @@ def source_normalized(presence: DataFrame, members: DataFrame, corpus: DataFrame
 
 def group_union(presence: DataFrame, members: DataFrame, groups: DataFrame) -> DataFrame:
     """Notes with any code of a group; a note with two of them counts once."""
-    own = presence.join(F.broadcast(groups.select("code", "group")), "code").select("population", "group", "note_id").distinct().groupBy("population", "group").agg(F.count("*").alias("record_n"))
+    own = presence.join(groups.select("code", "group"), "code").select("population", "group", "note_id").distinct().groupBy("population", "group").agg(F.count("*").alias("record_n"))
     grid = groups.select("group").distinct().join(F.broadcast(sizes(members)))
     rows = grid.join(own, ["population", "group"], "left").fillna(0, ["record_n"])
     return rows.withColumn("record_pct", S.percent(F.col("record_n"), F.col("denominator_n")))

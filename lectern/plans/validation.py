@@ -304,6 +304,15 @@ def w07(spark, sf):
     return resolve.in_order(M.notes(spark, sf).select("source", "note_id", "word_count"), ["source", "note_id"])
 
 
+@query("w06_evidence_texts", f"""SELECT code, note_id, CAST(snippet_index AS INTEGER) AS snippet_index, sha256(snippet) AS snippet, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY note_id, snippet_index) AS place FROM (
+  SELECT * FROM (SELECT note_id, code, r AS snippet_index, {N._SNIPPET} AS snippet FROM (SELECT *, row_number() OVER (PARTITION BY note_id, code ORDER BY pattern, start) AS r FROM ({N._PLACES})) JOIN lowered USING (note_id) WHERE r <= 3)
+  WHERE snippet <> '' QUALIFY row_number() OVER (PARTITION BY code, lower(left(snippet, 120)) ORDER BY note_id, snippet_index) = 1)) WHERE place <= 4""", M.CODED_SQL)
+def w06_evidence(spark, sf):
+    """The first snippets of each code that say something else, from the evidence of all notes."""
+    rows = coding.distinct_snippets(coding.evidence(M.corpus(spark, sf), M.codes(spark, "typology")), 4)
+    return rows.select("code", "note_id", "snippet_index", F.sha2("snippet", 256).alias("snippet"), "place")
+
+
 # --- sets -------------------------------------------------------------------------------------------------------
 
 @query("u01_both_codes", "SELECT note_id FROM coding WHERE code = 'T5_near' AND present = 1 INTERSECT SELECT note_id FROM indicating WHERE code = 'I3_common' AND present = 1", M.INDICATED_SQL)
