@@ -83,6 +83,20 @@ def same_within_text(coding: DataFrame, hashes: DataFrame) -> DataFrame:
     return rows.groupBy("combined_text_sha256", "code").agg(F.min("present").alias("lo"), F.max("present").alias("hi"), F.count("*").alias("note_n")).where("lo <> hi").select("combined_text_sha256", "code", "note_n")
 
 
+def same_carried_within_text(notes: DataFrame, family: str) -> DataFrame:
+    """``same_within_text`` of notes with their codes as lists (``coding.carried``): texts are read once, and no row is a note and a code it lacks.
+
+    notes: combined_text_sha256 and ``family``, an array of struct<code, ...>.
+    The notes of a text, and those of them with each code, are counted in each
+    task first; what meets by text is a row a code.
+    """
+    marks = F.concat(F.array(F.lit(None).cast("string")), F.transform(F.coalesce(F.col(family)["code"], F.array().cast("array<string>")), lambda x: x))
+    rows = notes.where("coalesce(combined_text_sha256, '') <> ''").select("combined_text_sha256", F.explode(marks).alias("code"))
+    counts = rows.groupBy("combined_text_sha256", "code").agg(F.count("*").alias("k"))
+    by_text = counts.groupBy("combined_text_sha256").agg(F.max(F.when(F.col("code").isNull(), F.col("k"))).alias("note_n"), F.collect_list(F.when(F.col("code").isNotNull(), F.struct("code", "k"))).alias("own"))
+    return by_text.select("combined_text_sha256", "note_n", F.inline("own")).where("k < note_n").select("combined_text_sha256", "code", "note_n")
+
+
 def orphans(coding: DataFrame, corpus: DataFrame) -> DataFrame:
     """Coded notes that the corpus does not have."""
     return coding.select("note_id").distinct().join(corpus.select("note_id"), "note_id", "left_anti")

@@ -112,3 +112,10 @@ def set_difference(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     a, b = left.select(key).distinct().withColumn("l", F.lit(1)), right.select(key).distinct().withColumn("r", F.lit(1))
     both = a.join(b, key, "full")
     return both.agg(F.count_if(F.col("r").isNull()).alias("missing_n"), F.count_if(F.col("l").isNull()).alias("extra_n"))
+
+
+def with_codes(notes: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """The notes (``coding.carried``) that carry the given code of each family: an intersection of note sets without a join."""
+    for family, code in wanted.items():
+        notes = notes.where(F.array_contains(F.col(family)["code"], code))
+    return notes

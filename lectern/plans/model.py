@@ -158,16 +158,21 @@ class Populations(NamedTuple):
 
 def over_populations(spark: SparkSession, sf: str) -> Populations:
     """All texts are read and coded in one pass, whose result, without texts, is kept; the rest derives from it."""
-    rows = cut(coding.carried(corpus(spark, sf), {f: codes(spark, f) for f in ("typology", "indicator")}))
+    rows = cut(carried(spark, sf))
     own = populations.membership(rows)
     carry = lambda family: rows.select("note_id", F.explode(family).alias("c")).select("note_id", "c.code", "c.label", F.lit(1).alias("present"))
     return Populations(rows, own, *[populations.presence(carry(f), own, QUALITY) for f in ("typology", "indicator")])
 
 
+def carried(spark: SparkSession, sf: str) -> DataFrame:
+    """Notes without texts, with the codes of both families that they carry: one pass over the texts."""
+    return coding.carried(corpus(spark, sf), {f: codes(spark, f) for f in ("typology", "indicator")})
+
+
 def cube(spark: SparkSession, sf: str) -> DataFrame:
     """Cells of notes, codes and pairs of both families: texts are read once, and no row is a note and a code."""
     families = ("typology", "indicator")
-    rows = coding.carried(corpus(spark, sf), {f: codes(spark, f) for f in families})
+    rows = carried(spark, sf)
     kept = lambda f: F.transform(F.filter(f, lambda c: ~c["code"].isin(*QUALITY)), lambda c: F.struct(F.lit(f).alias("family"), c["code"].alias("code"), c["label"].alias("label")))
     rows = cut(rows.select("note_id", "source", "combined_text_sha256", F.concat(*map(kept, families)).alias("carried")))
     return derived.cube(populations.marked(rows))

@@ -317,8 +317,7 @@ def w06_evidence(spark, sf):
 
 @query("u01_both_codes", "SELECT note_id FROM coding WHERE code = 'T5_near' AND present = 1 INTERSECT SELECT note_id FROM indicating WHERE code = 'I3_common' AND present = 1", M.INDICATED_SQL)
 def u01(spark, sf):
-    a = M.coded(spark, sf).where("code = 'T5_near' AND present = 1").select("note_id")
-    return a.intersect(M.coded(spark, sf, "indicator").where("code = 'I3_common' AND present = 1").select("note_id"))
+    return populations.with_codes(M.carried(spark, sf), {"typology": "T5_near", "indicator": "I3_common"}).select("note_id").distinct()
 
 
 @query("u02_any_code", "SELECT DISTINCT note_id FROM coding WHERE code IN ('T2_mail', 'T3_host', 'T4_secret') AND present = 1", M.CODED_SQL)
@@ -377,8 +376,8 @@ def g05(spark, sf):
 
 @query("g06_same_within_text", "SELECT combined_text_sha256, code, count(*) AS note_n FROM (SELECT combined_text_sha256, code, CAST(present = 1 AND source <> 'src1' AS INTEGER) AS p FROM coding JOIN corpus USING (note_id, source)) GROUP BY ALL HAVING min(p) <> max(p)", M.CODED_SQL)
 def g06(spark, sf):
-    marked = M.coded(spark, sf).withColumn("present", ((c("present") == 1) & (c("source") != "src1")).cast("int"))
-    return gates.same_within_text(marked, M.corpus(spark, sf))
+    own = F.when(c("source") != "src1", c("typology")).otherwise(F.filter("typology", lambda x: F.lit(False)))
+    return gates.same_carried_within_text(M.carried(spark, sf).withColumn("typology", own), "typology")
 
 
 @query("g07_reliability_rules", "SELECT target, 'adjudicated_are_disagreements' AS rule FROM by_target WHERE adjudicated_present_n + adjudicated_absent_n + adjudicated_ambiguous_n + adjudicated_insufficient_text_n + adjudicated_not_applicable_n <> disagreement_n", BY_TARGET)

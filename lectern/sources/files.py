@@ -118,17 +118,21 @@ def run_metrics(tables: dict[str, DataFrame], by: dict[str, str] | None = None,
     """metric, value: how many rows each table has, how many for each value of its column in ``by``, and how many different values those in ``distinct`` have.
 
     Blank values are ``(blank)``; null is no value of its own among different
-    ones.  One pass over each table and kind.
+    ones.  One pass over each table; an empty one has 0 rows.
     """
     rows = []
     for name, table in tables.items():
-        different = (distinct or {}).get(name, [])
-        counts = table.agg(F.count("*").alias("rows"), *[F.count_distinct(c).alias(f"distinct_{c}") for c in different])
-        each = [F.struct(F.lit(f"{name}_{c}").alias("metric"), F.col(c).alias("value")) for c in counts.columns]
-        rows.append(counts.select(F.explode(F.array(*each)).alias("m")).select("m.*"))
-        if own := (by or {}).get(name):
-            value = F.coalesce(F.nullif(F.trim(F.col(own).cast("string")), F.lit("")), F.lit("(blank)"))
-            rows.append(table.groupBy(F.concat(F.lit(f"{name}_{own}_"), value).alias("metric")).agg(F.count("*").alias("value")))
+        different, own = (distinct or {}).get(name, []), (by or {}).get(name)
+        value = F.coalesce(F.nullif(F.trim(F.col(own).cast("string")), F.lit("")), F.lit("(blank)")) if own else F.lit("")
+        counted = table.select(value.alias("of"), F.lit(1).cast("long").alias("n"), *[F.col(c).alias(f"distinct_{i}") for i, c in enumerate(different)])
+        # a row that counts for nothing, so that an empty table has its row too
+        counted = counted.unionByName(table.sparkSession.range(1).select(F.lit(None).cast("string").alias("of"), F.lit(0).cast("long").alias("n")), allowMissingColumns=True)
+        # all rows and those of each value in one pass; different values of columns in all rows alone
+        sets = [[], [F.col("of")]] if own else [[]]
+        counts = counted.groupingSets(sets, F.col("of")).agg(F.sum("n").alias("n"), F.grouping("of").alias("all"), *[F.count_distinct(f"distinct_{i}").alias(f"d{i}") for i in range(len(different))])
+        whole = [F.struct(F.lit(f"{name}_rows").alias("metric"), F.col("n").alias("value"))] + [F.struct(F.lit(f"{name}_distinct_{c}").alias("metric"), F.col(f"d{i}").alias("value")) for i, c in enumerate(different)]
+        part = F.array(F.struct(F.concat(F.lit(f"{name}_{own}_"), "of").alias("metric"), F.col("n").alias("value")))
+        rows.append(counts.where("all = 1 OR n > 0").select(F.inline(F.when(F.col("all") == 1, F.array(*whole)).otherwise(part))))
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)

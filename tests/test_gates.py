@@ -125,3 +125,25 @@ def test_cache_keeps_the_last_result_and_stays_where_it_lies(spark, cache):
     assert spark.table(cache.name).count() == 3
     cache.append(results(("i4", "ok", "late")))
     assert cache.missing(images, config).count() == 2
+
+
+def test_codes_within_a_text_from_lists_as_from_rows(spark):
+    import random
+
+    from lectern.operators import populations
+
+    rng = random.Random(3)
+    rows = [(f"n{i}", rng.choice(["t1", "t1", "t2", "t3", "", None]), [c for c in "xyz" if rng.random() < 0.6]) for i in range(40)] + [("alone", "t9", []), ("same", "t9", [])]
+    notes = spark.createDataFrame([(n, t, [(c, c) for c in own]) for n, t, own in rows], "note_id string, combined_text_sha256 string, own array<struct<code:string,label:string>>")
+    long = spark.createDataFrame([(n, c, int(c in own)) for n, _, own in rows for c in "xyz"], "note_id string, code string, present int")
+    told = lambda df: sorted(map(tuple, df.collect()))
+    assert told(gates.same_carried_within_text(notes, "own")) == told(gates.same_within_text(long, notes)) != []
+    assert gates.same_carried_within_text(notes.where("note_id IN ('alone', 'same')"), "own").count() == 0
+    both = populations.with_codes(notes.withColumn("more", F.col("own")), {"own": "x", "more": "y"})
+    assert {r.note_id for r in both.collect()} == {n for n, _, own in rows if {"x", "y"} <= set(own)}
+
+
+def test_run_metrics_read_a_table_once(spark):
+    table = spark.createDataFrame([("a", 1), (" ", 1), (None, None), ("a", 2)], "kind string, k int")
+    got = files.run_metrics({"t": table, "none": table.limit(0)}, {"t": "kind", "none": "kind"}, {"t": ["k"]})
+    assert {r.metric: r.value for r in got.collect()} == {"t_rows": 4, "t_distinct_k": 2, "t_kind_a": 2, "t_kind_(blank)": 2, "none_rows": 0}
