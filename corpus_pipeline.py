@@ -16,6 +16,8 @@ from lectern.llm.common import cut, pick, read, remove, shared_folder, small
 
 TOKENIZER = "word_bpe_49k.json"
 CAPACITY = 4_096
+#: Words that a worker remembers in the last stage: fewer than where packing is alone, as it follows others in the same executors.
+WORDS = 100_000
 
 
 def aside(docs: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -72,7 +74,7 @@ def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents as sequences; what a null or empty text, or a repeated row, gives is said at ``packing.pack``."""
-    return packing.pack(pick(docs, "doc_id", "text"), public_tokenizers.path(TOKENIZER), CAPACITY)
+    return packing.pack(pick(docs, "doc_id", "text"), public_tokenizers.path(TOKENIZER), CAPACITY, words=WORDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick, ship
+from .common import keeps, pick, ship, turn
 
 #: Words that a Python worker remembers at most, twice over: when they are full they become the older ones, from which
 #: those in use come back.  And pairs of tokens, all of which it forgets at once.
@@ -61,8 +61,8 @@ class Encoder:
     holds any.  Special tokens' strings are taken out of a text first.
     """
 
-    def __init__(self, special: dict[str, int]) -> None:
-        self.special = special
+    def __init__(self, special: dict[str, int], words: int = WORDS) -> None:
+        self.special, self.words = special, words
         self.specials = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -92,7 +92,7 @@ class Encoder:
             return b"".join([known[c] for c in chunks])
         except KeyError:
             new = list({c for c in chunks if c not in known})
-        if len(known) + len(new) > WORDS:
+        if len(known) + len(new) > self.words:
             self.older, self.known = known, {}
             known, new = self.known, list(set(chunks))
         older = self.older
@@ -113,12 +113,12 @@ class WordBPE(Encoder):
     decoder.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, words: int = WORDS) -> None:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"]
-        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]})
+        super().__init__({t["content"]: t["id"] for t in spec["added_tokens"]}, words)
         ids = model["vocab"]
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.special.items()}
         self.token_at = np.array([self.tokens.get(i, "") for i in range(max(self.tokens) + 1)], dtype=object)
@@ -246,11 +246,15 @@ def vocabulary(path: str) -> WordBPE:
     return WordBPE(path)
 
 
+keeps("bpe", vocabulary.cache_clear)
+
+
 def _mapped(docs: DataFrame, path: str, decoded: bool) -> DataFrame:
     fields = [pa.field("doc_id", pa.int64()), pa.field("ids", pa.binary())] + [pa.field("decoded", pa.string())] * decoded
     schema = pa.schema(fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("bpe")
         bpe = vocabulary(path)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, ship
+from .common import keeps, pick, ship, turn
 
 #: Characters of a chunk, and of what it has in common with the next one.
 CHUNK, OVERLAP = 1 << 16, 1 << 9
@@ -181,6 +181,9 @@ def vocabulary(path: str, pattern: str) -> ByteBPE:
     return ByteBPE(path, pattern)
 
 
+keeps("byte_bpe", vocabulary.cache_clear)
+
+
 class Out:
     """Rows gathered into batches of bounded size."""
 
@@ -222,6 +225,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, ove
     coded = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary()), ("decoded", pa.binary())])
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("byte_bpe")
         bpe, out = vocabulary(path, pattern), Out(coded)
         for doc_id, text in rows_of(batches):
             ids = bpe.encode(text)

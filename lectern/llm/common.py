@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_folder
 
-__all__ = ["added_up", "cut", "pick", "read", "remove", "shared_folder", "ship", "small", "stretches"]
+__all__ = ["added_up", "cut", "pick", "read", "remove", "shared_folder", "ship", "small", "stretches", "turn"]
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of a batch that goes to a Python worker: several of these are held at once, on both sides.
 BATCH = "8m"
@@ -28,6 +30,36 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
 
 
+#: What operators keep in a Python worker between tasks, by their names, and how they let it go; and whose turn it is.
+_KEPT: dict[str, Callable[[], None]] = {}
+_TURN = [""]
+
+
+def keeps(owner: str, forget: Callable[[], None]) -> None:
+    """Say that ``owner`` keeps something between the tasks of a worker, and how to let it go."""
+    _KEPT[owner] = forget
+
+
+def turn(owner: str) -> None:
+    """Begin a task of ``owner`` in a Python worker.
+
+    Workers serve many operators one after the other.  When the turn changes,
+    what the others keep is let go, and the memory goes back to the system.
+    """
+    if _TURN[0] == owner:
+        return
+    _TURN[0] = owner
+    for name, forget in _KEPT.items():
+        if name != owner:
+            forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # not that C library
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, pick, ship
+from .common import cut, pick, ship, turn
 from .shingles import MIX, mixed, sliced
 
 #: A common block goes only if it has as many words in all.
@@ -184,6 +184,7 @@ def window_hashes(docs: DataFrame, block_words: int) -> DataFrame:
     """doc_id, and of each different least block of a text its hash, h1 and h2 of 96 bits, and the line at which it begins first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("line_dedup")
         for batch in batches:
             for part in sliced(batch):
                 owns = [[plain(x) for x in lines_of(t or "")] for t in part.column(1).to_pylist()]
@@ -273,6 +274,7 @@ def line_dedup(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     both = flat.join(found, "doc_id", "left").select("doc_id", "text", "matches", *flat.columns[2:])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("line_dedup")
         for batch in batches:
             for part in sliced(batch):
                 found = part.column(2)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import added_up, cut, pick, ship, small, stretches
+from .common import added_up, cut, pick, ship, small, stretches, turn
 from .components import components
 from .shingles import BUCKETS, Rarity, as_lists, sets_of, shingle_sets, signature, sketch, sliced, words_of
 
@@ -64,6 +64,7 @@ def sizes_and_sketch(docs: DataFrame, width: int) -> DataFrame:
     names = ["doc_id", "n", "node", "text_key", "at", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("ngram_join")
         total = np.zeros(2 * BUCKETS, np.int64)
         for batch in batches:
             for part in sliced(batch):
@@ -85,6 +86,7 @@ def heads(docs: DataFrame, width: int, pct: int, rarity: Rarity) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(rarity)  # 2 * BUCKETS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("ngram_join")
         for batch in batches:
             for part in sliced(batch):
                 sets = [s for s in sets_of(*words_of(part.column(1)), width, shared.value) if len(s)]
@@ -105,6 +107,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("ngram_join")
         held: pa.RecordBatch | None = None  # the last row, not given out yet if its n-gram has shown one text so far
         waits = False
         for batch in batches:
@@ -132,6 +135,7 @@ def shared_only(rows: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("ngram_join")
         for batch in batches:
             for part in sliced(batch):
                 sets = shingle_sets(part.column(1), width)
@@ -219,6 +223,7 @@ def _tiles(members: DataFrame, pct: int, pairs: bool) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(z, pa.int64()) for z in (nodes[some], links[some], nodes[top[some]])], ["node", "links", "root"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("ngram_join")
         rows: list[tuple] = []
         for batch in batches:
             offsets = batch.column(8).offsets.to_numpy()

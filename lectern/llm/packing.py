@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PAIRS, WordBPE
-from .common import cut, pick, ship
+from .bpe import PAIRS, WORDS, WordBPE
+from .common import cut, keeps, pick, ship, turn
 from .sharding import numbered
 
 END_ID = 1
@@ -127,8 +127,8 @@ class LongestFirst(WordBPE):
     goes further than the longest token, so a word costs what its length does.
     """
 
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+    def __init__(self, path: str, words: int = WORDS) -> None:
+        super().__init__(path, words)
         self.most = max(map(len, self.ids))
 
     def encode_word(self, word: str) -> list[int]:
@@ -171,15 +171,19 @@ class LongestFirst(WordBPE):
 
 
 @lru_cache(maxsize=2)
-def word_encoder(path: str) -> LongestFirst:
-    return LongestFirst(path)
+def word_encoder(path: str, words: int = WORDS) -> LongestFirst:
+    return LongestFirst(path, words)
 
 
-def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = END_ID) -> DataFrame:
+keeps("packing", word_encoder.cache_clear)
+
+
+def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = END_ID, words: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32: each document's ids and ``end_id``, cut at ``capacity``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = word_encoder(path), np.uint32(end_id).tobytes()
+        turn("packing")
+        encoder, end = word_encoder(path, words), np.uint32(end_id).tobytes()
         for batch in batches:
             keys, pieces, starts, lengths, sums = [], [], [], [], []
             for key, text in zip(batch.column(0), batch.column(1), strict=True):
@@ -197,7 +201,7 @@ def tokenized_pieces(docs: DataFrame, path: str, capacity: int, end_id: int = EN
     return pick(docs, "doc_id", "text").mapInArrow(run, PIECES)
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 4_096, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, path: str, capacity: int = 4_096, end_id: int = END_ID, words: int = WORDS) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: every document packed.
 
     Only documents longer than ``capacity`` are cut.  Null and empty texts are
@@ -206,7 +210,7 @@ def pack(docs: DataFrame, path: str, capacity: int = 4_096, end_id: int = END_ID
     are ignored, whatever their names.  An empty table gives no rows.
     """
     spark = docs.sparkSession
-    pieces = cut(tokenized_pieces(docs, path, capacity, end_id))
+    pieces = cut(tokenized_pieces(docs, path, capacity, end_id, words))
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most ``capacity`` rows
     packed = best_fit(counts, capacity)
     runs = spark.createDataFrame([tuple(r) for r in packed], "length long, first long, last long, bin long, each long, at long")

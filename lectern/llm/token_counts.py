@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import pick, remove, ship
+from .common import keeps, pick, remove, ship, turn
 from .shingles import sliced
 
 GROUP = ("source", "lang", "version")
@@ -37,6 +37,9 @@ def _byte_level(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+keeps("token_counts", _byte_level.cache_clear)
+
+
 def counter(path: str, pattern: str) -> Callable[[str], int]:
     """How many tokens a vocabulary gives a text: byte-level ranks (.tiktoken) with the pattern, or a word vocabulary (.json)."""
     if path.endswith(".tiktoken"):
@@ -58,6 +61,7 @@ def tokenized(docs: DataFrame, paths: list[str], pattern: str) -> DataFrame:
     rows = rows.select("doc_id", "text", "source", "lang", F.md5("text").alias("text_key"), F.length("text").cast("long").alias("chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("token_counts")
         counters = [counter(p, pattern) for p in paths]
         for batch in batches:
             for part in sliced(batch):

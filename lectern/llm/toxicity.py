@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import added_up, cut, pick, ship, stretches
+from .common import added_up, cut, pick, ship, stretches, turn
 from .shingles import sliced
 
 #: Labelled rows of each class that are fitted on at most, chosen by a hash of their id.
@@ -68,12 +68,23 @@ def beginnings(words: pa.Array) -> pa.Array:
     return pc.if_else(pc.greater(pc.utf8_length(words), STEM), first, pa.scalar(None, first.type))
 
 
-def term_counts(texts: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, numbers, counts): the terms of text i and how often each occurs lie from bounds[i] to bounds[i + 1]."""
+def hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word; a null has those of no word."""
+    return np.array([xxhash.xxh3_64_intdigest(w) if w is not None else 0 for w in words.to_pylist()], dtype=np.uint64).view(np.int64)
+
+
+def term_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bounds, numbers, counts): the terms of text i and how often each occurs lie from bounds[i] to bounds[i + 1].
+
+    ``terms`` are hashes in ascending order, so a task needs no strings of them.
+    """
     words, owner, at = words_of(texts)
+    first = beginnings(words).dictionary_encode()
+    stems = np.append(hashes(first.dictionary), 0)[pc.fill_null(first.indices, -1).to_numpy(zero_copy_only=False)]
     pairs = []
-    for some in (words, beginnings(words)):
-        number = pc.fill_null(pc.index_in(some, value_set=terms), -1).to_numpy(zero_copy_only=False).astype(np.int64)[at]
+    for some in (hashes(words), stems):
+        place = np.minimum(np.searchsorted(terms, some), max(0, len(terms) - 1))
+        number = np.where((terms[place] == some) & (some != 0), place, -1)[at] if len(terms) else np.full(len(at), -1)
         known = number >= 0
         pairs.append(owner[known] * max(1, len(terms)) + number[known])
     pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
@@ -234,25 +245,27 @@ def examples_of(docs: DataFrame, labels: DataFrame, bound: int) -> DataFrame:
     return here.where("toxic = 1").orderBy(*order).limit(bound).unionByName(here.where("toxic = 0").orderBy(*order).limit(bound))
 
 
-def vocabulary(learned: DataFrame) -> pa.Array:
-    """All terms of the examples, in order."""
+def vocabulary(learned: DataFrame) -> np.ndarray:
+    """The hashes of all terms of the examples, in order: of 2 * EXAMPLES rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for batch in batches:
             for part in sliced(batch, 2, SLICE):
                 words = words_of(part.column(2))[0]
-                for some in (words, beginnings(words).drop_null().unique()):
-                    yield pa.RecordBatch.from_arrays([some.cast(pa.string())], ["term"])
+                both = np.concatenate([hashes(words), hashes(beginnings(words).drop_null().unique())])
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(both[both != 0]), pa.int64())], ["term"])
 
-    terms = learned.mapInArrow(run, "term string").distinct().toArrow().column("term").combine_chunks().cast(pa.large_string())
-    return terms.take(pc.sort_indices(terms))
+    terms = learned.mapInArrow(run, "term long").distinct().toArrow().column("term").to_numpy()
+    return np.sort(terms)
 
 
-def document_frequencies(texts: DataFrame, terms: pa.Array) -> np.ndarray:
+def document_frequencies(texts: DataFrame, terms: np.ndarray) -> np.ndarray:
     """How many documents have each term, and as a last number how many there are."""
     shared = texts.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         terms = shared.value
         total = np.zeros(len(terms) + 1, dtype=np.int64)
         for batch in batches:
@@ -265,13 +278,15 @@ def document_frequencies(texts: DataFrame, terms: pa.Array) -> np.ndarray:
     return added_up(texts.select("text").mapInArrow(run, "at int, counts array<long>"), len(terms) + 1)
 
 
-def numbered_rows(learned: DataFrame, terms: pa.Array) -> list[Row]:
+def numbered_rows(learned: DataFrame, terms: np.ndarray) -> list[Row]:
     """The examples (doc_id, terms, counts, label); 2 * EXAMPLES rows at most."""
+    shared = learned.sparkSession.sparkContext.broadcast(terms)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         for batch in batches:
             for part in sliced(batch, 2, SLICE):
-                bounds, number, counts = term_counts(part.column(2), terms)
+                bounds, number, counts = term_counts(part.column(2), shared.value)
                 lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(x, pa.int32())) for x in (number, counts)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *lists], ["doc_id", "toxic", "terms", "counts"])
 
@@ -329,6 +344,7 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
     shared = spark.sparkContext.broadcast((terms, index))  # the terms of 2 * examples rows
 
     def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         terms, index = shared.value
         place = {i: j for j, i in enumerate(index.ids)}
         for batch in batches:
@@ -343,6 +359,7 @@ def scored(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Data
     evidence_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("toxicity")
         terms, index = shared.value
         index.curve = curve
         seen: dict[bytes, tuple] = {}
