@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import PAIRS, WORDS, WordBPE
+from .bpe import PAIRS, WordBPE
 from .common import cut, keeps, pick, ship, turn
 from .sharding import numbered
 
@@ -31,6 +31,10 @@ BROADCAST_RUNS = 500_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: Words that a worker remembers, twice over; some 200 bytes each.
+WORDS = 600_000
+
+
 class Run(NamedTuple):
     """Pieces of ``length`` from rank ``first`` to ``last``: ``each`` a bin, from bin ``bin`` and place ``at`` on."""
 
