@@ -7,13 +7,14 @@ its presence against the label among the examples, less what chance alone would
 give (the bias-corrected estimate).  A term that tells nothing keeps the plain
 weight, so every term of an example can bring a document to it; without the
 raise long documents are nearest to those of their own vocabulary, whatever a
-few words in them say.  Examples lie in blocks of similar ones, in an inverted
-index.  Lists of rare terms are short and are added up whole; of the terms that
-a good part of the examples has, the index keeps the largest weight in each
-block, and what they give is looked up in those blocks alone whose bound
-reaches the nearest examples so far.  So these are found exactly.  Votes of the
-nearest, weighted by nearness, are calibrated on the examples themselves, each
-left out of its own vote.
+few words in them say.  Examples lie in an inverted index.  Lists of rare terms
+are short and are added up whole; the terms that a good part of the examples has
+are a matrix in single precision, multiplied for many documents at once.  Sums
+of weights, none negative, are off by a known share at most, and the largest of
+each block of examples tell a cosine that the nearest reach; all examples that
+may reach it are told again in double precision.  So the nearest are found
+exactly.  Votes of the nearest, weighted by nearness, are calibrated on the
+examples themselves, each left out of its own vote.
 """
 
 from __future__ import annotations
@@ -29,25 +30,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import added_up, cut, pick, ship, stretches, turn
-from .shingles import sliced
+from .shingles import MIX, mixed, sliced
 
 #: Labelled rows of each class that are fitted on at most, chosen by a hash of their id.
 EXAMPLES = 4_096
 #: Letters of the word beginnings that are terms beside whole words.
 STEM = 5
-NEIGHBOURS, BLOCK = 15, 64
+NEIGHBOURS, BLOCK = 15, 16
 #: The plain weight beside the raise, which is 1 for a term that tells the classes apart by itself.
 PLAIN = 1e-4
-#: Terms of at least this share of the examples are bounded by block, for so many documents at once.
-FREQUENT, TOGETHER = 1 / 16, 128
+#: Terms of at least this share of the examples, and so many of them, are a matrix, multiplied for so many documents at once.
+FREQUENT, LEAST, TOGETHER = 1 / 16, 64, 128
+#: What a product or a sum in single precision is off by at most, as a share, twice over.
+HALF_STEP = 2.0**-23
 #: Examples' weight by which a step of the calibration is drawn to the share of toxic ones.
 DRAWN = 20
-#: Blocks that are scored first, and documents of equal terms and counts that a task remembers.
-AT_ONCE, SEEN = 8, 50_000
+#: Documents of equal terms and counts that a task remembers.
+SEEN = 50_000
 EVIDENCE = "array<struct<doc_id: long, cosine: double, toxic: int>>"
 Row = tuple[int, np.ndarray, np.ndarray, int]
-#: Bytes of text that are cut into words at once.
-SLICE = 1 << 20
+#: Bytes of text that are cut into words at once, and of a word that is hashed beside others.
+SLICE, LONG = 1 << 20, 64
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -69,8 +72,40 @@ def beginnings(words: pa.Array) -> pa.Array:
 
 
 def hashes(words: pa.Array) -> np.ndarray:
-    """64 bits of each word; a null has those of no word."""
-    return np.array([xxhash.xxh3_64_intdigest(w) if w is not None else 0 for w in words.to_pylist()], dtype=np.uint64).view(np.int64)
+    """64 bits of each word; a null has those of no word.
+
+    Words are taken eight bytes at a time, all words at once; those longer than LONG one by one.
+    """
+    words = words.cast(pa.large_binary())
+    sizes = pc.fill_null(pc.binary_length(words), 0).to_numpy(zero_copy_only=False)
+    starts = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words)]
+    held = np.frombuffer(words.buffers()[2] or b"", np.uint8)
+    out = sizes.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        left = np.flatnonzero((sizes > 0) & (sizes <= LONG))
+        for done in range(0, LONG, 8):
+            left = left[sizes[left] > done]
+            if not len(left):
+                break
+            at, more = starts[left] + done, sizes[left] - done
+            eight = held[np.minimum(at[:, None] + np.arange(8), len(held) - 1)].view("<u8")[:, 0]
+            unused = 8 * np.maximum(0, 8 - more).astype(np.uint64)
+            out[left] = mixed((out[left] + MIX[0]) ^ (eight << unused))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(words[i].as_py())
+    return out.view(np.int64)
+
+
+def places_in(terms: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Where the hashes are among the terms; -1 where they aren't."""
+    if not len(terms):
+        return np.full(len(some), -1)
+    order = np.argsort(some)  # neighbours look at the same part of the terms
+    own = some[order]
+    place = np.minimum(np.searchsorted(terms, own), len(terms) - 1)
+    out = np.empty(len(some), np.int64)
+    out[order] = np.where((terms[place] == own) & (own != 0), place, -1)
+    return out
 
 
 def term_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,8 +118,7 @@ def term_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
     stems = np.append(hashes(first.dictionary), 0)[pc.fill_null(first.indices, -1).to_numpy(zero_copy_only=False)]
     pairs = []
     for some in (hashes(words), stems):
-        place = np.minimum(np.searchsorted(terms, some), max(0, len(terms) - 1))
-        number = np.where((terms[place] == some) & (some != 0), place, -1)[at] if len(terms) else np.full(len(at), -1)
+        number = places_in(terms, some)[at]
         known = number >= 0
         pairs.append(owner[known] * max(1, len(terms)) + number[known])
     pairs, counts = np.unique(np.concatenate(pairs), return_counts=True)
@@ -92,8 +126,18 @@ def term_counts(texts: pa.Array, terms: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.searchsorted(owner, np.arange(len(texts) + 1)), number, counts
 
 
+def joined(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places of stretches that lie one after the other elsewhere."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
 class BlockMaxIndex:
-    """Examples by term weights, in blocks of similar ones, with the largest weight of each term and block."""
+    """Examples by term weights: a matrix of frequent terms, lists of rare ones.
+
+    A weight is ``gain`` of how often the term occurs, times the term's weight,
+    over the example's norm; no weight is negative.
+    """
 
     def __init__(self, rows: list[Row], weight: np.ndarray, share: tuple[float, float]) -> None:
         """rows: (doc_id, terms, counts, label); share: how many rows of the corpus each example of a class stands for."""
@@ -105,24 +149,32 @@ class BlockMaxIndex:
         self.labels = np.array([r[3] for r, _ in kept], dtype=np.float64)
         self.share = np.array([share[r[3]] for r, _ in kept])
         self.blocks = -(-len(kept) // BLOCK)
-        none = np.empty(0, np.int64)
-        term = np.concatenate([np.asarray(r[1], np.int64) for r, _ in kept] or [none])
-        example = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
-        value = np.concatenate([x for _, x in kept] or [np.empty(0)])
-        # frequent terms: a row of weights in each block, and the largest of them
-        frequent = np.flatnonzero(np.bincount(term[value > 0], minlength=len(weight)) >= max(BLOCK, FREQUENT * len(kept)))
+        none = np.empty(0, np.int32)
+        term = np.concatenate([np.asarray(r[1], np.int32) for r, _ in kept] or [none])
+        count = np.concatenate([np.asarray(r[2], np.int32) for r, _ in kept] or [none])
+        example = np.repeat(np.arange(len(kept), dtype=np.int32), [len(x) for _, x in kept])
+        counts = np.unique(count)
+        #: How much a term counts that occurs so often, by the code of that.
+        self.gain = 1 + np.log(counts.astype(np.float64))
+        code = np.searchsorted(counts, count).astype(np.min_scalar_type(max(0, len(counts) - 1)))
+        self.norm = np.sqrt(np.bincount(example, weights=(self.gain[code] * weight[term]) ** 2, minlength=len(kept)))
+        term, example, code = (x[weight[term] > 0] for x in (term, example, code))
+        # frequent terms: a row of weights each; and each example's own ones, to tell them in double precision
+        self.frequent = np.flatnonzero(np.bincount(term, minlength=len(weight)) >= max(LEAST, FREQUENT * len(kept)))
         self.row = np.full(len(weight), -1, np.int32)
-        self.row[frequent] = np.arange(len(frequent))
-        self.within = np.zeros((self.blocks, len(frequent), BLOCK))
-        own = self.row[term] >= 0
-        self.within[example[own] // BLOCK, self.row[term[own]], example[own] % BLOCK] = value[own]
-        self.most = np.ascontiguousarray(self.within.max(axis=2, initial=0).T)
-        # rare terms: postings, term t is in the examples from start[t] to start[t + 1], with these weights
-        own = ~own & (value > 0)
-        term, example, value = term[own], example[own], value[own]
-        order = np.argsort(term, kind="stable")
-        term, self.example, self.value = term[order], example[order].astype(np.int32), value[order]
-        self.start = np.searchsorted(term, np.arange(len(weight) + 1))
+        self.row[self.frequent] = np.arange(len(self.frequent))
+        row = self.row[term]
+        own = row >= 0
+        self.most = np.zeros((len(self.frequent), self.blocks * BLOCK), np.float32)
+        self.most[row[own], example[own]] = self.gain[code[own]] * weight[term[own]] / self.norm[example[own]]
+        self.own_row, self.own_code = row[own], code[own]
+        self.own_start = np.searchsorted(example[own], np.arange(len(kept) + 1))
+        # rare terms: postings, term t is in the examples from start[t] to start[t + 1], with these shares of its weight
+        order = np.flatnonzero(~own)[np.argsort(term[~own], kind="stable")]
+        self.posting = np.empty(len(order), [("example", np.int32), ("share", np.float32)])
+        self.posting["example"], self.code = example[order], code[order]
+        self.posting["share"] = self.gain[self.code] / self.norm[example[order]]
+        self.start = np.searchsorted(term[order], np.arange(len(weight) + 1)).astype(np.min_scalar_type(-len(order) - 1))
         blank = [r for r, x in found if not x.any()]
         up = sum(share[1] for r in blank if r[3])
         down = sum(share[0] for r in blank if not r[3])
@@ -136,9 +188,11 @@ class BlockMaxIndex:
     def weights(self) -> np.ndarray:
         """The index as a matrix of terms by examples."""
         out = np.zeros((len(self.weight), len(self.ids)))
-        out[self.row >= 0] = self.within.transpose(1, 0, 2).reshape(len(self.most), self.blocks * BLOCK)[:, : len(self.ids)]
-        out[np.repeat(np.arange(len(self.weight)), np.diff(self.start)), self.example] = self.value
-        return out
+        term, example = self.frequent[self.own_row], np.repeat(np.arange(len(self.ids)), np.diff(self.own_start))
+        out[term, example] = self.gain[self.own_code] * self.weight[term]
+        term = np.repeat(np.arange(len(self.weight)), np.diff(self.start))
+        out[term, self.posting["example"]] = self.gain[self.code] * self.weight[term]
+        return out / self.norm
 
     def vector(self, terms: list[int] | np.ndarray, counts: list[int] | np.ndarray) -> np.ndarray:
         """Weights of norm 1, or 0 where no term has any weight."""
@@ -155,44 +209,44 @@ class BlockMaxIndex:
             yield from self._nearest([(t, self.vector(t, c), skip) for t, c, skip in texts[first : first + TOGETHER]])
 
     def _nearest(self, texts: list[tuple[np.ndarray, np.ndarray, int | None]]) -> Iterator[list[tuple[float, int]]]:
-        """The same for texts as vectors, in two rounds.
-
-        First the blocks of largest bounds are finished; then all whose bounds
-        allow more than the last neighbour has.  In a round a block is finished
-        for all texts that want it at once.
-        """
-        n, size = len(texts), self.blocks * BLOCK
+        """The same for texts as vectors."""
+        n, size, some = len(texts), self.blocks * BLOCK, len(self.ids)
         if not size:
             yield from ([] for _ in texts)
             return
-        common, cosine = np.zeros((n, len(self.most))), np.zeros((n, size))
-        for i, (terms, x, _) in enumerate(texts):
-            row = self.row[terms]
-            common[i, row[row >= 0]] = x[row >= 0]
+        common, weight = np.zeros((n, len(self.most))), self.weight[self.frequent]
+        packed = self.posting.view(np.int64)
+        rows = [self.row[terms] for terms, *_ in texts]
+        for own, row, (_, x, _) in zip(common, rows, texts, strict=True):
+            own[row[row >= 0]] = x[row >= 0]
+        nearly = common.astype(np.float32) @ self.most
+        for own, about, row, (terms, x, skip) in zip(common, nearly, rows, texts, strict=True):
             rare = (row < 0) & (x > 0)
-            starts, ends = self.start[terms[rare]], self.start[terms[rare] + 1]
-            lists = [slice(a, b) for a, b in zip(starts.tolist(), ends.tolist()) if b > a]
-            if lists:
-                weights = np.repeat(x[rare], ends - starts) * np.concatenate([self.value[s] for s in lists])
-                cosine[i] = np.bincount(np.concatenate([self.example[s] for s in lists]), weights=weights, minlength=size)
-        bound = cosine.reshape(n, self.blocks, BLOCK).max(axis=2) + common @ self.most
-        done = np.zeros((n, size))
-        todo = bound > 0
-        some = todo & (bound >= np.partition(bound, -AT_ONCE, axis=1)[:, [-AT_ONCE]]) if self.blocks > AT_ONCE else todo
-        for _ in range(2):
-            for block in np.flatnonzero(some.any(axis=0)).tolist():
-                who, at = np.flatnonzero(some[:, block]), slice(block * BLOCK, (block + 1) * BLOCK)
-                done[who, at] = cosine[who, at] + common[who] @ self.within[block]
-            for i, (*_, skip) in enumerate(texts):
-                if skip is not None:
-                    done[i, skip] = 0
-            last = np.partition(done, -NEIGHBOURS, axis=1)[:, -NEIGHBOURS] if size > NEIGHBOURS else np.zeros(n)
-            todo &= ~some
-            some = todo & (bound >= last[:, None] - 1e-9)
-        for own, least in zip(done, last.tolist()):
-            # a little below what is wanted, so that equal ones stay when they are rounded
-            place = np.flatnonzero((own >= least - 1e-11) & (own > 5e-13))
-            near = np.round(own[place], 12)
+            terms, x = terms[rare], x[rare]
+            starts = self.start[terms].astype(np.int64)
+            sizes = self.start[terms + 1] - starts
+            at, x = joined(starts, sizes), np.repeat(x * self.weight[terms], sizes)
+            found = packed[at].view(self.posting.dtype)
+            example = found["example"].astype(np.int64)
+            cosine = about.astype(np.float64)
+            cosine[:some] += np.bincount(example, weights=x * found["share"], minlength=some)
+            if skip is not None:
+                cosine[skip] = 0
+            # similar examples lie side by side, so a block takes such that are far from each other; the nearest reach what NEIGHBOURS blocks have
+            least = np.partition(cosine.reshape(BLOCK, self.blocks).max(axis=0), -NEIGHBOURS)[-NEIGHBOURS] if self.blocks > NEIGHBOURS else 0.0
+            off = HALF_STEP * (np.count_nonzero(own) + 4)
+            place = np.flatnonzero(cosine >= max(least * (1 - 2 * off) - 1e-11, 1e-13))
+            # these again, in double precision
+            again = np.zeros(some, bool)
+            again[place] = True
+            here = np.flatnonzero(again[example])
+            rarely = np.bincount(np.searchsorted(place, example[here]), weights=x[here] * self.gain[self.code[at[here]]], minlength=len(place))
+            sizes = self.own_start[place + 1] - self.own_start[place]
+            at = joined(self.own_start[place], sizes)
+            each = (own * weight)[self.own_row[at]] * self.gain[self.own_code[at]]
+            often = np.bincount(np.repeat(np.arange(len(place)), sizes), weights=each, minlength=len(place))
+            near = np.round((rarely + often) / self.norm[place], 12)
+            place, near = place[near > 0], near[near > 0]
             best = np.lexsort((place, -near))[:NEIGHBOURS]
             yield list(zip(near[best].tolist(), place[best].tolist(), strict=True))
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lectern.llm import queries
@@ -158,3 +159,43 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = labels.limit(0)
     assert {r.score for r in X.score_documents(odd_docs, none).collect()} == {0.0}
     assert X.score_documents(no_docs, labels).count() == 0
+
+
+def test_sums_in_single_precision_lose_no_neighbour():
+    """Cosines that differ by less than single precision tells, in frequent and in rare terms, and more equal ones than neighbours."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(2_000):
+        terms = np.unique(np.concatenate([np.flatnonzero(rng.random(20) < 0.5), rng.integers(20, 400, 15)]))
+        rows.append((i, terms, rng.integers(1, 3, len(terms)), int(i % 3 == 0)))
+    for i in range(2_000, 2_100):  # one text with counts of a million, and one more or less of one term
+        rows.append((i, np.arange(0, 60, 2), np.where(np.arange(30) == i % 30, 1_000_000 + i % 2, 1_000_000), i % 2))
+    index = X.BlockMaxIndex(rows, 1 + rng.random(400), (1.0, 1.0))
+    assert index.most.dtype == np.float32 and index.blocks > X.NEIGHBOURS
+    place, weights = {d: j for j, d in enumerate(index.ids)}, index.weights
+    asked = [rows[i] for i in (*range(60), *range(2_000, 2_100))]
+    for skip in (False, True):
+        found = index.nearest_of([(t, c, place[d] if skip else None) for d, t, c, _ in asked])
+        for got, (d, terms, counts, _) in zip(found, asked, strict=True):
+            cosine = np.round(index.vector(terms, counts) @ weights[terms], 12)
+            if skip:
+                cosine[place[d]] = 0
+            best = np.sort(cosine)[::-1][: X.NEIGHBOURS]
+            assert np.allclose([c for c, _ in got], best, atol=2e-12, rtol=0)
+            assert all(abs(cosine[j] - c) < 2e-12 for c, j in got) and len({j for _, j in got}) == X.NEIGHBOURS
+
+
+def test_words_are_hashed_by_themselves_alone(monkeypatch):
+    """Neither the words beside one, nor where it lies, nor what stands after it in memory changes its hash; zero bytes and lengths do."""
+    words = ["a", "ab", "abcdefgh", "abcdefghi", "ä" * 4, "ä" * 5, "x" * 63, "x" * 64, "x" * 65, "y" * 5_000, "b", "ba", "a\0", "a\0\0", "a\0\0\0\0\0\0\0\0"]
+    each = [int(X.hashes(pa.array([w], pa.large_string()))[0]) for w in words]
+    assert len({*each, 0}) == len(words) + 1
+    assert X.hashes(pa.array(words, pa.large_string())).tolist() == each
+    assert X.hashes(pa.array(words[::-1] + [None], pa.string())).tolist() == [*each[::-1], 0]
+    assert X.hashes(pa.array(["q", None, *words, "r"], pa.large_string()).slice(2, len(words))).tolist() == each
+    assert X.hashes(pa.array([], pa.large_string())).tolist() == []
+    monkeypatch.setattr(X, "xxhash", None)  # words of usual length are not hashed one by one
+    many = pa.array([f"w{i}" for i in range(200_000)], pa.large_string())
+    own = X.hashes(many)
+    assert len(np.unique(own)) == 200_000
+    assert all(abs(np.mean(own >> b & 1) - 0.5) < 0.01 for b in range(64))
