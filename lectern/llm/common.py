@@ -104,9 +104,14 @@ def stretches(total: np.ndarray) -> tuple[pa.Array, pa.Array]:
 
 
 def added_up(parts: DataFrame, size: int) -> np.ndarray:
-    """The sum of the vectors of ``size`` numbers whose ``stretches`` (at, counts) the rows are."""
+    """The sum of the vectors of ``size`` numbers whose ``stretches`` (at, counts) the rows are.
+
+    A task gives each stretch once, so nothing is left to add before they are dealt: a second Python worker beside each
+    task's own would only take memory.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn("added_up")
         sums: dict[int, np.ndarray] = {}
         for b in batches:
             for at, row in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -116,7 +121,7 @@ def added_up(parts: DataFrame, size: int) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([own], pa.list_(pa.int64()))], ["at", "counts"])
 
     schema = "at int, counts array<long>"
-    found = parts.select("at", "counts").mapInArrow(run, schema).repartition("at").mapInArrow(run, schema)
+    found = parts.select("at", "counts").repartition("at").mapInArrow(run, schema)
     out = np.zeros(size, np.int64)
     for r in found.collect():  # ``size`` numbers
         out[r.at * STRETCH : r.at * STRETCH + len(r.counts)] = r.counts
